@@ -16,3 +16,138 @@ SELECT {_LINE_FACT_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY store_id, op ORDER BY o_orderdate DESC, o_orderkey,
          l_linenumber, l_partkey, destination_id, l_quantity, l_suppkey, l_extendedprice) AS rn
   FROM fx_line_facts) WHERE rn <= 5""")
+
+# Brute-force nearest observation per system record (ties: diff, time, id).
+NEAREST_OBS_CTE = """
+nearest_obs AS (
+  SELECT * FROM (
+    SELECT s.store_id, s.id AS system_record_id, o.id AS observation_id,
+           abs(s.occurred_us - o.occurred_us) AS time_difference_us,
+           row_number() OVER (PARTITION BY s.id ORDER BY abs(s.occurred_us - o.occurred_us), o.occurred_us, o.id) AS rn
+    FROM fx_evidence s JOIN fx_evidence o
+      ON s.store_id = o.store_id AND o.kind = 'observation' AND s.kind = 'system_record'
+     AND o.occurred_us BETWEEN s.occurred_us - 900000000 AND s.occurred_us + 900000000
+    WHERE s.occurred_us IS NOT NULL) WHERE rn = 1)"""
+
+ORACLES["nearest_observation"] = with_fx(["fx_evidence"], """
+SELECT store_id, system_record_id, observation_id, time_difference_us,
+       time_difference_us / 1000000.0::DOUBLE AS time_difference_seconds,
+       'temporal_cooccurrence_only' AS claim, false AS verified
+FROM nearest_obs""", [NEAREST_OBS_CTE])
+
+
+def _fs(x: str) -> str:
+    return f"({x} IS NULL OR {x} = '')"
+
+
+def _fn(x: str) -> str:
+    return f"({x} IS NULL OR {x} = 0)"
+
+
+def _fb(x: str) -> str:
+    return f"({x} IS NULL OR NOT {x})"
+
+
+def _num(x: str) -> str:
+    return f"(CASE WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# (event_type, condition, role expr, question expr, reason, official)
+WF_RULES_SQL = [
+    ("receiving", "mapping_verified IS NOT DISTINCT FROM false", "'manager'",
+     _q("Confirm the discovered product and quantity mapping for this source."),
+     "The transaction is real, but its newly discovered schema meaning is not yet human-confirmed.", False),
+    ("receiving", _fs("product_id"), "'data_entry_operator'", _q("Which SKU was received?"),
+     "Receiving evidence has no verified product identity.", False),
+    ("receiving", f"cartons IS NOT NULL AND {_fn('pack_size')}", "'data_entry_operator'",
+     _q("What is the verified pieces-per-carton pack size?"), "Cartons cannot become base units without pack size.", False),
+    ("receiving", _fs("destination_id"), "'data_entry_operator'", _q("Which godown or shelf received this product?"),
+     "Purchase entry has no physical destination.", False),
+    ("receiving", _fb("receiver_confirmed"), "CASE WHEN destination_type = 'shelf' THEN 'shelfer' ELSE 'godown_staff' END",
+     _q("Confirm the quantity actually received at your location."), "DEO entry is not yet corroborated by the receiver.", True),
+    ("stock_movement", f"{_fs('from_location')} OR {_fs('to_location')}", "'godown_staff'",
+     _q("Confirm both source and destination locations."), "Movement route is incomplete.", False),
+    ("stock_movement", "sent_quantity IS NULL", "'godown_staff'", _q("How many base units left the source location?"),
+     "Movement has no sender quantity.", False),
+    ("stock_movement", "received_quantity IS NULL", "'shelfer'", _q("How many base units arrived at the shelf?"),
+     "Movement has no receiver confirmation.", True),
+    ("stock_movement", "received_quantity IS NOT NULL AND sent_quantity IS NOT NULL AND sent_quantity <> received_quantity",
+     "'manager'", f"'Resolve movement mismatch: sent ' || {_num('sent_quantity')} || ', received ' || {_num('received_quantity')} || '.'",
+     "Sender and receiver records conflict.", True),
+    ("damage", _fn("quantity"), "'godown_staff'", _q("Count the damaged base units."),
+     "Damage observation has no verified quantity.", False),
+    ("damage", _fb("human_confirmed"), "'manager'", _q("Review and approve this damage adjustment."),
+     "Camera or staff observation cannot alter stock by itself.", True),
+    ("expiry", _fb("human_confirmed"), "'manager'", _q("Confirm the batch, expiry date, quantity, and disposition."),
+     "Expiry requires a traceable human decision.", True),
+    ("attendance", f"{_fs('staff_id')} AND {_fs('badge_id')}", "'manager'",
+     _q("Identify this attendance observation using an approved badge or staff record."),
+     "Uniform/camera evidence alone is not official attendance.", False),
+    ("attendance", f"source = 'camera' AND {_fb('human_confirmed')}", "'manager'",
+     _q("Confirm attendance before recording it officially."), "Camera presence is supporting evidence only.", True),
+    ("sale", "mapping_verified IS NOT DISTINCT FROM false", "'manager'",
+     _q("Confirm the discovered sale-line mapping for this source."),
+     "The POS row is real, but its newly discovered schema meaning is not yet human-confirmed.", False),
+    ("sale", f"{_fs('product_id')} OR quantity IS NULL", "'data_entry_operator'",
+     _q("Repair the sale line with a product and base-unit quantity."), "POS sale record is incomplete.", False),
+    ("sale", "stock_after IS NOT NULL AND stock_after < 0", "'shelfer'", _q("Recount shelf stock for this SKU."),
+     "The recorded sale produced negative stock.", False),
+    ("purchase", f"cartons IS NOT NULL AND {_fn('pack_size')}", "'data_entry_operator'",
+     _q("Confirm pack size for this purchase line."), "Carton quantity is ambiguous.", False),
+    ("return", _fb("approved"), "'manager'", _q("Approve the return and its stock effect."),
+     "Returns change official stock and value.", True),
+    ("stock_count", "counted_quantity IS NULL", "'godown_staff'", _q("Count this SKU in base units."),
+     "No physical count was recorded.", False),
+    ("stock_count", "counted_quantity IS NOT NULL AND expected_quantity IS NOT NULL AND counted_quantity <> expected_quantity",
+     "'manager'", f"'Review stock variance: system ' || {_num('expected_quantity')} || ', physical ' || {_num('counted_quantity')} || '.'",
+     "Physical count conflicts with the system record.", True),
+    ("__unsupported__", "true", "'manager'", _q("Review this unsupported operational event."),
+     "No approved workflow is configured for this event type.", False),
+]
+KNOWN_TYPES_SQL = ", ".join(_q(t) for t in (
+    "receiving", "stock_movement", "damage", "expiry", "attendance", "sale", "purchase", "return", "stock_count"))
+
+
+def wf_tasks_sql(source: str) -> str:
+    """CTE body: tasks emitted by the rules over a facts relation ``source``."""
+    parts = []
+    for i, (et, cond, role, question, reason, official) in enumerate(WF_RULES_SQL):
+        auth = "'official_record'" if official else "'external_reversible'"
+        type_cond = (f"(event_type IS NULL OR event_type NOT IN ({KNOWN_TYPES_SQL}))" if et == "__unsupported__"
+                     else f"event_type = '{et}'")
+        parts.append(
+            f"SELECT id AS related_event_id, store_id, event_type, occurred_at, {i} AS r, {role} AS role, "
+            f"{question} AS question, {_q(reason)} AS reason, {auth} AS required_authority "
+            f"FROM {source} WHERE {type_cond} AND ({cond})")
+    return f"""wf_rule_rows AS ({' UNION ALL '.join(parts)}),
+wf_tasks AS (
+  SELECT related_event_id || ':' || CAST(CAST(row_number() OVER (PARTITION BY related_event_id ORDER BY r) - 1 AS INTEGER) AS VARCHAR) AS id,
+         store_id, related_event_id, event_type,
+         CAST(row_number() OVER (PARTITION BY related_event_id ORDER BY r) - 1 AS INTEGER) AS position,
+         role, question, reason, required_authority, 'open' AS status, occurred_at AS created_at
+  FROM wf_rule_rows)"""
+
+
+_TASK_COLS = "id, store_id, related_event_id, event_type, position, role, question, reason, required_authority, status, created_at"
+
+ORACLES["evaluate_workflows"] = with_fx(["fx_facts"], f"SELECT {_TASK_COLS} FROM wf_tasks", [wf_tasks_sql("fx_facts")])
+
+for _et in ("receiving", "stock_movement", "damage", "expiry", "attendance", "sale", "purchase", "return", "stock_count"):
+    ORACLES[f"wf_{_et}"] = with_fx(
+        ["fx_facts"], f"SELECT {_TASK_COLS} FROM wf_tasks WHERE event_type = '{_et}'", [wf_tasks_sql("fx_facts")])
+
+ORACLES["wf_unsupported"] = with_fx(
+    ["fx_facts"], f"SELECT {_TASK_COLS} FROM wf_tasks WHERE event_type = 'inventory_audit'",
+    ["fx_facts_mixed AS (SELECT * REPLACE (CASE WHEN k % 17 = 0 THEN 'inventory_audit' ELSE event_type END AS event_type) FROM fx_facts)",
+     wf_tasks_sql("fx_facts_mixed")])
+
+ORACLES["event_status"] = with_fx(["fx_facts"], """
+SELECT e.id, e.store_id, e.event_type,
+       CAST(count(t.related_event_id) AS INTEGER) AS task_count,
+       CASE WHEN count(t.related_event_id) = 0 THEN 'verified' ELSE 'needs_verification' END AS status
+FROM fx_facts e LEFT JOIN wf_tasks t ON t.related_event_id = e.id
+GROUP BY e.id, e.store_id, e.event_type""", [wf_tasks_sql("fx_facts")])

@@ -34,3 +34,53 @@ def q_extract_line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_extract_line_facts_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     header, line, product = fx.fx_line_tables(spark, sf_dir)
     return facts_ops.extract_line_facts(header, line, product, facts_ops.fixture_plan(), limit=5)
+
+
+@register("nearest_observation")
+def q_nearest_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.operators.correlate import nearest_observation
+
+    return nearest_observation(fx.fx_evidence(spark, sf_dir), 15)
+
+
+def _wf_tasks(spark: SparkSession, sf_dir: str, event_type: str | None) -> DataFrame:
+    from storelens.operators.workflows import workflow_tasks
+
+    return workflow_tasks(fx.fx_facts(spark, sf_dir), event_type)
+
+
+@register("evaluate_workflows")
+def q_evaluate_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wf_tasks(spark, sf_dir, None)
+
+
+def _make_wf(et: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _wf_tasks(spark, sf_dir, et)
+
+    q.__name__ = f"q_wf_{et}"
+    return q
+
+
+for _et in ("receiving", "stock_movement", "damage", "expiry", "attendance", "sale", "purchase", "return", "stock_count"):
+    register(f"wf_{_et}")(_make_wf(_et))
+
+
+@register("wf_unsupported")
+def q_wf_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from storelens.operators.workflows import workflow_tasks
+
+    ev = fx.fx_facts(spark, sf_dir).withColumn(
+        "event_type", F.when(F.col("k") % 17 == 0, F.lit("inventory_audit")).otherwise(F.col("event_type"))
+    )
+    return workflow_tasks(ev, "unsupported")
+
+
+@register("event_status")
+def q_event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.operators.workflows import evaluate_workflows
+
+    events, _ = evaluate_workflows(fx.fx_facts(spark, sf_dir))
+    return events.select("id", "store_id", "event_type", "task_count", "status")
