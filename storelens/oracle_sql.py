@@ -111,12 +111,27 @@ fx_line_facts AS (
          o_orderdate, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, op
   FROM fx_line)"""
 
+FX["fx_all_evidence"] = """
+fx_all_evidence AS (
+  SELECT id, store_id, kind, source, confidence, occurred_at, payload, occurred_us FROM fx_evidence
+  UNION ALL
+  SELECT id, store_id, kind, source, confidence, occurred_at, payload,
+         epoch_us(try_cast(occurred_at AS TIMESTAMP)) AS occurred_us FROM fx_confirmation)"""
+
+FX["fx_links"] = """
+fx_links AS (
+  SELECT id AS event_id, unnest(ids) AS evidence_id, unnest(generate_series(0, len(ids) - 1)) AS position
+  FROM (SELECT id, CASE WHEN evidence_id IS NULL THEN ['evd_missing']
+                        ELSE [evidence_id, evidence_id, 'evd_missing'] END AS ids FROM fx_op_event))"""
+
 # Dependencies between fixture CTEs.
 FX_DEPS = {
     "fx_facts": ["fx_op_event"],
     "fx_task": ["fx_op_event"],
     "fx_confirmation": ["fx_op_event", "fx_task"],
     "fx_line_facts": ["fx_line"],
+    "fx_all_evidence": ["fx_evidence", "fx_confirmation"],
+    "fx_links": ["fx_op_event"],
 }
 
 

@@ -151,3 +151,186 @@ SELECT e.id, e.store_id, e.event_type,
        CASE WHEN count(t.related_event_id) = 0 THEN 'verified' ELSE 'needs_verification' END AS status
 FROM fx_facts e LEFT JOIN wf_tasks t ON t.related_event_id = e.id
 GROUP BY e.id, e.store_id, e.event_type""", [wf_tasks_sql("fx_facts")])
+
+ORACLES["evidence_counts"] = with_fx(["fx_evidence"], """
+SELECT store_id, coalesce(kind, 'unknown') AS kind, count(*) AS count FROM fx_evidence GROUP BY 1, 2""")
+
+ORACLES["source_freshness"] = with_fx(["fx_all_evidence"], """
+SELECT a.store_id, a.source, a.count, a.kinds, l.occurred_at AS latest_at
+FROM (SELECT store_id, coalesce(source, 'unknown') AS source, count(*) AS count,
+             string_agg(DISTINCT coalesce(kind, 'unknown'), ',' ORDER BY coalesce(kind, 'unknown')) AS kinds
+      FROM fx_all_evidence GROUP BY 1, 2) a
+LEFT JOIN (SELECT store_id, coalesce(source, 'unknown') AS source, occurred_at,
+                  row_number() OVER (PARTITION BY store_id, coalesce(source, 'unknown')
+                                     ORDER BY occurred_us DESC, occurred_at, id) AS rn
+           FROM fx_all_evidence WHERE occurred_us IS NOT NULL) l
+  ON l.store_id = a.store_id AND l.source = a.source AND l.rn = 1""")
+
+ORACLES["event_counts"] = with_fx(["fx_op_event"], """
+SELECT store_id, coalesce(event_type, 'unknown') AS event_type, count(*) AS count FROM fx_op_event GROUP BY 1, 2""")
+
+EVENT_STATUS_CTE = """
+ev_status AS (
+  SELECT e.id, e.store_id, e.event_type,
+         CASE WHEN count(t.related_event_id) = 0 THEN 'verified' ELSE 'needs_verification' END AS status
+  FROM fx_facts e LEFT JOIN wf_tasks t ON t.related_event_id = e.id GROUP BY e.id, e.store_id, e.event_type)"""
+
+ORACLES["event_status_counts"] = with_fx(["fx_facts"], """
+SELECT store_id, coalesce(status, 'unknown') AS status, count(*) AS count FROM ev_status GROUP BY 1, 2""",
+                                         [wf_tasks_sql("fx_facts"), EVENT_STATUS_CTE])
+
+ORACLES["open_tasks_by_role"] = with_fx(["fx_task"], """
+SELECT store_id, coalesce(role, 'unknown') AS role, count(*) AS count FROM fx_task WHERE status = 'open' GROUP BY 1, 2""")
+
+COVERAGE_CTE = """
+coverage AS (
+  SELECT b.store_id, b.system_records, b.observations,
+         coalesce(m.mc, 0) AS match_count,
+         coalesce(m.c, 0) AS corroborated_system_records,
+         b.system_records - coalesce(m.c, 0) AS uncorroborated_system_records,
+         b.observations - coalesce(m.lo, 0) AS unlinked_observations
+  FROM (SELECT store_id, CAST(sum(CASE WHEN kind = 'system_record' THEN 1 ELSE 0 END) AS BIGINT) AS system_records,
+               CAST(sum(CASE WHEN kind = 'observation' THEN 1 ELSE 0 END) AS BIGINT) AS observations
+        FROM fx_evidence GROUP BY store_id) b
+  LEFT JOIN (SELECT store_id, count(DISTINCT system_record_id) AS c, count(DISTINCT observation_id) AS lo,
+                    count(*) AS mc FROM nearest_obs GROUP BY store_id) m ON m.store_id = b.store_id)"""
+
+ORACLES["corroboration_coverage"] = with_fx(["fx_evidence"], "SELECT * FROM coverage", [NEAREST_OBS_CTE, COVERAGE_CTE])
+
+GAP_CTE = """
+gap AS (
+  SELECT store_id, g AS latest_source_gap_us,
+         (g // 36000000 + CASE WHEN 2 * (g - (g // 36000000) * 36000000) > 36000000
+                                 OR (2 * (g - (g // 36000000) * 36000000) = 36000000 AND (g // 36000000) % 2 = 1)
+                               THEN 1 ELSE 0 END) / 100.0::DOUBLE AS latest_source_gap_hours
+  FROM (SELECT store_id, abs(max(CASE WHEN kind = 'observation' THEN occurred_us END)
+                           - max(CASE WHEN kind = 'system_record' THEN occurred_us END)) AS g
+        FROM fx_evidence GROUP BY store_id))"""
+
+ORACLES["latest_source_gap"] = with_fx(["fx_evidence"], "SELECT * FROM gap", [GAP_CTE])
+
+
+def _counts_text(src: str, key: str, name: str, where: str = "") -> str:
+    return f"""{name} AS (
+  SELECT store_id, string_agg(k || '=' || CAST(n AS VARCHAR), ', ' ORDER BY k, n) AS {name}
+  FROM (SELECT store_id, coalesce({key}, 'unknown') AS k, count(*) AS n FROM {src} {where} GROUP BY 1, 2)
+  GROUP BY store_id)"""
+
+
+ORACLES["operational_snapshot"] = with_fx(["fx_evidence", "fx_facts", "fx_task"], """
+SELECT s.store_id,
+       CASE WHEN true THEN 'needs_attention' END AS state,
+       false AS ready, CAST(0 AS BIGINT) AS unresolved_questions,
+       coalesce(evc.evidence_counts, '') AS evidence_counts,
+       coalesce(etc.event_counts, '') AS event_counts,
+       coalesce(esc.event_status_counts, '') AS event_status_counts,
+       coalesce(otr.open_tasks_by_role, '') AS open_tasks_by_role,
+       coalesce(c.match_count, 0) AS match_count,
+       coalesce(c.corroborated_system_records, 0) AS corroborated_system_records,
+       coalesce(c.uncorroborated_system_records, 0) AS uncorroborated_system_records,
+       coalesce(c.unlinked_observations, 0) AS unlinked_observations,
+       g.latest_source_gap_hours,
+       15 AS window_minutes,
+       concat_ws(' | ', 'Store setup has 0 unresolved confirmation(s).',
+                 CASE WHEN c.uncorroborated_system_records > 0 THEN CAST(c.uncorroborated_system_records AS VARCHAR)
+                      || ' system record(s) have no camera observation within the configured time window.' END,
+                 CASE WHEN coalesce(otr.open_tasks_by_role, '') <> '' THEN 'Open verification work: ' || otr.open_tasks_by_role || '.' END
+       ) AS attention
+FROM (SELECT store_id FROM fx_evidence UNION SELECT store_id FROM fx_facts UNION SELECT store_id FROM fx_task) s
+LEFT JOIN coverage c ON c.store_id = s.store_id
+LEFT JOIN gap g ON g.store_id = s.store_id
+LEFT JOIN evc ON evc.store_id = s.store_id
+LEFT JOIN etc ON etc.store_id = s.store_id
+LEFT JOIN esc ON esc.store_id = s.store_id
+LEFT JOIN otr ON otr.store_id = s.store_id""", [
+    NEAREST_OBS_CTE, COVERAGE_CTE, GAP_CTE, wf_tasks_sql("fx_facts"), EVENT_STATUS_CTE,
+    _counts_text("fx_evidence", "kind", "evc"), _counts_text("fx_facts", "event_type", "etc"),
+    _counts_text("ev_status", "status", "esc"), _counts_text("fx_task", "role", "otr", "WHERE status = 'open'"),
+])
+# the CTE names above are short; rename output columns to the Spark names
+ORACLES["operational_snapshot"] = ORACLES["operational_snapshot"].replace(
+    "evidence_counts AS (", "evc AS (").replace("evc.evidence_counts", "evc.evc").replace(
+    "etc.event_counts", "etc.etc").replace("esc.event_status_counts", "esc.esc").replace(
+    "otr.open_tasks_by_role", "otr.otr")
+
+NEAREST_CAM_CTE = """
+nearest_cam AS (
+  SELECT * FROM (
+    SELECT e.id AS event_id, o.id AS camera_observation_id,
+           abs(e.occurred_us - o.occurred_us) AS camera_time_difference_us,
+           row_number() OVER (PARTITION BY e.id ORDER BY abs(e.occurred_us - o.occurred_us), o.occurred_us, o.id) AS rn
+    FROM fx_op_event e JOIN fx_all_evidence o
+      ON e.store_id = o.store_id AND o.kind = 'observation'
+     AND (lower(o.source) LIKE '%camera%' OR lower(o.source) LIKE '%cctv%' OR lower(o.source) LIKE '%vision%')
+     AND o.occurred_us BETWEEN e.occurred_us - 900000000 AND e.occurred_us + 900000000) WHERE rn = 1)"""
+
+ORACLES["nearest_camera"] = with_fx(["fx_op_event", "fx_all_evidence"], """
+SELECT e.id, e.store_id, n.camera_observation_id, n.camera_time_difference_us
+FROM fx_op_event e LEFT JOIN nearest_cam n ON n.event_id = e.id""", [NEAREST_CAM_CTE])
+
+ORACLES["link_evidence"] = with_fx(["fx_links", "fx_all_evidence"], """
+SELECT l.event_id, CAST(l.position AS INTEGER) AS position, l.evidence_id, v.kind
+FROM fx_links l JOIN fx_all_evidence v ON v.id = l.evidence_id""")
+
+ORACLES["check_evidence_refs"] = with_fx(["fx_op_event", "fx_all_evidence"], """
+SELECT e.id, e.store_id,
+       NOT EXISTS (SELECT 1 FROM (SELECT unnest(CASE WHEN e.n % 5 = 0 THEN
+                     (CASE WHEN e.evidence_id IS NULL THEN ['evd_missing'] ELSE [e.evidence_id, e.evidence_id, 'evd_missing'] END)
+                   ELSE (CASE WHEN e.evidence_id IS NULL THEN [] ELSE [e.evidence_id, e.evidence_id] END) END) AS x) u
+                   WHERE u.x NOT IN (SELECT id FROM fx_all_evidence)) AS refs_ok
+FROM fx_op_event e""")
+
+_YES = "('yes','true','confirmed','verified','received','complete')"
+_NO = "('no','false','rejected','mismatch','missing')"
+TASK_CONF_CTE = f"""
+task_conf AS (
+  SELECT t.id AS task_id, t.store_id, t.related_event_id, t.role, t.answer_evidence_id AS confirmation_evidence_id,
+         coalesce(CASE WHEN lower(trim(t.answer_confirmed)) IN {_YES} THEN true
+                       WHEN lower(trim(t.answer_confirmed)) IN {_NO} THEN false END,
+                  CASE WHEN lower(trim(t.answer_received)) IN {_YES} THEN true
+                       WHEN lower(trim(t.answer_received)) IN {_NO} THEN false END) AS confirmation,
+         t.occurred_at AS created_at
+  FROM fx_task t JOIN fx_all_evidence c ON c.id = t.answer_evidence_id AND c.kind = 'human_confirmation'
+  WHERE t.status = 'answered'
+    AND t.role IN ('data_entry_operator','deo','godown_staff','godown_incharge','shelfer','receiver'))"""
+
+ORACLES["task_confirmations"] = with_fx(["fx_task", "fx_all_evidence"], """
+SELECT task_id, store_id, related_event_id, role, confirmation_evidence_id, confirmation FROM task_conf""",
+                                        [TASK_CONF_CTE])
+
+PROOFS_CTE = """
+proofs AS (
+  SELECT e.id AS event_id, e.store_id, e.event_type, e.occurred_at,
+         CASE WHEN coalesce(v.neg, '') <> '' THEN 'disputed'
+              WHEN coalesce(s.ids, '') = '' THEN 'awaiting_system_record'
+              WHEN n.camera_observation_id IS NULL THEN 'awaiting_camera_context'
+              WHEN coalesce(v.pos, '') = '' THEN 'awaiting_human_confirmation'
+              ELSE 'evidence_complete' END AS state,
+         coalesce(s.ids, '') AS system_evidence_ids,
+         n.camera_observation_id, n.camera_time_difference_us,
+         coalesce(v.pos, '') AS positive_confirmation_task_ids,
+         coalesce(v.neg, '') AS negative_confirmation_task_ids,
+         concat_ws(',', CASE WHEN coalesce(s.ids, '') = '' THEN 'linked_system_record' END,
+                        CASE WHEN n.camera_observation_id IS NULL THEN 'nearby_camera_observation' END,
+                        CASE WHEN coalesce(v.pos, '') = '' THEN 'positive_role_routed_confirmation' END) AS missing,
+         coalesce(s.ids, '') <> '' AS database_record_present,
+         n.camera_observation_id IS NOT NULL AS camera_temporal_context_present,
+         coalesce(v.pos, '') <> '' AS role_routed_human_confirmation_present
+  FROM fx_op_event e
+  LEFT JOIN (SELECT l.event_id, string_agg(l.evidence_id, ',' ORDER BY l.position) AS ids
+             FROM fx_links l JOIN fx_all_evidence x ON x.id = l.evidence_id AND x.kind = 'system_record'
+             GROUP BY l.event_id) s ON s.event_id = e.id
+  LEFT JOIN (SELECT related_event_id,
+                    string_agg(CASE WHEN confirmation THEN task_id END, ',' ORDER BY created_at, task_id) AS pos,
+                    string_agg(CASE WHEN NOT confirmation THEN task_id END, ',' ORDER BY created_at, task_id) AS neg
+             FROM task_conf GROUP BY related_event_id) v ON v.related_event_id = e.id
+  LEFT JOIN nearest_cam n ON n.event_id = e.id)"""
+
+ORACLES["operation_proofs"] = with_fx(["fx_links", "fx_task", "fx_all_evidence"], "SELECT * FROM proofs",
+                                      [NEAREST_CAM_CTE, TASK_CONF_CTE, PROOFS_CTE])
+
+ORACLES["proof_state_counts"] = with_fx(["fx_links", "fx_task", "fx_all_evidence"], """
+SELECT c.store_id, c.state, c.count, coalesce(x.count, 0) AS complete_count
+FROM (SELECT store_id, state, count(*) AS count FROM proofs GROUP BY 1, 2) c
+LEFT JOIN (SELECT store_id, count(*) AS count FROM proofs WHERE state = 'evidence_complete' GROUP BY 1) x
+  ON x.store_id = c.store_id""", [NEAREST_CAM_CTE, TASK_CONF_CTE, PROOFS_CTE])

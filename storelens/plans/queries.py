@@ -84,3 +84,131 @@ def q_event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events, _ = evaluate_workflows(fx.fx_facts(spark, sf_dir))
     return events.select("id", "store_id", "event_type", "task_count", "status")
+
+
+def _events_with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storelens.operators.workflows import evaluate_workflows
+
+    events, _ = evaluate_workflows(fx.fx_facts(spark, sf_dir))
+    return events
+
+
+@register("evidence_counts")
+def q_evidence_counts(spark, sf_dir):
+    from storelens.operators.evidence import evidence_counts
+
+    return evidence_counts(fx.fx_evidence(spark, sf_dir))
+
+
+@register("source_freshness")
+def q_source_freshness(spark, sf_dir):
+    from storelens.operators.evidence import source_freshness
+
+    return source_freshness(fx.fx_all_evidence(spark, sf_dir))
+
+
+@register("event_counts")
+def q_event_counts(spark, sf_dir):
+    from storelens.operators.evidence import event_counts
+
+    return event_counts(fx.fx_op_event(spark, sf_dir))
+
+
+@register("event_status_counts")
+def q_event_status_counts(spark, sf_dir):
+    from storelens.operators.evidence import event_status_counts
+
+    return event_status_counts(_events_with_status(spark, sf_dir))
+
+
+@register("open_tasks_by_role")
+def q_open_tasks_by_role(spark, sf_dir):
+    from storelens.operators.evidence import open_tasks_by_role
+
+    return open_tasks_by_role(fx.fx_task(spark, sf_dir))
+
+
+@register("corroboration_coverage")
+def q_corroboration_coverage(spark, sf_dir):
+    from storelens.operators.correlate import nearest_observation
+    from storelens.operators.evidence import corroboration_coverage
+
+    ev = fx.fx_evidence(spark, sf_dir)
+    return corroboration_coverage(ev, nearest_observation(ev, 15))
+
+
+@register("latest_source_gap")
+def q_latest_source_gap(spark, sf_dir):
+    from storelens.operators.evidence import latest_source_gap
+
+    return latest_source_gap(fx.fx_evidence(spark, sf_dir))
+
+
+@register("operational_snapshot")
+def q_operational_snapshot(spark, sf_dir):
+    from storelens.plans.snapshot import operational_snapshot
+
+    return operational_snapshot(
+        fx.fx_evidence(spark, sf_dir), _events_with_status(spark, sf_dir), fx.fx_task(spark, sf_dir), None, 15
+    )
+
+
+@register("nearest_camera")
+def q_nearest_camera(spark, sf_dir):
+    from storelens.operators.correlate import nearest_camera
+
+    ev = fx.fx_op_event(spark, sf_dir).select("id", "store_id", "occurred_at")
+    return nearest_camera(ev, fx.fx_evidence(spark, sf_dir), 15).select(
+        "id", "store_id", "camera_observation_id", F_col_alias("camera_diff_us", "camera_time_difference_us"))
+
+
+def F_col_alias(c: str, a: str):
+    from pyspark.sql import functions as F
+
+    return F.col(c).alias(a)
+
+
+@register("link_evidence")
+def q_link_evidence(spark, sf_dir):
+    from storelens.operators.proofs import link_evidence
+
+    return link_evidence(fx.fx_op_event(spark, sf_dir), fx.fx_all_evidence(spark, sf_dir))
+
+
+@register("check_evidence_refs")
+def q_check_evidence_refs(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from storelens.operators.proofs import check_evidence_refs
+
+    events = fx.fx_op_event(spark, sf_dir).withColumn(
+        "evidence_ids",
+        F.when(F.col("n") % 5 == 0, F.col("evidence_ids")).otherwise(
+            F.filter("evidence_ids", lambda x: x != "evd_missing")),
+    )
+    ok, rejected = check_evidence_refs(events, fx.fx_all_evidence(spark, sf_dir))
+    return ok.select("id", "store_id", F.lit(True).alias("refs_ok")).unionByName(
+        rejected.select("id", "store_id", F.lit(False).alias("refs_ok")))
+
+
+@register("task_confirmations")
+def q_task_confirmations(spark, sf_dir):
+    from storelens.operators.proofs import task_confirmations
+
+    return task_confirmations(fx.fx_task(spark, sf_dir), fx.fx_all_evidence(spark, sf_dir)).drop("created_at")
+
+
+@register("operation_proofs")
+def q_operation_proofs(spark, sf_dir):
+    from storelens.operators.proofs import operation_proofs, proofs_report
+
+    return proofs_report(operation_proofs(
+        fx.fx_op_event(spark, sf_dir), fx.fx_all_evidence(spark, sf_dir), fx.fx_task(spark, sf_dir), 15))
+
+
+@register("proof_state_counts")
+def q_proof_state_counts(spark, sf_dir):
+    from storelens.operators.proofs import operation_proofs, proof_state_counts
+
+    return proof_state_counts(operation_proofs(
+        fx.fx_op_event(spark, sf_dir), fx.fx_all_evidence(spark, sf_dir), fx.fx_task(spark, sf_dir), 15))
