@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.cache import session_cached
 from storelens.functions.scalar import falsy_bool, falsy_num, falsy_str, fmt_number
 from storelens.schemas import EVENT_TYPES, FACT_TYPES
 
@@ -38,6 +39,7 @@ def _lit(x: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # Fixed rule texts (questions, reasons, summaries) of the nine workflows.
 # ---------------------------------------------------------------------------
+@session_cached
 def default_rules() -> dict[str, list[WorkflowRule]]:
     sent, received = _f("sent_quantity"), _f("received_quantity")
     expected, counted = _f("expected_quantity"), _f("counted_quantity")
@@ -167,7 +169,7 @@ def _rule_struct(rule: WorkflowRule) -> Column:
     )
 
 
-def _task_array(rules: dict[str, list[WorkflowRule]]) -> Column:
+def _task_array_for(rules: dict[str, list[WorkflowRule]]) -> Column:
     et = F.col("event_type")
     expr = None
     for etype, rs in rules.items():
@@ -176,6 +178,20 @@ def _task_array(rules: dict[str, list[WorkflowRule]]) -> Column:
     return expr.otherwise(F.array(_rule_struct(UNSUPPORTED)))
 
 
+@session_cached
+def _default_task_array() -> Column:
+    return _task_array_for(default_rules())
+
+
+def _task_array(rules) -> Column:
+    return _default_task_array() if rules is None else _task_array_for(rules)
+
+
+@session_cached
+def _summary_default() -> Column:
+    return _summary(F.size("_tasks"))
+
+
 def _summary(n: Column) -> Column:
     et = F.col("event_type")
     expr = None
@@ -198,12 +214,15 @@ def evaluate_workflows(
     status is ``verified`` without tasks, else ``needs_verification``; task ids
     are ``<event id>:<position>`` so reruns are idempotent.
     """
-    rules = rules or default_rules()
-    staged = conform_facts(events).withColumn("_tasks", _task_array(rules))
+    staged = conform_facts(events)
+    staged = staged.select(*staged.columns, _task_array(rules).alias("_tasks"))
     n = F.size("_tasks")
-    evaluated = staged.withColumn("task_count", n).withColumn(
-        "status", F.when(n == 0, F.lit("verified")).otherwise(F.lit("needs_verification"))
-    ).withColumn("summary", _summary(n))
+    evaluated = staged.select(
+        *staged.columns,
+        n.alias("task_count"),
+        F.when(n == 0, F.lit("verified")).otherwise(F.lit("needs_verification")).alias("status"),
+        _summary_default().alias("summary"),
+    )
     out_events = evaluated.drop("_tasks")
     tasks = evaluated.select(
         F.col("id").alias("related_event_id"), "store_id", "event_type", "occurred_at",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.functions.cache import session_cached
 from storelens.functions.scalar import clamp_confidence, iso_text
 from storelens.schemas import ANSWER_FIELDS
 from storelens.sources.tables import table
@@ -110,10 +111,15 @@ def facts_struct(k: Column, n: Column) -> Column:
     )
 
 
+@session_cached
+def _fx_facts_col() -> Column:
+    return facts_struct(F.col("k"), F.col("n"))
+
+
 def fx_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_op_event with its typed ``facts`` struct."""
     e = fx_op_event(spark, sf_dir)
-    return e.withColumn("facts", facts_struct(F.col("k"), F.col("n")))
+    return e.withColumn("facts", _fx_facts_col())
 
 
 def fx_task(spark: SparkSession, sf_dir: str) -> DataFrame:
