@@ -6,6 +6,7 @@ from storelens.oracle_sql import with_fx
 
 ORACLES: dict[str, str] = {}
 
+
 _LINE_FACT_COLS = """store_id, operation_type, external_id, occurred_at, kind, confidence, product_id,
        quantity, pack_size, destination_id, source_record_hash, mapping_verified"""
 
@@ -334,3 +335,7 @@ SELECT c.store_id, c.state, c.count, coalesce(x.count, 0) AS complete_count
 FROM (SELECT store_id, state, count(*) AS count FROM proofs GROUP BY 1, 2) c
 LEFT JOIN (SELECT store_id, count(*) AS count FROM proofs WHERE state = 'evidence_complete' GROUP BY 1) x
   ON x.store_id = c.store_id""", [NEAREST_CAM_CTE, TASK_CONF_CTE, PROOFS_CTE])
+
+from storelens.plans.oracles_catalog import CATALOG_ORACLES  # noqa: E402
+
+ORACLES.update(CATALOG_ORACLES)

@@ -212,3 +212,163 @@ def q_proof_state_counts(spark, sf_dir):
 
     return proof_state_counts(operation_proofs(
         fx.fx_op_event(spark, sf_dir), fx.fx_all_evidence(spark, sf_dir), fx.fx_task(spark, sf_dir), 15))
+
+
+# --- catalog -----------------------------------------------------------------
+
+def _cat(spark, sf_dir):
+    from storelens.sources import catalog_fixture as cf
+
+    return cf.fx_catalog(spark, sf_dir), cf.fx_stores(spark, sf_dir), cf.fx_contracts(spark, sf_dir)
+
+
+def _dbl(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, df[c].cast("double"))
+    return df
+
+
+def _mappings(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts = _cat(spark, sf_dir)
+    scores = co.score_mappings(cat)
+    return cat, stores, contracts, scores, co.apply_contracts(co.propose_mappings(scores, stores), contracts)
+
+
+@register("score_mappings")
+def q_score_mappings(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, _, _ = _cat(spark, sf_dir)
+    return _dbl(co.score_mappings(cat).select("store_id", "canonical_field", "path", "score"), "score")
+
+
+@register("mapping_candidates")
+def q_mapping_candidates(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, _, _ = _cat(spark, sf_dir)
+    return _dbl(co.mapping_candidates(co.score_mappings(cat)).select(
+        "store_id", "canonical_field", "rank", "path", "score"), "score")
+
+
+_MAP_COLS = ("store_id", "canonical_field", "source_path", "confidence", "reasoning", "verified")
+
+
+@register("propose_mappings")
+def q_propose_mappings(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, _ = _cat(spark, sf_dir)
+    return _dbl(co.propose_mappings(co.score_mappings(cat), stores).select(*_MAP_COLS), "confidence")
+
+
+@register("apply_contracts")
+def q_apply_contracts(spark, sf_dir):
+    return _dbl(_mappings(spark, sf_dir)[4].select(*_MAP_COLS), "confidence")
+
+
+def _questions(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
+    return mappings, co.setup_questions(mappings, scores, stores), stores
+
+
+@register("setup_questions")
+def q_setup_questions(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    _, q, _ = _questions(spark, sf_dir)
+    return q.select("store_id", "key", "prompt", "reason", F.array_join("options", "|").alias("options"), "resolved")
+
+
+@register("readiness")
+def q_readiness(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    mappings, q, stores = _questions(spark, sf_dir)
+    return co.readiness(mappings, q, stores)
+
+
+def _role_scores(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts = _cat(spark, sf_dir)
+    return cat, stores, contracts, co.score_table_roles(cat)
+
+
+@register("score_table_roles")
+def q_score_table_roles(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    rs = _role_scores(spark, sf_dir)[3]
+    return _dbl(rs.select("store_id", "role", "source_path", "confidence",
+                          F.array_join("evidence", " | ").alias("evidence"), "row_count"), "confidence")
+
+
+@register("role_candidates")
+def q_role_candidates(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    rs = _role_scores(spark, sf_dir)[3]
+    return _dbl(co.role_candidates(rs).select("store_id", "role", "rank", "source_path", "confidence", "row_count"),
+                "confidence")
+
+
+def _inferred(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts, rs = _role_scores(spark, sf_dir)
+    return co.infer_relationships(co.role_candidates(rs), cat)
+
+
+@register("infer_relationships")
+def q_infer_relationships(spark, sf_dir):
+    return _inferred(spark, sf_dir)
+
+
+@register("all_relationships")
+def q_all_relationships(spark, sf_dir):
+    from storelens.operators import catalog as co
+    from storelens.sources import catalog_fixture as cf
+
+    return co.all_relationships(cf.fx_declared_relationships(spark, sf_dir).drop("kind").withColumn(
+        "kind", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("declared_foreign_key")), _inferred(spark, sf_dir))
+
+
+@register("capabilities")
+def q_capabilities(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts, rs = _role_scores(spark, sf_dir)
+    return co.capabilities(co.role_candidates(rs), contracts, stores)
+
+
+@register("schema_totals")
+def q_schema_totals(spark, sf_dir):
+    from storelens.operators import catalog as co
+    from storelens.sources import catalog_fixture as cf
+
+    cat = cf.fx_catalog(spark, sf_dir)
+    rels = co.all_relationships(cf.fx_declared_relationships(spark, sf_dir), _inferred(spark, sf_dir))
+    return co.schema_totals(cat, rels)
+
+
+@register("rank_databases")
+def q_rank_databases(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts, rs = _role_scores(spark, sf_dir)
+    cat = cat.join(stores.select("store_id", "server"), "store_id")
+    return co.rank_databases(rs, cat, "server")
+
+
+@register("mapping_targets")
+def q_mapping_targets(spark, sf_dir):
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
+    return co.mapping_targets(mappings, cat).select(
+        "store_id", "canonical_field", "source_path", "table_path", "column", "type")
