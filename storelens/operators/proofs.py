@@ -56,7 +56,7 @@ def task_confirmations(tasks: DataFrame, evidence: DataFrame) -> DataFrame:
         "role",
         F.col("answer").getField("evidence_id").alias("confirmation_evidence_id"),
         confirmation_value(F.col("answer")).alias("confirmation"),
-        F.col("occurred_at").alias("created_at"),
+        F.col("created_at"),
     )
 
 

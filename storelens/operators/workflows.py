@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.cache import session_cached
 from storelens.functions.scalar import falsy_bool, falsy_num, falsy_str, fmt_number
-from storelens.schemas import EVENT_TYPES, FACT_TYPES
+from storelens.schemas import ANSWER, EVENT_TYPES, FACT_TYPES
 
 
 @dataclass(frozen=True)
@@ -135,8 +135,8 @@ SUMMARIES = {
     "return": ("Return approved", "Return awaits approval"),
     "stock_count": ("Stock count reconciled", "Stock count needs {n} verification step(s)"),
 }
-UNSUPPORTED = WorkflowRule(F.lit(True), "manager", "Review this unsupported operational event.",
-                           "No approved workflow is configured for this event type.")
+UNSUPPORTED_TEXT = ("manager", "Review this unsupported operational event.",
+                    "No approved workflow is configured for this event type.")
 UNSUPPORTED_SUMMARY = "Unsupported event routed to manager"
 # ---------------------------------------------------------------------------
 
@@ -175,7 +175,7 @@ def _task_array_for(rules: dict[str, list[WorkflowRule]]) -> Column:
     for etype, rs in rules.items():
         arr = F.filter(F.array(*[_rule_struct(r) for r in rs]), lambda x: x.isNotNull())
         expr = F.when(et == etype, arr) if expr is None else expr.when(et == etype, arr)
-    return expr.otherwise(F.array(_rule_struct(UNSUPPORTED)))
+    return expr.otherwise(F.array(_rule_struct(WorkflowRule(F.lit(True), *UNSUPPORTED_TEXT))))
 
 
 @session_cached
@@ -235,6 +235,7 @@ def evaluate_workflows(
         "position",
         *[F.col("t").getField(f).alias(f) for f in TASK_FIELDS],
         F.lit("open").alias("status"),
+        F.lit(None).cast(ANSWER).alias("answer"),
         F.col("occurred_at").alias("created_at"),
     )
     return out_events, tasks
