@@ -339,3 +339,54 @@ LEFT JOIN (SELECT store_id, count(*) AS count FROM proofs WHERE state = 'evidenc
 from storelens.plans.oracles_catalog import CATALOG_ORACLES  # noqa: E402
 
 ORACLES.update(CATALOG_ORACLES)
+
+ITEMS_CTES = [
+    """fx_items AS (
+  SELECT store_id, 'sqlserver_operational_facts' AS connector, external_id, occurred_at, kind, confidence,
+         operation_type, product_id, quantity, pack_size, destination_id, source_record_hash, mapping_verified
+  FROM fx_line_facts)""",
+    """prior_ledger AS (
+  SELECT DISTINCT store_id, connector, trim(external_id) AS external_id FROM fx_items
+  WHERE occurred_at < '1997-01-01' AND trim(external_id) <> '')""",
+    """new_items AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY store_id, connector, external_id
+      ORDER BY occurred_at NULLS FIRST, confidence NULLS FIRST, destination_id NULLS FIRST, kind NULLS FIRST,
+               mapping_verified NULLS FIRST, operation_type NULLS FIRST, pack_size NULLS FIRST,
+               product_id NULLS FIRST, quantity NULLS FIRST, source_record_hash NULLS FIRST) AS rn
+    FROM (SELECT * REPLACE (trim(external_id) AS external_id) FROM fx_items) WHERE external_id <> '') d
+  WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM prior_ledger l WHERE l.store_id = d.store_id
+                               AND l.connector = d.connector AND l.external_id = d.external_id))""",
+    """norm_evidence AS (
+  SELECT 'evd_' || substr(sha256(store_id || '|' || connector || '|' || external_id), 1, 16) AS id,
+         store_id, coalesce(nullif(trim(kind), ''), 'observation') AS kind, connector AS source,
+         least(greatest(coalesce(CAST(confidence AS DOUBLE), 0.5), 0.0), 1.0) AS confidence,
+         coalesce(nullif(trim(occurred_at), ''), '2026-01-01T00:00:00') AS occurred_at, external_id,
+         operation_type, product_id, quantity, pack_size, destination_id, source_record_hash, mapping_verified
+  FROM new_items
+  WHERE coalesce(nullif(trim(kind), ''), 'observation') IN ('observation','system_record','human_confirmation','manager_decision'))""",
+    """cycle_events AS (
+  SELECT 'evt_' || substr(sha256(id), 1, 16) AS id, store_id,
+         CASE WHEN operation_type = 'purchase_line' THEN 'receiving' ELSE 'sale' END AS event_type,
+         occurred_at, id AS evidence_id,
+         coalesce(mapping_verified, false) AS mapping_verified, product_id, CAST(quantity AS DOUBLE) AS quantity,
+         CASE WHEN operation_type = 'purchase_line' THEN CAST(pack_size AS DOUBLE) END AS pack_size,
+         CASE WHEN operation_type = 'purchase_line' THEN destination_id END AS destination_id,
+         CASE WHEN operation_type = 'purchase_line' THEN false END AS receiver_confirmed,
+         source_record_hash,
+         NULL::DOUBLE AS cartons, NULL::VARCHAR AS destination_type, NULL::VARCHAR AS from_location,
+         NULL::VARCHAR AS to_location, NULL::DOUBLE AS sent_quantity, NULL::DOUBLE AS received_quantity,
+         NULL::BOOLEAN AS human_confirmed, NULL::VARCHAR AS staff_id, NULL::VARCHAR AS badge_id,
+         NULL::VARCHAR AS source, NULL::DOUBLE AS stock_after, NULL::BOOLEAN AS approved,
+         NULL::DOUBLE AS expected_quantity, NULL::DOUBLE AS counted_quantity
+  FROM norm_evidence WHERE operation_type IN ('purchase_line', 'sale_line'))""",
+]
+
+ORACLES["prime_ledger"] = with_fx(["fx_line_facts"], "SELECT * FROM prior_ledger", ITEMS_CTES[:2])
+ORACLES["new_evidence"] = with_fx(["fx_line_facts"], "SELECT * FROM new_items", ITEMS_CTES[:3])
+ORACLES["normalize_evidence"] = with_fx(["fx_line_facts"], "SELECT * FROM norm_evidence", ITEMS_CTES[:4])
+ORACLES["facts_to_events"] = with_fx(["fx_line_facts"], """
+SELECT id, store_id, event_type, occurred_at, evidence_id, mapping_verified, product_id, quantity, pack_size,
+       destination_id, receiver_confirmed, source_record_hash FROM cycle_events""", ITEMS_CTES)
+ORACLES["operational_cycle"] = with_fx(["fx_line_facts"], f"SELECT {_TASK_COLS} FROM wf_tasks",
+                                       ITEMS_CTES + [wf_tasks_sql("cycle_events")])

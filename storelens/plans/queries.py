@@ -372,3 +372,71 @@ def q_mapping_targets(spark, sf_dir):
     cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
     return co.mapping_targets(mappings, cat).select(
         "store_id", "canonical_field", "source_path", "table_path", "column", "type")
+
+
+# --- ingestion ---------------------------------------------------------------
+PRIOR_POLL_BEFORE = "1997-01-01"
+CYCLE_NOW = "2026-01-01T00:00:00"
+
+
+def _items(spark, sf_dir):
+    from storelens.operators.ingest import line_fact_items
+
+    header, line, product = fx.fx_line_tables(spark, sf_dir)
+    return line_fact_items(facts_ops.extract_line_facts(header, line, product, facts_ops.fixture_plan()))
+
+
+def _prior_ledger(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from storelens.operators.ingest import prime_ledger
+
+    items = _items(spark, sf_dir)
+    return prime_ledger(items.where(F.col("occurred_at") < PRIOR_POLL_BEFORE), None)[1]
+
+
+@register("prime_ledger")
+def q_prime_ledger(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from storelens.operators.ingest import prime_ledger
+
+    items = _items(spark, sf_dir)
+    return prime_ledger(items.where(F.col("occurred_at") < PRIOR_POLL_BEFORE), None)[0]
+
+
+@register("new_evidence")
+def q_new_evidence(spark, sf_dir):
+    from storelens.operators.ingest import new_evidence
+
+    return new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
+
+
+@register("normalize_evidence")
+def q_normalize_evidence(spark, sf_dir):
+    from storelens.operators.ingest import new_evidence, normalize_evidence
+
+    fresh = new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
+    return normalize_evidence(fresh, CYCLE_NOW)[0]
+
+
+@register("facts_to_events")
+def q_facts_to_events(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from storelens.operators.ingest import facts_to_events, new_evidence, normalize_evidence
+
+    fresh = new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
+    ev = facts_to_events(normalize_evidence(fresh, CYCLE_NOW)[0])
+    return ev.select("id", "store_id", "event_type", "occurred_at", F.col("evidence_ids")[0].alias("evidence_id"),
+                     *[F.col("facts").getField(f).alias(f) for f in (
+                         "mapping_verified", "product_id", "quantity", "pack_size", "destination_id",
+                         "receiver_confirmed", "source_record_hash")])
+
+
+@register("operational_cycle")
+def q_operational_cycle(spark, sf_dir):
+    from storelens.operators.ingest import operational_cycle
+
+    out = operational_cycle(_items(spark, sf_dir), _prior_ledger(spark, sf_dir), CYCLE_NOW)
+    return out["tasks"].drop("answer")
