@@ -390,3 +390,102 @@ SELECT id, store_id, event_type, occurred_at, evidence_id, mapping_verified, pro
        destination_id, receiver_confirmed, source_record_hash FROM cycle_events""", ITEMS_CTES)
 ORACLES["operational_cycle"] = with_fx(["fx_line_facts"], f"SELECT {_TASK_COLS} FROM wf_tasks",
                                        ITEMS_CTES + [wf_tasks_sql("cycle_events")])
+
+
+def ratio4_sql(n: str, d: str) -> str:
+    q = f"((10000 * ({n})) // ({d}))"
+    rem = f"(10000 * ({n}) - {q} * ({d}))"
+    return (f"(CASE WHEN ({d}) IS NULL OR ({d}) = 0 THEN 0.0::DOUBLE ELSE ({q} + CASE WHEN 2 * {rem} > ({d}) "
+            f"OR (2 * {rem} = ({d}) AND {q} % 2 = 1) THEN 1 ELSE 0 END) / 10000.0::DOUBLE END)")
+
+
+def _identity_sql(canonical, path, col, table, role=0.96, mapc=0.98, group=None):
+    g = f"{group}, " if group else ""
+    nn, u = ratio4_sql("nn", "r"), ratio4_sql("d", "nn")
+    passed = f"(r >= 10 AND {nn} >= 0.98 AND {u} >= 0.98 AND {role} >= 0.90 AND {mapc} >= 0.95)"
+    return f"""SELECT {g}'{canonical}' AS canonical_field, '{path}' AS source_path, {passed} AS passed,
+  CASE WHEN {passed} THEN 0.99 ELSE {mapc} END::DOUBLE AS confidence, 'aggregate_identity_shape' AS basis,
+  r AS row_count, {nn} AS nonnull_ratio, {u} AS uniqueness_ratio, NULL::DOUBLE AS positive_ratio,
+  NULL::DOUBLE AS negative_ratio, NULL::BIGINT AS distinct_count, {role}::DOUBLE AS role_confidence,
+  NULL::BOOLEAN AS numeric_type
+FROM (SELECT {g}count(*) AS r, count({col}) AS nn, count(DISTINCT {col}) AS d FROM {table} {'GROUP BY ' + group if group else ''})"""
+
+
+def _numeric_sql(canonical, path, col, table, role=0.96, mapc=0.98):
+    nn, pos, neg = ratio4_sql("nn", "r"), ratio4_sql("p", "nn"), ratio4_sql("n", "nn")
+    if canonical == "purchase.quantity":
+        passed = f"(r >= 10 AND {nn} >= 0.98 AND {pos} >= 0.90 AND {neg} <= 0.01 AND {role} >= 0.90 AND {mapc} >= 0.95)"
+    else:
+        passed = f"(r >= 20 AND {nn} >= 0.50 AND {pos} >= 0.50 AND {neg} = 0.0 AND {role} >= 0.80 AND {mapc} >= 0.95)"
+    return f"""SELECT '{canonical}' AS canonical_field, '{path}' AS source_path, {passed} AS passed,
+  CASE WHEN {passed} THEN 0.99 ELSE {mapc} END::DOUBLE AS confidence, 'aggregate_numeric_shape' AS basis,
+  r AS row_count, {nn} AS nonnull_ratio, NULL::DOUBLE AS uniqueness_ratio, {pos} AS positive_ratio,
+  {neg} AS negative_ratio, NULL::BIGINT AS distinct_count, {role}::DOUBLE AS role_confidence, true AS numeric_type
+FROM (SELECT count(*) AS r, count({col}) AS nn, CAST(sum(CASE WHEN {col} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS p,
+             CAST(sum(CASE WHEN {col} < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM {table})"""
+
+
+def _nonnumeric_sql(canonical, path, mapc=0.98):
+    return f"""SELECT '{canonical}' AS canonical_field, '{path}' AS source_path, false AS passed, {mapc}::DOUBLE AS confidence,
+  'aggregate_numeric_shape' AS basis, NULL::BIGINT AS row_count, NULL::DOUBLE AS nonnull_ratio,
+  NULL::DOUBLE AS uniqueness_ratio, NULL::DOUBLE AS positive_ratio, NULL::DOUBLE AS negative_ratio,
+  NULL::BIGINT AS distinct_count, NULL::DOUBLE AS role_confidence, false AS numeric_type"""
+
+
+def _destination_sql(canonical, path, col, table, role=0.96, mapc=0.98):
+    nn = ratio4_sql("nn", "r")
+    passed = f"(r >= 10 AND {nn} >= 0.90 AND d >= 2 AND {role} >= 0.90 AND {mapc} >= 0.95)"
+    return f"""SELECT '{canonical}' AS canonical_field, '{path}' AS source_path, {passed} AS passed,
+  CASE WHEN {passed} THEN 0.99 ELSE {mapc} END::DOUBLE AS confidence, 'aggregate_destination_shape' AS basis,
+  r AS row_count, {nn} AS nonnull_ratio, NULL::DOUBLE AS uniqueness_ratio, NULL::DOUBLE AS positive_ratio,
+  NULL::DOUBLE AS negative_ratio, d AS distinct_count, {role}::DOUBLE AS role_confidence, NULL::BOOLEAN AS numeric_type
+FROM (SELECT count(*) AS r, count({col}) AS nn, count(DISTINCT {col}) AS d FROM {table})"""
+
+
+ORACLES["identity_shape"] = _identity_sql("product.identity", "tpch.part.p_partkey", "p_partkey", "part")
+ORACLES["identity_shape_by_store"] = _identity_sql(
+    "product.identity", "tpch.lineitem.l_orderkey", "l_orderkey",
+    "(SELECT l.l_orderkey, 'store_' || CAST(o.o_custkey % 10 AS VARCHAR) AS store_id FROM lineitem l "
+    "JOIN orders o ON l.l_orderkey = o.o_orderkey)", group="store_id")
+ORACLES["numeric_shape"] = "\nUNION ALL\n".join([
+    _numeric_sql("purchase.quantity", "tpch.lineitem.l_quantity", "l_quantity", "lineitem"),
+    _numeric_sql("product.pack_size", "tpch.part.p_size", "p_size", "part"),
+    _nonnumeric_sql("product.pack_size", "tpch.part.p_type"),
+    _numeric_sql("product.pack_size", "tpch.customer.c_acctbal", "c_acctbal", "customer"),
+])
+ORACLES["destination_shape"] = _destination_sql("movement.destination", "tpch.lineitem.l_suppkey", "l_suppkey", "lineitem")
+PROFILE_SQL = "\nUNION ALL\n".join([
+    _identity_sql("product.identity", "tpch.part.p_partkey", "p_partkey", "part"),
+    _numeric_sql("purchase.quantity", "tpch.lineitem.l_quantity", "l_quantity", "lineitem"),
+    _numeric_sql("product.pack_size", "tpch.part.p_size", "p_size", "part"),
+    _destination_sql("movement.destination", "tpch.lineitem.l_suppkey", "l_suppkey", "lineitem"),
+    """SELECT 'movement.destination', 'tpch.transfers.to_location', false, 0.98::DOUBLE, 'aggregate_validation_failed',
+  NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, NULL::DOUBLE, NULL::BOOLEAN""",
+])
+ORACLES["profile_mappings"] = PROFILE_SQL
+ORACLES["promote_mappings"] = f"""
+WITH reports AS ({PROFILE_SQL}),
+m(canonical_field, source_path, confidence, reasoning, verified) AS (VALUES
+  ('product.identity', 'tpch.part.p_partkey', 0.98::DOUBLE, 'lexical', false),
+  ('purchase.quantity', 'tpch.lineitem.l_quantity', 0.98::DOUBLE, 'lexical', false),
+  ('product.pack_size', 'tpch.part.p_size', 0.66::DOUBLE, 'lexical', false),
+  ('movement.destination', 'tpch.lineitem.l_suppkey', 0.98::DOUBLE, 'lexical', false),
+  ('staff.role', 'tpch.customer.c_mktsegment', 0.86::DOUBLE, 'lexical', false))
+SELECT m.canonical_field, m.source_path,
+       CASE WHEN r.passed THEN greatest(m.confidence, r.confidence) ELSE m.confidence END AS confidence,
+       CASE WHEN r.passed THEN 'Verified autonomously from aggregate SQL shape checks; no business row values or personal fields were read into memory.' ELSE m.reasoning END AS reasoning,
+       coalesce(r.passed, false) OR m.verified AS verified,
+       CASE WHEN r.passed THEN r.basis END AS verification_basis
+FROM m LEFT JOIN (SELECT * FROM reports WHERE passed) r
+  ON r.canonical_field = m.canonical_field AND r.source_path = m.source_path"""
+ORACLES["staff_role_counts"] = """
+SELECT 'store_' || CAST(c_nationkey AS VARCHAR) AS store_id,
+       coalesce(nullif(CASE translate(lower(trim(coalesce(c_mktsegment, ''))), '- ', '__')
+         WHEN 'staff' THEN 'shelfer' WHEN 'shelf_staff' THEN 'shelfer' WHEN 'shelf' THEN 'shelfer'
+         WHEN 'godown' THEN 'godown_incharge' WHEN 'data_entry_operator' THEN 'deo'
+         WHEN 'product_assistance' THEN 'product_manager' WHEN 'product_assistant' THEN 'product_manager'
+         WHEN 'productmanager' THEN 'product_manager' WHEN 'purchase_accounts' THEN 'purchase_incharge'
+         WHEN 'purchase_account' THEN 'purchase_incharge'
+         ELSE translate(lower(trim(coalesce(c_mktsegment, ''))), '- ', '__') END, ''), 'unassigned') AS role,
+       count(*) AS count
+FROM customer GROUP BY 1, 2"""

@@ -440,3 +440,97 @@ def q_operational_cycle(spark, sf_dir):
 
     out = operational_cycle(_items(spark, sf_dir), _prior_ledger(spark, sf_dir), CYCLE_NOW)
     return out["tasks"].drop("answer")
+
+
+# --- shape checks ------------------------------------------------------------
+
+def _targets():
+    from storelens.operators.profile import ShapeTarget
+
+    return {
+        "identity": ShapeTarget("product.identity", "tpch.part.p_partkey", "p_partkey", "identity", 0.96, 0.98),
+        "quantity": ShapeTarget("purchase.quantity", "tpch.lineitem.l_quantity", "l_quantity", "numeric", 0.96, 0.98),
+        "pack": ShapeTarget("product.pack_size", "tpch.part.p_size", "p_size", "numeric", 0.96, 0.98),
+        "acctbal": ShapeTarget("product.pack_size", "tpch.customer.c_acctbal", "c_acctbal", "numeric", 0.96, 0.98),
+        "ptype": ShapeTarget("product.pack_size", "tpch.part.p_type", "p_type", "numeric", 0.96, 0.98, "nvarchar"),
+        "destination": ShapeTarget("movement.destination", "tpch.lineitem.l_suppkey", "l_suppkey", "destination", 0.96, 0.98),
+    }
+
+
+def _tables(spark, sf_dir):
+    from storelens.sources.tables import table
+
+    return {f"tpch.{n}": table(spark, sf_dir, n) for n in ("part", "lineitem", "customer")}
+
+
+@register("identity_shape")
+def q_identity_shape(spark, sf_dir):
+    from storelens.operators.profile import profile_table
+
+    return profile_table(_tables(spark, sf_dir)["tpch.part"], [_targets()["identity"]])
+
+
+@register("identity_shape_by_store")
+def q_identity_shape_by_store(spark, sf_dir):
+    from storelens.operators.profile import ShapeTarget, profile_table
+
+    header, line, _ = fx.fx_line_tables(spark, sf_dir)
+    lines = line.join(header, line["l_orderkey"] == header["o_orderkey"])
+    t = ShapeTarget("product.identity", "tpch.lineitem.l_orderkey", "l_orderkey", "identity", 0.96, 0.98)
+    return profile_table(lines, [t], by=["store_id"])
+
+
+@register("numeric_shape")
+def q_numeric_shape(spark, sf_dir):
+    from storelens.operators.profile import profile_table
+
+    tb, tg = _tables(spark, sf_dir), _targets()
+    return (profile_table(tb["tpch.lineitem"], [tg["quantity"]])
+            .unionByName(profile_table(tb["tpch.part"], [tg["pack"], tg["ptype"]]))
+            .unionByName(profile_table(tb["tpch.customer"], [tg["acctbal"]])))
+
+
+@register("destination_shape")
+def q_destination_shape(spark, sf_dir):
+    from storelens.operators.profile import profile_table
+
+    return profile_table(_tables(spark, sf_dir)["tpch.lineitem"], [_targets()["destination"]])
+
+
+@register("profile_mappings")
+def q_profile_mappings(spark, sf_dir):
+    from storelens.operators.profile import ShapeTarget, profile_mappings
+
+    tg = _targets()
+    ghost = ShapeTarget("movement.destination", "tpch.transfers.to_location", "to_location", "destination", 0.96, 0.98)
+    return profile_mappings(_tables(spark, sf_dir), [tg["identity"], tg["quantity"], tg["pack"], tg["destination"], ghost])
+
+
+PROMOTE_MAPPINGS = [
+    ("product.identity", "tpch.part.p_partkey", 0.98, "lexical", False),
+    ("purchase.quantity", "tpch.lineitem.l_quantity", 0.98, "lexical", False),
+    ("product.pack_size", "tpch.part.p_size", 0.66, "lexical", False),
+    ("movement.destination", "tpch.lineitem.l_suppkey", 0.98, "lexical", False),
+    ("staff.role", "tpch.customer.c_mktsegment", 0.86, "lexical", False),
+]
+
+
+@register("promote_mappings")
+def q_promote_mappings(spark, sf_dir):
+    from storelens.operators.profile import promote_mappings
+
+    m = spark.createDataFrame(PROMOTE_MAPPINGS, "canonical_field string, source_path string, confidence double, "
+                                                "reasoning string, verified boolean")
+    return promote_mappings(m, q_profile_mappings(spark, sf_dir))
+
+
+@register("staff_role_counts")
+def q_staff_role_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from storelens.operators.profile import staff_role_counts
+    from storelens.sources.tables import table
+
+    c = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("store_"), F.col("c_nationkey").cast("string")).alias("store_id"), "c_mktsegment")
+    return staff_role_counts(c, "c_mktsegment", by=["store_id"])
