@@ -1,6 +1,6 @@
 """Import every query and oracle module so the registries are complete."""
 
-from storelens.plans import queries_functions  # noqa: F401
+from storelens.plans import queries_functions, queries_sources  # noqa: F401
 from storelens.plans.oracles import ORACLES  # noqa: F401
 from storelens.plans.queries import QUERIES  # noqa: F401
-from storelens.plans import oracles_functions  # noqa: F401
+from storelens.plans import oracles_functions, oracles_sources  # noqa: F401

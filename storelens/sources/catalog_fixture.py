@@ -70,6 +70,10 @@ TEMPLATE_COLUMNS = [
     (2, "store_sql", "sqlserver", "dbo.Staff", "StaffRole", "nvarchar", False),
     (2, "store_sql", "sqlserver", "dbo.CameraChannels", "Channel", "int", True),
     (2, "store_sql", "sqlserver", "dbo.CameraChannels", "Zone", "nvarchar", False),
+    (2, "store_sql", "sqlserver", "dbo.CameraEvents", "EventId", "int", True),
+    (2, "store_sql", "sqlserver", "dbo.CameraEvents", "Channel", "int", False),
+    (2, "store_sql", "sqlserver", "dbo.CameraEvents", "StartedAt", "datetime", False),
+    (2, "store_sql", "sqlserver", "dbo.CameraEvents", "SnapshotPath", "nvarchar", False),
 ]
 # Declared foreign keys of template 2: (from_table, from_column, to_table, to_column)
 TEMPLATE_FKS = [
