@@ -273,3 +273,108 @@ FROM (
 CATALOG_ORACLES["mapping_targets"] = _q("""
 SELECT m.store_id, m.canonical_field, m.source_path, c.table_path, c."column", c.type
 FROM mappings m JOIN fx_cat c ON c.store_id = m.store_id AND c.path = m.source_path WHERE NOT m.verified""")
+
+
+def _sig_values() -> str:
+    rows = []
+    for op in ("purchase", "sale"):
+        sig = {
+            "date": ((f"{op}date", "transactiondate", "businessdate", "date"), ("date", "createdat", "occurredat")),
+            "time": ((f"{op}time", "transactiontime", "time"), ("time",)),
+            "quantity": (("qty", "quantity", "soldqty", "receivedqty"), ("quantity",)),
+            "line_id": ((f"{op}dtlid", "lineid", "detailid"), ("dtlid", "lineid")),
+            "destination": (("destinationid", "locationid", "godownid", "gowdownid", "warehouseid", "shelfid"),
+                            ("destination", "location", "godown", "gowdown", "warehouse", "shelf")),
+        }
+        for name, (ex, co) in sig.items():
+            rows.append(f"({_s(op)}, {_s(name)}, {_list(ex)}, {_list(co)})")
+    return ",\n".join(rows)
+
+
+CATALOG_ORACLES["resolve_fact_plan"] = _q(f""",
+ops AS (SELECT store_id, op FROM fx_stores CROSS JOIN (VALUES ('purchase'), ('sale')) o(op)),
+rp AS (SELECT store_id, role, arg_min(source_path, rank) AS path, arg_min(CAST(confidence AS DOUBLE), rank) AS conf
+       FROM role_cands WHERE confidence >= 0.80 AND coalesce(row_count, 0) > 0 GROUP BY 1, 2),
+base AS (
+  SELECT o.store_id, o.op, h.path AS header_table, h.conf AS header_confidence, l.path AS line_table,
+         l.conf AS line_confidence, p.path AS product_table, p.conf AS product_confidence
+  FROM ops o LEFT JOIN rp h ON h.store_id = o.store_id AND h.role = o.op || '_header'
+             LEFT JOIN rp l ON l.store_id = o.store_id AND l.role = o.op || '_line'
+             LEFT JOIN rp p ON p.store_id = o.store_id AND p.role = 'product_catalog'),
+sig(op, name, exact, cont) AS (VALUES {_sig_values()}),
+sigcols AS (
+  SELECT * FROM (
+    SELECT c.store_id, c.table_path, s.op, s.name, c."column",
+           row_number() OVER (PARTITION BY c.store_id, c.table_path, s.op, s.name
+             ORDER BY CASE WHEN list_position(s.exact, c.normalized) IS NOT NULL THEN 0 ELSE 1 END,
+                      coalesce(list_position(s.exact, c.normalized), 0), c.column_pos) AS rn
+    FROM fx_cat c CROSS JOIN sig s
+    WHERE list_position(s.exact, c.normalized) IS NOT NULL
+       OR len(list_filter(s.cont, lambda t: contains(c.normalized, t))) > 0) WHERE rn = 1),
+rels AS (
+  SELECT store_id, source || '.' || from_table AS from_table, from_column, source || '.' || to_table AS to_table,
+         to_column, 1.0::DOUBLE AS confidence FROM fx_fks
+  UNION ALL SELECT store_id, from_table, from_column, to_table, to_column, confidence FROM inferred),
+rr AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY confidence DESC, from_table, from_column, to_table,
+                                    to_column) AS rk FROM rels WHERE confidence >= 0.80),
+dir AS (SELECT store_id, from_table AS a, to_table AS b, from_column AS a_col, to_column AS b_col, confidence, rk FROM rr
+        UNION ALL SELECT store_id, to_table, from_table, to_column, from_column, confidence, rk FROM rr),
+hj AS (SELECT b.store_id, b.op, arg_min(d.a_col, d.rk) AS l_col, arg_min(d.b_col, d.rk) AS r_col,
+              arg_min(d.confidence, d.rk) AS conf
+       FROM base b JOIN dir d ON d.store_id = b.store_id AND d.a = b.header_table AND d.b = b.line_table GROUP BY 1, 2),
+pj AS (SELECT b.store_id, b.op, arg_min(d.a_col, d.rk) AS l_col, arg_min(d.b_col, d.rk) AS r_col,
+              arg_min(d.confidence, d.rk) AS conf
+       FROM base b JOIN dir d ON d.store_id = b.store_id AND d.a = b.line_table AND d.b = b.product_table GROUP BY 1, 2),
+mapcols AS (SELECT m.store_id, m.canonical_field, c.table_path, c."column", CAST(m.confidence AS DOUBLE) AS conf, m.verified
+            FROM mappings m JOIN fx_cat c ON c.store_id = m.store_id AND c.path = m.source_path),
+linepk AS (SELECT store_id, table_path, arg_min("column", column_pos) AS pk FROM fx_cat WHERE primary_key GROUP BY 1, 2),
+plan AS (
+  SELECT b.*, hj.l_col AS header_id_col, hj.r_col AS line_header_col, hj.conf AS hj_conf,
+         pj.l_col AS line_product_col, pj.r_col AS product_key_col, pj.conf AS pj_conf,
+         sd."column" AS date_col, st."column" AS time_col,
+         coalesce(qm."column", sq."column") AS quantity_col, qm."column" AS qmap_col, qm.conf AS q_conf, qm.verified AS q_ver,
+         im."column" AS product_identity_col, im.conf AS i_conf, im.verified AS i_ver,
+         pm."column" AS pack_size_col, pm.verified AS p_ver,
+         coalesce(lp.pk, sl."column") AS line_id_col, sdest."column" AS destination_col
+  FROM base b
+  LEFT JOIN hj ON hj.store_id = b.store_id AND hj.op = b.op
+  LEFT JOIN pj ON pj.store_id = b.store_id AND pj.op = b.op
+  LEFT JOIN sigcols sd ON sd.store_id = b.store_id AND sd.table_path = b.header_table AND sd.op = b.op AND sd.name = 'date'
+  LEFT JOIN sigcols st ON st.store_id = b.store_id AND st.table_path = b.header_table AND st.op = b.op AND st.name = 'time'
+  LEFT JOIN sigcols sq ON sq.store_id = b.store_id AND sq.table_path = b.line_table AND sq.op = b.op AND sq.name = 'quantity'
+  LEFT JOIN sigcols sl ON sl.store_id = b.store_id AND sl.table_path = b.line_table AND sl.op = b.op AND sl.name = 'line_id'
+  LEFT JOIN sigcols sdest ON sdest.store_id = b.store_id AND sdest.table_path = b.line_table AND sdest.op = b.op
+                         AND sdest.name = 'destination'
+  LEFT JOIN mapcols qm ON qm.store_id = b.store_id AND qm.table_path = b.line_table AND qm.canonical_field = b.op || '.quantity'
+  LEFT JOIN mapcols im ON im.store_id = b.store_id AND im.table_path = b.product_table AND im.canonical_field = 'product.identity'
+  LEFT JOIN mapcols pm ON pm.store_id = b.store_id AND pm.table_path = b.product_table AND pm.canonical_field = 'product.pack_size'
+  LEFT JOIN linepk lp ON lp.store_id = b.store_id AND lp.table_path = b.line_table),
+reasoned AS (
+  SELECT *, CASE WHEN header_table IS NULL OR line_table IS NULL OR product_table IS NULL THEN 'no reliable header/line/product plan'
+                 WHEN header_id_col IS NULL OR line_product_col IS NULL THEN 'no reliable joins'
+                 WHEN date_col IS NULL OR quantity_col IS NULL OR product_identity_col IS NULL OR line_id_col IS NULL
+                   THEN 'missing date, quantity, product identity or line identity' END AS reason
+  FROM plan)
+SELECT store_id, op AS operation, reason IS NULL AS plan_ok, reason, header_table, line_table, product_table,
+       header_id_col, line_header_col, line_product_col, product_key_col, date_col, time_col, quantity_col,
+       product_identity_col, pack_size_col, line_id_col, destination_col,
+       CASE WHEN reason IS NULL THEN least(header_confidence, line_confidence, product_confidence, hj_conf, pj_conf,
+                                           i_conf, coalesce(q_conf, 0.78)) END AS structural_confidence,
+       CASE WHEN reason IS NULL THEN coalesce(i_ver, false) AND qmap_col IS NOT NULL AND coalesce(q_ver, false)
+                                     AND (pack_size_col IS NULL OR coalesce(p_ver, false)) END AS mapping_verified
+FROM reasoned""")
+
+CATALOG_ORACLES["carry_forward_mappings"] = _q(""",
+prev AS (SELECT store_id, canonical_field, source_path FROM mappings
+         WHERE verified OR CAST(substr(store_id, 5) AS BIGINT) % 5 = 0),
+cat2 AS (SELECT store_id, path FROM fx_cat WHERE NOT ("column" = 'GoDown_No' AND CAST(substr(store_id, 5) AS BIGINT) % 10 = 0)),
+kept AS (SELECT p.* FROM prev p WHERE EXISTS (SELECT 1 FROM cat2 c WHERE c.store_id = p.store_id AND c.path = p.source_path)),
+cur AS (SELECT * FROM mappings m WHERE NOT (m.canonical_field = 'movement.destination' AND m.source_path LIKE '%.GoDown_No'
+                                         AND CAST(substr(m.store_id, 5) AS BIGINT) % 10 = 0))
+SELECT coalesce(c.store_id, k.store_id) AS store_id, coalesce(c.canonical_field, k.canonical_field) AS canonical_field,
+       coalesce(k.source_path, c.source_path) AS source_path,
+       CASE WHEN k.source_path IS NOT NULL THEN 1.0 ELSE CAST(c.confidence AS DOUBLE) END AS confidence,
+       CASE WHEN k.source_path IS NOT NULL THEN 'Previously confirmed mapping remains present after schema rescan.'
+            ELSE c.reasoning END AS reasoning,
+       CASE WHEN k.source_path IS NOT NULL THEN true ELSE c.verified END AS verified
+FROM cur c FULL OUTER JOIN kept k ON k.store_id = c.store_id AND k.canonical_field = c.canonical_field""")

@@ -534,3 +534,37 @@ def q_staff_role_counts(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("store_"), F.col("c_nationkey").cast("string")).alias("store_id"), "c_mktsegment")
     return staff_role_counts(c, "c_mktsegment", by=["store_id"])
+
+
+@register("resolve_fact_plan")
+def q_resolve_fact_plan(spark, sf_dir):
+    from storelens.operators import catalog as co
+    from storelens.operators.factplan import resolve_fact_plan
+    from storelens.sources import catalog_fixture as cf
+
+    from storelens.session import cut_lineage
+
+    # the learned model (roles, joins, mappings) is persisted state: materialise it
+    # once in the shared checkpoint folder instead of re-deriving it per reference
+    cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
+    cat = cut_lineage(cat)
+    cands = cut_lineage(co.role_candidates(co.score_table_roles(cat)))
+    rels = cut_lineage(co.all_relationships(cf.fx_declared_relationships(spark, sf_dir), co.infer_relationships(cands, cat)))
+    return resolve_fact_plan(cands, rels, cut_lineage(mappings), cat)
+
+
+@register("carry_forward_mappings")
+def q_carry_forward_mappings(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from storelens.operators import catalog as co
+
+    cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
+    k = F.substring("store_id", 5, 20).cast("bigint")
+    previous = mappings.withColumn("verified", F.col("verified") | (k % 5 == 0))
+    rescanned = cat.where(~((F.col("column") == "GoDown_No") & (F.substring("store_id", 5, 20).cast("bigint") % 10 == 0)))
+    scores2 = co.score_mappings(rescanned)
+    current = co.apply_contracts(co.propose_mappings(scores2, stores), contracts)
+    out = co.carry_forward_mappings(current, previous, rescanned)
+    return out.select("store_id", "canonical_field", "source_path", F.col("confidence").cast("double").alias("confidence"),
+                      "reasoning", "verified")
