@@ -1,6 +1,6 @@
 """Import every query and oracle module so the registries are complete."""
 
-from storelens.plans import queries_docs, queries_functions, queries_records, queries_sources, queries_state  # noqa: F401
+from storelens.plans import queries_docs, queries_functions, queries_records, queries_reports, queries_sources, queries_state  # noqa: F401
 from storelens.plans.oracles import ORACLES  # noqa: F401
 from storelens.plans.queries import QUERIES  # noqa: F401
-from storelens.plans import oracles_docs, oracles_functions, oracles_records, oracles_sources, oracles_state  # noqa: F401
+from storelens.plans import oracles_docs, oracles_functions, oracles_records, oracles_reports, oracles_sources, oracles_state  # noqa: F401
