@@ -489,3 +489,10 @@ SELECT 'store_' || CAST(c_nationkey AS VARCHAR) AS store_id,
          ELSE translate(lower(trim(coalesce(c_mktsegment, ''))), '- ', '__') END, ''), 'unassigned') AS role,
        count(*) AS count
 FROM customer GROUP BY 1, 2"""
+
+ORACLES["stream_correlation"] = with_fx(["fx_evidence"], """
+SELECT store_id, system_record_id, observation_id, time_difference_us FROM nearest_obs""", [NEAREST_OBS_CTE])
+ORACLES["stream_operational_cycle"] = with_fx(
+    ["fx_line_facts"], f"SELECT {_TASK_COLS} FROM wf_tasks",
+    [ITEMS_CTES[0], "prior_ledger AS (SELECT store_id, connector, external_id FROM fx_items WHERE false)"]
+    + ITEMS_CTES[2:] + [wf_tasks_sql("cycle_events")])
