@@ -176,7 +176,10 @@ def score_mappings(catalog: DataFrame) -> DataFrame:
     spark = catalog.sparkSession
     cols = with_paths(catalog)
     rules = F.broadcast(canonical_rules(spark))  # 9 fixed rows
-    j = cols.crossJoin(rules)
+    # Scores depend only on (column name, table name): score each distinct pair
+    # once (names repeat across a fleet) and join the scores back.
+    names = cols.select("normalized", "normalized_table").distinct()
+    j = names.crossJoin(rules)
     name, ntable = F.col("normalized"), F.col("normalized_table")
     table_match = _any_in(F.col("table_tokens"), ntable, 3)
     generic_blocked = name.isin(*GENERIC_NAMES) & ~table_match
@@ -199,9 +202,11 @@ def score_mappings(catalog: DataFrame) -> DataFrame:
     )
     final = F.when(generic_blocked | column_score.isNull(), _d("0")).otherwise(
         F.least(F.greatest(score, _d("0")), _d("0.98"))).cast(DEC)
-    return j.select(
+    scored = j.select("normalized", "normalized_table", "canonical_field", "field_pos", "required", "label",
+                      final.alias("score"))
+    return cols.join(scored, ["normalized", "normalized_table"]).select(
         "store_id", "canonical_field", "field_pos", "path", "source", "table", "column", "table_path",
-        "source_pos", "table_pos", "column_pos", "required", "label", final.alias("score"),
+        "source_pos", "table_pos", "column_pos", "required", "label", "score",
     )
 
 
@@ -381,7 +386,10 @@ def table_profiles(catalog: DataFrame) -> DataFrame:
 def score_table_roles(catalog: DataFrame, keep_threshold: str = "0.50") -> DataFrame:
     """Table x role confidence (2 dp, clamp 0..0.96) with evidence; keeps >= 0.50."""
     spark = catalog.sparkSession
-    t = table_profiles(catalog).crossJoin(F.broadcast(role_rules(spark)))  # 12 fixed rows
+    profiles = table_profiles(catalog).withColumn("columns", F.array_sort("columns"))
+    # Role scores depend only on (table name, column-name set): score distinct shapes once.
+    shapes = profiles.select("normalized_table", "columns").distinct()
+    t = shapes.crossJoin(F.broadcast(role_rules(spark)))  # 12 fixed rows
     ntable, cols = F.col("normalized_table"), F.col("columns")
     tmatch = _any_in(F.col("table_tokens"), ntable)
     matched = F.size(F.filter("groups", lambda g: F.exists(cols, lambda c: F.exists(g, lambda tok: c.contains(tok)))))
@@ -403,11 +411,13 @@ def score_table_roles(catalog: DataFrame, keep_threshold: str = "0.50") -> DataF
         F.when(neg, F.lit("table shape modifier conflicts with this role")),
         F.when(rep, F.lit("report/configuration shape reduces operational confidence")),
     ))
-    out = t.select(
+    scored = t.select("normalized_table", "columns", "role", "role_pos", conf.alias("confidence"),
+                      evidence.alias("evidence")).where(F.col("confidence") >= F.lit(Decimal(keep_threshold)))
+    out = profiles.join(scored, ["normalized_table", "columns"])
+    return out.select(
         "store_id", "role", "role_pos", F.col("table_path").alias("source_path"), "source_pos", "table_pos",
-        conf.alias("confidence"), evidence.alias("evidence"), "row_count",
+        "confidence", "evidence", "row_count",
     )
-    return out.where(F.col("confidence") >= F.lit(Decimal(keep_threshold)))
 
 
 def role_candidates(role_scores: DataFrame, limit: int = 5) -> DataFrame:

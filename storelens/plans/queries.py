@@ -386,12 +386,21 @@ def _items(spark, sf_dir):
     return line_fact_items(facts_ops.extract_line_facts(header, line, product, facts_ops.fixture_plan()))
 
 
-def _prior_ledger(spark, sf_dir):
+def _polled_items(spark, sf_dir):
+    """The poll output is materialised once (a written table in the shared
+    checkpoint folder), as a connector's landing table would be; the prior
+    poll's ledger and the new items both read it."""
+    from storelens.session import cut_lineage
+
+    return cut_lineage(_items(spark, sf_dir))
+
+
+def _prior_ledger(spark, sf_dir, items=None):
     from pyspark.sql import functions as F
 
     from storelens.operators.ingest import prime_ledger
 
-    items = _items(spark, sf_dir)
+    items = items if items is not None else _items(spark, sf_dir)
     return prime_ledger(items.where(F.col("occurred_at") < PRIOR_POLL_BEFORE), None)[1]
 
 
@@ -409,14 +418,16 @@ def q_prime_ledger(spark, sf_dir):
 def q_new_evidence(spark, sf_dir):
     from storelens.operators.ingest import new_evidence
 
-    return new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
+    items = _polled_items(spark, sf_dir)
+    return new_evidence(items, _prior_ledger(spark, sf_dir, items))[0]
 
 
 @register("normalize_evidence")
 def q_normalize_evidence(spark, sf_dir):
     from storelens.operators.ingest import new_evidence, normalize_evidence
 
-    fresh = new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
+    items = _polled_items(spark, sf_dir)
+    fresh = new_evidence(items, _prior_ledger(spark, sf_dir, items))[0]
     return normalize_evidence(fresh, CYCLE_NOW)[0]
 
 
@@ -426,7 +437,8 @@ def q_facts_to_events(spark, sf_dir):
 
     from storelens.operators.ingest import facts_to_events, new_evidence, normalize_evidence
 
-    fresh = new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
+    items = _polled_items(spark, sf_dir)
+    fresh = new_evidence(items, _prior_ledger(spark, sf_dir, items))[0]
     ev = facts_to_events(normalize_evidence(fresh, CYCLE_NOW)[0])
     return ev.select("id", "store_id", "event_type", "occurred_at", F.col("evidence_ids")[0].alias("evidence_id"),
                      *[F.col("facts").getField(f).alias(f) for f in (
@@ -438,7 +450,8 @@ def q_facts_to_events(spark, sf_dir):
 def q_operational_cycle(spark, sf_dir):
     from storelens.operators.ingest import operational_cycle
 
-    out = operational_cycle(_items(spark, sf_dir), _prior_ledger(spark, sf_dir), CYCLE_NOW)
+    items = _polled_items(spark, sf_dir)
+    out = operational_cycle(items, _prior_ledger(spark, sf_dir, items), CYCLE_NOW)
     return out["tasks"].drop("answer")
 
 
