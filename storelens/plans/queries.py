@@ -46,7 +46,7 @@ def q_nearest_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _wf_tasks(spark: SparkSession, sf_dir: str, event_type: str | None) -> DataFrame:
     from storelens.operators.workflows import workflow_tasks
 
-    return workflow_tasks(fx.fx_facts(spark, sf_dir), event_type)
+    return workflow_tasks(fx.fx_facts(spark, sf_dir), event_type).drop("answer")
 
 
 @register("evaluate_workflows")
@@ -75,7 +75,7 @@ def q_wf_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = fx.fx_facts(spark, sf_dir).withColumn(
         "event_type", F.when(F.col("k") % 17 == 0, F.lit("inventory_audit")).otherwise(F.col("event_type"))
     )
-    return workflow_tasks(ev, "unsupported")
+    return workflow_tasks(ev, "unsupported").drop("answer")
 
 
 @register("event_status")
