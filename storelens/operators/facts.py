@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.functions.scalar import compose_occurred_at, record_hash20, to_number
 
@@ -97,7 +98,13 @@ def extract_line_facts(
         w = Window.partitionBy("store_id", "_op").orderBy(*order)
         j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
 
-    pack = to_number(F.col("_pack")) if plan.pack_size_col else F.lit(None).cast("double")
+    def number(col: str, df: DataFrame, name: str) -> Column:
+        # numeric source columns cast directly; text goes through the tolerant parser
+        if isinstance(df.schema[name].dataType, T.NumericType):
+            return F.col(col).cast("double")
+        return to_number(F.col(col))
+
+    pack = number("_pack", product, plan.pack_size_col) if plan.pack_size_col else F.lit(None).cast("double")
     rhash = record_hash20(F.col("_op"), F.col("_hid"), F.col("_lid"))
     conf = F.lit(float(plan.structural_confidence))
     out = j.select(
@@ -108,7 +115,7 @@ def extract_line_facts(
         F.lit("system_record").alias("kind"),
         conf.alias("confidence"),
         F.trim(F.coalesce(F.col("_pident").cast("string"), F.lit(""))).alias("product_id"),
-        to_number(F.col("_qty")).alias("quantity"),
+        number("_qty", line, plan.quantity_col).alias("quantity"),
         F.when(pack > 0, pack).alias("pack_size"),
         (F.col("destination_id") if plan.destination_col else F.lit(None).cast("string")).alias("destination_id"),
         rhash.alias("source_record_hash"),

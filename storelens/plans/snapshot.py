@@ -48,16 +48,46 @@ def operational_snapshot(
         stores = stores.unionByName(readiness.select("store_id"))
     stores = stores.distinct()
 
+    # One aggregate per (store, kind) serves the kind counts, the coverage
+    # denominators and the latest-source gap: the evidence is scanned once for
+    # them and once for the correlation.
+    from storelens.functions.scalar import parse_timestamp, to_micros
+
+    us = to_micros(parse_timestamp(F.col("occurred_at")))
+    kinds = evidence.groupBy("store_id", F.coalesce(F.col("kind"), F.lit("unknown")).alias("kind")).agg(
+        F.count(F.lit(1)).alias("count"), F.max(us).alias("latest_us"))
+    per_store = kinds.groupBy("store_id").agg(
+        F.sum(F.when(F.col("kind") == "system_record", F.col("count")).otherwise(0)).cast("bigint").alias("system_records"),
+        F.sum(F.when(F.col("kind") == "observation", F.col("count")).otherwise(0)).cast("bigint").alias("observations"),
+        F.max(F.when(F.col("kind") == "system_record", F.col("latest_us"))).alias("latest_system_us"),
+        F.max(F.when(F.col("kind") == "observation", F.col("latest_us"))).alias("latest_observation_us"),
+    )
     matches = nearest_observation(evidence, window_minutes)
-    cov = ev_ops.corroboration_coverage(evidence, matches)
-    gap = ev_ops.latest_source_gap(evidence)
-    ev_txt = ev_ops.counts_text(ev_ops.evidence_counts(evidence), "kind", "evidence_counts")
+    m = matches.groupBy("store_id").agg(
+        F.countDistinct("system_record_id").alias("corroborated"),
+        F.countDistinct("observation_id").alias("linked_observations"),
+        F.count(F.lit(1)).alias("match_count"),
+    )
+    cov = per_store.join(m, "store_id", "left").fillna(0, ["corroborated", "linked_observations", "match_count"])
+    gap_us = F.abs(F.col("latest_observation_us") - F.col("latest_system_us"))
+    unit = 36_000_000  # microseconds per 0.01 h; half-even on exact integers
+    q = F.floor(gap_us / unit).cast("bigint")
+    rem = gap_us - q * unit
+    hundredths = q + F.when((rem * 2 > unit) | ((rem * 2 == unit) & (q % 2 == 1)), 1).otherwise(0)
+    cov = cov.select(
+        "store_id", "system_records", "observations", F.col("match_count").cast("bigint").alias("match_count"),
+        F.col("corroborated").cast("bigint").alias("corroborated_system_records"),
+        (F.col("system_records") - F.col("corroborated")).cast("bigint").alias("uncorroborated_system_records"),
+        (F.col("observations") - F.col("linked_observations")).cast("bigint").alias("unlinked_observations"),
+        (hundredths / F.lit(100.0)).alias("latest_source_gap_hours"),
+    )
+    ev_txt = ev_ops.counts_text(kinds, "kind", "evidence_counts")
     et_txt = ev_ops.counts_text(ev_ops.event_counts(events), "event_type", "event_counts")
     es_txt = ev_ops.counts_text(ev_ops.event_status_counts(events), "status", "event_status_counts")
     ot_txt = ev_ops.counts_text(ev_ops.open_tasks_by_role(tasks), "role", "open_tasks_by_role")
 
     snap = stores
-    for part in (cov, gap, ev_txt, et_txt, es_txt, ot_txt):
+    for part in (cov, ev_txt, et_txt, es_txt, ot_txt):
         snap = snap.join(part, "store_id", "left")
     if readiness is not None:
         snap = snap.join(readiness.select("store_id", "ready", "unresolved_questions"), "store_id", "left")
