@@ -9,7 +9,18 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazily scan one parquet table; Catalyst prunes columns and pushes filters."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazily scan one parquet table; Catalyst prunes columns and pushes filters.
+
+    The driver data sets are immutable snapshots, so the scan (file listing and
+    footer schema) is resolved once per session and path and reused.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark.sparkContext._jsc), path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
