@@ -378,3 +378,7 @@ SELECT coalesce(c.store_id, k.store_id) AS store_id, coalesce(c.canonical_field,
             ELSE c.reasoning END AS reasoning,
        CASE WHEN k.source_path IS NOT NULL THEN true ELSE c.verified END AS verified
 FROM cur c FULL OUTER JOIN kept k ON k.store_id = c.store_id AND k.canonical_field = c.canonical_field""")
+
+CATALOG_ORACLES["structural_confidence"] = (
+    "SELECT store_id, operation, structural_confidence, mapping_verified FROM ("
+    + CATALOG_ORACLES["resolve_fact_plan"] + ") WHERE plan_ok")

@@ -157,15 +157,11 @@ def q_operational_snapshot(spark, sf_dir):
 def q_nearest_camera(spark, sf_dir):
     from storelens.operators.correlate import nearest_camera
 
-    ev = fx.fx_op_event(spark, sf_dir).select("id", "store_id", "occurred_at")
-    return nearest_camera(ev, fx.fx_evidence(spark, sf_dir), 15).select(
-        "id", "store_id", "camera_observation_id", F_col_alias("camera_diff_us", "camera_time_difference_us"))
-
-
-def F_col_alias(c: str, a: str):
     from pyspark.sql import functions as F
 
-    return F.col(c).alias(a)
+    ev = fx.fx_op_event(spark, sf_dir).select("id", "store_id", "occurred_at")
+    return nearest_camera(ev, fx.fx_evidence(spark, sf_dir), 15).select(
+        "id", "store_id", "camera_observation_id", F.col("camera_diff_us").alias("camera_time_difference_us"))
 
 
 @register("link_evidence")
@@ -334,8 +330,7 @@ def q_all_relationships(spark, sf_dir):
     from storelens.operators import catalog as co
     from storelens.sources import catalog_fixture as cf
 
-    return co.all_relationships(cf.fx_declared_relationships(spark, sf_dir).drop("kind").withColumn(
-        "kind", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("declared_foreign_key")), _inferred(spark, sf_dir))
+    return co.all_relationships(cf.fx_declared_relationships(spark, sf_dir), _inferred(spark, sf_dir))
 
 
 @register("capabilities")
@@ -581,3 +576,9 @@ def q_carry_forward_mappings(spark, sf_dir):
     out = co.carry_forward_mappings(current, previous, rescanned)
     return out.select("store_id", "canonical_field", "source_path", F.col("confidence").cast("double").alias("confidence"),
                       "reasoning", "verified")
+
+
+@register("structural_confidence")
+def q_structural_confidence(spark, sf_dir):
+    plans = q_resolve_fact_plan(spark, sf_dir)
+    return plans.where("plan_ok").select("store_id", "operation", "structural_confidence", "mapping_verified")
