@@ -21,6 +21,10 @@ from storelens.schemas import POLL_ITEM
 _SOURCES: dict[str, Callable[[SparkSession], DataFrame]] = {}
 
 
+def clear_evidence_sources() -> None:
+    _SOURCES.clear()
+
+
 def register_evidence_source(name: str, fn: Callable[[SparkSession], DataFrame]) -> None:
     """Register a poll-item source under ``name`` (its output must carry the
     poll-item columns; extra columns travel as payload)."""
@@ -51,6 +55,14 @@ def first_candidate_provider(score: float = 0.65, reason: str = "Highest lexical
     return provider
 
 
+def last_candidate_provider(score: float = 0.70, reason: str = "Chosen by a custom provider.") -> Callable[[Column, Column], Column]:
+    """Example custom provider: the last of the top candidates."""
+    def provider(canonical: Column, candidates: Column) -> Column:
+        return F.struct(F.element_at(candidates, -1).alias("path"), F.lit(score).alias("score"),
+                        F.lit(reason).alias("reason"))
+    return provider
+
+
 def with_rules(extra: dict[str, list[WorkflowRule]]) -> dict[str, list[WorkflowRule]]:
     """Default rules plus user rules appended per event type (new types allowed)."""
     rules = {k: list(v) for k, v in default_rules().items()}

@@ -113,10 +113,10 @@ KNOWN_TYPES_SQL = ", ".join(_q(t) for t in (
     "receiving", "stock_movement", "damage", "expiry", "attendance", "sale", "purchase", "return", "stock_count"))
 
 
-def wf_tasks_sql(source: str) -> str:
+def wf_tasks_sql(source: str, rules=None) -> str:
     """CTE body: tasks emitted by the rules over a facts relation ``source``."""
     parts = []
-    for i, (et, cond, role, question, reason, official) in enumerate(WF_RULES_SQL):
+    for i, (et, cond, role, question, reason, official) in enumerate(rules or WF_RULES_SQL):
         auth = "'official_record'" if official else "'external_reversible'"
         type_cond = (f"(event_type IS NULL OR event_type NOT IN ({KNOWN_TYPES_SQL}))" if et == "__unsupported__"
                      else f"event_type = '{et}'")
