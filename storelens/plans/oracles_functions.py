@@ -72,7 +72,7 @@ ORACLES["clamp_confidence"] = "SELECT event_id, least(greatest(value / 100 - 1,
 
 ORACLES["ratio4"] = f"""
 SELECT l_suppkey, n, d, {ratio4_sql('n', 'd')} AS ratio
-FROM (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n, count(*) AS d
+FROM (SELECT l_suppkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS d
       FROM lineitem GROUP BY l_suppkey)"""
 
 ORACLES["json_value_type"] = """
