@@ -71,6 +71,9 @@ def with_rules(extra: dict[str, list[WorkflowRule]]) -> dict[str, list[WorkflowR
     return rules
 
 
-def deliver_tasks(tasks: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Task sink: one folder per role so each role's consumer reads only its work."""
-    tasks.write.mode("append").partitionBy("role").format(fmt).save(path)
+def deliver_tasks(tasks: DataFrame, path: str, fmt: str = "parquet", num_partitions: int | None = None) -> None:
+    """Task sink: one folder per role so each role's consumer reads only its work
+    (range-partitioned by role and id: few files per role, hot roles split)."""
+    n = num_partitions or int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (tasks.repartitionByRange(n, "role", "id").write.mode("append").option("maxRecordsPerFile", 1_000_000)
+     .partitionBy("role").format(fmt).save(path))

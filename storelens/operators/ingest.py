@@ -37,7 +37,13 @@ def new_evidence(items: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame,
     """(new items, updated ledger): items whose id the ledger has not seen, first occurrence wins."""
     first = _first_per_key(_clean_ids(items))
     if ledger is not None:
-        first = first.join(ledger.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
+        # The ledger grows without bound while a cycle's batch is small: filter the
+        # ledger by the batch keys (the batch is the build side, so Spark/AQE can
+        # broadcast it at its measured size and the ledger is only scanned, never
+        # shuffled), then anti-join the batch against that small result.
+        keys = list(LEDGER_KEY)
+        seen = ledger.select(*keys).join(first.select(*keys), keys, "left_semi")
+        first = first.join(seen, keys, "left_anti")
     seen = first.select(*LEDGER_KEY)
     new_ledger = seen if ledger is None else ledger.select(*LEDGER_KEY).unionByName(seen)
     return first, new_ledger

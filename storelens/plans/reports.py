@@ -80,9 +80,18 @@ def proof_state_lines(state_counts: DataFrame) -> DataFrame:
                                F.concat(F.lit("- "), F.col("state"), F.lit(": "), F.col("count").cast("string")).alias("line"))
 
 
-def write_artifacts(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Persist per-store artifacts, one folder per store (overwrite is atomic per job)."""
-    df.write.mode("overwrite").partitionBy("store_id").format(fmt).save(path)
+def write_artifacts(df: DataFrame, path: str, fmt: str = "json", max_records_per_file: int = 1_000_000,
+                    num_partitions: int | None = None) -> None:
+    """Persist per-store artifacts, one folder per store.
+
+    Range-partitioning on store_id (then the next two columns) keeps each store in few tasks
+    (few files) while a hot store is still split over several tasks; files are
+    capped at ``max_records_per_file``.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(n, "store_id", *[c for c in df.columns if c != "store_id"][:2])
+     .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy("store_id").format(fmt).save(path))
 
 
 def store_status(questions: DataFrame | None, tasks: DataFrame, events: DataFrame, evidence: DataFrame,
