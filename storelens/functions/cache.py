@@ -25,3 +25,21 @@ def session_cached(fn):
         return cache[key]
 
     return wrapper
+
+
+def frame_cached(fn):
+    """Memoise a ``(spark, sf_dir) -> DataFrame`` fixture per session and folder.
+
+    DataFrames are immutable lazy plans over immutable inputs, so one object can
+    serve every branch of a query (Spark de-duplicates attributes of self-joins).
+    """
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir):
+        key = (id(spark.sparkContext._jsc), sf_dir)
+        if key not in cache:
+            cache[key] = fn(spark, sf_dir)
+        return cache[key]
+
+    return wrapper

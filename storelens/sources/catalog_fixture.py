@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.functions.cache import frame_cached
 from storelens.sources.tables import table
 
 # ---------------------------------------------------------------------------
@@ -116,6 +117,7 @@ def template_rows() -> list[tuple]:
     return rows
 
 
+@frame_cached
 def fx_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One store per customer: template, confirmation policy, SQL server identity."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -135,6 +137,7 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(template_rows(), _TEMPLATE_SCHEMA)
 
 
+@frame_cached
 def fx_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat column catalog of every store (store x template columns)."""
     stores = fx_stores(spark, sf_dir)
@@ -160,6 +163,7 @@ def fx_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
 def fx_declared_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores = fx_stores(spark, sf_dir).select("store_id", "template")
     fks = spark.createDataFrame(
@@ -171,6 +175,7 @@ def fx_declared_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
 def fx_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores = fx_stores(spark, sf_dir).where(F.col("c_custkey") % 2 == 0).select("store_id", "template")
     cs = spark.createDataFrame(

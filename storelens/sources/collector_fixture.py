@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.scalar import iso_text
+from storelens.functions.cache import frame_cached
 from storelens.sources.tables import table
 
 CAMERA_ROLES = ("receiving", "shelf", "godown")
@@ -15,6 +16,7 @@ def _store(c="user_id", n=4):
     return F.concat(F.lit("store_"), (F.col(c) % n).cast("string")).alias("store_id")
 
 
+@frame_cached
 def fx_camera_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ev = table(spark, sf_dir, "events")
     return {
@@ -30,6 +32,7 @@ def fx_camera_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+@frame_cached
 def fx_verified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
     return ev.select(
@@ -43,6 +46,7 @@ def fx_verified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
 def fx_sql_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
@@ -58,6 +62,7 @@ def fx_sql_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
 def fx_camera_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     k = F.col("s_suppkey")

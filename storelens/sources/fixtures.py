@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from storelens.functions.cache import session_cached
 from storelens.functions.scalar import clamp_confidence, iso_text
 from storelens.schemas import ANSWER_FIELDS
+from storelens.functions.cache import frame_cached
 from storelens.sources.tables import table
 
 # Fixed fixture vocabularies (FIXTURES.md §B).
@@ -33,6 +34,7 @@ def _store(user_id: Column, buckets: int = 4) -> Column:
     return F.concat(F.lit("store_"), (user_id % buckets).cast("string"))
 
 
+@frame_cached
 def fx_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence rows, one per ``events`` row (ids, kinds, sources, text times)."""
     ev = table(spark, sf_dir, "events")
@@ -61,6 +63,7 @@ def fx_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
 def fx_op_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operational events (purchase rows of ``events``) with event type and links."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
@@ -116,12 +119,14 @@ def _fx_facts_col() -> Column:
     return facts_struct(F.col("k"), F.col("n"))
 
 
+@frame_cached
 def fx_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_op_event with its typed ``facts`` struct."""
     e = fx_op_event(spark, sf_dir)
     return e.withColumn("facts", _fx_facts_col())
 
 
+@frame_cached
 def fx_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One verification task per operational event, open or answered."""
     e = fx_op_event(spark, sf_dir)
@@ -148,6 +153,7 @@ def fx_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
 def fx_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence rows behind task answers (some answers dangle)."""
     t = fx_task(spark, sf_dir).where((F.col("status") == "answered") & (F.col("n") % 11 != 0))
@@ -163,10 +169,12 @@ def fx_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
 def fx_all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_evidence(spark, sf_dir).unionByName(fx_confirmation(spark, sf_dir))
 
 
+@frame_cached
 def fx_line_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(header, line, product) inputs of the line-fact extraction."""
     header = table(spark, sf_dir, "orders").select(
