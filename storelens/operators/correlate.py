@@ -91,14 +91,15 @@ def nearest_within(
         F.first("c", ignorenulls=True).over(wf.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("next_in"),
     ).where(F.col("is_r") == 0)
 
-    # (b) other fine buckets of the same coarse bucket.
-    fs_r = r.groupBy("k", "f").agg(
-        F.max(cand(F.col("t"), F.col("obs"))).alias("last_f"),
-        F.min(cand(F.col("t"), F.col("obs"))).alias("first_f"),
-    )
-    fs = fs_r.join(lk.select("k", "f").distinct(), ["k", "f"], "full").withColumn(
-        "cb", F.floor(F.col("f") / FINE_PER_COARSE)
-    )
+    # (b) other fine buckets of the same coarse bucket.  One aggregation over the
+    #     union of right instants and left buckets yields a row for every fine
+    #     bucket either side occupies (left-only buckets carry null summaries).
+    c_r = cand(F.col("t"), F.col("obs"))
+    fine = r.select("k", "f", c_r.alias("c")).unionByName(
+        lk.select("k", "f", F.lit(None).cast(ctype).alias("c")))
+    fs = fine.groupBy("k", "f").agg(F.max("c").alias("last_f"), F.min("c").alias("first_f")).withColumn(
+        "cb", F.floor(F.col("f") / FINE_PER_COARSE))
+    fs_r = fs.where(F.col("last_f").isNotNull())
     wc = Window.partitionBy("k", "cb").orderBy("f")
     fs = fs.select(
         "k", "f", "cb",
@@ -106,7 +107,7 @@ def nearest_within(
         F.first("first_f", ignorenulls=True).over(wc.rowsBetween(1, Window.unboundedFollowing)).alias("next_fine"),
     )
     # (c) neighbouring coarse buckets.
-    cs = fs_r.withColumn("cb", F.floor(F.col("f") / FINE_PER_COARSE)).groupBy("k", "cb").agg(
+    cs = fs_r.groupBy("k", "cb").agg(
         F.max("last_f").alias("last_c"), F.min("first_f").alias("first_c")
     )
     fs = (
