@@ -55,3 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def size_shuffle_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
+                            min_partitions: int | None = None) -> int:
+    """Spill-aware shuffle sizing: about ``target_bytes`` of shuffle input per task.
+
+    Only applied when the session has no explicit setting of its own beyond the
+    Spark default (200); AQE then coalesces small partitions at runtime and
+    splits skewed ones.  Returns the partition count in effect.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if current != 200:
+        return current
+    floor = min_partitions or spark.sparkContext.defaultParallelism * 2
+    n = max(floor, -(-int(input_bytes) // int(target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes // 2))
+    return n
