@@ -43,3 +43,32 @@ def frame_cached(fn):
         return cache[key]
 
     return wrapper
+
+
+def with_rules(df, rows: list[tuple], ddl: str):
+    """Pair every row of ``df`` with each fixed rule row (a projection + explode of
+    a literal array, not a join).  ``ddl`` is the rule schema ("a string, b int, ...")."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = [f.strip().split(" ", 1) for f in ddl.split(",")]
+    rule_type = _parse_datatype_string("struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">")
+    rules = F.lit(None).cast(f"array<{rule_type.simpleString()}>") if not rows else F.array(*[
+        F.struct(*[F.lit(v).cast(rule_type[n].dataType).alias(n) if not isinstance(v, (list, tuple))
+                   else _lit_array(v, rule_type[n].dataType).alias(n) for (n, _), v in zip(fields, row)])
+        for row in rows])
+    names = [n for n, _ in fields]
+    return df.select("*", F.explode(rules).alias("_rule")).select(
+        *[c for c in df.columns], *[F.col("_rule")[n].alias(n) for n in names])
+
+
+def _lit_array(values, dtype):
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import ArrayType
+
+    if not values:
+        return F.array().cast(dtype)
+    elem = dtype.elementType if isinstance(dtype, ArrayType) else None
+    if elem is not None and isinstance(elem, ArrayType):
+        return F.array(*[_lit_array(v, elem) for v in values]).cast(dtype)
+    return F.array(*[F.lit(v) for v in values]).cast(dtype)

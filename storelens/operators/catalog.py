@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.functions.cache import with_rules
 from storelens.functions.scalar import normalize_name
 
 # ---------------------------------------------------------------------------
@@ -140,14 +141,23 @@ def with_paths(catalog: DataFrame) -> DataFrame:
     })
 
 
-def canonical_rules(spark: SparkSession) -> DataFrame:
-    rows = [(name, i, toks, ttoks, weak, groups, req, label)
+CANONICAL_DDL = ("canonical_field string, field_pos int, tokens array<string>, table_tokens array<string>, "
+                 "weak_tokens array<string>, column_groups array<array<string>>, required boolean, label string")
+ROLE_DDL = ("role string, role_pos int, table_tokens array<string>, groups array<array<string>>, "
+            "positive array<string>, negative array<string>")
+
+
+def canonical_rows() -> list[tuple]:
+    return [(name, i, toks, ttoks, weak, groups, req, label)
             for i, (name, toks, ttoks, weak, groups, req, label) in enumerate(CANONICAL_FIELDS)]
-    return spark.createDataFrame(
-        rows,
-        "canonical_field string, field_pos int, tokens array<string>, table_tokens array<string>, "
-        "weak_tokens array<string>, column_groups array<array<string>>, required boolean, label string",
-    )
+
+
+def role_rows() -> list[tuple]:
+    return [(r, i, t, g, p, n) for i, (r, t, g, p, n) in enumerate(ROLE_RULES)]
+
+
+def canonical_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(canonical_rows(), CANONICAL_DDL)
 
 
 def _any_in(tokens: Column, text: Column, min_len: int = 0) -> Column:
@@ -175,11 +185,11 @@ def score_mappings(catalog: DataFrame) -> DataFrame:
     """Every column x canonical field with a lexical score in [0, 0.98] (DECIMAL)."""
     spark = catalog.sparkSession
     cols = with_paths(catalog)
-    rules = F.broadcast(canonical_rules(spark))  # 9 fixed rows
     # Scores depend only on (column name, table name): score each distinct pair
-    # once (names repeat across a fleet) and join the scores back.
+    # once (names repeat across a fleet) against the 9 fixed rules (a literal
+    # array exploded per name, no join) and join the scores back.
     names = cols.select("normalized", "normalized_table").distinct()
-    j = names.crossJoin(rules)
+    j = with_rules(names, canonical_rows(), CANONICAL_DDL)
     name, ntable = F.col("normalized"), F.col("normalized_table")
     table_match = _any_in(F.col("table_tokens"), ntable, 3)
     generic_blocked = name.isin(*GENERIC_NAMES) & ~table_match
@@ -304,10 +314,10 @@ def _required_fields(spark: SparkSession) -> DataFrame:
 def setup_questions(mappings: DataFrame, scores: DataFrame, stores: DataFrame) -> DataFrame:
     """One question per store and required field that is missing or unverified."""
     spark = mappings.sparkSession
-    req = F.broadcast(_required_fields(spark))  # 6 fixed rows
     cands = mapping_candidates(scores, 5).groupBy("store_id", "canonical_field").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("candidates"))
-    grid = stores.select("store_id").crossJoin(req)
+    required = [(n, i, lab) for i, (n, _t, _tt, _w, _g, req, lab) in enumerate(CANONICAL_FIELDS) if req]
+    grid = with_rules(stores.select("store_id"), required, "canonical_field string, field_pos int, label string")
     j = (grid.join(mappings.select("store_id", "canonical_field", "source_path", "confidence", "verified"),
                    ["store_id", "canonical_field"], "left")
          .join(cands, ["store_id", "canonical_field"], "left"))
@@ -333,10 +343,7 @@ def setup_questions(mappings: DataFrame, scores: DataFrame, stores: DataFrame) -
 def readiness(mappings: DataFrame, questions: DataFrame, stores: DataFrame) -> DataFrame:
     """Five readiness checks per store; ready = all passed and no unresolved question."""
     spark = mappings.sparkSession
-    groups = F.broadcast(spark.createDataFrame(
-        [(k, i, lab, f, j) for i, (k, lab, fs) in enumerate(READINESS_GROUPS) for j, f in enumerate(fs)],
-        "check_key string, check_pos int, label string, canonical_field string, field_order int"))
-    grid = stores.select("store_id").crossJoin(groups)
+    grid = with_rules(stores.select("store_id"), readiness_rows(), READINESS_DDL)
     j = grid.join(mappings.select("store_id", "canonical_field", "verified"), ["store_id", "canonical_field"], "left")
     per_check = j.groupBy("store_id", "check_key", "check_pos").agg(
         F.array_sort(F.collect_list(F.when(~F.coalesce(F.col("verified"), F.lit(False)),
@@ -365,13 +372,17 @@ def readiness(mappings: DataFrame, questions: DataFrame, stores: DataFrame) -> D
     )
 
 
+READINESS_DDL = "check_key string, check_pos int, label string, canonical_field string, field_order int"
+
+
+def readiness_rows() -> list[tuple]:
+    return [(k, i, lab, f, j) for i, (k, lab, fs) in enumerate(READINESS_GROUPS) for j, f in enumerate(fs)]
+
+
 # --- table roles -------------------------------------------------------------
 
 def role_rules(spark: SparkSession) -> DataFrame:
-    rows = [(r, i, t, g, p, n) for i, (r, t, g, p, n) in enumerate(ROLE_RULES)]
-    return spark.createDataFrame(
-        rows, "role string, role_pos int, table_tokens array<string>, groups array<array<string>>, "
-              "positive array<string>, negative array<string>")
+    return spark.createDataFrame(role_rows(), ROLE_DDL)
 
 
 def table_profiles(catalog: DataFrame) -> DataFrame:
@@ -389,7 +400,7 @@ def score_table_roles(catalog: DataFrame, keep_threshold: str = "0.50") -> DataF
     profiles = table_profiles(catalog).withColumn("columns", F.array_sort("columns"))
     # Role scores depend only on (table name, column-name set): score distinct shapes once.
     shapes = profiles.select("normalized_table", "columns").distinct()
-    t = shapes.crossJoin(F.broadcast(role_rules(spark)))  # 12 fixed rows
+    t = with_rules(shapes, role_rows(), ROLE_DDL)  # 12 fixed rules per distinct shape, no join
     ntable, cols = F.col("normalized_table"), F.col("columns")
     tmatch = _any_in(F.col("table_tokens"), ntable)
     matched = F.size(F.filter("groups", lambda g: F.exists(cols, lambda c: F.exists(g, lambda tok: c.contains(tok)))))

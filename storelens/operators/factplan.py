@@ -100,7 +100,9 @@ def resolve_fact_plan(role_cands: DataFrame, relationships: DataFrame, mappings:
     """One plan row per (store, operation)."""
     cols = with_paths(catalog)
     stores = role_cands.select("store_id").union(catalog.select("store_id")).distinct()
-    ops = stores.crossJoin(F.broadcast(role_cands.sparkSession.createDataFrame([(o,) for o in OPERATIONS], "operation string")))
+    from storelens.functions.cache import with_rules
+
+    ops = with_rules(stores, [(o,) for o in OPERATIONS], "operation string")
     plans = None
     for op in OPERATIONS:
         part = ops.where(F.col("operation") == op)

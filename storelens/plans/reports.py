@@ -38,11 +38,10 @@ def mapping_lines(mappings: DataFrame) -> DataFrame:
 
 def readiness_lines(mappings: DataFrame, stores: DataFrame) -> DataFrame:
     """'- [x] label - detail' per readiness check (same rule as ``readiness``)."""
-    spark = mappings.sparkSession
-    groups = F.broadcast(spark.createDataFrame(
-        [(k, i, lab, f, j) for i, (k, lab, fs) in enumerate(READINESS_GROUPS) for j, f in enumerate(fs)],
-        "check_key string, check_pos int, label string, canonical_field string, field_order int"))
-    g = stores.select("store_id").crossJoin(groups).join(
+    from storelens.functions.cache import with_rules
+    from storelens.operators.catalog import READINESS_DDL, readiness_rows
+
+    g = with_rules(stores.select("store_id"), readiness_rows(), READINESS_DDL).join(
         mappings.select("store_id", "canonical_field", "verified"), ["store_id", "canonical_field"], "left")
     per = g.groupBy("store_id", "check_pos", "label").agg(F.array_sort(F.collect_list(F.when(
         ~F.coalesce(F.col("verified"), F.lit(False)), F.struct("field_order", "canonical_field")))).alias("m"))
