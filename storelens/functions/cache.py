@@ -18,7 +18,7 @@ def session_cached(fn):
     @functools.wraps(fn)
     def wrapper(*args):
         sc = SparkContext._active_spark_context
-        key = (id(sc), args)
+        key = (sc.applicationId if sc is not None else None, args)
         if key not in cache:
             cache.clear() if len(cache) > 64 else None
             cache[key] = fn(*args)
@@ -37,7 +37,7 @@ def frame_cached(fn):
 
     @functools.wraps(fn)
     def wrapper(spark, sf_dir):
-        key = (id(spark.sparkContext._jsc), sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cache:
             cache[key] = fn(spark, sf_dir)
         return cache[key]

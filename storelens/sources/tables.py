@@ -9,7 +9,7 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+_READS: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     footer schema) is resolved once per session and path and reused.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark.sparkContext._jsc), path)
+    key = (spark.sparkContext.applicationId, path)
     df = _READS.get(key)
     if df is None:
         df = _READS[key] = spark.read.parquet(path)
