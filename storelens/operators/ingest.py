@@ -33,19 +33,25 @@ def _clean_ids(items: DataFrame) -> DataFrame:
     return items.withColumn("external_id", ext).where(F.col("external_id") != "")
 
 
-def new_evidence(items: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(new items, updated ledger): items whose id the ledger has not seen, first occurrence wins."""
+def new_evidence(items: DataFrame, ledger: DataFrame | None,
+                 broadcast_key_limit: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(new items, updated ledger): items whose id the ledger has not seen, first occurrence wins.
+
+    The ledger grows without bound while a cycle's batch is small.  When the
+    batch has at most ``broadcast_key_limit`` rows (a counted, proven bound on its
+    distinct keys) its keys are broadcast and the ledger is filtered by a
+    semi-join that only scans it, never shuffles it; the batch is then anti-joined
+    against that small result.  Above the limit both sides are shuffle-joined.
+    """
     first = _first_per_key(_clean_ids(items))
     if ledger is not None:
-        # The ledger grows without bound while a cycle's batch is small: filter the
-        # ledger by the batch keys (the batch is the build side, so Spark/AQE can
-        # broadcast it at its measured size and the ledger is only scanned, never
-        # shuffled), then anti-join the batch against that small result.
         keys = list(LEDGER_KEY)
-        seen = ledger.select(*keys).join(first.select(*keys), keys, "left_semi")
+        batch_keys = first.select(*keys)
+        small = items.count() <= broadcast_key_limit  # one scalar: rows bound the distinct keys
+        seen = ledger.select(*keys).join(F.broadcast(batch_keys) if small else batch_keys, keys, "left_semi")
         first = first.join(seen, keys, "left_anti")
-    seen = first.select(*LEDGER_KEY)
-    new_ledger = seen if ledger is None else ledger.select(*LEDGER_KEY).unionByName(seen)
+    seen_now = first.select(*LEDGER_KEY)
+    new_ledger = seen_now if ledger is None else ledger.select(*LEDGER_KEY).unionByName(seen_now)
     return first, new_ledger
 
 
