@@ -183,7 +183,6 @@ def _report_table(ntable: Column) -> Column:
 
 def score_mappings(catalog: DataFrame) -> DataFrame:
     """Every column x canonical field with a lexical score in [0, 0.98] (DECIMAL)."""
-    spark = catalog.sparkSession
     cols = with_paths(catalog)
     # Scores depend only on (column name, table name): score each distinct pair
     # once (names repeat across a fleet) against the 9 fixed rules (a literal
@@ -307,13 +306,8 @@ def carry_forward_mappings(mappings: DataFrame, previous: DataFrame, catalog: Da
     )
 
 
-def _required_fields(spark: SparkSession) -> DataFrame:
-    return canonical_rules(spark).where("required").select("canonical_field", "field_pos", "label")
-
-
 def setup_questions(mappings: DataFrame, scores: DataFrame, stores: DataFrame) -> DataFrame:
     """One question per store and required field that is missing or unverified."""
-    spark = mappings.sparkSession
     cands = mapping_candidates(scores, 5).groupBy("store_id", "canonical_field").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("candidates"))
     required = [(n, i, lab) for i, (n, _t, _tt, _w, _g, req, lab) in enumerate(CANONICAL_FIELDS) if req]
@@ -342,7 +336,6 @@ def setup_questions(mappings: DataFrame, scores: DataFrame, stores: DataFrame) -
 
 def readiness(mappings: DataFrame, questions: DataFrame, stores: DataFrame) -> DataFrame:
     """Five readiness checks per store; ready = all passed and no unresolved question."""
-    spark = mappings.sparkSession
     grid = with_rules(stores.select("store_id"), readiness_rows(), READINESS_DDL)
     j = grid.join(mappings.select("store_id", "canonical_field", "verified"), ["store_id", "canonical_field"], "left")
     per_check = j.groupBy("store_id", "check_key", "check_pos").agg(
@@ -396,7 +389,6 @@ def table_profiles(catalog: DataFrame) -> DataFrame:
 
 def score_table_roles(catalog: DataFrame, keep_threshold: str = "0.50") -> DataFrame:
     """Table x role confidence (2 dp, clamp 0..0.96) with evidence; keeps >= 0.50."""
-    spark = catalog.sparkSession
     profiles = table_profiles(catalog).withColumn("columns", F.array_sort("columns"))
     # Role scores depend only on (table name, column-name set): score distinct shapes once.
     shapes = profiles.select("normalized_table", "columns").distinct()
