@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,16 @@ def text_or_empty(column: str = "text") -> Column:
 def id_or_last(column: str = "doc_id") -> Column:
     """The id, nulls as the largest long."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+
+
+def packed(docs: DataFrame, carry: Sequence[str], text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """``carry`` as one struct column ``row``, and a function that gives a batch's texts.
+
+    A struct keeps names of carried columns apart from what an operator adds.  The
+    text follows as a second column only if it isn't carried.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    if text in carry:
+        at = list(carry).index(text)
+        return docs.select(row), lambda batch: batch.column(0).field(at)
+    return docs.select(row, F.col(f"`{text}`").alias("text")), lambda batch: batch.column(1)

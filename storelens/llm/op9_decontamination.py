@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import text_or_empty, written
+from storelens.llm.common import packed, text_or_empty, written
 
 WINDOW = 10
 BLOCK_WORDS = 2
@@ -99,9 +99,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _scan(docs: DataFrame, block: list[tuple[str | None, str]]) -> DataFrame:
+def _scan(source: DataFrame, text_of, block: list[tuple[str | None, str]]) -> DataFrame:
     """Words, merged hit spans and item ids of every row against one block of items."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = source.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, matchers, names = build(shared.value)
@@ -109,7 +109,7 @@ def _scan(docs: DataFrame, block: list[tuple[str | None, str]]) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             counts, hits, items = [], [], []
-            for text in batch.column("text"):
+            for text in text_of(batch):
                 ids = [number(w, 0) for w in words(text.as_py())]
                 counts.append(len(ids))
                 spans, found = [], set()
@@ -120,42 +120,42 @@ def _scan(docs: DataFrame, block: list[tuple[str | None, str]]) -> DataFrame:
                 hits.append(_merged(spans))
                 items.append(sorted({names[k] for k in found if names[k] is not None}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(counts, pa.int64()),
+                [batch.column(0), pa.array(counts, pa.int64()),
                  pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "row_key", "n_words", "spans", "items"])
+                names=["row", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key string, "
-                                f"n_words long, spans {SPANS}, items array<string>")
+    return source.mapInArrow(
+        run, f"row {source.schema['row'].dataType.simpleString()}, n_words long, spans {SPANS}, items array<string>")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(doc_id, n_words, spans, items)``, one row per row of ``docs``.
+                       item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(row, n_words, spans, items)``, one row per row of ``docs``; ``row`` is a struct of the ``carry`` columns.
 
-    ``spans`` are the merged word ranges (end exclusive) inside occurring windows; ``items`` are the sorted ids of items with occurring windows.
+    ``spans`` are the merged word ranges (end exclusive) inside occurring windows; ``items``
+    are the sorted ids of items with occurring windows.
     """
     items = written(benchmark.select(F.col(item_id).cast("string").alias("item_id"), text_or_empty(item_text).alias("text")),
                     "benchmark-items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
     number = F.pmod(F.xxhash64("text"), F.lit(blocks))
-    # The row key is only computed where passes are joined: unused columns are pruned.
     key = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(text_or_empty(text)))
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-                         (key if blocks > 1 else F.lit("")).alias("row_key"))
     result = None
     for b in range(blocks):
+        # One block of items, about BLOCK_BYTES of text, at a time.
         block = [(r["item_id"], r["text"]) for r in items.where(number == b).distinct().collect()]
-        found = _scan(source, block)
         if result is None:
-            result = found
+            result = _scan(*packed(docs, carry, text), block) if blocks == 1 else _scan(
+                *packed(docs.withColumn("_row_key", key), (*carry, "_row_key"), text), block)
         else:
-            more = found.where(F.size("spans") > 0).groupBy("row_key").agg(
+            found = _scan(*packed(docs.select(F.col(text), key.alias("_row_key")), ("_row_key",), text), block)
+            more = found.where(F.size("spans") > 0).groupBy(F.col("row._row_key").alias("again")).agg(
                 F.first("spans").alias("more_spans"), F.first("items").alias("more_items"))
-            result = result.join(more, "row_key", "left").select(
-                "doc_id", "row_key", "n_words", _union("spans", "more_spans").alias("spans"),
+            result = result.join(more, F.col("row._row_key") == F.col("again"), "left").select(
+                "row", "n_words", _union("spans", "more_spans").alias("spans"),
                 F.array_sort(F.array_union("items", F.coalesce("more_items", F.array()))).alias("items"))
-    return result.select("doc_id", "n_words", "spans", "items")
+    return result.select(F.struct(*[F.col(f"row.`{c}`") for c in carry]).alias("row"), "n_words", "spans", "items")
 
 
 def _union(a: str, b: str) -> Column:
@@ -172,5 +172,5 @@ def hit_digest(found: DataFrame) -> DataFrame:
     """Counts and the digest of the item ids, for ``find_contamination``'s rows."""
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id", "n_words", total.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "row.doc_id", "n_words", total.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import op3_mixing, op6_pii, op7_line_dedup, op8_tokens, op9_decontamination
+from storelens.llm import (
+    op1_warc,
+    op2_quality_rules as op2_rules,
+    op3_mixing,
+    op4_quality,
+    op5_licenses,
+    op6_pii,
+    op7_line_dedup,
+    op8_tokens,
+    op9_decontamination,
+    op10_minhash,
+)
 from storelens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +66,32 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return op9_decontamination.hit_digest(
         op9_decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"])))
+
+
+@query
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_warc.record_digest(op1_warc.round_trip(spark, table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    judged = op2_rules.apply_cascade(op2_rules.base_counts(docs), op2_rules.plan_cascade(docs))
+    return judged.select("doc_id", *op2_rules.COUNTS, "base_failed", "kept")
+
+
+@query
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = op4_quality.train(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return op4_quality.score_documents(docs, model)
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_licenses.license_digest(op5_licenses.scan_licenses(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_minhash.component_digest(op10_minhash.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"])))

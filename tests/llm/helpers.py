@@ -70,3 +70,43 @@ def hits(text, items):
                     hit.update(range(p, p + size))
                     ids.add(item_id)
     return len(words), len(hit), sorted(str(i) for i in ids if i is not None)
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def near_components(rows):
+    """id -> (set size, component) by comparing all pairs; ids are distinct."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1:]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words by the contract's wording."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    places = defaultdict(list)
+    for i in range(len(words) - 2):
+        places[tuple(words[i:i + 3])].append(i)
+    repeated = {p + k for ps in places.values() if len(ps) > 1 for p in ps for k in range(3)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
+            sum(x in lines[:i] for i, x in enumerate(lines)), len(repeated))
