@@ -41,15 +41,50 @@ def normalize_name(col: Column | str) -> Column:
     return F.regexp_replace(F.lower(_c(col)), "[^a-z0-9]", "")
 
 
+# ISO 8601 shapes: the usual one, which casts as it is, and everything else that is accepted.
+_ISO_PLAIN = r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?([+-][0-9]{2}:[0-9]{2})?)?$"
+_ISO_ANY = (
+    r"^(?!0000)([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2})|-W([0-9]{2})(?:-([0-9]))?|W([0-9]{2})([0-9])?)"
+    r"(?:.([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?|([0-9]{2})(?:([0-9]{2})(?:[.,]([0-9]+))?)?)?"
+    r"(?:([+-])([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:\.[0-9]+)?)?)?)?)?$"
+)
+
+
+def _iso_other(text: Column) -> Column:
+    """The timestamp of an ISO text in any of the rarer shapes."""
+
+    def part(*groups: int) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(text, _ISO_ANY, g), F.lit("")) for g in groups])
+
+    week, day = part(6, 8).cast("int"), F.coalesce(part(7, 9).cast("int"), F.lit(1))
+    fourth = F.make_date(part(1).cast("int"), F.lit(1), F.lit(4))  # always in week 1
+    by_week = F.date_add(F.date_add(fourth, -F.weekday(fourth)), 7 * (week - 1) + day - 1)
+    valid = day.between(1, 7) & (F.weekofyear(by_week) == week)
+    date = F.when(week.isNotNull(), F.when(valid, F.date_format(by_week, "yyyy-MM-dd"))).otherwise(
+        F.concat_ws("-", part(1), part(2, 4), part(3, 5)))
+    zero = F.lit("00")
+    clock = F.concat_ws(":", F.coalesce(part(10), zero), F.coalesce(part(11, 14), zero), F.coalesce(part(12, 15), zero))
+    fraction = F.rpad(F.substring(F.coalesce(part(13, 16), F.lit("0")), 1, 6), 6, "0")
+    naive = F.concat(date, F.lit("T"), clock, F.lit("."), fraction)
+    hours, minutes, seconds = (F.coalesce(part(g).cast("int"), F.lit(0)) for g in (18, 19, 20))
+    shift = F.when(part(17) == "-", -1).otherwise(1) * ((hours * 60 + minutes) * 60 + seconds)
+    at = F.concat(naive, F.lit("+00:00")).try_cast("timestamp")
+    shifted = F.when((hours < 24) & (minutes < 60) & (seconds < 60), F.timestamp_micros(F.unix_micros(at) - shift.cast("bigint") * 1_000_000))
+    return F.when(part(17).isNull(), naive.try_cast("timestamp")).otherwise(shifted)
+
+
 def parse_timestamp(col: Column | str) -> Column:
     """ISO-8601 text -> TIMESTAMP; blank, 'unknown' and unparseable -> null.
 
-    Naive text is read in the session time zone (the job pins it to UTC).
+    Calendar and week dates, extended and basic times, comma fractions and
+    offsets are read; a year, a month or a time alone is not a date.  Naive text is
+    read in the session time zone (the job pins it to UTC).  The rarer shapes
+    are read inside ``transform``, which keeps their long expression out of the
+    generated code of the usual one.
     """
-    text = F.trim(_c(col).cast("string"))
-    return F.when((text == "") | (text == "unknown"), F.lit(None).cast("timestamp")).otherwise(
-        text.try_cast("timestamp")
-    )
+    text = F.replace(F.trim(_c(col).cast("string")), F.lit("Z"), F.lit("+00:00"))
+    return F.when(text.rlike(_ISO_PLAIN), text.try_cast("timestamp")).when(
+        text.rlike(_ISO_ANY), F.get(F.transform(F.array(text), _iso_other), 0))
 
 
 def to_micros(ts: Column | str) -> Column:
@@ -76,24 +111,48 @@ def compose_occurred_at(date_text: Column | str, time_text: Column | str) -> Col
     )
 
 
+# Decimal number text; digits may be grouped by single underscores.
+_NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+
+
 def to_number(col: Column | str) -> Column:
     """Text or number -> DOUBLE; '' and bad input -> null."""
     text = F.trim(_c(col).cast("string"))
-    return F.when(text == "", F.lit(None).cast("double")).otherwise(text.try_cast("double"))
+    named = F.lower(text).rlike(r"^[+-]?(inf|infinity|nan)$")
+    return F.when(text.rlike(_NUMBER) | named, F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def fmt_number(col: Column | str) -> Column:
-    """Render a DOUBLE the way an integral-or-float value prints: 10.0 -> '10'."""
+    """Render a DOUBLE the way an integral-or-float value prints: 10.0 -> '10', 1.5E7 -> '15000000'.
+
+    Below 1e16 a fraction prints in plain digits, the shortest that read back
+    to the same number; the exponent form starts at 1e16 and below 1e-4.
+    """
     c = _c(col)
-    return F.when(c.isNull(), F.lit("None")).when(
-        c == F.floor(c), F.floor(c).cast("bigint").cast("string")
-    ).otherwise(c.cast("string"))
+    size = F.abs(c)
+    text = c.cast("string")
+    # The shortest digits of the scientific text, moved to their place.
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0?$", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
+    bare = F.replace(digits, F.lit("."), F.lit(""))
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    large = F.concat(sign, F.substr(bare, F.lit(1), power + 1), F.lit("."), F.substr(bare, power + 2))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), bare)
+    exponent = F.concat(sign, digits, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                        F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (F.when(c.isNull(), F.lit("None"))
+            .when((c == F.rint(c)) & (size < 1e37), c.cast("decimal(38,0)").cast("string"))
+            .when(~text.contains("E"), text)
+            .when((size >= 1) & (size < 1e16), large)
+            .when((size < 1) & (size >= 1e-4), small)
+            .otherwise(exponent))
 
 
 def _falsy_part(col: Column) -> Column:
-    """Text used for a hash part: null, '' and numeric 0 become ''."""
+    """Text used for a hash part: null, '' and, of numbers and booleans, 0 and false become ''."""
     text = col.cast("string")
-    return F.when(col.isNull() | (text == "") | (text == "0") | (text == "0.0") | (text == "false"), F.lit("")).otherwise(text)
+    zero = (F.typeof(col) != "string") & ((text == "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    return F.when(col.isNull() | (text == "") | zero, F.lit("")).otherwise(text)
 
 
 def record_hash16(*cols: Column | str) -> Column:

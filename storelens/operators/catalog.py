@@ -423,14 +423,15 @@ def score_table_roles(catalog: DataFrame, keep_threshold: str = "0.50") -> DataF
     )
 
 
-def role_candidates(role_scores: DataFrame, limit: int = 5) -> DataFrame:
-    """Top ``limit`` tables per (store, role) by (confidence, row_count) desc, document order."""
+def role_candidates(role_scores: DataFrame, limit: int | None = 5) -> DataFrame:
+    """Top ``limit`` tables (None: all, ranked) per (store, role) by (confidence, row_count) desc, document order."""
     w = Window.partitionBy("store_id", "role").orderBy(
         F.col("confidence").desc(), F.coalesce(F.col("row_count"), F.lit(0)).desc(), "source_pos", "table_pos")
-    return role_scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = role_scores.withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def infer_relationships(cands: DataFrame, catalog: DataFrame, limit: int = 100) -> DataFrame:
+def infer_relationships(cands: DataFrame, catalog: DataFrame) -> DataFrame:
     """Shared-identifier joins among the top-2 candidate tables of every role.
 
     Pairs are (left < right by table path) within one store; the schema bounds
@@ -452,7 +453,7 @@ def infer_relationships(cands: DataFrame, catalog: DataFrame, limit: int = 100)
     w = Window.partitionBy("store_id", "from_table", "to_table").orderBy(has_key.desc(), "normalized")
     best = pairs.withColumn("_k", has_key).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
     w2 = Window.partitionBy("store_id").orderBy("from_table", "to_table")
-    best = best.withColumn("pair_rank", F.row_number().over(w2)).where(F.col("pair_rank") <= limit)
+    best = best.withColumn("pair_rank", F.row_number().over(w2))
     return best.select(
         "store_id",
         F.lit("inferred_shared_identifier").alias("kind"),
@@ -530,8 +531,7 @@ def rank_databases(role_scores: DataFrame, catalog: DataFrame, group_col: str =
     )
     j = j.withColumn("score", F.round(score, 3).cast(T.DecimalType(12, 3))).withColumn(
         "eligible", F.col("strong_roles") > 0)
-    w = Window.partitionBy(group_col).orderBy(F.col("eligible").desc(), F.col("score").desc(), "store_id")
-    return j.withColumn("selected", (F.row_number().over(w) == 1) & F.col("eligible")).select(
+    return _select_best(j, group_col, "store_id").select(
         group_col, F.col("store_id").alias("database"), F.col("score").cast("double").alias("score"), "eligible",
         "table_count", "column_count", F.coalesce(F.col("operational_roles"), F.lit("")).alias("operational_roles"),
         "selected")
@@ -544,13 +544,28 @@ def rank_collectors(channels: DataFrame, event_tables: DataFrame, group_col: str
     j = ch.join(et, [group_col, "root"], "full").fillna(0, ["camera_channels", "event_tables"])
     j = j.withColumn("score", F.col("camera_channels") * 10 + F.col("event_tables") * 5).withColumn(
         "eligible", F.col("camera_channels") > 0)
-    w = Window.partitionBy(group_col).orderBy(F.col("eligible").desc(), F.col("score").desc(), "root")
-    return j.withColumn("selected", (F.row_number().over(w) == 1) & F.col("eligible"))
+    return _select_best(j, group_col, "root")
+
+
+def _select_best(ranked: DataFrame, group_col: str, name: str) -> DataFrame:
+    """Marks the eligible row of each group with the highest score (ties: smallest name).
+
+    The winner is an aggregation with partial sums, joined back, so a group that
+    holds most rows is never sorted in one task.
+    """
+    best = ranked.where("eligible").groupBy(F.col(group_col).alias("_group")).agg(
+        F.min(F.struct((-F.col("score")).alias("s"), F.col(name).alias("name"))).alias("_best"))
+    joined = ranked.join(best, ranked[group_col].eqNullSafe(best["_group"]), "left")
+    selected = F.coalesce(F.col("eligible") & (F.col(name) == F.col("_best.name")), F.lit(False))
+    return joined.withColumn("selected", selected).drop("_group", "_best")
 
 
 def mapping_targets(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Unverified mappings resolved to their catalog (table, column, type)."""
-    c = with_paths(catalog).select("store_id", F.col("path").alias("source_path"), "table_path", "table", "column",
+    """Unverified mappings into the store's one SQL source, with their (table, column, type)."""
+    from storelens.operators.factplan import selected_sql_source
+
+    own = catalog.join(selected_sql_source(catalog), ["store_id", "source"], "left_semi")
+    c = with_paths(own).select("store_id", F.col("path").alias("source_path"), "table_path", "table", "column",
                                    "type", "primary_key")
     return mappings.where(~F.col("verified")).join(c, ["store_id", "source_path"])
 

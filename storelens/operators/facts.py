@@ -32,8 +32,8 @@ class FactPlan:
     time_col: str | None = None
     destination_col: str | None = None
     pack_size_col: str | None = None
-    structural_confidence: float = 0.78
-    mapping_verified: bool = False
+    structural_confidence: float | Column = 0.78
+    mapping_verified: bool | Column = False
     tiebreak: tuple[str, ...] = field(default_factory=tuple)
 
 
@@ -49,15 +49,17 @@ def extract_line_facts(
     product: DataFrame,
     plan: FactPlan,
     limit: int | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Privacy-narrow system-record facts for every (or the newest ``limit``) line.
 
-    ``limit`` reproduces the poll form (newest N per store and operation, N
+    ``carry`` names header columns that the plan's confidence or verification refer
+    to.  ``limit`` reproduces the poll form (newest N per store and operation, N
     clamped to 1..100) through ``row_number`` so Spark plans a per-group
     limit before the shuffle; ``None`` extracts every line (backfill form).
     """
     h_cols = [F.col(plan.header_id).alias("_hid"), F.col(plan.header_store).alias("store_id"),
-              F.col(plan.date_col).alias("_date")]
+              F.col(plan.date_col).alias("_date"), *[F.col(c) for c in carry]]
     if plan.time_col:
         h_cols.append(F.col(plan.time_col).alias("_time"))
     h = header.select(*h_cols)
@@ -106,7 +108,9 @@ def extract_line_facts(
 
     pack = number("_pack", product, plan.pack_size_col) if plan.pack_size_col else F.lit(None).cast("double")
     rhash = record_hash20(F.col("_op"), F.col("_hid"), F.col("_lid"))
-    conf = F.lit(float(plan.structural_confidence))
+    conf = plan.structural_confidence
+    conf = conf if isinstance(conf, Column) else F.lit(float(conf))
+    verified = plan.mapping_verified
     out = j.select(
         "store_id",
         F.concat(F.col("_op"), F.lit("_line")).alias("operation_type"),
@@ -119,11 +123,50 @@ def extract_line_facts(
         F.when(pack > 0, pack).alias("pack_size"),
         (F.col("destination_id") if plan.destination_col else F.lit(None).cast("string")).alias("destination_id"),
         rhash.alias("source_record_hash"),
-        F.lit(bool(plan.mapping_verified)).alias("mapping_verified"),
+        (verified if isinstance(verified, Column) else F.lit(bool(verified))).alias("mapping_verified"),
     )
     return out
 
 
+PLAN_SHAPE = (
+    "operation", "header_table", "line_table", "product_table", "header_id_col", "line_header_col", "line_product_col",
+    "product_key_col", "date_col", "time_col", "quantity_col", "product_identity_col", "pack_size_col", "line_id_col",
+    "destination_col",
+)
+
+
+def extract_learned_facts(plans: DataFrame, tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Facts by the plans of ``resolve_fact_plan``, each store by its own.
+
+    ``tables`` are the stores' tables by table path; headers carry ``store_id``.
+    Stores whose plans name the same tables and columns are one job: only the
+    distinct plan shapes, that is, the distinct schemas, come to the driver.
+    Confidence and ``mapping_verified`` are those of the store's plan.
+    """
+    good = plans.where("plan_ok")
+    shapes = good.select(*PLAN_SHAPE).distinct().collect()
+    out = None
+    for shape in sorted(shapes, key=lambda r: tuple(x or "" for x in r)):
+        same = F.lit(True)
+        for c in PLAN_SHAPE:
+            same = same & F.col(c).eqNullSafe(F.lit(shape[c]))
+        stores = good.where(same).select(F.col("store_id").alias("_store"), F.col("structural_confidence").alias("_conf"),
+                                         F.col("mapping_verified").alias("_verified"))
+        header = tables[shape["header_table"]]
+        header = header.join(stores, header["store_id"] == stores["_store"]).drop("_store")
+        plan = FactPlan(
+            header_id=shape["header_id_col"], header_store="store_id", date_col=shape["date_col"], time_col=shape["time_col"],
+            line_header=shape["line_header_col"], line_id=shape["line_id_col"], line_product=shape["line_product_col"],
+            quantity_col=shape["quantity_col"], product_key=shape["product_key_col"], product_identity=shape["product_identity_col"],
+            operation=F.lit(shape["operation"]), destination_col=shape["destination_col"], pack_size_col=shape["pack_size_col"],
+            structural_confidence=F.round("_conf", 2), mapping_verified=F.col("_verified"))
+        part = extract_line_facts(header, tables[shape["line_table"]], tables[shape["product_table"]], plan, limit, ("_conf", "_verified"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no store has a plan")
+    return out
+
+
 def fixture_plan() -> FactPlan:
     """Plan for orders ⋈ lineitem ⋈ part (the driver-table form of a store database)."""
     return FactPlan(

@@ -2,15 +2,13 @@
 
 Poll items (``store_id, connector, external_id, occurred_at, kind, confidence,
 payload``) are deduplicated against a seen-ledger keyed by (store, connector,
-external_id).  The ledger anti-join is an equi-join on that key; keep the
-ledger table bucketed/partitioned by hash(external_id) so a cycle shuffles only
-the new batch.  The ledger is unbounded (the reference keeps only the last
-10,000 ids per connector and can re-import older ones).
+external_id).  The ledger anti-join is an equi-join on that key.  The ledger is
+unbounded: an id is never imported twice, however old it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalar import clamp_confidence
@@ -19,13 +17,13 @@ from storelens.schemas import EVIDENCE_KINDS
 LEDGER_KEY = ("store_id", "connector", "external_id")
 
 
-def _first_per_key(items: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """First occurrence per (store, connector, external_id): ordered by occurred_at
-    text, then every other column for a deterministic winner."""
-    rest = sorted(c for c in items.columns if c not in LEDGER_KEY and c != "occurred_at")
-    order_cols = [F.col(c) for c in (order or ["occurred_at"] + rest)]
-    w = Window.partitionBy(*LEDGER_KEY).orderBy(*order_cols)
-    return items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def _first_per_key(items: DataFrame) -> DataFrame:
+    """First occurrence per (store, connector, external_id): the smallest by occurred_at text,
+    then by every other column.  An aggregation with partial minima, so a key that
+    comes in many times is reduced before the shuffle."""
+    rest = ["occurred_at", *sorted(c for c in items.columns if c not in LEDGER_KEY and c != "occurred_at")]
+    first = items.groupBy(*LEDGER_KEY).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(*[F.col(c) if c in LEDGER_KEY else F.col(f"_first.`{c}`").alias(c) for c in items.columns])
 
 
 def _clean_ids(items: DataFrame) -> DataFrame:
@@ -33,26 +31,16 @@ def _clean_ids(items: DataFrame) -> DataFrame:
     return items.withColumn("external_id", ext).where(F.col("external_id") != "")
 
 
-def new_evidence(items: DataFrame, ledger: DataFrame | None,
-                 broadcast_key_limit: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def new_evidence(items: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(new items, updated ledger): items whose id the ledger has not seen, first occurrence wins.
 
-    The ledger grows without bound while a cycle's batch is small.  When the
-    batch has at most ``broadcast_key_limit`` rows (a counted, proven bound on its
-    distinct keys) its keys are broadcast and the ledger is filtered by a
-    semi-join that only scans it, never shuffles it; the batch is then anti-joined
-    against that small result.  Above the limit both sides are shuffle-joined.
+    One aggregation and one anti-join, both on the ledger key.
     """
     first = _first_per_key(_clean_ids(items))
-    if ledger is not None:
-        keys = list(LEDGER_KEY)
-        batch_keys = first.select(*keys)
-        small = items.count() <= broadcast_key_limit  # one scalar: rows bound the distinct keys
-        seen = ledger.select(*keys).join(F.broadcast(batch_keys) if small else batch_keys, keys, "left_semi")
-        first = first.join(seen, keys, "left_anti")
-    seen_now = first.select(*LEDGER_KEY)
-    new_ledger = seen_now if ledger is None else ledger.select(*LEDGER_KEY).unionByName(seen_now)
-    return first, new_ledger
+    if ledger is None:
+        return first, first.select(*LEDGER_KEY)
+    fresh = first.join(ledger.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
+    return fresh, ledger.select(*LEDGER_KEY).unionByName(fresh.select(*LEDGER_KEY))
 
 
 def prime_ledger(items: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -76,8 +64,7 @@ def normalize_evidence(items: DataFrame, now: str | Column) -> tuple[DataFrame,
     staged = items.withColumn("_kind", kind)
     ok = staged.where(F.col("_kind").isin(*EVIDENCE_KINDS))
     rejected = staged.where(~F.col("_kind").isin(*EVIDENCE_KINDS)).drop("_kind")
-    evid = F.concat(F.lit("evd_"), F.substring(
-        F.sha2(F.concat_ws("|", F.col("store_id"), F.col("connector"), F.col("external_id")), 256), 1, 16))
+    evid = F.concat(F.lit("evd_"), F.sha2(F.concat_ws("|", F.col("store_id"), F.col("connector"), F.col("external_id")), 256))
     payload_cols = [c for c in items.columns if c not in ("store_id", "connector", "external_id", "occurred_at",
                                                            "kind", "confidence")]
     evidence = ok.select(
@@ -108,7 +95,7 @@ def facts_to_events(evidence: DataFrame) -> DataFrame:
         F.col("source_record_hash").alias("source_record_hash"),
     )
     return ev.select(
-        F.concat(F.lit("evt_"), F.substring(F.sha2(F.col("id"), 256), 1, 16)).alias("id"),
+        F.concat(F.lit("evt_"), F.sha2(F.col("id"), 256)).alias("id"),
         "store_id",
         F.when(is_purchase, F.lit("receiving")).otherwise(F.lit("sale")).alias("event_type"),
         "occurred_at",

@@ -26,12 +26,12 @@ def _ordered_ids(entries: Column) -> Column:
 
 
 def link_evidence(events: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(event_id, position, evidence_id, kind): event links that resolve; order and
-    duplicates kept, dangling ids dropped."""
-    links = events.select(F.col("id").alias("event_id"), F.posexplode("evidence_ids").alias("position", "evidence_id"))
-    return links.join(
-        evidence.select(F.col("id").alias("evidence_id"), "kind"), "evidence_id"
-    ).select("event_id", "position", "evidence_id", "kind")
+    """(event_id, position, evidence_id, kind): event links that resolve to evidence of
+    the event's own store; order and duplicates kept, other ids dropped."""
+    links = events.select(F.col("id").alias("event_id"), "store_id",
+                          F.posexplode("evidence_ids").alias("position", "evidence_id"))
+    known = evidence.select(F.col("id").alias("evidence_id"), "store_id", "kind")
+    return links.join(known, ["evidence_id", "store_id"]).select("event_id", "position", "evidence_id", "kind")
 
 
 def check_evidence_refs(events: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,11 +44,12 @@ def check_evidence_refs(events: DataFrame, evidence: DataFrame) -> tuple[DataFra
 
 
 def task_confirmations(tasks: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Answered operational-role tasks backed by a human_confirmation evidence row,
-    with the decisive answer value (true / false / null)."""
+    """Answered operational-role tasks backed by a human_confirmation evidence row of
+    the same store, with the decisive answer value (true / false / null)."""
     t = tasks.where((F.col("status") == "answered") & F.col("role").isin(*CONFIRMATION_ROLES))
-    conf = evidence.where(F.col("kind") == "human_confirmation").select(F.col("id").alias("_cid"))
-    j = t.join(conf, t["answer"].getField("evidence_id") == conf["_cid"])
+    conf = evidence.where(F.col("kind") == "human_confirmation").select(
+        F.col("id").alias("_cid"), F.col("store_id").alias("_cstore"))
+    j = t.join(conf, (t["answer"].getField("evidence_id") == conf["_cid"]) & (t["store_id"] == conf["_cstore"]))
     return j.select(
         F.col("id").alias("task_id"),
         "store_id",
@@ -71,7 +72,9 @@ def operation_proofs(events: DataFrame, evidence: DataFrame, tasks: DataFrame, w
 
     conf = task_confirmations(tasks, evidence)
     entry = F.struct(F.col("created_at"), F.col("task_id").alias("id"))
-    votes = conf.groupBy("related_event_id").agg(
+    # One list is one event's tasks; tasks without an event vote on nothing.
+    votes = conf.where(F.col("related_event_id").isNotNull()).groupBy(
+        F.col("store_id").alias("_vstore"), "related_event_id").agg(
         _ordered_ids(F.collect_list(F.when(F.col("confirmation") == True, entry))).alias("positive"),  # noqa: E712
         _ordered_ids(F.collect_list(F.when(F.col("confirmation") == False, entry))).alias("negative"),  # noqa: E712
     )
@@ -82,7 +85,7 @@ def operation_proofs(events: DataFrame, evidence: DataFrame, tasks: DataFrame, w
 
     p = (
         ev.join(sys_ids, ev["id"] == sys_ids["event_id"], "left")
-        .join(votes, ev["id"] == votes["related_event_id"], "left")
+        .join(votes, (ev["id"] == votes["related_event_id"]) & (ev["store_id"] == votes["_vstore"]), "left")
         .join(cam, ev["id"] == cam["_cid"], "left")
     )
     empty = F.array().cast("array<string>")

@@ -66,12 +66,13 @@ def audit_log(actions: DataFrame, checkpoint: bool = True) -> DataFrame:
     return sequence_within(actions, "store_id", ["created_at", "id"], "sequence", checkpoint=checkpoint)
 
 
-def recent_top_n(df: DataFrame, group: list[str], order: list[Column], n: int, hi: int = 1000) -> DataFrame:
-    """Newest ``n`` rows per group (n clamped to 1..hi): a per-group limit Spark
-    applies before the shuffle (WindowGroupLimit)."""
-    k = max(1, min(int(n), hi))
+def recent_top_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """Newest ``n`` rows per group: a per-group limit Spark applies before the
+    shuffle (WindowGroupLimit)."""
+    if n < 1:
+        raise ValueError(f"n must be at least 1, not {n}")
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def dedupe_ordered(df: DataFrame, value: str, position: str, case_insensitive: bool = True) -> DataFrame:

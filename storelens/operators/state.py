@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from storelens.schemas import ANSWER_FIELDS
 
-# Fixed values of the action policy.
+# Action policy and outcome texts of setup answers.
 AUTOMATIC_AUTHORITY = ("observe", "local_work")
 ACTIVE_ACTION_STATUSES = ("pending_approval", "approved", "allowed")
+CORRECTED_TEXT = ("Human corrected proposed mapping `", "` during onboarding; confirmed by ", ".")
+MAPPED_TEXT = ("Confirmed by ", " during onboarding.")
 
 
 def answer_tasks(tasks: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply answers to open tasks.
 
     ``answers``: answer_id, store_id, task_id, actor, answered_at and the answer
-    keys (confirmed, verified, ...).  Returns (tasks after, confirmation evidence,
+    keys (confirmed, verified, ...); keys without a field of their own are kept
+    together as JSON in ``other``.  Returns (tasks after, confirmation evidence,
     rejected answers).  The first answer per open task wins; answers for unknown,
     foreign-store or non-open tasks, and later duplicates, are rejected.
     """
@@ -36,12 +39,16 @@ def answer_tasks(tasks: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataF
         "answer_id", "store_id", "task_id",
         F.when(~F.col("_open"), F.lit("unknown_or_not_open_task")).otherwise(F.lit("task_already_answered")).alias("reason"))
 
-    evid = F.concat(F.lit("evd_"), F.substring(F.sha2(F.col("answer_id"), 256), 1, 12))
-    present = [f for f in ANSWER_FIELDS if f not in ("evidence_id", "actor") and f in answers.columns]
+    evid = F.concat(F.lit("evd_"), F.sha2(F.concat_ws("|", "store_id", "answer_id"), 256))
+    own = ("answer_id", "store_id", "task_id", "actor", "answered_at")
+    given = [c for c in answers.columns if c not in own]
+    present = [f for f in given if f not in ("evidence_id", "actor")]
+    rest = [c for c in given if c not in ANSWER_FIELDS]
+    other = F.to_json(F.struct(*[F.col(c) for c in rest])) if rest else F.lit(None).cast("string")
+    fixed = [f for f in ANSWER_FIELDS if f not in ("evidence_id", "actor", "other")]
     answer_struct = F.struct(*[
-        (F.col(f).cast("string") if f in present else F.lit(None).cast("string")).alias(f)
-        for f in ANSWER_FIELDS if f not in ("evidence_id", "actor")
-    ], evid.alias("evidence_id"), F.col("actor").alias("actor"))
+        (F.col(f).cast("string") if f in given else F.lit(None).cast("string")).alias(f) for f in fixed
+    ], evid.alias("evidence_id"), F.col("actor").alias("actor"), other.alias("other"))
     acc = accepted.select("task_id", "store_id", "actor", "answered_at", evid.alias("_evid"),
                           answer_struct.alias("_answer"),
                           F.to_json(F.struct(F.col("task_id"), F.struct(*[F.col(f) for f in present]).alias("answer")))
@@ -99,10 +106,10 @@ def answer_questions(questions: DataFrame, mappings: DataFrame, answers: DataFra
     mj = mappings.join(changes, ["store_id", "canonical_field"], "full")
     changed = F.col("outcome").isNotNull()
     reason = (F.when(F.col("outcome") == "corrected",
-                     F.concat(F.lit("Human corrected proposed mapping `"), F.col("source_path"),
-                              F.lit("` during onboarding; confirmed by "), F.col("actor"), F.lit(".")))
+                     F.concat(F.lit(CORRECTED_TEXT[0]), F.col("source_path"), F.lit(CORRECTED_TEXT[1]), F.col("actor"),
+                              F.lit(CORRECTED_TEXT[2])))
               .when(F.col("outcome") == "mapped",
-                    F.concat(F.lit("Confirmed by "), F.col("actor"), F.lit(" during onboarding.")))
+                    F.concat(F.lit(MAPPED_TEXT[0]), F.col("actor"), F.lit(MAPPED_TEXT[1])))
               .otherwise(F.col("reasoning")))
     new_mappings = mj.select(
         "store_id", "canonical_field",
@@ -133,33 +140,35 @@ def classify_action(authority) -> F.Column:
 def action_status(requests: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Current action status from requests and an append-only decision log.
 
-    ``decisions``: action_id, decision ('approve' | 'execute'), actor, decided_at.
-    approve is legal only from pending_approval/allowed (denied can never be
-    approved); execute only after an approval.  Returns (actions, rejected).
+    ``decisions``: action_id, store_id, decision ('approve' | 'execute'), actor,
+    decided_at.  The decisions of an action are taken in order of time, approvals
+    before executions and then by actor; the first approval of an action that
+    was not denied counts, then the first execution after it.  All others are
+    rejected, and so are decisions on another store's action.
+    Returns (actions, rejected).
     """
     base = requests.withColumn("initial_status", classify_action("authority"))
-    d = decisions.join(base.select(F.col("id").alias("action_id"), "initial_status"), "action_id", "left")
-    first_approve = d.where((F.col("decision") == "approve") & F.col("initial_status").isin("pending_approval", "allowed")) \
-        .groupBy("action_id").agg(F.min(F.struct("decided_at", "actor")).alias("_appr"))
-    d = d.join(first_approve, "action_id", "left")
-    appr_t = F.col("_appr.decided_at")
-    after_appr = F.col("decided_at") > appr_t
-    first_exec = d.where((F.col("decision") == "execute") & appr_t.isNotNull() & after_appr) \
-        .groupBy("action_id").agg(F.min("decided_at").alias("_exec_t"))
-    d = d.join(first_exec, "action_id", "left")
-    legal = (
-        F.col("initial_status").isNotNull()
-        & (((F.col("decision") == "approve") & appr_t.isNotNull() & (F.col("decided_at") == appr_t))
-           | ((F.col("decision") == "execute") & F.col("_exec_t").isNotNull() & (F.col("decided_at") == F.col("_exec_t"))))
-    )
-    rejected = d.where(~legal).select(
+    own = base.select(F.col("id").alias("action_id"), "store_id", "initial_status")
+    # One window is one action's decisions.
+    order = Window.partitionBy("action_id", "store_id").orderBy("decided_at", "decision", "actor")
+    d = decisions.select("action_id", "store_id", "decision", "actor", "decided_at").withColumn(
+        "_n", F.row_number().over(order)).join(own, ["action_id", "store_id"], "left")
+    may = (F.col("decision") == "approve") & F.col("initial_status").isin("pending_approval", "allowed")
+    whole = Window.partitionBy("action_id", "store_id")
+    d = d.withColumn("_approved", F.min(F.when(may, F.col("_n"))).over(whole))
+    after = (F.col("decision") == "execute") & (F.col("_n") > F.col("_approved"))
+    d = d.withColumn("_executed", F.min(F.when(after, F.col("_n"))).over(whole))
+    approves = F.coalesce(F.col("_n") == F.col("_approved"), F.lit(False))
+    executes = F.coalesce(F.col("_n") == F.col("_executed"), F.lit(False))
+    rejected = d.where(~approves & ~executes).select(
         "action_id", "decision", "actor", "decided_at",
         F.when(F.col("initial_status").isNull(), F.lit("unknown_action"))
         .when(F.col("initial_status") == "denied", F.lit("prohibited_action"))
         .otherwise(F.lit("illegal_transition")).alias("reason"))
-    summary = d.groupBy("action_id").agg(
-        F.first("_appr", ignorenulls=True).alias("_appr"), F.first("_exec_t", ignorenulls=True).alias("_exec_t"))
-    j = base.join(summary, base["id"] == summary["action_id"], "left")
+    taken = d.where(approves | executes).groupBy("action_id", "store_id").agg(
+        F.max(F.when(approves, F.struct("decided_at", "actor"))).alias("_appr"),
+        F.max(F.when(executes, F.col("decided_at"))).alias("_exec_t")).withColumnRenamed("store_id", "_store")
+    j = base.join(taken, (base["id"] == taken["action_id"]) & (base["store_id"] == taken["_store"]), "left")
     status = (F.when(F.col("_exec_t").isNotNull(), F.lit("executed"))
               .when(F.col("_appr").isNotNull(), F.lit("approved"))
               .otherwise(F.col("initial_status")))

@@ -189,13 +189,21 @@ def _task_array(rules) -> Column:
 
 @session_cached
 def _summary_default() -> Column:
-    return _summary(F.size("_tasks"))
+    return _summary(F.size("_tasks"), SUMMARIES)
 
 
-def _summary(n: Column) -> Column:
+def summaries_for(rules: dict[str, list[WorkflowRule]], extra: dict[str, tuple[str, str]] | None = None) -> dict[str, tuple[str, str]]:
+    """Summary texts of every event type in ``rules``: the given ones, else the fixed
+    ones, else texts made from the type's name."""
+    named = {t: (t.replace("_", " ").capitalize() + " reconciled", t.replace("_", " ").capitalize() + " needs {n} verification step(s)")
+             for t in rules}
+    return {t: ((extra or {}).get(t) or SUMMARIES.get(t) or named[t]) for t in rules}
+
+
+def _summary(n: Column, texts: dict[str, tuple[str, str]]) -> Column:
     et = F.col("event_type")
     expr = None
-    for etype, (clear, pending) in SUMMARIES.items():
+    for etype, (clear, pending) in texts.items():
         if "{n}" in pending:
             head, tail = pending.split("{n}")
             pend = F.concat(F.lit(head), n.cast("string"), F.lit(tail))
@@ -207,10 +215,13 @@ def _summary(n: Column) -> Column:
 
 
 def evaluate_workflows(
-    events: DataFrame, rules: dict[str, list[WorkflowRule]] | None = None
+    events: DataFrame, rules: dict[str, list[WorkflowRule]] | None = None,
+    summaries: dict[str, tuple[str, str]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(events with status/summary/task_count, tasks).
 
+    ``summaries`` gives (no task, tasks with {n}) texts of event types in ``rules``.
+
     status is ``verified`` without tasks, else ``needs_verification``; task ids
     are ``<event id>:<position>`` so reruns are idempotent.
     """
@@ -221,7 +232,7 @@ def evaluate_workflows(
         *staged.columns,
         n.alias("task_count"),
         F.when(n == 0, F.lit("verified")).otherwise(F.lit("needs_verification")).alias("status"),
-        _summary_default().alias("summary"),
+        (_summary_default() if rules is None else _summary(n, summaries_for(rules, summaries))).alias("summary"),
     )
     out_events = evaluated.drop("_tasks")
     tasks = evaluated.select(

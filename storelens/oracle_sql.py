@@ -120,9 +120,11 @@ fx_all_evidence AS (
 
 FX["fx_links"] = """
 fx_links AS (
-  SELECT id AS event_id, unnest(ids) AS evidence_id, unnest(generate_series(0, len(ids) - 1)) AS position
-  FROM (SELECT id, CASE WHEN evidence_id IS NULL THEN ['evd_missing']
-                        ELSE [evidence_id, evidence_id, 'evd_missing'] END AS ids FROM fx_op_event))"""
+  SELECT id AS event_id, store_id, unnest(ids) AS evidence_id, unnest(generate_series(0, len(ids) - 1)) AS position
+  FROM (SELECT id, store_id, CASE WHEN evidence_id IS NULL THEN ['evd_missing']
+                                  ELSE [evidence_id, evidence_id, 'evd_missing'] END
+                             || CASE WHEN n % 9 = 4 THEN ['evd_' || CAST(n + 1 AS VARCHAR)] ELSE []::VARCHAR[] END AS ids
+        FROM fx_op_event))"""
 
 # Dependencies between fixture CTEs.
 FX_DEPS = {

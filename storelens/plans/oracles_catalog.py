@@ -50,12 +50,16 @@ fx_stores AS (
   FROM customer),
 ocount AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
 fx_cat AS (
-  SELECT s.store_id, t.source, 0 AS source_pos, t.source_kind, t."table", t.table_pos, t."column", t.column_pos, t.type,
+  SELECT s.store_id, t.source, s.source_pos, t.source_kind, t."table", t.table_pos, t."column", t.column_pos, t.type,
          t.primary_key, CAST(coalesce(oc.n, 0) * (t.table_pos + 1) AS BIGINT) AS row_count,
          t.source || '.' || t."table" AS table_path, t.source || '.' || t."table" || '.' || t."column" AS path,
          regexp_replace(lower(t."column"), '[^a-z0-9]', '', 'g') AS normalized,
          regexp_replace(lower(t."table"), '[^a-z0-9]', '', 'g') AS normalized_table
-  FROM fx_stores s JOIN tpl t ON t.template = s.template LEFT JOIN ocount oc ON oc.o_custkey = s.c_custkey),
+  FROM (SELECT store_id, c_custkey, template, CASE WHEN template = 2 AND c_custkey % 4 = 0 THEN 1 ELSE 0 END AS source_pos FROM fx_stores
+        UNION ALL SELECT store_id, c_custkey, 1, 0 FROM fx_stores WHERE template = 2 AND c_custkey % 4 = 0) s
+  JOIN tpl t ON t.template = s.template LEFT JOIN ocount oc ON oc.o_custkey = s.c_custkey),
+sqlsrc AS (SELECT store_id, arg_min(source, source_pos) AS source FROM fx_cat WHERE source_kind = 'sqlserver' GROUP BY 1),
+sqlcat AS (SELECT c.* FROM fx_cat c JOIN sqlsrc s ON s.store_id = c.store_id AND s.source = c.source),
 canon(canonical_field, field_pos, tokens, table_tokens, weak_tokens, column_groups, required, label) AS (VALUES {CANON_VALUES}),
 fx_contracts AS (
   SELECT s.store_id, c.source, c.canonical_field, c."table", c."column", c.authority, c.contract_pos
@@ -200,8 +204,7 @@ inferred AS (
                      row_number() OVER (PARTITION BY l.store_id, l.table_path, r.table_path
                                         ORDER BY coalesce(l.pk, false) OR coalesce(r.pk, false) DESC, l.normalized) AS rn
               FROM idcols l JOIN idcols r ON l.store_id = r.store_id AND l.normalized = r.normalized
-               AND l.table_path < r.table_path) WHERE rn = 1)
-  WHERE pair_rank <= 100)"""
+               AND l.table_path < r.table_path) WHERE rn = 1))"""
 
 
 CATALOG_ORACLES: dict[str, str] = {}
@@ -272,7 +275,7 @@ FROM (
              GROUP BY 1) s ON s.store_id = t.store_id)""")
 CATALOG_ORACLES["mapping_targets"] = _q("""
 SELECT m.store_id, m.canonical_field, m.source_path, c.table_path, c."column", c.type
-FROM mappings m JOIN fx_cat c ON c.store_id = m.store_id AND c.path = m.source_path WHERE NOT m.verified""")
+FROM mappings m JOIN sqlcat c ON c.store_id = m.store_id AND c.path = m.source_path WHERE NOT m.verified""")
 
 
 def _sig_values() -> str:
@@ -293,8 +296,12 @@ def _sig_values() -> str:
 
 CATALOG_ORACLES["resolve_fact_plan"] = _q(f""",
 ops AS (SELECT store_id, op FROM fx_stores CROSS JOIN (VALUES ('purchase'), ('sale')) o(op)),
-rp AS (SELECT store_id, role, arg_min(source_path, rank) AS path, arg_min(CAST(confidence AS DOUBLE), rank) AS conf
-       FROM role_cands WHERE confidence >= 0.80 AND coalesce(row_count, 0) > 0 GROUP BY 1, 2),
+rp AS (SELECT r.store_id, r.role, arg_min(r.source_path, r.rank) AS path, arg_min(CAST(r.confidence AS DOUBLE), r.rank) AS conf
+       FROM (SELECT *, row_number() OVER (PARTITION BY store_id, role
+                     ORDER BY confidence DESC, coalesce(row_count, 0) DESC, source_pos, table_pos) AS rank
+             FROM role_scores WHERE confidence >= 0.50) r
+       JOIN (SELECT DISTINCT store_id, table_path FROM sqlcat) t ON t.store_id = r.store_id AND t.table_path = r.source_path
+       WHERE r.confidence >= 0.80 AND coalesce(r.row_count, 0) > 0 GROUP BY 1, 2),
 base AS (
   SELECT o.store_id, o.op, h.path AS header_table, h.conf AS header_confidence, l.path AS line_table,
          l.conf AS line_confidence, p.path AS product_table, p.conf AS product_confidence
@@ -308,7 +315,7 @@ sigcols AS (
            row_number() OVER (PARTITION BY c.store_id, c.table_path, s.op, s.name
              ORDER BY CASE WHEN list_position(s.exact, c.normalized) IS NOT NULL THEN 0 ELSE 1 END,
                       coalesce(list_position(s.exact, c.normalized), 0), c.column_pos) AS rn
-    FROM fx_cat c CROSS JOIN sig s
+    FROM sqlcat c CROSS JOIN sig s
     WHERE list_position(s.exact, c.normalized) IS NOT NULL
        OR len(list_filter(s.cont, lambda t: contains(c.normalized, t))) > 0) WHERE rn = 1),
 rels AS (
@@ -326,8 +333,8 @@ pj AS (SELECT b.store_id, b.op, arg_min(d.a_col, d.rk) AS l_col, arg_min(d.b_col
               arg_min(d.confidence, d.rk) AS conf
        FROM base b JOIN dir d ON d.store_id = b.store_id AND d.a = b.line_table AND d.b = b.product_table GROUP BY 1, 2),
 mapcols AS (SELECT m.store_id, m.canonical_field, c.table_path, c."column", CAST(m.confidence AS DOUBLE) AS conf, m.verified
-            FROM mappings m JOIN fx_cat c ON c.store_id = m.store_id AND c.path = m.source_path),
-linepk AS (SELECT store_id, table_path, arg_min("column", column_pos) AS pk FROM fx_cat WHERE primary_key GROUP BY 1, 2),
+            FROM mappings m JOIN sqlcat c ON c.store_id = m.store_id AND c.path = m.source_path),
+linepk AS (SELECT store_id, table_path, arg_min("column", column_pos) AS pk FROM sqlcat WHERE primary_key GROUP BY 1, 2),
 plan AS (
   SELECT b.*, hj.l_col AS header_id_col, hj.r_col AS line_header_col, hj.conf AS hj_conf,
          pj.l_col AS line_product_col, pj.r_col AS product_key_col, pj.conf AS pj_conf,
@@ -350,11 +357,13 @@ plan AS (
   LEFT JOIN mapcols pm ON pm.store_id = b.store_id AND pm.table_path = b.product_table AND pm.canonical_field = 'product.pack_size'
   LEFT JOIN linepk lp ON lp.store_id = b.store_id AND lp.table_path = b.line_table),
 reasoned AS (
-  SELECT *, CASE WHEN header_table IS NULL OR line_table IS NULL OR product_table IS NULL THEN 'no reliable header/line/product plan'
-                 WHEN header_id_col IS NULL OR line_product_col IS NULL THEN 'no reliable joins'
+  SELECT p.*, CASE WHEN s.source IS NULL THEN 'the store has no SQL source'
+                 WHEN header_table IS NULL OR line_table IS NULL OR product_table IS NULL
+                   THEN 'no header, line and product tables are known well enough'
+                 WHEN header_id_col IS NULL OR line_product_col IS NULL THEN 'no join of the plan''s tables is known well enough'
                  WHEN date_col IS NULL OR quantity_col IS NULL OR product_identity_col IS NULL OR line_id_col IS NULL
-                   THEN 'missing date, quantity, product identity or line identity' END AS reason
-  FROM plan)
+                   THEN 'a date, quantity, product identity or line identity column is missing' END AS reason
+  FROM plan p LEFT JOIN sqlsrc s ON s.store_id = p.store_id)
 SELECT store_id, op AS operation, reason IS NULL AS plan_ok, reason, header_table, line_table, product_table,
        header_id_col, line_header_col, line_product_col, product_key_col, date_col, time_col, quantity_col,
        product_identity_col, pack_size_col, line_id_col, destination_col,
@@ -367,9 +376,9 @@ FROM reasoned""")
 CATALOG_ORACLES["carry_forward_mappings"] = _q(""",
 prev AS (SELECT store_id, canonical_field, source_path FROM mappings
          WHERE verified OR CAST(substr(store_id, 5) AS BIGINT) % 5 = 0),
-cat2 AS (SELECT store_id, path FROM fx_cat WHERE NOT ("column" = 'GoDown_No' AND CAST(substr(store_id, 5) AS BIGINT) % 10 = 0)),
+cat2 AS (SELECT store_id, path FROM fx_cat WHERE NOT ("column" = 'GodownNo' AND CAST(substr(store_id, 5) AS BIGINT) % 10 = 0)),
 kept AS (SELECT p.* FROM prev p WHERE EXISTS (SELECT 1 FROM cat2 c WHERE c.store_id = p.store_id AND c.path = p.source_path)),
-cur AS (SELECT * FROM mappings m WHERE NOT (m.canonical_field = 'movement.destination' AND m.source_path LIKE '%.GoDown_No'
+cur AS (SELECT * FROM mappings m WHERE NOT (m.canonical_field = 'movement.destination' AND m.source_path LIKE '%.GodownNo'
                                          AND CAST(substr(m.store_id, 5) AS BIGINT) % 10 = 0))
 SELECT coalesce(c.store_id, k.store_id) AS store_id, coalesce(c.canonical_field, k.canonical_field) AS canonical_field,
        coalesce(k.source_path, c.source_path) AS source_path,
@@ -382,3 +391,27 @@ FROM cur c FULL OUTER JOIN kept k ON k.store_id = c.store_id AND k.canonical_fie
 CATALOG_ORACLES["structural_confidence"] = (
     "SELECT store_id, operation, structural_confidence, mapping_verified FROM ("
     + CATALOG_ORACLES["resolve_fact_plan"] + ") WHERE plan_ok")
+
+CATALOG_ORACLES["learned_line_facts"] = (
+    CATALOG_ORACLES["resolve_fact_plan"].rsplit("SELECT store_id, op AS operation, reason IS NULL AS plan_ok", 1)[0].rstrip() + """,
+plans AS (
+  SELECT store_id, op, header_table, line_table, product_identity_col, pack_size_col, destination_col,
+         least(header_confidence, line_confidence, product_confidence, hj_conf, pj_conf, i_conf, coalesce(q_conf, 0.78)) AS conf,
+         coalesce(i_ver, false) AND qmap_col IS NOT NULL AND coalesce(q_ver, false)
+           AND (pack_size_col IS NULL OR coalesce(p_ver, false)) AS mapping_verified
+  FROM reasoned WHERE reason IS NULL),
+rows AS (
+  SELECT p.*, o.o_orderdate, l.l_quantity, l.l_suppkey, pt.p_partkey, pt.p_size,
+         substr(sha256(p.op || '|' || CAST(l.l_orderkey AS VARCHAR) || '|' || CAST(l.l_linenumber AS VARCHAR)), 1, 20) AS hash20
+  FROM plans p JOIN orders o ON p.store_id = 'cat_' || CAST(o.o_custkey AS VARCHAR)
+  JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = CASE p.op WHEN 'purchase' THEN 'O' ELSE 'F' END
+  JOIN part pt ON pt.p_partkey = l.l_partkey)
+SELECT store_id, op || '_line' AS operation_type, 'sql-operation:' || op || ':' || hash20 AS external_id,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS occurred_at, 'system_record' AS kind, round(conf, 2) AS confidence,
+       CASE product_identity_col WHEN 'ProductId' THEN CAST(p_partkey AS VARCHAR) WHEN 'SKU' THEN 'P' || CAST(p_partkey AS VARCHAR) END
+         AS product_id,
+       CAST(l_quantity AS DOUBLE) AS quantity,
+       CASE WHEN pack_size_col = 'UnitsPerCase' AND p_size % 10 <> 0 AND p_size > 0 THEN CAST(p_size AS DOUBLE) END AS pack_size,
+       CASE WHEN destination_col = 'DestinationId' THEN CAST(l_suppkey AS VARCHAR) END AS destination_id,
+       hash20 AS source_record_hash, mapping_verified
+FROM rows""")

@@ -12,14 +12,11 @@ ORACLES["flatten_catalog"] = _q("""
 SELECT store_id, source, source_pos, source_kind, "table", table_pos, "column", column_pos, type, primary_key,
        row_count, path, normalized, normalized_table, "column" AS samples FROM fx_cat""")
 
-ORACLES["sanitize_catalog"] = _q("""
-SELECT store_id, string_agg(DISTINCT "table", ',' ORDER BY "table") AS tables0, count(*) AS column_count
-FROM fx_cat GROUP BY store_id""")
 ORACLES["sanitize_catalog"] = _q("""
 SELECT t.store_id, t.tables, CAST(c.n AS INTEGER) AS column_count,
        'max_length,name,nullable,precision,primary_key,scale,type' AS column_fields
-FROM (SELECT store_id, string_agg("table", ',' ORDER BY table_pos) AS tables
-      FROM (SELECT DISTINCT store_id, "table", table_pos FROM fx_cat) GROUP BY store_id) t
+FROM (SELECT store_id, string_agg("table", ',' ORDER BY source_pos, table_pos) AS tables
+      FROM (SELECT DISTINCT store_id, source_pos, "table", table_pos FROM fx_cat) GROUP BY store_id) t
 JOIN (SELECT store_id, count(*) AS n FROM fx_cat GROUP BY store_id) c ON c.store_id = t.store_id""")
 
 ORACLES["scan_schema_docs"] = _q("""
@@ -29,7 +26,7 @@ SELECT store_id, NOT (CAST(substr(store_id, 5) AS BIGINT) % 50 = 0) AS valid,
 FROM fx_cat GROUP BY store_id""")
 
 ORACLES["merge_catalogs"] = _q("""
-SELECT c.store_id, CAST(count(DISTINCT table_pos % 2) AS INTEGER) AS source_count,
+SELECT c.store_id, CAST(count(DISTINCT source_pos * 2 + table_pos % 2) AS INTEGER) AS source_count,
        CAST(count(DISTINCT "table") AS INTEGER) AS table_count, CAST(count(*) AS INTEGER) AS column_count,
        any_value(s.requires_confirmation) AS requires_mapping_confirmation
 FROM fx_cat c JOIN fx_stores s ON s.store_id = c.store_id GROUP BY c.store_id""")

@@ -11,10 +11,14 @@ ORACLES["normalize_name"] = "SELECT p_partkey, regexp_replace(lower(p_name), '[^
 
 ORACLES["parse_timestamp"] = f"""
 SELECT event_id,
-  CASE event_id % 6 WHEN 0 THEN strftime(ts, {_ISO}) WHEN 1 THEN strftime(ts, {_ISO}) || 'Z'
+  CASE event_id % 12 WHEN 0 THEN strftime(ts, {_ISO}) WHEN 1 THEN strftime(ts, {_ISO}) || 'Z'
        WHEN 2 THEN strftime(ts + INTERVAL 330 MINUTE, {_ISO}) || '+05:30' WHEN 3 THEN strftime(ts, '%Y-%m-%d')
-       WHEN 4 THEN strftime(ts, '%Y%m%dT%H%M%S') ELSE 'unknown' END AS text,
-  CASE WHEN event_id % 6 IN (0, 1, 2) THEN epoch_us(ts) WHEN event_id % 6 = 3 THEN epoch_us(date_trunc('day', ts)) END AS occurred_us
+       WHEN 4 THEN strftime(ts, '%Y%m%dT%H%M%S') WHEN 6 THEN strftime(ts, '%H:%M:%S') WHEN 7 THEN strftime(ts, '%Y')
+       WHEN 8 THEN strftime(ts, '%Y-%m') WHEN 9 THEN strftime(ts, '%G-W%V-%u') WHEN 10 THEN strftime(ts, '%Y-%m-%d %H:%M:%S,%g')
+       WHEN 11 THEN strftime(ts, {_ISO}) || ' Europe/Paris' ELSE 'unknown' END AS text,
+  CASE WHEN event_id % 12 IN (0, 1, 2) THEN epoch_us(ts) WHEN event_id % 12 IN (3, 9) THEN epoch_us(date_trunc('day', ts))
+       WHEN event_id % 12 = 4 THEN epoch_us(date_trunc('second', ts))
+       WHEN event_id % 12 = 10 THEN epoch_us(date_trunc('millisecond', ts)) END AS occurred_us
 FROM events"""
 
 ORACLES["compose_occurred_at"] = """
@@ -25,15 +29,19 @@ SELECT o_orderkey,
 FROM orders"""
 
 ORACLES["to_number"] = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, text, try_cast(trim(nullif(trim(text), '')) AS DOUBLE) AS value
-FROM (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'abc'
-                     WHEN 2 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)
-                     ELSE ' ' || printf('%.2f', l_extendedprice) || ' ' END AS text FROM lineitem)"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE v WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN q WHEN 3 THEN q || 'd' WHEN 4 THEN q || '.5F' WHEN 5 THEN q || '_000'
+         WHEN 6 THEN q || 'e3' ELSE ' ' || printf('%.2f', l_extendedprice) || ' ' END AS text,
+  CASE v WHEN 2 THEN CAST(q AS DOUBLE) WHEN 5 THEN CAST(q AS DOUBLE) * 1000 WHEN 6 THEN CAST(q AS DOUBLE) * 1000
+         WHEN 7 THEN CAST(printf('%.2f', l_extendedprice) AS DOUBLE) END AS value
+FROM (SELECT *, l_orderkey % 8 AS v, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem)"""
 
 ORACLES["record_hash16"] = """
 SELECT l_orderkey, l_linenumber,
   substr(sha256(CASE WHEN l_orderkey = 0 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END || '|' ||
-                CASE WHEN l_linenumber = 0 THEN '' ELSE CAST(l_linenumber AS VARCHAR) END), 1, 16) AS hash16
+                CASE WHEN l_linenumber % 2 = 0 THEN '0' ELSE CAST(l_linenumber AS VARCHAR) END || '|' ||
+                CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE CAST(l_orderkey % 3 AS VARCHAR) END || '|' ||
+                CASE WHEN l_orderkey % 2 = 0 THEN 'true' ELSE '' END), 1, 16) AS hash16
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"""
 
 ORACLES["record_hash20"] = """
@@ -91,5 +99,5 @@ FROM lineitem"""
 _FMT = "(CASE WHEN quantity IS NULL THEN 'None' WHEN quantity = floor(quantity) THEN CAST(CAST(floor(quantity) AS BIGINT) AS VARCHAR) ELSE CAST(quantity AS VARCHAR) END)"
 ORACLES["summarize_facts"] = with_fx(["fx_facts"], f"""
 SELECT id, event_type || ': destination_id=' || coalesce(destination_id, 'None') || ', product_id=' ||
-       coalesce(product_id, 'None') || ', quantity=' || {_FMT} AS summary
+       coalesce(product_id, 'None') || ', quantity=' || {_FMT} || ', value=' || {_FMT.replace('quantity', '(quantity * 1234567.25)')} AS summary
 FROM fx_facts""")

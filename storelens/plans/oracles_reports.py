@@ -23,6 +23,7 @@ SELECT e.store_id, e.id AS event_id,
        || '## Evidence references' || {NL} || {NL}
        || CASE WHEN e.evidence_id IS NULL THEN '- `evd_missing`'
                ELSE '- `' || e.evidence_id || '`' || {NL} || '- `' || e.evidence_id || '`' || {NL} || '- `evd_missing`' END
+       || CASE WHEN e.n % 9 = 4 THEN {NL} || '- `evd_' || CAST(e.n + 1 AS VARCHAR) || '`' ELSE '' END
        || {NL} AS text
 FROM fx_facts e JOIN (SELECT related_event_id, count(*) AS n FROM wf_tasks GROUP BY 1) t ON t.related_event_id = e.id""",
                                         [wf_tasks_sql("fx_facts")])

@@ -8,37 +8,35 @@ from storelens.plans.oracles_catalog import CAT_CTES
 _ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
 
 
-def _top(sql: str, n: int = 100) -> str:
-    return (f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY store_id "
-            f"ORDER BY occurred_at DESC, external_id) AS rn FROM ({sql})) WHERE rn <= {n}")
-
-
 CAMERA_SQL = "\nUNION ALL\n".join([
-    _top(f"""SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) AS store_id, 'observations' AS source_table,
+    f"""SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) AS store_id, 'observations' AS source_table,
   'collector.sqlite3:observations:' || CAST(event_id AS VARCHAR) AS external_id, strftime(ts, {_ISO}) AS occurred_at,
   'observation' AS kind, 0.9::DOUBLE AS confidence, CAST(event_id AS VARCHAR) AS camera_event_id,
   'collector.sqlite3' AS collector, CAST(user_id % 8 AS VARCHAR) AS camera_channel,
   CAST(CAST(floor(value) AS INTEGER) AS VARCHAR) AS max_people, event_type AS detector,
-  'activity_observation_only' AS camera_claim FROM events WHERE event_type = 'view'"""),
-    _top(f"""SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) AS store_id, 'detections' AS source_table,
+  'activity_observation_only' AS camera_claim FROM events WHERE event_type = 'view'""",
+    f"""SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) AS store_id, 'detections' AS source_table,
   'collector.sqlite3:detections:' || CAST(event_id AS VARCHAR) AS external_id, strftime(ts, {_ISO}) AS occurred_at,
   'observation' AS kind, 0.9::DOUBLE AS confidence, CAST(event_id AS VARCHAR) AS camera_event_id,
   'collector.sqlite3' AS collector, CAST(user_id % 8 AS VARCHAR) AS camera_channel,
   NULL::VARCHAR AS max_people, 'yolo' AS detector,
-  'activity_observation_only' AS camera_claim FROM events WHERE event_type = 'click'"""),
+  'activity_observation_only' AS camera_claim FROM events WHERE event_type = 'click'""",
 ])
 ORACLES["scan_camera_events"] = CAMERA_SQL
+ORACLES["scan_newest"] = f"""
+SELECT * FROM ({CAMERA_SQL})
+QUALIFY row_number() OVER (PARTITION BY store_id, source_table ORDER BY occurred_at DESC, external_id) <= 100"""
 
-LABELS_SQL = _top(f"""SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) AS store_id,
+LABELS_SQL = f"""SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) AS store_id,
   'collector.sqlite3:verified_label:' || CAST(event_id AS VARCHAR) AS external_id, strftime(ts, {_ISO}) AS occurred_at,
   'human_confirmation' AS kind, 1.0::DOUBLE AS confidence, CAST(event_id AS VARCHAR) AS camera_event_id,
   'confirm_' || event_type AS action, 'SKU-' || CAST(event_id % 97 AS VARCHAR) AS product_sku,
   CAST(floor(value) AS DOUBLE) AS quantity, 'zone_' || CAST(user_id % 3 AS VARCHAR) AS source_zone,
   'shelf_' || CAST(event_id % 5 AS VARCHAR) AS destination_shelf, 'collector_human_label' AS verification_method
-  FROM events WHERE event_type = 'signup'""")
+  FROM events WHERE event_type = 'signup'"""
 ORACLES["scan_verified_labels"] = LABELS_SQL
 
-FACTS_SQL = _top("""SELECT 'store_' || CAST(l_suppkey % 10 AS VARCHAR) AS store_id,
+FACTS_SQL = """SELECT 'store_' || CAST(l_suppkey % 10 AS VARCHAR) AS store_id,
   'collector.sqlite3:sql_fact:' || fk AS external_id, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS occurred_at,
   'system_record' AS kind, 1.0::DOUBLE AS confidence, fk AS fact_key, l_linestatus AS fact_type,
   'P' || CAST(l_partkey AS VARCHAR) AS product_sku, l_quantity AS quantity,
@@ -46,7 +44,7 @@ FACTS_SQL = _top("""SELECT 'store_' || CAST(l_suppkey % 10 AS VARCHAR) AS store_
                 CASE WHEN l_linenumber = 0 THEN '' ELSE CAST(l_linenumber AS VARCHAR) END), 1, 16) AS source_record_hash
   FROM (SELECT *, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)
                   || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)
-                  || '-' || CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS fk FROM lineitem)""")
+                  || '-' || CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS fk FROM lineitem)"""
 ORACLES["scan_system_facts"] = FACTS_SQL
 
 ORACLES["camera_registry"] = """

@@ -23,7 +23,7 @@ accepted AS (SELECT * FROM ranked WHERE is_open AND rn = 1)"""
 ORACLES["answer_tasks"] = with_fx(["fx_task"], """
 SELECT t.id, t.store_id, CASE WHEN a.task_id IS NOT NULL THEN 'answered' ELSE t.status END AS status,
        CASE WHEN a.task_id IS NOT NULL THEN a.confirmed ELSE t.answer_confirmed END AS answer_confirmed,
-       CASE WHEN a.task_id IS NOT NULL THEN 'evd_' || substr(sha256(a.answer_id), 1, 12) ELSE t.answer_evidence_id END
+       CASE WHEN a.task_id IS NOT NULL THEN 'evd_' || sha256(a.store_id || '|' || a.answer_id) ELSE t.answer_evidence_id END
          AS answer_evidence_id,
        a.answered_at
 FROM fx_task t LEFT JOIN accepted a ON a.task_id = t.id AND a.store_id = t.store_id""", [ANSWERS_CTE])
@@ -34,7 +34,7 @@ SELECT answer_id, store_id, task_id,
 FROM ranked WHERE NOT is_open OR rn > 1""", [ANSWERS_CTE])
 
 ORACLES["answer_tasks_evidence"] = with_fx(["fx_task"], """
-SELECT 'evd_' || substr(sha256(answer_id), 1, 12) AS id, store_id, 'human_confirmation' AS kind, 'gateway' AS source,
+SELECT 'evd_' || sha256(store_id || '|' || answer_id) AS id, store_id, 'human_confirmation' AS kind, 'gateway' AS source,
        1.0::DOUBLE AS confidence, answered_at AS occurred_at,
        '{"task_id":"' || task_id || '","answer":{"confirmed":"' || confirmed || '"}}' AS payload
 FROM accepted""", [ANSWERS_CTE])
@@ -46,7 +46,7 @@ ans AS (
          CASE WHEN q.key LIKE 'verify:%' THEN
                 CASE CAST(substr(q.store_id, 5) AS BIGINT) % 4 WHEN 0 THEN 'yes' WHEN 1 THEN m.source_path
                      WHEN 2 THEN 'corrected.table.column' ELSE 'none_of_these' END
-              WHEN CAST(substr(q.store_id, 5) AS BIGINT) % 2 = 0 THEN 'old_pos_sql.Mst_Itm.Item_No' ELSE 'nodot' END AS answer
+              WHEN CAST(substr(q.store_id, 5) AS BIGINT) % 2 = 0 THEN 'shop_export.ItemMaster.ItemCode' ELSE 'nodot' END AS answer
   FROM questions q LEFT JOIN mappings m ON m.store_id = q.store_id AND 'verify:' || m.canonical_field = q.key),
 outcome AS (
   SELECT *, CASE WHEN kind = 'verify' AND cur IS NOT NULL AND (lower(answer) IN ('yes', 'true') OR answer = cur) THEN 'verified'
@@ -73,17 +73,22 @@ base AS (
   SELECT *, CASE WHEN authority = 'prohibited' THEN 'denied' WHEN authority IN ('observe', 'local_work') THEN 'allowed'
                  ELSE 'pending_approval' END AS initial_status FROM req),
 dec AS (
-  SELECT id AS action_id, 'approve' AS decision, 'boss' AS actor, requested_at || 'a' AS decided_at FROM req WHERE n % 4 <= 1
-  UNION ALL SELECT id, 'execute', 'executor', requested_at || 'b' FROM req WHERE n % 4 = 0
-  UNION ALL SELECT id, 'execute', 'executor', requested_at || 'b' FROM req WHERE n % 4 = 2
-  UNION ALL SELECT id, 'approve', 'boss2', requested_at || 'c' FROM req WHERE n % 8 = 0),
+  SELECT id AS action_id, 'approve' AS decision, 'boss' AS actor, requested_at || 'a' AS decided_at, n, store_id FROM req WHERE n % 4 <= 1
+  UNION ALL SELECT id, 'approve', 'boss3', requested_at || 'a', n, store_id FROM req WHERE n % 16 = 0
+  UNION ALL SELECT id, 'execute', 'executor', requested_at || 'b', n, store_id FROM req WHERE n % 4 = 0
+  UNION ALL SELECT id, 'execute', 'executor', requested_at || 'b', n, store_id FROM req WHERE n % 4 = 2
+  UNION ALL SELECT id, 'approve', 'boss2', requested_at || 'c', n, store_id FROM req WHERE n % 8 = 0),
+ordered AS (
+  SELECT d.action_id, d.decision, d.actor, d.decided_at,
+         CASE WHEN d.n % 12 = 1 THEN NULL ELSE b.initial_status END AS initial_status,
+         row_number() OVER (PARTITION BY d.action_id ORDER BY d.decided_at, d.decision, d.actor) AS rn
+  FROM dec d JOIN base b ON b.id = d.action_id),
 appr AS (
-  SELECT d.action_id, arg_min(d.actor, d.decided_at) AS approved_by, min(d.decided_at) AS approved_at
-  FROM dec d JOIN base b ON b.id = d.action_id
-  WHERE d.decision = 'approve' AND b.initial_status IN ('pending_approval', 'allowed') GROUP BY 1),
+  SELECT action_id, arg_min(actor, rn) AS approved_by, arg_min(decided_at, rn) AS approved_at, min(rn) AS rn FROM ordered
+  WHERE decision = 'approve' AND initial_status IN ('pending_approval', 'allowed') GROUP BY 1),
 exe AS (
-  SELECT d.action_id, min(d.decided_at) AS executed_at FROM dec d JOIN appr a ON a.action_id = d.action_id
-  WHERE d.decision = 'execute' AND d.decided_at > a.approved_at GROUP BY 1),
+  SELECT o.action_id, arg_min(o.decided_at, o.rn) AS executed_at, min(o.rn) AS rn FROM ordered o JOIN appr a ON a.action_id = o.action_id
+  WHERE o.decision = 'execute' AND o.rn > a.rn GROUP BY 1),
 actions AS (
   SELECT b.id, b.store_id, b.action, b.target, b.authority, b.requested_at, b.initial_status,
          CASE WHEN e.executed_at IS NOT NULL THEN 'executed' WHEN a.approved_at IS NOT NULL THEN 'approved'
@@ -94,12 +99,11 @@ ORACLES["action_status"] = f"""WITH {ACTIONS_CTE.strip()}
 SELECT id, store_id, authority, initial_status, status, approved_by, approved_at, executed_at FROM actions"""
 
 ORACLES["action_status_rejected"] = f"""WITH {ACTIONS_CTE.strip()}
-SELECT d.action_id, d.decision, d.actor, d.decided_at,
-       CASE WHEN b.initial_status = 'denied' THEN 'prohibited_action' ELSE 'illegal_transition' END AS reason
-FROM dec d JOIN base b ON b.id = d.action_id
-LEFT JOIN appr a ON a.action_id = d.action_id LEFT JOIN exe e ON e.action_id = d.action_id
-WHERE NOT ((d.decision = 'approve' AND a.approved_at IS NOT NULL AND d.decided_at = a.approved_at)
-        OR (d.decision = 'execute' AND e.executed_at IS NOT NULL AND d.decided_at = e.executed_at))"""
+SELECT o.action_id, o.decision, o.actor, o.decided_at,
+       CASE WHEN o.initial_status IS NULL THEN 'unknown_action' WHEN o.initial_status = 'denied' THEN 'prohibited_action'
+            ELSE 'illegal_transition' END AS reason
+FROM ordered o LEFT JOIN appr a ON a.action_id = o.action_id LEFT JOIN exe e ON e.action_id = o.action_id
+WHERE o.rn IS DISTINCT FROM a.rn AND o.rn IS DISTINCT FROM e.rn"""
 
 ORACLES["open_action_dedupe"] = f"""WITH {ACTIONS_CTE.strip()},
 new AS (SELECT 'new_' || id AS id, store_id, action, 'target_' || CAST(n % 7 AS VARCHAR) AS target, authority, requested_at || 'z' AS requested_at

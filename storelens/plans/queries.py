@@ -390,48 +390,34 @@ def _items(spark, sf_dir):
     return line_fact_items(facts_ops.extract_line_facts(header, line, product, facts_ops.fixture_plan()))
 
 
-def _polled_items(spark, sf_dir):
-    """The poll output is materialised once (a written table in the shared
-    checkpoint folder), as a connector's landing table would be; the prior
-    poll's ledger and the new items both read it."""
-    from storelens.session import cut_lineage
-
-    return cut_lineage(_items(spark, sf_dir))
-
-
-def _prior_ledger(spark, sf_dir, items=None):
+def _prior_ledger(spark, sf_dir):
+    """Ids of an earlier poll: what the connector had before PRIOR_POLL_BEFORE."""
     from pyspark.sql import functions as F
 
     from storelens.operators.ingest import prime_ledger
 
-    items = items if items is not None else _items(spark, sf_dir)
-    return prime_ledger(items.where(F.col("occurred_at") < PRIOR_POLL_BEFORE), None)[1]
+    return prime_ledger(_items(spark, sf_dir).where(F.col("occurred_at") < PRIOR_POLL_BEFORE), None)[1]
 
 
 @register("prime_ledger")
 def q_prime_ledger(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     from storelens.operators.ingest import prime_ledger
 
-    items = _items(spark, sf_dir)
-    return prime_ledger(items.where(F.col("occurred_at") < PRIOR_POLL_BEFORE), None)[0]
+    return prime_ledger(_items(spark, sf_dir), None)[0]
 
 
 @register("new_evidence")
 def q_new_evidence(spark, sf_dir):
     from storelens.operators.ingest import new_evidence
 
-    items = _polled_items(spark, sf_dir)
-    return new_evidence(items, _prior_ledger(spark, sf_dir, items))[0]
+    return new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
 
 
 @register("normalize_evidence")
 def q_normalize_evidence(spark, sf_dir):
     from storelens.operators.ingest import new_evidence, normalize_evidence
 
-    items = _polled_items(spark, sf_dir)
-    fresh = new_evidence(items, _prior_ledger(spark, sf_dir, items))[0]
+    fresh = new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
     return normalize_evidence(fresh, CYCLE_NOW)[0]
 
 
@@ -441,8 +427,7 @@ def q_facts_to_events(spark, sf_dir):
 
     from storelens.operators.ingest import facts_to_events, new_evidence, normalize_evidence
 
-    items = _polled_items(spark, sf_dir)
-    fresh = new_evidence(items, _prior_ledger(spark, sf_dir, items))[0]
+    fresh = new_evidence(_items(spark, sf_dir), _prior_ledger(spark, sf_dir))[0]
     ev = facts_to_events(normalize_evidence(fresh, CYCLE_NOW)[0])
     return ev.select("id", "store_id", "event_type", "occurred_at", F.col("evidence_ids")[0].alias("evidence_id"),
                      *[F.col("facts").getField(f).alias(f) for f in (
@@ -454,8 +439,7 @@ def q_facts_to_events(spark, sf_dir):
 def q_operational_cycle(spark, sf_dir):
     from storelens.operators.ingest import operational_cycle
 
-    items = _polled_items(spark, sf_dir)
-    out = operational_cycle(items, _prior_ledger(spark, sf_dir, items), CYCLE_NOW)
+    out = operational_cycle(_items(spark, sf_dir), _prior_ledger(spark, sf_dir), CYCLE_NOW)
     return out["tasks"].drop("answer")
 
 
@@ -559,15 +543,22 @@ def q_resolve_fact_plan(spark, sf_dir):
     from storelens.operators.factplan import resolve_fact_plan
     from storelens.sources import catalog_fixture as cf
 
+    cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
+    cands = co.role_candidates(co.score_table_roles(cat), None)
+    rels = co.all_relationships(cf.fx_declared_relationships(spark, sf_dir), co.infer_relationships(cands, cat))
+    return resolve_fact_plan(cands, rels, mappings, cat)
+
+
+@register("learned_line_facts")
+def q_learned_line_facts(spark, sf_dir):
+    """Catalog to plan to facts: every store's lines by the plan learned from its own catalog."""
+    from storelens.sources.catalog_fixture import fx_sql_tables
+
     from storelens.session import cut_lineage
 
-    # the learned model (roles, joins, mappings) is persisted state: materialise it
-    # once in the shared checkpoint folder instead of re-deriving it per reference
-    cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
-    cat = cut_lineage(cat)
-    cands = cut_lineage(co.role_candidates(co.score_table_roles(cat)))
-    rels = cut_lineage(co.all_relationships(cf.fx_declared_relationships(spark, sf_dir), co.infer_relationships(cands, cat)))
-    return resolve_fact_plan(cands, rels, cut_lineage(mappings), cat)
+    # The learned plans are stored state: resolved once, then read per schema.
+    plans = cut_lineage(q_resolve_fact_plan(spark, sf_dir))
+    return facts_ops.extract_learned_facts(plans, fx_sql_tables(spark, sf_dir))
 
 
 @register("carry_forward_mappings")
@@ -579,7 +570,7 @@ def q_carry_forward_mappings(spark, sf_dir):
     cat, stores, contracts, scores, mappings = _mappings(spark, sf_dir)
     k = F.substring("store_id", 5, 20).cast("bigint")
     previous = mappings.withColumn("verified", F.col("verified") | (k % 5 == 0))
-    rescanned = cat.where(~((F.col("column") == "GoDown_No") & (F.substring("store_id", 5, 20).cast("bigint") % 10 == 0)))
+    rescanned = cat.where(~((F.col("column") == "GodownNo") & (F.substring("store_id", 5, 20).cast("bigint") % 10 == 0)))
     scores2 = co.score_mappings(rescanned)
     current = co.apply_contracts(co.propose_mappings(scores2, stores), contracts)
     out = co.carry_forward_mappings(current, previous, rescanned)

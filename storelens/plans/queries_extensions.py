@@ -21,10 +21,10 @@ _KEEP = ["store_id", "connector", "external_id", "occurred_at", "kind", "confide
 def q_register_evidence_source(spark, sf_dir):
     ext.clear_evidence_sources()
     ext.register_evidence_source("local_camera_events", lambda s: col.scan_camera_events(
-        cfx.fx_camera_tables(s, sf_dir), limit=100))
+        cfx.fx_camera_tables(s, sf_dir)))
     ext.register_evidence_source("local_verified_labels", lambda s: col.scan_verified_labels(
-        cfx.fx_verified_labels(s, sf_dir), limit=100))
-    ext.register_evidence_source("local_sql_facts", lambda s: col.scan_system_facts(cfx.fx_sql_facts(s, sf_dir), limit=100))
+        cfx.fx_verified_labels(s, sf_dir)))
+    ext.register_evidence_source("local_sql_facts", lambda s: col.scan_system_facts(cfx.fx_sql_facts(s, sf_dir)))
     return ext.poll_all(spark).select(*_KEEP)
 
 

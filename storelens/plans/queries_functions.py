@@ -16,15 +16,25 @@ def q_normalize_name(spark, sf_dir):
 
 
 def timestamp_text_variants(ts, event_id):
-    """ISO text in six shapes: naive, Z, +05:30 offset, date only, compact (bad), unknown."""
-    v = event_id % 6
+    """Twelve shapes: naive, Z, +05:30, date, basic form, 'unknown', time only, year only,
+    year and month, week date, space and comma, and a zone name."""
+    v = event_id % 12
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     shifted = F.from_utc_timestamp(ts.cast("timestamp"), "+05:30")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"),
+                    F.lpad(F.weekofyear(ts).cast("string"), 2, "0"), F.lit("-"), (F.weekday(ts) + 1).cast("string"))
     return (
         F.when(v == 0, S.iso_text(ts))
-        .when(v == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+        .when(v == 1, F.concat(iso, F.lit("Z")))
         .when(v == 2, F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+05:30")))
         .when(v == 3, F.date_format(ts, "yyyy-MM-dd"))
         .when(v == 4, F.date_format(ts, "yyyyMMdd'T'HHmmss"))
+        .when(v == 6, F.date_format(ts, "HH:mm:ss"))
+        .when(v == 7, F.date_format(ts, "yyyy"))
+        .when(v == 8, F.date_format(ts, "yyyy-MM"))
+        .when(v == 9, week)
+        .when(v == 10, F.date_format(ts, "yyyy-MM-dd HH:mm:ss,SSS"))
+        .when(v == 11, F.concat(iso, F.lit(" Europe/Paris")))
         .otherwise(F.lit("unknown"))
     )
 
@@ -50,9 +60,11 @@ def q_compose_occurred_at(spark, sf_dir):
 @register("to_number")
 def q_to_number(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    v = F.col("l_linenumber") % 4
-    text = (F.when(v == 0, F.lit("")).when(v == 1, F.lit("abc"))
-            .when(v == 2, F.col("l_quantity").cast("int").cast("string"))
+    v = F.col("l_orderkey") % 8
+    whole = F.col("l_quantity").cast("int").cast("string")
+    text = (F.when(v == 0, F.lit("")).when(v == 1, F.lit("abc")).when(v == 2, whole)
+            .when(v == 3, F.concat(whole, F.lit("d"))).when(v == 4, F.concat(whole, F.lit(".5F")))
+            .when(v == 5, F.concat(whole, F.lit("_000"))).when(v == 6, F.concat(whole, F.lit("e3")))
             .otherwise(F.concat(F.lit(" "), F.format_string("%.2f", F.col("l_extendedprice")), F.lit(" "))))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"),
                      S.to_number(text).alias("value"))
@@ -61,7 +73,9 @@ def q_to_number(spark, sf_dir):
 @register("record_hash16")
 def q_record_hash16(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    return li.select("l_orderkey", "l_linenumber", S.record_hash16("l_orderkey", "l_linenumber").alias("hash16"))
+    text = F.when(F.col("l_linenumber") % 2 == 0, F.lit("0")).otherwise(F.col("l_linenumber").cast("string"))
+    return li.select("l_orderkey", "l_linenumber",
+                     S.record_hash16("l_orderkey", text, F.col("l_orderkey") % 3, F.col("l_orderkey") % 2 == 0).alias("hash16"))
 
 
 @register("record_hash20")
@@ -130,5 +144,6 @@ def q_summarize_facts(spark, sf_dir):
     f = F.col("facts")
     m = F.create_map(F.lit("product_id"), F.coalesce(f["product_id"], F.lit("None")),
                      F.lit("destination_id"), F.coalesce(f["destination_id"], F.lit("None")),
-                     F.lit("quantity"), S.fmt_number(f["quantity"]))
+                     F.lit("quantity"), S.fmt_number(f["quantity"]),
+                     F.lit("value"), S.fmt_number(f["quantity"] * 1234567.25))
     return e.select("id", S.summarize_facts(F.col("event_type"), m).alias("summary"))

@@ -11,17 +11,23 @@ from storelens.sources import collectors as col
 
 @register("scan_camera_events")
 def q_scan_camera_events(spark, sf_dir):
-    return col.scan_camera_events(cfx.fx_camera_tables(spark, sf_dir), limit=100)
+    return col.scan_camera_events(cfx.fx_camera_tables(spark, sf_dir))
 
 
 @register("scan_verified_labels")
 def q_scan_verified_labels(spark, sf_dir):
-    return col.scan_verified_labels(cfx.fx_verified_labels(spark, sf_dir), limit=100)
+    return col.scan_verified_labels(cfx.fx_verified_labels(spark, sf_dir))
 
 
 @register("scan_system_facts")
 def q_scan_system_facts(spark, sf_dir):
-    return col.scan_system_facts(cfx.fx_sql_facts(spark, sf_dir), limit=100)
+    return col.scan_system_facts(cfx.fx_sql_facts(spark, sf_dir))
+
+
+@register("scan_newest")
+def q_scan_newest(spark, sf_dir):
+    """The bounded poll: the 100 newest camera events per store and table."""
+    return col.newest(q_scan_camera_events(spark, sf_dir), 100, per=("store_id", "source_table"))
 
 
 @register("camera_registry")

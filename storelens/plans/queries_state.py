@@ -62,7 +62,7 @@ def q_answer_questions(spark, sf_dir):
     answer = (F.when(is_verify & (k % 4 == 0), F.lit("yes")).when(is_verify & (k % 4 == 1), F.col("_cur"))
               .when(is_verify & (k % 4 == 2), F.lit("corrected.table.column"))
               .when(is_verify, F.lit("none_of_these"))
-              .when(k % 2 == 0, F.lit("old_pos_sql.Mst_Itm.Item_No")).otherwise(F.lit("nodot")))
+              .when(k % 2 == 0, F.lit("shop_export.ItemMaster.ItemCode")).otherwise(F.lit("nodot")))
     answers = q.select("store_id", "key", answer.alias("answer"), F.lit("owner").alias("actor"),
                        F.lit("2026-01-01T00:00:00").alias("answered_at"))
     _, new_mappings, _ = state.answer_questions(questions, mappings, answers)
@@ -80,13 +80,17 @@ def fx_actions(spark, sf_dir):
         F.element_at(F.array(*[F.lit(a) for a in AUTHORITY_LEVELS]), (i % 6 + 1).cast("int")).alias("authority"),
         iso_text("ts").alias("requested_at"), i.alias("n"))
     rid = F.col("id").alias("action_id")
-    dec = (req.where(F.col("n") % 4 <= 1).select(rid, F.lit("approve").alias("decision"), F.lit("boss").alias("actor"),
+    # some decisions name another store's action, and some approvals share an instant
+    store = F.when(F.col("n") % 12 == 1, F.lit("store_x")).otherwise(F.col("store_id")).alias("store_id")
+    dec = (req.where(F.col("n") % 4 <= 1).select(rid, store, F.lit("approve").alias("decision"), F.lit("boss").alias("actor"),
                                                    F.concat("requested_at", F.lit("a")).alias("decided_at"))
-           .unionByName(req.where(F.col("n") % 4 == 0).select(rid, F.lit("execute").alias("decision"),
+           .unionByName(req.where(F.col("n") % 16 == 0).select(rid, store, F.lit("approve").alias("decision"),
+                        F.lit("boss3").alias("actor"), F.concat("requested_at", F.lit("a")).alias("decided_at")))
+           .unionByName(req.where(F.col("n") % 4 == 0).select(rid, store, F.lit("execute").alias("decision"),
                         F.lit("executor").alias("actor"), F.concat("requested_at", F.lit("b")).alias("decided_at")))
-           .unionByName(req.where(F.col("n") % 4 == 2).select(rid, F.lit("execute").alias("decision"),
+           .unionByName(req.where(F.col("n") % 4 == 2).select(rid, store, F.lit("execute").alias("decision"),
                         F.lit("executor").alias("actor"), F.concat("requested_at", F.lit("b")).alias("decided_at")))
-           .unionByName(req.where(F.col("n") % 8 == 0).select(rid, F.lit("approve").alias("decision"),
+           .unionByName(req.where(F.col("n") % 8 == 0).select(rid, store, F.lit("approve").alias("decision"),
                         F.lit("boss2").alias("actor"), F.concat("requested_at", F.lit("c")).alias("decided_at"))))
     return req, dec
 

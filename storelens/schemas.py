@@ -17,7 +17,7 @@ AUTHORITY_LEVELS = (
 # Roles whose answered tasks count as operational confirmations in proofs.
 CONFIRMATION_ROLES = ("data_entry_operator", "deo", "godown_staff", "godown_incharge", "shelfer", "receiver")
 
-ANSWER_FIELDS = ("confirmed", "verified", "matches_record", "received", "completed", "evidence_id", "actor")
+ANSWER_FIELDS = ("confirmed", "verified", "matches_record", "received", "completed", "evidence_id", "actor", "other")
 ANSWER = T.StructType([T.StructField(f, T.StringType()) for f in ANSWER_FIELDS])
 
 FACT_TYPES = {

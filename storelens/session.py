@@ -8,6 +8,7 @@ when nothing is configured (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +40,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a
+    cluster that is an error, as executors could not read each other's folders.
+    """
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder shared by the executors of {master}")
         current = tempfile.mkdtemp(prefix="storelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -55,21 +61,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def size_shuffle_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
-                            min_partitions: int | None = None) -> int:
-    """Spill-aware shuffle sizing: about ``target_bytes`` of shuffle input per task.
-
-    Only applied when the session has no explicit setting of its own beyond the
-    Spark default (200); AQE then coalesces small partitions at runtime and
-    splits skewed ones.  Returns the partition count in effect.
-    """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if current != 200:
-        return current
-    floor = min_partitions or spark.sparkContext.defaultParallelism * 2
-    n = max(floor, -(-int(input_bytes) // int(target_bytes)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes // 2))
-    return n

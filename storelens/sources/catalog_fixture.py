@@ -3,8 +3,9 @@
 Every ``customer`` is a store; its schema follows one of three templates
 (``c_custkey % 3``): a messy legacy export, a clean JSON API and a SQL Server
 database with keys, foreign keys, a report table and a transfer table.  Row counts
-come from the store's orders, so catalog work grows with the data.  The
-templates are fixture *data* (table and column names of the example stores).
+come from the store's orders, so catalog work grows with the data.  Every fourth
+SQL Server store (by key) also has a JSON API, listed before its database.  The
+templates are made-up stores.
 """
 
 from __future__ import annotations
@@ -20,28 +21,29 @@ from storelens.sources.tables import table
 # Fixed template values: (template, source, kind, table, column, type, primary_key)
 # ---------------------------------------------------------------------------
 TEMPLATE_COLUMNS = [
-    (0, "old_pos_sql", "sql_server_schema_export", "Mst_Itm", "Item_No", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Mst_Itm", "Itm_Name", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Mst_Itm", "CtnFactor", "integer", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Pur_Dtl_26", "ItmRef", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Pur_Dtl_26", "QntyRcvd", "decimal", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Pur_Dtl_26", "LoosePc", "integer", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Pur_Dtl_26", "GoDown_No", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Cctv_Map", "Feed_Channel", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Cctv_Map", "AreaText", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Emp_Mst", "EmpNo", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Emp_Mst", "EmpDuty", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Emp_Mst", "Badge_No", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Bill_Dtl", "ItmRef", "varchar", False),
-    (0, "old_pos_sql", "sql_server_schema_export", "Bill_Dtl", "BillQty", "integer", False),
-    (1, "operations_api", "json_schema", "products", "product_code", "string", False),
-    (1, "operations_api", "json_schema", "products", "units_per_case", "integer", False),
-    (1, "operations_api", "json_schema", "receipts", "received_qty", "integer", False),
-    (1, "operations_api", "json_schema", "receipts", "destination_id", "string", False),
-    (1, "operations_api", "json_schema", "camera_channels", "camera_zone", "string", False),
-    (1, "operations_api", "json_schema", "staff", "staff_role", "string", False),
-    (1, "operations_api", "json_schema", "staff", "staff_id", "string", False),
-    (1, "operations_api", "json_schema", "sales", "sale_qty", "integer", False),
+    (0, "shop_export", "sql_server_schema_export", "ItemMaster", "ItemCode", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "ItemMaster", "ItemLabel", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "ItemMaster", "PackFactor", "integer", False),
+    (0, "shop_export", "sql_server_schema_export", "InwardRows", "ItemCodeRef", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "InwardRows", "QtyIn", "decimal", False),
+    (0, "shop_export", "sql_server_schema_export", "InwardRows", "LooseUnits", "integer", False),
+    (0, "shop_export", "sql_server_schema_export", "InwardRows", "GodownNo", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "CctvFeeds", "ChannelNo", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "CctvFeeds", "AreaName", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "EmpRecords", "EmpCode", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "EmpRecords", "DutyTitle", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "EmpRecords", "BadgeCode", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "BillRows", "ItemCodeRef", "varchar", False),
+    (0, "shop_export", "sql_server_schema_export", "BillRows", "BillQty", "integer", False),
+    (1, "shop_api", "json_schema", "catalog_items", "sku_code", "string", False),
+    (1, "shop_api", "json_schema", "catalog_items", "pieces_per_box", "integer", False),
+    (1, "shop_api", "json_schema", "receipt_lines", "receipt_qty", "integer", False),
+    (1, "shop_api", "json_schema", "receipt_lines", "item_code", "string", False),
+    (1, "shop_api", "json_schema", "receipt_lines", "location_id", "string", False),
+    (1, "shop_api", "json_schema", "camera_streams", "zone_name", "string", False),
+    (1, "shop_api", "json_schema", "crew", "duty_role", "string", False),
+    (1, "shop_api", "json_schema", "crew", "staff_id", "string", False),
+    (1, "shop_api", "json_schema", "checkout_lines", "sold_units", "integer", False),
     (2, "store_sql", "sqlserver", "dbo.Products", "ProductId", "int", True),
     (2, "store_sql", "sqlserver", "dbo.Products", "SKU", "nvarchar", False),
     (2, "store_sql", "sqlserver", "dbo.Products", "ProductName", "nvarchar", False),
@@ -85,8 +87,8 @@ TEMPLATE_FKS = [
 ]
 # Connector semantic contracts of template 1 (only on even stores).
 TEMPLATE_CONTRACTS = [
-    (1, "operations_api", "camera.zone", "camera_channels", "camera_zone", "authorized_connector_contract"),
-    (1, "operations_api", "staff.role", "staff", "staff_role", "authorized_connector_contract"),
+    (1, "shop_api", "camera.zone", "camera_streams", "zone_name", "authorized_connector_contract"),
+    (1, "shop_api", "staff.role", "crew", "duty_role", "authorized_connector_contract"),
 ]
 # ---------------------------------------------------------------------------
 
@@ -146,12 +148,16 @@ def fx_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(F.count(F.lit(1)).alias("n_orders"))
     )
-    # The template table is a fixed 50-row constant: a broadcast with a proven bound.
+    both = (F.col("template") == 2) & (F.col("c_custkey") % 4 == 0)
+    one = lambda pos, tpl: F.struct(F.lit(pos).alias("source_pos"), tpl.cast("int").alias("template"))
+    sources = F.when(both, F.array(one(0, F.lit(1)), one(1, F.lit(2)))).otherwise(F.array(one(0, F.col("template"))))
+    stores = stores.select("store_id", "c_custkey", F.explode(sources).alias("s")).select("store_id", "c_custkey", "s.*")
+    # The template table is a fixed constant of under 100 rows: a broadcast with a proven bound.
     cat = stores.join(F.broadcast(_templates(spark)), "template").join(orders, "c_custkey", "left")
     return cat.select(
         "store_id",
         "source",
-        F.lit(0).alias("source_pos"),
+        "source_pos",
         "source_kind",
         "table",
         "table_pos",
@@ -183,3 +189,29 @@ def fx_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "template int, source string, canonical_field string, table string, column string, authority string, contract_pos int",
     )
     return stores.join(F.broadcast(cs), "template").drop("template")
+
+
+def fx_sql_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables behind the SQL Server template, projected from the driver tables by table path.
+
+    Headers carry their store; lines belong to a store through their header, and the
+    product table is shared by the fleet.
+    """
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
+    p = table(spark, sf_dir, "part")
+    store = F.concat(F.lit("cat_"), F.col("o_custkey").cast("string")).alias("store_id")
+    line = lambda status: li.where(F.col("l_linestatus") == status)
+    return {
+        "store_sql.dbo.Products": p.select(
+            F.col("p_partkey").alias("ProductId"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("SKU"),
+            F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("UnitsPerCase")),
+        "store_sql.dbo.Receipts": o.select(store, F.col("o_orderkey").alias("ReceiptId"), F.col("o_orderdate").alias("ReceiptDate")),
+        "store_sql.dbo.ReceiptLines": line("O").select(
+            F.col("l_linenumber").alias("LineId"), F.col("l_orderkey").alias("ReceiptId"), F.col("l_partkey").alias("ProductId"),
+            F.col("l_quantity").alias("Quantity"), F.col("l_suppkey").alias("DestinationId")),
+        "store_sql.dbo.SaleHeader": o.select(store, F.col("o_orderkey").alias("SaleId"), F.col("o_orderdate").alias("SaleDate")),
+        "store_sql.dbo.SaleLines": line("F").select(
+            F.col("l_linenumber").alias("SaleDtlId"), F.col("l_orderkey").alias("SaleId"), F.col("l_partkey").alias("ProductId"),
+            F.col("l_quantity").alias("SoldQty")),
+    }

@@ -75,9 +75,10 @@ def fx_op_event(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(EVENT_TYPES, n % 9).alias("event_type"),
         iso_text("ts").alias("occurred_at"),
         F.when(n % 7 == 0, F.lit(None).cast("string")).otherwise(evd).alias("evidence_id"),
-        F.when(n % 7 == 0, F.array(F.lit("evd_missing")))
-        .otherwise(F.array(evd, evd, F.lit("evd_missing")))
-        .alias("evidence_ids"),
+        # own evidence twice, a dangling id and, on some events, the next event's evidence (often another store's)
+        F.concat(F.when(n % 7 == 0, F.array(F.lit("evd_missing"))).otherwise(F.array(evd, evd, F.lit("evd_missing"))),
+                 F.when(n % 9 == 4, F.array(F.concat(F.lit("evd_"), (n + 1).cast("string")))).otherwise(
+                     F.array().cast("array<string>"))).alias("evidence_ids"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
         n.alias("n"),
     )

@@ -74,9 +74,11 @@ def test_rescan_and_action_policy(spark):
     req = spark.createDataFrame([("x", "s", "open", "t", "observe"), ("y", "s", "pay", "t", "system_change"),
                                  ("z", "s", "delete", "t", "prohibited")],
                                 "id string, store_id string, action string, target string, authority string")
-    dec = spark.createDataFrame([("y", "approve", "boss", "1"), ("y", "execute", "exec", "2"), ("z", "approve", "boss", "1")],
-                                "action_id string, decision string, actor string, decided_at string")
+    dec = spark.createDataFrame([("y", "s", "approve", "boss", "1"), ("y", "s", "approve", "other", "1"), ("y", "s", "execute", "exec", "1"),
+                                 ("z", "s", "approve", "boss", "1"), ("x", "elsewhere", "approve", "boss", "1")],
+                                "action_id string, store_id string, decision string, actor string, decided_at string")
     actions, rejected = action_status(req, dec)
-    st = {r["id"]: r["status"] for r in actions.collect()}
-    assert st == {"x": "allowed", "y": "executed", "z": "denied"}
-    assert [r["reason"] for r in rejected.collect()] == ["prohibited_action"]
+    st = {r["id"]: (r["status"], r["approved_by"]) for r in actions.collect()}
+    assert st == {"x": ("allowed", None), "y": ("executed", "boss"), "z": ("denied", None)}
+    assert sorted((r["action_id"], r["actor"], r["reason"]) for r in rejected.collect()) == [
+        ("x", "boss", "unknown_action"), ("y", "other", "illegal_transition"), ("z", "boss", "prohibited_action")]
