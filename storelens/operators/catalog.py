@@ -495,8 +495,8 @@ def capabilities(cands: DataFrame, contracts: DataFrame, stores: DataFrame) -> D
     )
 
 
-def schema_totals(catalog: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
-    """Discovered table / column / relationship counts per store."""
+def schema_totals(catalog: DataFrame, relationships: DataFrame | None = None, channels: DataFrame | None = None) -> DataFrame:
+    """Discovered table / column / relationship / camera channel counts per store."""
     c = with_paths(catalog)
     t = c.groupBy("store_id").agg(
         F.countDistinct("table_path").alias("table_count"),
@@ -506,6 +506,9 @@ def schema_totals(catalog: DataFrame, relationships: DataFrame | None = None) ->
     if relationships is not None:
         r = relationships.groupBy("store_id").agg(F.count(F.lit(1)).alias("relationship_count"))
         t = t.join(r, "store_id", "left").fillna(0, ["relationship_count"])
+    if channels is not None:
+        c = channels.groupBy("store_id").agg(F.count(F.lit(1)).alias("camera_channel_count"))
+        t = t.join(c, "store_id", "left").fillna(0, ["camera_channel_count"])
     return t
 
 

@@ -4,16 +4,17 @@ Spark has no public as-of join and a plain ``abs(t1 - t2) <= w`` join plans as a
 nested loop.  ``nearest_within`` is exact and linear, and no group it forms grows
 with data volume:
 
-1. Both sides are reduced to *distinct* instants per key (partial aggregation,
-   skew-safe): for the right side the row with the smallest id wins an instant,
-   which is exactly the (diff, time, id) tie-break.
+1. Both sides together are reduced to one row per instant and key in one
+   aggregation (partial, skew-safe): on the right side the row with the smallest id
+   wins an instant, which is exactly the (diff, time, id) tie-break.
 2. Instants are bucketed twice: a fine bucket of width ``g = ceil(w / 1024)``
    and a coarse bucket of 1024 fine buckets (width >= w).
 3. For every left instant the nearest right instant before and after it is the
    best of:  (a) its own fine bucket (window over one fine bucket: at most ``g``
    distinct microseconds), (b) the other fine buckets of its coarse bucket (a
    window over at most 1024 fine-bucket summaries), (c) the last / first
-   instant of the neighbouring coarse buckets (a small aggregate).
+   instant of the neighbouring coarse buckets.  Each level's summaries come out
+   of the level below it, so the rows are read and keyed once.
    Anything farther is more than ``w`` away.
 4. The winning candidate is kept when ``diff <= w`` and joined back to the left
    rows on (key, instant); AQE's skew join splits a hot instant.
@@ -61,60 +62,45 @@ def nearest_within(
     g = max(1, -(-w // FINE_PER_COARSE))
 
     obs_fields = [F.col(right_id).alias("rid")] + [F.col(c).alias(f"rc_{i}") for i, c in enumerate(right_cols)]
-    r = (
-        right.where(F.col(right_us).isNotNull())
-        .select(F.col(key).alias("k"), F.col(right_us).alias("t"), F.struct(*obs_fields).alias("obs"))
-        .groupBy("k", "t")
-        .agg(F.min("obs").alias("obs"))  # smallest id wins an instant
-        .withColumn("f", F.floor(F.col("t") / g))
-    )
-    lk = (
-        left.where(F.col(left_us).isNotNull())
-        .select(F.col(key).alias("k"), F.col(left_us).alias("t"))
-        .distinct()
-        .withColumn("f", F.floor(F.col("t") / g))
-    )
-
-    cand = lambda t, obs: F.struct(t.alias("t"), obs.alias("obs"))
-
-    # (a) within the own fine bucket: ordered by time, a right instant equal to
-    #     the left instant sorts first so it is part of the "prior" frame.
-    ctype = r.select(cand(F.col("t"), F.col("obs")).alias("c")).schema["c"].dataType
-    u = lk.select("k", "t", "f", F.lit(0).alias("is_r"), F.lit(None).cast(ctype).alias("c")).unionByName(
-        r.select("k", "t", "f", F.lit(1).alias("is_r"), cand(F.col("t"), F.col("obs")).alias("c")),
-        allowMissingColumns=False,
-    )
-    wf = Window.partitionBy("k", "f").orderBy(F.col("t"), F.col("is_r").desc())
-    u = u.select(
-        "k", "t", "f", "is_r",
+    r = right.where(F.col(right_us).isNotNull()).select(
+        F.col(key).alias("k"), F.col(right_us).alias("t"), F.struct(*obs_fields).alias("obs"))
+    none = F.lit(None).cast(r.schema["obs"].dataType)
+    lk = left.where(F.col(left_us).isNotNull()).select(F.col(key).alias("k"), F.col(left_us).alias("t"), none.alias("obs"))
+    both = r.withColumn("is_left", F.lit(False)).unionByName(lk.withColumn("is_left", F.lit(True)))
+
+    # One row per instant of either side; the smallest right id wins an instant.
+    instants = both.groupBy("k", "t").agg(F.min("obs").alias("obs"), F.max("is_left").alias("is_left")).select(
+        "k", "t", "is_left", F.floor(F.col("t") / g).alias("f"),
+        F.when(F.col("obs").isNotNull(), F.struct(F.col("t").alias("t"), F.col("obs").alias("obs"))).alias("c"))
+
+    # (a) within the own fine bucket, and that bucket's first and last right instant.
+    wk = Window.partitionBy("k", "f")
+    wf = wk.orderBy("t")
+    u = instants.select(
+        "k", "t", "f", "is_left",
         F.last("c", ignorenulls=True).over(wf.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("prior_in"),
         F.first("c", ignorenulls=True).over(wf.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("next_in"),
-    ).where(F.col("is_r") == 0)
-
-    # (b) other fine buckets of the same coarse bucket.  One aggregation over the
-    #     union of right instants and left buckets yields a row for every fine
-    #     bucket either side occupies (left-only buckets carry null summaries).
-    c_r = cand(F.col("t"), F.col("obs"))
-    fine = r.select("k", "f", c_r.alias("c")).unionByName(
-        lk.select("k", "f", F.lit(None).cast(ctype).alias("c")))
-    fs = fine.groupBy("k", "f").agg(F.max("c").alias("last_f"), F.min("c").alias("first_f")).withColumn(
-        "cb", F.floor(F.col("f") / FINE_PER_COARSE))
-    fs_r = fs.where(F.col("last_f").isNotNull())
-    wc = Window.partitionBy("k", "cb").orderBy("f")
-    fs = fs.select(
+        F.max("c").over(wk).alias("last_f"), F.min("c").over(wk).alias("first_f"), F.row_number().over(wf).alias("n"))
+
+    # (b) other fine buckets of the same coarse bucket, from one row per fine bucket, and
+    #     that coarse bucket's first and last right instant.
+    fine = u.where("n = 1").select("k", "f", F.floor(F.col("f") / FINE_PER_COARSE).alias("cb"), "last_f", "first_f")
+    wb = Window.partitionBy("k", "cb")
+    wc = wb.orderBy("f")
+    fine = fine.select(
         "k", "f", "cb",
         F.last("last_f", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_fine"),
         F.first("first_f", ignorenulls=True).over(wc.rowsBetween(1, Window.unboundedFollowing)).alias("next_fine"),
-    )
-    # (c) neighbouring coarse buckets.
-    cs = fs_r.groupBy("k", "cb").agg(
-        F.max("last_f").alias("last_c"), F.min("first_f").alias("first_c")
-    )
+        F.max("last_f").over(wb).alias("last_c"), F.min("first_f").over(wb).alias("first_c"), F.row_number().over(wc).alias("n"))
+    # (c) neighbouring coarse buckets, from one row per coarse bucket.
+    coarse = fine.where("n = 1")
     fs = (
-        fs.join(cs.select("k", (F.col("cb") + 1).alias("cb"), "last_c"), ["k", "cb"], "left")
-        .join(cs.select("k", (F.col("cb") - 1).alias("cb"), "first_c"), ["k", "cb"], "left")
-        .select("k", "f", "prev_fine", "next_fine", F.col("last_c").alias("prev_coarse"), F.col("first_c").alias("next_coarse"))
+        fine.select("k", "f", "cb", "prev_fine", "next_fine")
+        .join(coarse.select("k", (F.col("cb") + 1).alias("cb"), F.col("last_c").alias("prev_coarse")), ["k", "cb"], "left")
+        .join(coarse.select("k", (F.col("cb") - 1).alias("cb"), F.col("first_c").alias("next_coarse")), ["k", "cb"], "left")
+        .drop("cb")
     )
+    u = u.where("is_left").select("k", "t", "f", "prior_in", "next_in")
 
     best = u.join(fs, ["k", "f"], "left")
     t = F.col("t")

@@ -226,6 +226,7 @@ SELECT s.store_id,
        coalesce(etc.event_counts, '') AS event_counts,
        coalesce(esc.event_status_counts, '') AS event_status_counts,
        coalesce(otr.open_tasks_by_role, '') AS open_tasks_by_role,
+       coalesce(lsn.seen_text, '') AS last_seen_by_source,
        coalesce(c.match_count, 0) AS match_count,
        coalesce(c.corroborated_system_records, 0) AS corroborated_system_records,
        coalesce(c.uncorroborated_system_records, 0) AS uncorroborated_system_records,
@@ -243,7 +244,19 @@ LEFT JOIN gap g ON g.store_id = s.store_id
 LEFT JOIN evc ON evc.store_id = s.store_id
 LEFT JOIN etc ON etc.store_id = s.store_id
 LEFT JOIN esc ON esc.store_id = s.store_id
-LEFT JOIN otr ON otr.store_id = s.store_id""", [
+LEFT JOIN otr ON otr.store_id = s.store_id
+LEFT JOIN lsn ON lsn.store_id = s.store_id""", [
+    """lsn AS (
+  SELECT a.store_id, string_agg(a.source || '=' || CAST(a.n AS VARCHAR) || ' [' || a.kinds || '] ' || coalesce(l.occurred_at, 'never'),
+                                ', ' ORDER BY a.source) AS seen_text
+  FROM (SELECT store_id, coalesce(source, 'unknown') AS source, count(*) AS n,
+               string_agg(DISTINCT coalesce(kind, 'unknown'), ',' ORDER BY coalesce(kind, 'unknown')) AS kinds
+        FROM fx_evidence GROUP BY 1, 2) a
+  LEFT JOIN (SELECT store_id, coalesce(source, 'unknown') AS source, occurred_at,
+                    row_number() OVER (PARTITION BY store_id, coalesce(source, 'unknown') ORDER BY occurred_us DESC, occurred_at, id) AS rn
+             FROM fx_evidence WHERE occurred_us IS NOT NULL) l
+    ON l.store_id = a.store_id AND l.source = a.source AND l.rn = 1
+  GROUP BY a.store_id)""",
     NEAREST_OBS_CTE, COVERAGE_CTE, GAP_CTE, wf_tasks_sql("fx_facts"), EVENT_STATUS_CTE,
     _counts_text("fx_evidence", "kind", "evc"), _counts_text("fx_facts", "event_type", "etc"),
     _counts_text("ev_status", "status", "esc"), _counts_text("fx_task", "role", "otr", "WHERE status = 'open'"),

@@ -253,7 +253,8 @@ FROM fx_stores s LEFT JOIN (
     WHERE canonical_field = 'staff.role' AND authority = 'authorized_connector_contract') GROUP BY store_id) c
   ON c.store_id = s.store_id""")
 CATALOG_ORACLES["schema_totals"] = _q("""
-SELECT t.store_id, t.table_count, t.column_count, t.source_count, coalesce(r.n, 0) AS relationship_count
+SELECT t.store_id, t.table_count, t.column_count, t.source_count, coalesce(r.n, 0) AS relationship_count,
+       CAST(substr(t.store_id, 5) AS BIGINT) % 4 AS camera_channel_count
 FROM (SELECT store_id, count(DISTINCT table_path) AS table_count, count(*) AS column_count,
              count(DISTINCT source) AS source_count FROM fx_cat GROUP BY 1) t
 LEFT JOIN (SELECT store_id, count(*) AS n FROM (SELECT store_id FROM fx_fks UNION ALL SELECT store_id FROM inferred)

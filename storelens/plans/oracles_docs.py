@@ -53,4 +53,7 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate,
 ORACLES["select_source"] = _q("""
 SELECT store_id, CASE WHEN c_custkey % 2 = 0 THEN 'store_sql' ELSE 'archive_sql' END AS name,
        c_custkey % 2 = 0 AS exact_match
-FROM fx_stores WHERE template = 2""")
+FROM fx_stores""")
+
+ORACLES["system_catalog"] = ORACLES["catalog_from_metadata"]
+ORACLES["system_catalog_relationships"] = ORACLES["catalog_relationships"]

@@ -39,18 +39,34 @@ SELECT c.store_id, 'readiness', c.check_pos,
        || CASE WHEN c.missing IS NULL THEN 'Verified' ELSE 'Awaiting: ' || c.missing END
 FROM checks c JOIN (SELECT DISTINCT check_key, label FROM rgroups) g ON g.check_key = c.check_key"""
 
+ORACLES["store_snapshot_lines"] = (
+    "WITH snap AS (" + ORACLES["operational_snapshot"] + "), pstates AS (" + ORACLES["proof_state_counts"] + """)
+SELECT store_id, 'snapshot' AS section, 0 AS line_no, '- state: ' || state AS line FROM snap
+UNION ALL SELECT store_id, 'snapshot', 1, '- evidence: ' || evidence_counts FROM snap
+UNION ALL SELECT store_id, 'snapshot', 2, '- events: ' || event_counts FROM snap
+UNION ALL SELECT store_id, 'snapshot', 3, '- open work: ' || open_tasks_by_role FROM snap
+UNION ALL SELECT store_id, 'snapshot', 4, '- corroborated: ' || CAST(corroborated_system_records AS VARCHAR) FROM snap
+UNION ALL SELECT store_id, 'snapshot', 5, '- uncorroborated: ' || CAST(uncorroborated_system_records AS VARCHAR) FROM snap
+UNION ALL SELECT store_id, 'snapshot', 6, '- unlinked observations: ' || CAST(unlinked_observations AS VARCHAR) FROM snap
+UNION ALL SELECT store_id, 'snapshot', 7, '- last seen: ' || last_seen_by_source FROM snap
+UNION ALL
+SELECT store_id, 'proofs', CASE state WHEN 'disputed' THEN 0 WHEN 'awaiting_system_record' THEN 1 WHEN 'awaiting_camera_context' THEN 2
+         WHEN 'awaiting_human_confirmation' THEN 3 WHEN 'evidence_complete' THEN 4 ELSE 9 END,
+       '- ' || state || ': ' || CAST(count AS VARCHAR) FROM pstates""")
+
 ORACLES["write_artifacts"] = ORACLES["operation_proofs"]
 
 ORACLES["store_status"] = with_fx(["fx_task", "fx_all_evidence"], """
-SELECT s.store_id, CAST(0 AS BIGINT) AS open_questions, coalesce(t.n, 0) AS open_tasks, coalesce(e.n, 0) AS events,
+SELECT s.store_id, coalesce(q.n, 0) AS open_questions, coalesce(t.n, 0) AS open_tasks, coalesce(e.n, 0) AS events,
        coalesce(v.n, 0) AS evidence, coalesce(a.n, 0) AS actions
-FROM (SELECT store_id FROM fx_task UNION SELECT store_id FROM fx_op_event UNION SELECT store_id FROM fx_all_evidence
+FROM (SELECT DISTINCT store_id FROM questions UNION SELECT store_id FROM fx_task UNION SELECT store_id FROM fx_op_event UNION SELECT store_id FROM fx_all_evidence
       UNION SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) FROM events WHERE event_type = 'error') s
 LEFT JOIN (SELECT store_id, count(*) AS n FROM fx_task WHERE status = 'open' GROUP BY 1) t ON t.store_id = s.store_id
 LEFT JOIN (SELECT store_id, count(*) AS n FROM fx_op_event GROUP BY 1) e ON e.store_id = s.store_id
 LEFT JOIN (SELECT store_id, count(*) AS n FROM fx_all_evidence GROUP BY 1) v ON v.store_id = s.store_id
 LEFT JOIN (SELECT 'store_' || CAST(user_id % 4 AS VARCHAR) AS store_id, count(*) AS n FROM events
-           WHERE event_type = 'error' GROUP BY 1) a ON a.store_id = s.store_id""")
+           WHERE event_type = 'error' GROUP BY 1) a ON a.store_id = s.store_id
+LEFT JOIN (SELECT store_id, count(*) AS n FROM questions WHERE NOT resolved GROUP BY 1) q ON q.store_id = s.store_id""", [CAT_CTES.strip()])
 
 ORACLES["attention_items"] = "SELECT store_id, attention FROM (" + ORACLES["operational_snapshot"] + ")"
 
@@ -60,7 +76,7 @@ caps AS ({_caps_body})
 SELECT c.store_id, 'structural_metadata_only' AS basis, false AS verified, c.sources, c.table_count, c.column_count,
        coalesce(r.n, 0) AS role_candidate_count, caps.capabilities, caps.unknowns,
        coalesce(d.n, 0) AS declared_relationships, coalesce(i.n, 0) AS inferred_relationships,
-       CAST(0 AS BIGINT) AS camera_channel_count
+       CAST(substr(c.store_id, 5) AS BIGINT) % 4 AS camera_channel_count
 FROM (SELECT store_id, count(DISTINCT table_path) AS table_count, count(*) AS column_count,
              string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM fx_cat GROUP BY 1) c
 LEFT JOIN (SELECT store_id, count(*) AS n FROM role_cands GROUP BY 1) r ON r.store_id = c.store_id

@@ -39,7 +39,7 @@ SELECT 'evd_' || sha256(store_id || '|' || answer_id) AS id, store_id, 'human_co
        '{"task_id":"' || task_id || '","answer":{"confirmed":"' || confirmed || '"}}' AS payload
 FROM accepted""", [ANSWERS_CTE])
 
-ORACLES["answer_questions"] = "WITH " + CAT_CTES.strip() + """,
+_ANSWERED = "WITH " + CAT_CTES.strip() + """,
 ans AS (
   SELECT q.store_id, q.key, split_part(q.key, ':', 2) AS canonical_field, split_part(q.key, ':', 1) AS kind,
          m.source_path AS cur,
@@ -55,6 +55,16 @@ outcome AS (
                  ELSE 'rejected' END AS o
   FROM ans),
 good AS (SELECT * FROM outcome WHERE o <> 'rejected')
+"""
+
+ORACLES["answer_questions_resolved"] = _ANSWERED + """
+SELECT q.store_id, q.key, g.key IS NOT NULL AS resolved, g.answer
+FROM questions q LEFT JOIN good g ON g.store_id = q.store_id AND g.key = q.key"""
+
+ORACLES["answer_questions_rejected"] = _ANSWERED + """
+SELECT store_id, key, answer, 'owner' AS actor FROM outcome WHERE o = 'rejected'"""
+
+ORACLES["answer_questions"] = _ANSWERED + """
 SELECT coalesce(m.store_id, g.store_id) AS store_id, coalesce(m.canonical_field, g.canonical_field) AS canonical_field,
        CASE WHEN g.o IS NULL THEN m.source_path WHEN g.o = 'verified' THEN g.cur ELSE g.answer END AS source_path,
        CASE WHEN g.o IN ('corrected', 'mapped') THEN 1.0 ELSE CAST(m.confidence AS DOUBLE) END AS confidence,

@@ -357,7 +357,14 @@ def q_schema_totals(spark, sf_dir):
 
     cat = cf.fx_catalog(spark, sf_dir)
     rels = co.all_relationships(cf.fx_declared_relationships(spark, sf_dir), _inferred(spark, sf_dir))
-    return co.schema_totals(cat, rels)
+    return co.schema_totals(cat, rels, _channels(spark, sf_dir))
+
+
+def _channels(spark, sf_dir):
+    from storelens.sources.collector_fixture import fx_catalog_cameras
+    from storelens.sources.collectors import camera_registry
+
+    return camera_registry(fx_catalog_cameras(spark, sf_dir))
 
 
 @register("rank_databases")

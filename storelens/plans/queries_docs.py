@@ -113,6 +113,49 @@ def q_catalog_relationships(spark, sf_dir):
     return cd.catalog_from_metadata(*fx_metadata(spark, sf_dir))[1]
 
 
+def fx_system_tables(spark, sf_dir):
+    """The same metadata as rows of a database's own system tables, with ids."""
+    cols, pks, parts, fks = fx_metadata(spark, sf_dir)
+    oid = lambda schema, name: F.xxhash64(schema, name).alias("object_id")
+    own = lambda df: df.withColumn("object_id", F.xxhash64("schema_name", "table_name"))
+    c = own(cols)
+    key = own(pks).join(c.select("store_id", "object_id", "column_name", "column_id"), ["store_id", "object_id", "column_name"])
+    end = lambda o, k: c.select("store_id", F.col("object_id").alias(o), F.col("column_name").alias(f"{k}_column"), F.col("column_id").alias(f"{k}_id"))
+    f = fks.select("store_id", "constraint_name", "from_column", "to_column", F.xxhash64("constraint_name").alias("constraint_object_id"),
+                   F.xxhash64("from_schema", "from_table").alias("parent_object_id"), F.xxhash64("to_schema", "to_table").alias("referenced_object_id"))
+    f = f.join(end("parent_object_id", "from"), ["store_id", "parent_object_id", "from_column"]).join(
+        end("referenced_object_id", "to"), ["store_id", "referenced_object_id", "to_column"])
+    return {
+        "schemas": cols.select("store_id", F.xxhash64("schema_name").alias("schema_id"), F.col("schema_name").alias("name")).distinct(),
+        "tables": cols.select("store_id", oid("schema_name", "table_name"), F.xxhash64("schema_name").alias("schema_id"),
+                              F.col("table_name").alias("name"), "is_ms_shipped").distinct(),
+        "columns": c.select("store_id", "object_id", "column_id", F.col("column_name").alias("name"), F.xxhash64("data_type").alias("user_type_id"),
+                            "max_length", "precision", "scale", "is_nullable"),
+        "types": cols.select("store_id", F.xxhash64("data_type").alias("user_type_id"), F.col("data_type").alias("name")).distinct(),
+        "indexes": c.select("store_id", "object_id").distinct().select("store_id", "object_id", F.explode(F.array(
+            F.struct(F.lit(1).alias("index_id"), F.lit(True).alias("is_primary_key")),
+            F.struct(F.lit(2).alias("index_id"), F.lit(False).alias("is_primary_key")))).alias("i")).select("store_id", "object_id", "i.*"),
+        "index_columns": key.select("store_id", "object_id", F.lit(1).alias("index_id"), "column_id").unionByName(
+            c.where("column_id = 1").select("store_id", "object_id", F.lit(2).alias("index_id"), "column_id")),
+        "partitions": own(parts).select("store_id", "object_id", "index_id", "rows"),
+        "foreign_keys": f.select("store_id", F.col("constraint_object_id").alias("object_id"), F.col("constraint_name").alias("name")).distinct(),
+        "foreign_key_columns": f.select("store_id", "constraint_object_id", "parent_object_id", F.col("from_id").alias("parent_column_id"),
+                                        "referenced_object_id", F.col("to_id").alias("referenced_column_id")),
+    }
+
+
+@register("system_catalog")
+def q_system_catalog(spark, sf_dir):
+    catalog, _ = cd.catalog_from_metadata(*cd.metadata_from_system_tables(fx_system_tables(spark, sf_dir)))
+    return catalog.select("store_id", "table", "table_pos", "column", "column_pos", "type", "primary_key",
+                          "row_count", "nullable")
+
+
+@register("system_catalog_relationships")
+def q_system_catalog_relationships(spark, sf_dir):
+    return cd.catalog_from_metadata(*cd.metadata_from_system_tables(fx_system_tables(spark, sf_dir)))[1]
+
+
 @register("sample_rows")
 def q_sample_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -124,10 +167,12 @@ def q_sample_rows(spark, sf_dir):
 def q_select_source(spark, sf_dir):
     from storelens.operators.catalog import select_source
 
-    st = cf.fx_stores(spark, sf_dir).where(F.col("template") == 2)
-    sources = st.select("store_id", F.lit("archive_sql").alias("name"), F.lit("sqlserver").alias("kind"),
+    st = cf.fx_stores(spark, sf_dir)
+    sources = st.select("store_id", F.lit("shop_api").alias("name"), F.lit("json_schema").alias("kind"),
+                        F.lit(None).cast("string").alias("source_server"), F.lit(None).cast("string").alias("source_database"),
+                        F.lit(-1).alias("source_pos"), "c_custkey", "server").unionByName(st.select("store_id", F.lit("archive_sql").alias("name"), F.lit("sqlserver").alias("kind"),
                         F.col("server").alias("source_server"), F.lit("archive").alias("source_database"),
-                        F.lit(0).alias("source_pos"), "c_custkey", "server").unionByName(
+                        F.lit(0).alias("source_pos"), "c_custkey", "server")).unionByName(
         st.select("store_id", F.lit("store_sql").alias("name"), F.lit("sqlserver").alias("kind"),
                   F.col("server").alias("source_server"), F.lit("operations").alias("source_database"),
                   F.lit(1).alias("source_pos"), "c_custkey", "server"))

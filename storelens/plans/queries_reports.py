@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from storelens.plans import reports as rp
-from storelens.plans.queries import _events_with_status, _mappings, _questions, register
+from storelens.plans.queries import _channels, _events_with_status, _mappings, _questions, register
 from storelens.session import ensure_checkpoint_dir
 from storelens.sources import fixtures as fx
 
@@ -23,6 +23,14 @@ def q_store_report_lines(spark, sf_dir):
     return rp.mapping_lines(mappings).unionByName(rp.readiness_lines(mappings, stores))
 
 
+@register("store_snapshot_lines")
+def q_store_snapshot_lines(spark, sf_dir):
+    from storelens.plans.queries import q_operational_snapshot, q_proof_state_counts
+
+    return rp.snapshot_lines(q_operational_snapshot(spark, sf_dir)).unionByName(
+        rp.proof_state_lines(q_proof_state_counts(spark, sf_dir)))
+
+
 @register("write_artifacts")
 def q_write_artifacts(spark, sf_dir):
     from storelens.operators.proofs import operation_proofs, proofs_report
@@ -39,7 +47,7 @@ def q_store_status(spark, sf_dir):
     from storelens.plans.queries_state import fx_actions
 
     req, _ = fx_actions(spark, sf_dir)
-    return rp.store_status(None, fx.fx_task(spark, sf_dir), fx.fx_op_event(spark, sf_dir),
+    return rp.store_status(_questions(spark, sf_dir)[1], fx.fx_task(spark, sf_dir), fx.fx_op_event(spark, sf_dir),
                            fx.fx_all_evidence(spark, sf_dir), req)
 
 
@@ -59,7 +67,7 @@ def q_store_awareness(spark, sf_dir):
     cands = co.role_candidates(co.score_table_roles(cat))
     caps = co.capabilities(cands, contracts, stores)
     return rp.store_awareness(cat, cands, cf.fx_declared_relationships(spark, sf_dir),
-                              co.infer_relationships(cands, cat), caps)
+                              co.infer_relationships(cands, cat), caps, _channels(spark, sf_dir))
 
 
 @register("rank_collectors")

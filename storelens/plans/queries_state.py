@@ -49,8 +49,8 @@ def q_answer_tasks_evidence(spark, sf_dir):
     return state.answer_tasks(fx.fx_task(spark, sf_dir).drop("n"), fx_answers(spark, sf_dir))[1]
 
 
-@register("answer_questions")
-def q_answer_questions(spark, sf_dir):
+def _answered(spark, sf_dir):
+    """(questions, mappings, rejected) after the fleet's setup answers."""
     from storelens.plans.queries import _questions
 
     mappings, questions, stores = _questions(spark, sf_dir)
@@ -65,8 +65,22 @@ def q_answer_questions(spark, sf_dir):
               .when(k % 2 == 0, F.lit("shop_export.ItemMaster.ItemCode")).otherwise(F.lit("nodot")))
     answers = q.select("store_id", "key", answer.alias("answer"), F.lit("owner").alias("actor"),
                        F.lit("2026-01-01T00:00:00").alias("answered_at"))
-    _, new_mappings, _ = state.answer_questions(questions, mappings, answers)
-    return new_mappings.select("store_id", "canonical_field", "source_path", "confidence", "verified")
+    return state.answer_questions(questions, mappings, answers)
+
+
+@register("answer_questions")
+def q_answer_questions(spark, sf_dir):
+    return _answered(spark, sf_dir)[1].select("store_id", "canonical_field", "source_path", "confidence", "verified")
+
+
+@register("answer_questions_resolved")
+def q_answer_questions_resolved(spark, sf_dir):
+    return _answered(spark, sf_dir)[0].select("store_id", "key", "resolved", "answer")
+
+
+@register("answer_questions_rejected")
+def q_answer_questions_rejected(spark, sf_dir):
+    return _answered(spark, sf_dir)[2]
 
 
 def fx_actions(spark, sf_dir):

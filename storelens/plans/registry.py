@@ -4,6 +4,7 @@ from storelens.plans import (  # noqa: F401
     oracles_docs,
     oracles_extensions,
     oracles_functions,
+    oracles_operations,
     oracles_records,
     oracles_reports,
     oracles_sources,
@@ -11,6 +12,7 @@ from storelens.plans import (  # noqa: F401
     queries_docs,
     queries_extensions,
     queries_functions,
+    queries_operations,
     queries_records,
     queries_reports,
     queries_sources,

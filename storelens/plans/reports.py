@@ -62,6 +62,7 @@ def snapshot_lines(snapshot: DataFrame) -> DataFrame:
         ("corroborated", F.col("corroborated_system_records").cast("string")),
         ("uncorroborated", F.col("uncorroborated_system_records").cast("string")),
         ("unlinked observations", F.col("unlinked_observations").cast("string")),
+        ("last seen", F.col("last_seen_by_source")),
     ]
     arr = F.array(*[F.struct(F.lit(i).alias("n"), F.concat(F.lit(f"- {k}: "), F.coalesce(v, F.lit(""))).alias("l"))
                     for i, (k, v) in enumerate(items)])

@@ -64,10 +64,8 @@ def operational_snapshot(
     )
     matches = nearest_observation(evidence, window_minutes)
     m = matches.groupBy("store_id").agg(
-        F.countDistinct("system_record_id").alias("corroborated"),
-        F.countDistinct("observation_id").alias("linked_observations"),
-        F.count(F.lit(1)).alias("match_count"),
-    )
+        F.count(F.lit(1)).alias("match_count"), F.countDistinct("observation_id").alias("linked_observations"),
+    ).withColumn("corroborated", F.col("match_count"))  # a record has one match
     cov = per_store.join(m, "store_id", "left").fillna(0, ["corroborated", "linked_observations", "match_count"])
     gap_us = F.abs(F.col("latest_observation_us") - F.col("latest_system_us"))
     unit = 36_000_000  # microseconds per 0.01 h; half-even on exact integers
@@ -86,8 +84,15 @@ def operational_snapshot(
     es_txt = ev_ops.counts_text(ev_ops.event_status_counts(events), "status", "event_status_counts")
     ot_txt = ev_ops.counts_text(ev_ops.open_tasks_by_role(tasks), "role", "open_tasks_by_role")
 
+    seen = ev_ops.source_freshness(evidence)
+    # One list is one store's sources.
+    last = seen.groupBy("store_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("source", "count", "kinds", "latest_at"))),
+        lambda x: F.concat(x["source"], F.lit("="), x["count"].cast("string"), F.lit(" ["), x["kinds"], F.lit("] "),
+                           F.coalesce(x["latest_at"], F.lit("never")))), ", ").alias("last_seen_by_source"))
+
     snap = stores
-    for part in (cov, ev_txt, et_txt, es_txt, ot_txt):
+    for part in (cov, ev_txt, et_txt, es_txt, ot_txt, last):
         snap = snap.join(part, "store_id", "left")
     if readiness is not None:
         snap = snap.join(readiness.select("store_id", "ready", "unresolved_questions"), "store_id", "left")
@@ -100,7 +105,7 @@ def operational_snapshot(
     for c in ("system_records", "observations", "match_count", "corroborated_system_records",
               "uncorroborated_system_records", "unlinked_observations"):
         snap = snap.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast("bigint")))
-    for c in ("evidence_counts", "event_counts", "event_status_counts", "open_tasks_by_role"):
+    for c in ("evidence_counts", "event_counts", "event_status_counts", "open_tasks_by_role", "last_seen_by_source"):
         snap = snap.withColumn(c, F.coalesce(F.col(c), F.lit("")))
     snap = attention_items(snap)
     return snap.select(
@@ -112,6 +117,7 @@ def operational_snapshot(
         "event_counts",
         "event_status_counts",
         "open_tasks_by_role",
+        "last_seen_by_source",
         "match_count",
         "corroborated_system_records",
         "uncorroborated_system_records",

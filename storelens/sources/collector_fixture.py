@@ -62,6 +62,20 @@ def fx_sql_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame_cached
+def fx_catalog_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One camera configuration per catalog store, with key % 4 channels."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    n = (F.col("c_custkey") % 4).cast("int")
+    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(
+        F.concat(F.lit("CH"), i.cast("string")).alias("channel"), F.concat(F.lit("cam"), i.cast("string")).alias("name"),
+        F.lit("shelf").alias("role"), F.lit(True).alias("enabled"), F.lit("secret").alias("password")))
+    cams = F.when(n > 0, some).otherwise(
+        F.array().cast("array<struct<channel:string,name:string,role:string,enabled:boolean,password:string>>"))
+    return c.select(F.concat(F.lit("cat_"), F.col("c_custkey").cast("string")).alias("store_id"), F.lit("device.json").alias("doc_path"),
+                    F.to_json(F.struct(cams.alias("cameras"))).alias("doc"))
+
+
 @frame_cached
 def fx_camera_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey")

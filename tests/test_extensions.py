@@ -27,3 +27,57 @@ def test_task_sink_partitions_by_role(spark):
         ext.deliver_tasks(tasks, os.path.join(d, "tasks"))
         names = set(os.listdir(os.path.join(d, "tasks")))
         assert {"role=manager", "role=shelfer"} <= names
+
+
+def test_new_event_type_has_its_own_summary(spark):
+    from pyspark.sql import functions as F
+
+    from storelens.extensions import with_rules
+    from storelens.operators.workflows import WorkflowRule, evaluate_workflows
+
+    rules = with_rules({"price_change": [WorkflowRule(F.col("facts.quantity") > 1, "manager", "Check it.", "Price.")],
+                        "audit": [WorkflowRule(F.lit(False), "manager", "Never.", "Never.")]})
+    events = spark.createDataFrame([("1", "s", "price_change", (5.0,)), ("2", "s", "audit", (5.0,)), ("3", "s", "other", (5.0,)), ("4", "s", "sale", (None,))],
+                                   "id string, store_id string, event_type string, facts struct<quantity:double>").withColumn(
+        "occurred_at", F.lit("2026-01-01T10:00:00"))
+    out, _ = evaluate_workflows(events, rules, {"audit": ("Audit clean", "Audit open")})
+    assert {r["id"]: r["summary"] for r in out.collect()} == {
+        "1": "Price change needs 1 verification step(s)", "2": "Audit clean", "3": "Unsupported event routed to manager",
+        "4": "Sale needs 1 verification step(s)"}
+
+
+def test_answers_keep_keys_without_a_field(spark):
+    from storelens.operators.state import answer_tasks
+
+    tasks = spark.createDataFrame([("t", "s", "open")], "id string, store_id string, status string")
+    answers = spark.createDataFrame([("a", "s", "t", "boss", "1", "yes", "12", "left shelf")],
+                                    "answer_id string, store_id string, task_id string, actor string, answered_at string, confirmed string, "
+                                    "counted string, note string")
+    after, evidence, _ = answer_tasks(tasks, answers)
+    got = after.first()["answer"]
+    assert got["confirmed"] == "yes" and got["other"] == '{"counted":"12","note":"left shelf"}'
+    assert len(evidence.first()["id"]) == 4 + 64
+
+
+def test_scans_and_pairs_have_no_ceiling(spark):
+    from pyspark.sql import functions as F
+
+    from storelens.operators.catalog import infer_relationships
+    from storelens.operators.records import recent_top_n
+    from storelens.sources import collectors as col
+
+    facts = spark.range(1500).select(F.lit("s").alias("store_id"), F.col("id").alias("fact_key"), F.lit("t").alias("occurred_at"),
+                                     F.lit("sale").alias("fact_type"), F.lit("p").alias("product_sku"), F.lit(1.0).alias("quantity"),
+                                     F.lit("d").alias("document_id"), F.lit("l").alias("line_id"))
+    items = col.scan_system_facts(facts)
+    assert items.count() == 1500 and col.newest(items, 7).count() == 7
+    assert recent_top_n(facts, ["store_id"], [F.col("fact_key")], 1200).count() == 1200
+    n = 20  # 20 tables share one identifier: 190 pairs
+    catalog = spark.range(n).select(
+        F.lit("s").alias("store_id"), F.lit("db").alias("source"), F.lit(0).alias("source_pos"), F.lit("sqlserver").alias("source_kind"),
+        F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("table"), F.col("id").cast("int").alias("table_pos"),
+        F.lit("ProductId").alias("column"), F.lit(0).alias("column_pos"), F.lit("int").alias("type"), F.lit(False).alias("primary_key"),
+        F.lit(1).cast("bigint").alias("row_count"))
+    cands = catalog.select("store_id", F.concat(F.lit("role"), F.col("table_pos").cast("string")).alias("role"),
+                           F.concat_ws(".", "source", "table").alias("source_path"), F.lit(1).alias("rank"))
+    assert infer_relationships(cands, catalog).count() == n * (n - 1) // 2

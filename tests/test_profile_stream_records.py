@@ -57,3 +57,66 @@ def test_operational_stream_is_idempotent(spark):
         assert ev.count() == 6 and ev.select("external_id").distinct().count() == 6
         tasks = spark.read.parquet(os.path.join(state, "tasks"))
         assert tasks.where("event_type = 'sale'").count() == 2  # mapping unverified + incomplete line
+
+
+def test_stream_opens_only_the_ledger_folders_its_keys_hash_to(spark, tmp_path):
+    from storelens.streaming import ingest as st
+
+    keys = spark.range(3000).select(F.lit("s").alias("store_id"), F.lit("c").alias("connector"), F.col("id").cast("string").alias("external_id"))
+    path = str(tmp_path / "ledger")
+    st._write_batch(keys.withColumn("bucket", st.ledger_bucket()), path, 0, "bucket")
+    batch = spark.createDataFrame([("s", "c", "17"), ("s", "c", "new")], "store_id string, connector string, external_id string")
+    touched = st.touched_ledger(spark, path, batch, 1)
+    folders = {f.split("bucket=")[1].split("/")[0] for f in touched.inputFiles()}
+    assert 1 <= len(folders) <= 2 and touched.where("external_id = '17'").count() == 1
+    assert st.touched_ledger(spark, path, batch, 0).count() == 0  # a retry of batch 0 does not see its own rows
+
+
+def test_stream_fills_blank_times_per_batch_and_keeps_them(spark, tmp_path):
+    from storelens.streaming.ingest import operational_stream
+
+    schema = ("store_id string, connector string, external_id string, occurred_at string, kind string, "
+              "confidence double, operation_type string, product_id string, quantity double, pack_size double, "
+              "destination_id string, source_record_hash string, mapping_verified boolean")
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    row = lambda i: ("s", "c", i, "", "system_record", 0.8, "sale_line", "P", 1.0, None, None, "h", True)
+    for i in ("x1", "x2"):
+        spark.createDataFrame([row(i)], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        operational_stream(spark, stream, state).awaitTermination()
+    times = {r["external_id"]: r["occurred_at"] for r in spark.read.parquet(os.path.join(state, "evidence")).collect()}
+    assert times["x1"] < times["x2"]
+
+
+def test_stream_correlation_equals_batch_for_any_order(spark, tmp_path):
+    import random
+
+    from storelens.operators.correlate import nearest_observation
+    from storelens.streaming import ingest as st
+
+    rng = random.Random(11)
+    stamp = lambda m: f"2026-01-{1 + m // 1440:02d}T{m % 1440 // 60:02d}:{m % 60:02d}:00"
+    rows = [(f"e{i}", f"s{i % 2}", rng.choice(["system_record", "observation", "other"]), stamp(rng.randrange(3 * 1440)) if i % 17 else "unknown")
+            for i in range(400)]
+    schema = "id string, store_id string, kind string, occurred_at string"
+    want = sorted(map(tuple, nearest_observation(spark.createDataFrame(rows, schema), 15).select(
+        "store_id", "system_record_id", "observation_id", "time_difference_us").collect()))
+    assert want
+    for k in range(2):
+        rng.shuffle(rows)
+        src, state = str(tmp_path / f"in{k}"), str(tmp_path / f"state{k}")
+        for part in range(3):
+            spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        st.stream_correlation(spark, stream, state, 15).awaitTermination()
+        assert sorted(map(tuple, st.correlated(spark, state).collect())) == want
+
+
+def test_stream_batch_opens_only_the_days_around_its_rows(spark, tmp_path):
+    from storelens.streaming import ingest as st
+
+    history = str(tmp_path / "history")
+    days = spark.range(40).select(F.col("id").alias("day"), F.col("id").cast("string").alias("id"))
+    st._write_batch(days, history, 0, "day")
+    near = st._folders(spark, history, "day", [9, 10, 11, 99])
+    assert sorted(r["day"] for r in near.collect()) == [9, 10, 11] and len(near.inputFiles()) == 3

@@ -54,3 +54,21 @@ def test_distant_camera_does_not_count(spark):
     p = _case(spark, "2026-07-16T08:00:00+00:00", "2026-07-16T10:02:00+00:00")
     assert p["state"] == "awaiting_camera_context"
     assert p["camera_observation_id"] is None
+
+
+def test_other_stores_evidence_and_answers_prove_nothing(spark):
+    evidence = spark.createDataFrame([
+        ("sys-b", "b", "system_record", "sql", 1.0, "2026-01-01T10:00:00", "{}"),
+        ("cam-a", "a", "observation", "camera_1", 1.0, "2026-01-01T10:00:00", "{}"),
+        ("cnf-b", "b", "human_confirmation", "staff", 1.0, "2026-01-01T10:00:00", "{}"),
+    ], "id string, store_id string, kind string, source string, confidence double, occurred_at string, payload string")
+    events = spark.createDataFrame([("e1", "a", "sale", "2026-01-01T10:00:00", ["sys-b"]), ("e2", "b", "sale", "2026-01-01T10:00:00", ["sys-b"])],
+                                   "id string, store_id string, event_type string, occurred_at string, evidence_ids array<string>")
+    answer = "struct<confirmed:string,verified:string,matches_record:string,received:string,completed:string,evidence_id:string,actor:string>"
+    yes = ("yes", None, None, None, None, "cnf-b", "x")
+    tasks = spark.createDataFrame([("t1", "a", "e1", "deo", "answered", yes, "1"), ("t2", "a", "e2", "deo", "answered", yes, "1"),
+                                   ("t3", "b", "e2", "deo", "answered", yes, "1"), ("t4", "b", None, "deo", "answered", yes, "1")],
+                                  f"id string, store_id string, related_event_id string, role string, status string, answer {answer}, created_at string")
+    got = {r["event_id"]: r for r in operation_proofs(events, evidence, tasks).collect()}
+    assert got["e1"]["state"] == "awaiting_system_record" and got["e1"]["positive_confirmation_task_ids"] == []
+    assert got["e2"]["state"] == "awaiting_camera_context" and got["e2"]["positive_confirmation_task_ids"] == ["t3"]
