@@ -34,7 +34,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -55,7 +54,7 @@ MIN_EQUAL_BITS = int(BITS * (1 + PERCENT / 100) / 2 - 5.7 * 7.5)
 #: Ids up to this many are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words a task remembers the hashes of.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FILLED = np.uint64(2**64 - 1)
@@ -157,20 +156,33 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _intersections(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                      for x, y in zip(a, b)], dtype="int64")
+def _common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the pairs ``(a, b, sa, sb)`` of a batch, and which shingles of b are in a; sets are read in place."""
+    for batch in batches:
+        counts, masks = np.empty((batch.num_rows, 3), np.int64), []
+        for i, (sa, sb) in enumerate(zip(batch.column(2), batch.column(3))):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (sa, sb))
+            inside = np.isin(y, x, assume_unique=True)
+            counts[i] = len(x), len(y), inside.sum()
+            masks.append(np.packbits(np.pad(inside, (0, -len(y) % 64))).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(counts[:, k]) for k in range(3)], pa.array(masks, pa.list_(pa.int64()))],
+                                         names=["a", "b", "n_a", "n_b", "common", "mask"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` with the sizes of their full sets, the number of common shingles and ``mask``, the
+    bits of b's sorted shingles that a has."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_common, "a long, b long, n_a long, n_b long, common long, mask array<long>")
+
 
+def _reaches(common: Column, n_a: Column, n_b: Column) -> Column:
+    return 100 * common >= PERCENT * (n_a + n_b - common)
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
-    common = F.pandas_udf(_intersections, "long")
-    # The side that few nodes take comes last, so their sets travel once per task and not per pair.
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    sizes = (F.octet_length("sa") + F.octet_length("sb")) / 8
-    counted = both.select("a", "b", sizes.alias("sizes"), common("sa", "sb").alias("common"))
-    return counted.where(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
+
+def _links(counted: DataFrame) -> DataFrame:
+    return counted.where(_reaches(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,11 +204,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _close(a: str, b: str) -> Column:
-    """Sizes and sketch bits of two bucket rows leave the threshold possible."""
-    small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _BIT_NAMES), F.lit(0))
-    return (100 * small >= PERCENT * large) & (apart <= BITS - MIN_EQUAL_BITS)
+def _possible(x: str, y: str) -> Column:
+    """Two bucket rows may be linked, and this is the first bucket that they share.
+
+    Ruled out are pairs whose sizes differ too much, whose sketch bits are too far
+    apart, that were compared already, or that share a leader and cannot have enough
+    in common: exactly the leader's shingles that both have, and at most the smaller
+    number of shingles that one has beside the leader's.
+    """
+    of = lambda row, c: F.col(f"{row}.{c}")
+    n_x, n_y = of(x, "n_shingles"), of(y, "n_shingles")
+    sizes = 100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)
+    apart = sum((F.bit_count(of(x, b).bitwiseXOR(of(y, b))) for b in _BIT_NAMES), F.lit(0))
+    new = (of(x, "node") != of(y, "leader")) & (of(y, "node") != of(x, "leader"))
+    both = F.aggregate(F.zip_with(of(x, "mask"), of(y, "mask"), lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, k: n + k)
+    most = both + F.least(n_x - of(x, "inside"), n_y - of(y, "inside"))
+    enough = (of(x, "leader") != of(y, "leader")) | _reaches(most, n_x, n_y)
+    equal = F.filter(F.zip_with(of(x, "bands"), of(y, "bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    return sizes & new & enough & (apart <= BITS - MIN_EQUAL_BITS) & (F.get(equal, 0) == of(x, "bucket"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +242,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     meeting = written(rows.join(met, "bucket"), "buckets")
 
     weights = written(meeting.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    traits = signed.select("node", "n_shingles", *_BIT_NAMES)
     weighed = meeting.select("bucket", "node").join(weights, "node")
     leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"))).alias("leader"))
     chosen = weighed.join(leaders, "bucket").where("leader.order <> -node").groupBy("node").agg(F.max("leader").alias("leader"))
@@ -227,8 +251,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = source.select(F.col("doc").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = written(texts.mapInArrow(_shingle_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), "sets")
 
-    links = written(verified(star, sets), "links")
+    counted = written(compared(star, sets), "star")
+    links = _links(counted)
     labels = components(links)
+    # A node's leader and how many of its shingles the leader has; a node without one, or with several sets, leads itself.
+    led = counted.groupBy(F.col("a").alias("node")).agg(
+        F.max("b").alias("_leader"), F.max("common").alias("_inside"), F.max("mask").alias("mask"), F.count("*").alias("n")).where("n = 1")
+    traits = signed.join(led, "node", "left").select("node", "n_shingles", "bands", *_BIT_NAMES, F.coalesce("_leader", "node").alias("leader"),
+                                                     F.coalesce("_inside", "n_shingles").alias("inside"), "mask")
     placed = meeting.select("bucket", "node").join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component"))
     per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -237,9 +267,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     left = written(placed.join(open_, "bucket").join(traits, "node"), "open-buckets")
     x, y = left.where("component <> largest").alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-                  & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))) & _close("x", "y"))
+                  & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))) & _possible("x", "y"))
     pairs = rest.select(F.least("x.node", "y.node").alias("b"), F.greatest("x.node", "y.node").alias("a")).distinct()
-    more = written(verified(pairs.select("a", "b"), sets), "links")
+    more = written(_links(compared(pairs.select("a", "b"), sets)), "links")
     final = components(links.union(more))
 
     of_class = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
