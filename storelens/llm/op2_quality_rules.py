@@ -2,7 +2,7 @@
 
 ``base_counts`` gives word, symbol, line and repetition counts of every whole
 text.  ``RULES`` reject documents by counts and texts.  ``plan_cascade`` runs each
-rule over a sample of at most ``SAMPLE_ROWS`` documents, measures its seconds and
+rule over a hash sample of about ``SAMPLE_ROWS`` documents, measures its seconds and
 which documents it rejects, and picks the order greedily: next comes the rule that
 rejects most of what is left per second.  ``apply_cascade`` puts that order into
 one CASE expression, so a document stops at its first failing rule.  The order
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import text_or_empty, written
 
-#: Documents that cost and selectivity are estimated on, at most.
+#: Documents that cost and selectivity are estimated on, about.
 SAMPLE_ROWS = 2000
 # Fixed values of the contract.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -72,10 +72,10 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "words", F.array_remove(F.split(body, SPACES), ""))
     # A window with its position at the end: sorting brings equal windows together, and no word holds a space.
     n = F.size("words")
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    triples = F.zip_with(pairs, F.slice("words", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    placed = F.transform(F.filter(triples, lambda x: x.isNotNull()), lambda x, i: F.concat(x, F.lit(" "), i.cast("string")))
-    windows = split.withColumn("windows", F.array_sort(placed))
+    word = lambda i, k: F.get("words", (i + k).cast("int"))
+    starts = F.when(n > 2, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    placed = F.transform(starts, lambda i: F.concat_ws(" ", word(i, 0), word(i, 1), word(i, 2), i.cast("string")))
+    windows = split.withColumn("windows", F.sort_array(placed))
     window = lambda x: F.substring_index(x, " ", 3)
     at = lambda x: F.substring_index(x, " ", -1).cast("int")
     covered = lambda x: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: at(x) + k)
@@ -101,8 +101,11 @@ def _seconds(df: DataFrame) -> float:
 def plan_cascade(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[Rule]:
     """The rules in order of rejections per second, estimated on a sample."""
     listed = rules()
-    sample = written(base_counts(docs.limit(SAMPLE_ROWS), doc_id, text), "cascade-sample").where("not base_failed")
-    # At most SAMPLE_ROWS rows of booleans come to the driver.
+    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
+    key = F.xxhash64(F.col(doc_id).cast("string"), F.length(text))
+    some = docs.where(F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = written(base_counts(some, doc_id, text), "cascade-sample").where("not base_failed")
+    # About SAMPLE_ROWS rows of booleans come to the driver.
     marks = [tuple(r) for r in sample.select(*[F.coalesce(r.rejects, F.lit(False)) for r in listed]).collect()]
     idle = _seconds(sample.select("text", *COUNTS))
     costs = [max(_seconds(sample.select("text", *COUNTS, r.rejects.alias("x"))) - idle, 1e-3) for r in listed]
