@@ -35,6 +35,7 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, L1, SEED = 20, 3, 0.002, 17
 THRESHOLD = 0.3
 FOLDS = 5
+FIT_PARTITIONS = 12
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "upper", "digit", "symbol", "exclamation", "pipe", "punctuation", "beyond_ascii",
@@ -154,6 +155,8 @@ def fit(training: DataFrame) -> RuleModel:
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    # About TRAIN_ROWS rows of doubles: few partitions make each pass of the solvers cheap.
+    training = training.coalesce(FIT_PARTITIONS)
     classes = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     if len(classes) < 2:
         return RuleModel(-20.0 if 0 in classes else 20.0)
