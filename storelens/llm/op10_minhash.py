@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import NULL_ID, id_or_last, small_side, text_or_empty, written
+from storelens.llm.common import NULL_ID, id_or_last, map_arrow, small_side, text_or_empty, written
 
 SHINGLE = 5
 #: Link where 100 * intersection >= PERCENT * union.
@@ -174,7 +174,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     bits of b's sorted shingles that a has."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_common, "a long, b long, n_a long, n_b long, common long, mask array<long>")
+    return map_arrow(both.select("a", "b", "sa", "sb"), _common, "a long, b long, n_a long, n_b long, common long, mask array<long>")
 
 
 def _reaches(common: Column, n_a: Column, n_b: Column) -> Column:
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     body = text_or_empty(text)
     source = docs.select(id_or_last(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    sketches = written(source.mapInArrow(_sketches, _SKETCH_TYPE), "sketches")
+    sketches = written(map_arrow(source, _sketches, _SKETCH_TYPE), "sketches")
     classes = written(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("node")), "classes")
 
     one = sketches.select(F.col("doc").alias("node"), "set_key", "n_shingles", "bands", *_BIT_NAMES).join(
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     wanted = small_side(weights.select("node"), BROADCAST_IDS, "wanted")
     texts = source.select(F.col("doc").alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = written(texts.mapInArrow(_shingle_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), "sets")
+    sets = written(map_arrow(texts, _shingle_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), "sets")
 
     counted = written(compared(star, sets), "star")
     links = _links(counted)

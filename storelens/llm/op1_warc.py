@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm.common import NULL_ID, id_or_last, partitions, scratch, written
+from storelens.llm.common import NULL_ID, id_or_last, map_arrow, partitions, scratch, written
 
 #: Payloads below this many bytes are always responses.
 REVISIT_BYTES = 100
@@ -144,7 +144,7 @@ def write_archives(tagged: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return written(tagged.mapInArrow(run, _CAPTURE), "captures")
+    return written(map_arrow(tagged, run, _CAPTURE), "captures")
 
 
 _CAPTURE_TYPES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -203,7 +203,7 @@ def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
     entries = captures.select("key", "page", "archive", "offset", "length")
     ordered = entries.repartitionByRange(partitions(spark), "key", "page", "archive", "offset").sortWithinPartitions(
         "key", "page", "archive", "offset")
-    shards = written(ordered.mapInArrow(run, "first_key string, first_page long, last_key string, last_page long, name string"), "shards")
+    shards = written(map_arrow(ordered, run, "first_key string, first_page long, last_key string, last_page long, name string"), "shards")
     # One row per index file.
     return CaptureIndex(folder, sorted(Shard((r[0], r[1]), (r[2], r[3]), r[4]) for r in shards.collect()))
 
@@ -266,7 +266,7 @@ def locate(requests: DataFrame, index: CaptureIndex) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows), _CAPTURE_TYPES)], names=["key", "page", "archive", "offset", "length"])
 
     ordered = requests.select("key", "page").repartitionByRange(partitions(spark), "key", "page").sortWithinPartitions("key", "page")
-    return ordered.mapInArrow(run, _CAPTURE)
+    return map_arrow(ordered, run, _CAPTURE)
 
 
 def _merged_ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -328,7 +328,7 @@ def fetch(located: DataFrame, folder: str) -> DataFrame:
 
     ordered = located.select("archive", "offset", "length").repartitionByRange(
         partitions(located.sparkSession), "archive", "offset").sortWithinPartitions("archive", "offset")
-    return ordered.mapInArrow(run, _RECORD)
+    return map_arrow(ordered, run, _RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

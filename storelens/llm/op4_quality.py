@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import packed, written
+from storelens.llm.common import map_arrow, packed, written
 
 #: Labelled documents that the model is fitted on, about.
 TRAIN_ROWS = 20_000
@@ -90,7 +90,7 @@ def text_statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(matrix[:, j]) for j in range(len(STATISTICS))]], names=["row", *STATISTICS])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return map_arrow(source, run, f"row {source.schema['row'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 #: A comparison (statistic, "<=" or ">", threshold); a rule is a set of them that all hold.

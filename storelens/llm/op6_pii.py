@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.llm.common import map_arrow
+
 MIN_SCORE = 0.6
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.35
@@ -162,7 +164,7 @@ def detect_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, spans {SPAN_TYPE}")
+    return map_arrow(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, spans {SPAN_TYPE}")
 
 
 def span_digest(spans: DataFrame) -> DataFrame:

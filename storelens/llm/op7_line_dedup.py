@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm.common import id_or_last, partitions, text_or_empty, written
+from storelens.llm.common import id_or_last, map_arrow, partitions, ship_package, text_or_empty, written
 
 MIN_CHARS = 10
 # Fixed value: the white space that is stripped.
@@ -142,10 +142,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     pack = F.pandas_udf(_bitmap, "struct<n_dropped:long,keep:binary>")
     body = text_or_empty(text)
-    lines = docs.select(body.alias("text"), id_or_last(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash")).mapInArrow(
-        _emit_lines, _LINES)
-    tagged = written(lines.repartitionByRange(partitions(spark), *_KEYS).sortWithinPartitions(*_KEYS)
-                     .mapInArrow(_stream_runs, _TAGGED), "line-runs")
+    lines = map_arrow(docs.select(body.alias("text"), id_or_last(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash")), _emit_lines, _LINES)
+    ordered = lines.repartitionByRange(partitions(spark), *_KEYS).sortWithinPartitions(*_KEYS)
+    tagged = written(map_arrow(ordered, _stream_runs, _TAGGED), "line-runs")
     ends = tagged.where(F.col("kind") == SUMMARY).select(
         "part", "first_h1", "first_h2", "first_doc", "last_h1", "last_h2", "last_doc")
     owners = spark.createDataFrame(settle([tuple(r) for r in ends.collect()]), "part int, owner long")
@@ -185,6 +184,7 @@ def _shortened(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 def kept_text(text: str = "text", keep: str = "keep") -> Column:
     """Texts without their dropped lines; only texts that lose some reach Python."""
+    ship_package(SparkSession.active())
     shorten = F.pandas_udf(_shortened, "string")
     return F.coalesce(shorten(F.when(F.col(keep).isNotNull(), F.coalesce(F.col(text), F.lit(""))), F.col(keep)),
                       F.col(text), F.lit(""))

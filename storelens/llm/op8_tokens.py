@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.llm.common import map_arrow
+
 #: Fixed value: the split of the byte-level pre-tokenizer (public_tokenizers.PATTERN).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens a task remembers besides the proven ones.
@@ -164,5 +166,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                          F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"))
-    return source.mapInArrow(
-        run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return map_arrow(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")

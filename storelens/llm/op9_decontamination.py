@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import packed, text_or_empty, written
+from storelens.llm.common import map_arrow, packed, text_or_empty, written
 
 WINDOW = 10
 BLOCK_WORDS = 2
@@ -124,8 +124,7 @@ def _scan(source: DataFrame, text_of, block: list[tuple[str | None, str]]) -> Da
                  pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))],
                 names=["row", "n_words", "spans", "items"])
 
-    return source.mapInArrow(
-        run, f"row {source.schema['row'].dataType.simpleString()}, n_words long, spans {SPANS}, items array<string>")
+    return map_arrow(source, run, f"row {source.schema['row'].dataType.simpleString()}, n_words long, spans {SPANS}, items array<string>")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
