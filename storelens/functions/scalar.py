@@ -50,27 +50,22 @@ _ISO_ANY = (
 )
 
 
-def _iso_other(text: Column) -> Column:
-    """The timestamp of an ISO text in any of the rarer shapes."""
-
-    def part(*groups: int) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(text, _ISO_ANY, g), F.lit("")) for g in groups])
-
-    week, day = part(6, 8).cast("int"), F.coalesce(part(7, 9).cast("int"), F.lit(1))
-    fourth = F.make_date(part(1).cast("int"), F.lit(1), F.lit(4))  # always in week 1
-    by_week = F.date_add(F.date_add(fourth, -F.weekday(fourth)), 7 * (week - 1) + day - 1)
-    valid = day.between(1, 7) & (F.weekofyear(by_week) == week)
-    date = F.when(week.isNotNull(), F.when(valid, F.date_format(by_week, "yyyy-MM-dd"))).otherwise(
-        F.concat_ws("-", part(1), part(2, 4), part(3, 5)))
-    zero = F.lit("00")
-    clock = F.concat_ws(":", F.coalesce(part(10), zero), F.coalesce(part(11, 14), zero), F.coalesce(part(12, 15), zero))
-    fraction = F.rpad(F.substring(F.coalesce(part(13, 16), F.lit("0")), 1, 6), 6, "0")
-    naive = F.concat(date, F.lit("T"), clock, F.lit("."), fraction)
-    hours, minutes, seconds = (F.coalesce(part(g).cast("int"), F.lit(0)) for g in (18, 19, 20))
-    shift = F.when(part(17) == "-", -1).otherwise(1) * ((hours * 60 + minutes) * 60 + seconds)
-    at = F.concat(naive, F.lit("+00:00")).try_cast("timestamp")
-    shifted = F.when((hours < 24) & (minutes < 60) & (seconds < 60), F.timestamp_micros(F.unix_micros(at) - shift.cast("bigint") * 1_000_000))
-    return F.when(part(17).isNull(), naive.try_cast("timestamp")).otherwise(shifted)
+# The timestamp of an ISO text ``t`` in any of the rarer shapes, from the groups ``g`` of _ISO_ANY, as SQL: a
+# Column of this size would be built call by call for every use.
+_WEEK, _FOURTH = "cast(coalesce(g[5], g[7]) AS int)", "make_date(cast(g[0] AS int), 1, 4)"  # the fourth is always in week 1
+_WEEKDAY = "coalesce(cast(coalesce(g[6], g[8]) AS int), 1)"
+_BY_WEEK = f"date_add(date_add({_FOURTH}, -weekday({_FOURTH})), 7 * ({_WEEK} - 1) + {_WEEKDAY} - 1)"
+_DATE = (f"CASE WHEN {_WEEK} IS NOT NULL THEN CASE WHEN {_WEEKDAY} BETWEEN 1 AND 7 AND weekofyear({_BY_WEEK}) = {_WEEK} "
+         f"THEN date_format({_BY_WEEK}, 'yyyy-MM-dd') END ELSE concat_ws('-', g[0], coalesce(g[1], g[3]), coalesce(g[2], g[4])) END")
+_CLOCK = "concat_ws(':', coalesce(g[9], '00'), coalesce(g[10], g[13], '00'), coalesce(g[11], g[14], '00'))"
+_NAIVE = f"concat({_DATE}, 'T', {_CLOCK}, '.', rpad(substring(coalesce(g[12], g[15], '0'), 1, 6), 6, '0'))"
+_OFFSET = [f"coalesce(cast(g[{i}] AS int), 0)" for i in (17, 18, 19)]
+_SHIFT = f"(CASE WHEN g[16] = '-' THEN -1 ELSE 1 END * cast(({_OFFSET[0]} * 60 + {_OFFSET[1]}) * 60 + {_OFFSET[2]} AS bigint) * 1000000)"
+_OTHER = (
+    f"CASE WHEN g[16] IS NULL THEN try_cast({_NAIVE} AS timestamp) WHEN {_OFFSET[0]} < 24 AND {_OFFSET[1]} < 60 AND {_OFFSET[2]} < 60 "
+    f"THEN timestamp_micros(unix_micros(try_cast(concat({_NAIVE}, '+00:00') AS timestamp)) - {_SHIFT}) END")
+_ISO_OTHER = (
+    f"t -> get(transform(array(transform(sequence(1, 20), i -> nullif(regexp_extract(t, r'{_ISO_ANY}', i), ''))), g -> {_OTHER}), 0)")
 
 
 def parse_timestamp(col: Column | str) -> Column:
@@ -83,8 +78,8 @@ def parse_timestamp(col: Column | str) -> Column:
     generated code of the usual one.
     """
     text = F.replace(F.trim(_c(col).cast("string")), F.lit("Z"), F.lit("+00:00"))
-    return F.when(text.rlike(_ISO_PLAIN), text.try_cast("timestamp")).when(
-        text.rlike(_ISO_ANY), F.get(F.transform(F.array(text), _iso_other), 0))
+    other = F.get(F.call_function("transform", F.array(text), F.expr(_ISO_OTHER)), 0)
+    return F.when(text.rlike(_ISO_PLAIN), text.try_cast("timestamp")).when(text.rlike(_ISO_ANY), other)
 
 
 def to_micros(ts: Column | str) -> Column:

@@ -92,14 +92,13 @@ def nearest_within(
         F.last("last_f", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_fine"),
         F.first("first_f", ignorenulls=True).over(wc.rowsBetween(1, Window.unboundedFollowing)).alias("next_fine"),
         F.max("last_f").over(wb).alias("last_c"), F.min("first_f").over(wb).alias("first_c"), F.row_number().over(wc).alias("n"))
-    # (c) neighbouring coarse buckets, from one row per coarse bucket.
-    coarse = fine.where("n = 1")
-    fs = (
-        fine.select("k", "f", "cb", "prev_fine", "next_fine")
-        .join(coarse.select("k", (F.col("cb") + 1).alias("cb"), F.col("last_c").alias("prev_coarse")), ["k", "cb"], "left")
-        .join(coarse.select("k", (F.col("cb") - 1).alias("cb"), F.col("first_c").alias("next_coarse")), ["k", "cb"], "left")
-        .drop("cb")
-    )
+    # (c) neighbouring coarse buckets: one row per coarse bucket tells both neighbours.
+    side = lambda cb, prev, next_: F.struct(cb.alias("cb"), prev.alias("prev_coarse"), next_.alias("next_coarse"))
+    blank = F.lit(None).cast(u.schema["last_f"].dataType)
+    around = fine.where("n = 1").select("k", F.explode(F.array(
+        side(F.col("cb") + 1, F.col("last_c"), blank), side(F.col("cb") - 1, blank, F.col("first_c")))).alias("s")).groupBy(
+        "k", F.col("s.cb").alias("cb")).agg(F.max("s.prev_coarse").alias("prev_coarse"), F.max("s.next_coarse").alias("next_coarse"))
+    fs = fine.select("k", "f", "cb", "prev_fine", "next_fine").join(around, ["k", "cb"], "left").drop("cb")
     u = u.where("is_left").select("k", "t", "f", "prior_in", "next_in")
 
     best = u.join(fs, ["k", "f"], "left")
