@@ -39,8 +39,9 @@ class Rule(NamedTuple):
     rejects: Column
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of the class ``chars`` a text has."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", ""))
 
 
 def rules() -> list[Rule]:
@@ -48,20 +49,19 @@ def rules() -> list[Rule]:
     words, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
     text = text_or_empty()
     share = lambda part, percent: 100 * part > percent * chars
-    count = lambda s: F.length(text) - F.length(_without(text, s))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_lines = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
     return [
         Rule("symbols", 100 * F.col("n_symbols") > 30 * words),
         Rule("duplicate_lines", 100 * F.col("n_dup_lines") > 30 * F.size(lines)),
         Rule("word_length", (chars < 2 * words) | (chars > 20 * words)),
-        Rule("exclamations", 100 * count("!") > 30 * words),
-        Rule("digits", share(count("0123456789"), 30)),
-        Rule("upper_case", share(F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", "")), 50)),
-        Rule("letters", share(F.length(F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]", "")), 50)),
+        Rule("exclamations", 100 * _count(text, "!") > 30 * words),
+        Rule("digits", share(_count(text, "0-9"), 30)),
+        Rule("upper_case", share(_count(text, r"\p{Lu}"), 50)),
+        Rule("letters", share(_count(text, r"^\p{L}\x20\x09-\x0D"), 50)),
         Rule("bullets", 100 * of_lines(r"^[\x20\x09-\x0D]*[-•*‣◦]") > 90 * F.size(lines)),
         Rule("ellipses", 100 * of_lines(r"(\.\.\.|…)[\x20\x09-\x0D]*$") > 30 * F.size(lines)),
-        Rule("markup", share(count("{}<>\\"), 10)),
+        Rule("markup", share(_count(text, r"{}<>\\"), 10)),
     ]
 
 
@@ -85,7 +85,7 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines = repeated.withColumn("lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     counted = lines.select(
         "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long").alias("n_symbols"),
+        _count(body, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("repeated")).cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
