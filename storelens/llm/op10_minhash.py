@@ -280,7 +280,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: the smallest id of each component, and every row without words."""
     stays = found.where((F.col("doc") == F.col("component")) & (F.col("n_shingles") > 0))
-    one = stays.groupBy("set_key").agg(F.min(F.struct("doc", "text_hash")).alias("s")).select("s.doc", "s.text_hash")
+    # Dealt anew by document: the join on the set that leads here may then split a large class of copies.
+    one = stays.select("doc", "set_key", "text_hash").repartition("doc", "set_key").groupBy("doc", "set_key").agg(
+        F.min("text_hash").alias("text_hash")).select("doc", "text_hash")
     empty = found.where("n_shingles = 0").select("doc", "text_hash")
     body = text_or_empty(text)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_or_last(doc_id).alias("doc"),
