@@ -11,7 +11,7 @@ meet in a bucket.  A pair at 0.75 misses all ``BANDS`` bands with probability
 
 From buckets to components, without emitting all pairs of a bucket:
 
-1. Texts with equal sets become one class, which its smallest id represents.
+1. Texts with equal sets become one class and one node, whatever their ids are.
 2. Each class is compared with one leader: among all it meets, the class that
    meets most others.  Verified links give the first components.
 3. A bucket whose classes lie in one component is done.  In the others, classes
@@ -25,7 +25,8 @@ Every link is confirmed on the full sets of 64-bit shingle hashes.
 Cases: texts without words have an empty set and are their own component, as are
 null texts; texts of fewer words than a shingle have one shingle; a null id is
 the largest id, and its component_id is null where no other id is in the
-component; rows are judged by their own text, so rows of one id may differ.
+component; rows are judged by their own text, so rows of one id or without one may
+differ, and lie in different components or as near copies in the same.
 """
 
 from __future__ import annotations
@@ -225,17 +226,20 @@ def _possible(x: str, y: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, text_hash, set_key, n_shingles, component)``: one row per row of ``docs``.
+    """``(doc, text_hash, set_key, n_shingles, component, leads)``: one row per row of ``docs``.
 
-    ids are longs, null ids the largest; ``text_hash`` is xxhash64 of the text.
+    ids are longs, null ids the largest; ``text_hash`` is xxhash64 of the text;
+    ``component`` is the smallest id of the component, and ``leads`` marks the rows of
+    the one class of each component that has it (ties: the smallest ``set_key``).
     """
     body = text_or_empty(text)
     source = docs.select(id_or_last(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     sketches = written(map_arrow(source, _sketches, _SKETCH_TYPE), "sketches")
-    classes = written(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("node")), "classes")
+    # The numbers only tell the classes apart; they stay as written.
+    classes = written(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("doc")).withColumn(
+        "node", F.monotonically_increasing_id()), "classes")
 
-    one = sketches.select(F.col("doc").alias("node"), "set_key", "n_shingles", "bands", *_BIT_NAMES).join(
-        classes, ["node", "set_key"]).dropDuplicates(["node", "set_key"])
+    one = sketches.join(classes, ["doc", "set_key"]).dropDuplicates(["node"])
     signed = written(one, "class-sketches")
     rows = signed.select("node", F.explode("bands").alias("bucket"))
     met = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -247,16 +251,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     chosen = weighed.join(leaders, "bucket").where("leader.order <> -node").groupBy("node").agg(F.max("leader").alias("leader"))
     star = chosen.select(F.col("node").alias("a"), (-F.col("leader.order")).alias("b"))
 
-    wanted = small_side(weights.select("node"), BROADCAST_IDS, "wanted")
-    texts = source.select(F.col("doc").alias("node"), "text").join(wanted, "node", "left_semi")
+    wanted = small_side(weights.select("node").join(signed.select("node", "doc", "text_hash"), "node"), BROADCAST_IDS, "wanted")
+    texts = source.join(wanted, ["doc", "text_hash"]).select("node", "text")
     sets = written(map_arrow(texts, _shingle_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), "sets")
 
     counted = written(compared(star, sets), "star")
     links = _links(counted)
     labels = components(links)
-    # A node's leader and how many of its shingles the leader has; a node without one, or with several sets, leads itself.
-    led = counted.groupBy(F.col("a").alias("node")).agg(
-        F.max("b").alias("_leader"), F.max("common").alias("_inside"), F.max("mask").alias("mask"), F.count("*").alias("n")).where("n = 1")
+    # A node's leader and how many of its shingles the leader has; a node without one leads itself.
+    led = counted.select(F.col("a").alias("node"), F.col("b").alias("_leader"), F.col("common").alias("_inside"), "mask")
     traits = signed.join(led, "node", "left").select("node", "n_shingles", "bands", *_BIT_NAMES, F.coalesce("_leader", "node").alias("leader"),
                                                      F.coalesce("_inside", "n_shingles").alias("inside"), "mask")
     placed = meeting.select("bucket", "node").join(labels, "node", "left").select(
@@ -272,14 +275,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     more = written(_links(compared(pairs.select("a", "b"), sets)), "links")
     final = components(links.union(more))
 
-    of_class = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    first = final.join(classes, "node").groupBy("component").agg(F.min(F.struct("doc", "set_key")).alias("first"))
+    linked = final.join(first, "component").select("node", "first")
+    of_class = classes.join(linked, "node", "left").select("set_key", F.coalesce("first.doc", "doc").alias("component"),
+                                                           F.coalesce(F.col("first.set_key") == F.col("set_key"), F.lit(True)).alias("leads"))
     return sketches.select("doc", "text_hash", "set_key", "n_shingles").join(of_class, "set_key", "left").select(
-        "doc", "text_hash", "set_key", "n_shingles", F.coalesce("component", "doc").alias("component"))
+        "doc", "text_hash", "set_key", "n_shingles", F.coalesce("component", "doc").alias("component"), F.coalesce("leads", F.lit(True)).alias("leads"))
+
+
+def _stays() -> Column:
+    """The row has the smallest id of its component, and its text is the one that stays."""
+    return F.col("leads") & (F.col("doc") == F.col("component"))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each component, and every row without words."""
-    stays = found.where((F.col("doc") == F.col("component")) & (F.col("n_shingles") > 0))
+    """The rows of ``docs`` that stay: one of each component, by its smallest id, and every row without words."""
+    stays = found.where(_stays() & (F.col("n_shingles") > 0))
     # Dealt anew by document: the join on the set that leads here may then split a large class of copies.
     one = stays.select("doc", "set_key", "text_hash").repartition("doc", "set_key").groupBy("doc", "set_key").agg(
         F.min("text_hash").alias("text_hash")).select("doc", "text_hash")
@@ -294,4 +305,4 @@ def component_digest(found: DataFrame) -> DataFrame:
     """One row per document: its set size, component and whether it is the one that stays."""
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return found.select(back("doc").alias("doc_id"), "n_shingles", back("component").alias("component_id"),
-                        (F.col("doc") == F.col("component")).alias("kept"))
+                        _stays().alias("kept"))

@@ -213,6 +213,20 @@ def test_near_duplicates_null_ids_and_empty(spark):
     assert op10_minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    text = lambda name, *edits: " ".join(f"{name}{i}" if i not in edits else f"{name}-edit{i}" for i in range(200))
+    rows = [(5, text("x")), (None, text("x", 7)), (9, text("y")), (None, text("y", 3)), (None, text("z")), (None, text("z", 90)),
+            (None, text("z", 90, 120)), (20, text("u")), (20, text("u", 4)), (20, text("v")), (None, text("w"))]
+    docs = h.documents(spark, rows)
+    found = op10_minhash.near_duplicates(docs)
+    got = op10_minhash.component_digest(found).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(
+        [(5, 5), (None, 5), (9, 9), (None, 9), *[(None, None)] * 4, *[(20, 20)] * 3], key=str)
+    assert sum(r["kept"] for r in got) == 6
+    stay = [(r["doc_id"], r["text"].split()[0]) for r in op10_minhash.one_of_each(docs, found).collect()]
+    assert sorted(stay, key=str) == sorted([(5, "x0"), (9, "y0"), (None, "z0"), (20, "u0"), (20, "v0"), (None, "w0")], key=str)
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=3000))
 @settings(max_examples=40, deadline=None)
 def test_sketch_is_filled_and_ignores_grouping(values):
