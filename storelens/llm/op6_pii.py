@@ -5,7 +5,7 @@ its validator refuses is dropped.  Context words of the kind within
 ``CONTEXT_CHARS`` before the span raise its score; spans scoring at least
 ``MIN_SCORE`` are reported.  The four base kinds (email, ip, card, phone) have
 priors above that bound, so context only adds to their scores; the kinds added by
-the method (IBAN with a mod-97 check, and bare phone, national id and birth date
+the method (IBAN with its country's length and a mod-97 check, and bare phone, national id and birth date
 numbers that only context can carry) never replace base spans.
 
 Cases: null and empty texts have no spans; offsets count code points of the
@@ -35,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone", "iban", "phone_local", "national_id", "
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\W\d_]+")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
 class Span(NamedTuple):
@@ -76,9 +77,51 @@ def _phone_ok(s: str) -> bool:
     return 9 <= len(_digits(s)) <= 15
 
 
-def _iban_ok(s: str) -> bool:
-    bare = s.replace(" ", "")
-    return 15 <= len(bare) <= 34 and mod97(bare)
+# IBAN lengths of the ISO 13616 registry.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}.items() for country in countries.split()}
+
+
+def iban_end(s: str) -> int:
+    """Where the IBAN at the start of a candidate ends, or 0.
+
+    The country code fixes the length.  Codes without a known length are tried at
+    each border of groups, the longest first.
+    """
+    ends = [*(i for i, c in enumerate(s) if c == " "), len(s)]
+    for end in reversed(ends):
+        bare = s[:end].replace(" ", "")
+        if 15 <= len(bare) <= 34 and len(bare) == IBAN_LENGTHS.get(s[:2], len(bare)) and mod97(bare):
+            return end
+    return 0
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost IBANs; the search goes on after one that is accepted, or behind the start of a refused candidate."""
+    m = _IBAN.search(text)
+    while m:
+        end = m.start() + iban_end(m.group())
+        if end > m.start():
+            yield m.start(), end
+        m = _IBAN.search(text, max(end, m.start() + 1))
 
 
 def _date_ok(s: str) -> bool:
@@ -106,8 +149,6 @@ RULES = (
          frozenset({"card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"})),
     Rule("phone", re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), _phone_ok, 0.7,
          frozenset({"phone", "tel", "telephone", "mobile", "call", "telefon", "telefono"})),
-    Rule("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-         _iban_ok, 0.7, frozenset({"iban", "account", "konto", "compte", "cuenta", "bank"})),
     Rule("phone_local", re.compile(r"(?<![0-9+).-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
          lambda s: True, 0.3, frozenset({"phone", "tel", "telephone", "mobile", "call", "telefon", "telefono"})),
     Rule("national_id", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"),
@@ -116,6 +157,7 @@ RULES = (
          _date_ok, 0.3, frozenset({"born", "birth", "birthday", "dob", "geboren", "geburtsdatum"})),
 )
 EMAIL_WORDS = frozenset({"email", "mail", "contact", "write"})
+IBAN_WORDS = frozenset({"iban", "account", "konto", "compte", "cuenta", "bank"})
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -143,6 +185,7 @@ def _scored(text: str, kind: str, start: int, end: int, prior: float, words: fro
 def find_spans(text: str) -> list[Span]:
     """All reported spans of one text, by start and kind."""
     found = [_scored(text, "email", a, b, 0.7, EMAIL_WORDS) for a, b in emails(text)]
+    found += [_scored(text, "iban", a, b, 0.7, IBAN_WORDS) for a, b in ibans(text)]
     for rule in RULES:
         for m in rule.pattern.finditer(text):
             if rule.valid(m.group()):

@@ -28,6 +28,18 @@ def test_pii_matches_plain_patterns(spark):
     assert got[6]["spans"].count("phone_local") == 2 and "national_id:4:15" in got[11]["spans"]
 
 
+@pytest.mark.parametrize("text, ibans", [
+    ("IBAN AT61 1904 3002 3457 3201 BIC BKAUATWW", ["AT61 1904 3002 3457 3201"]),
+    ("BE68 5390 0754 7034 BIC GKCCBEBB", ["BE68 5390 0754 7034"]),
+    ("ES9121000418450200051332 EUR", ["ES9121000418450200051332"]),
+    ("AT61 1904 3002 3457 3201 BE68 5390 0754 7034 DE89370400440532013000", ["AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "DE89370400440532013000"]),
+    ("NR12 3456 7890 AT61 1904 3002 3457 3201 SWIFT", ["AT61 1904 3002 3457 3201"]),
+    ("AT61 1904 3002 3457 3202 BIC, BE68 5390 0754 7034X", []),
+])
+def test_ibans_end_where_their_country_says(text, ibans):
+    assert [text[s.start:s.end] for s in op6_pii.find_spans(text) if s.kind == "iban"] == ibans
+
+
 @given(st.text(alphabet="a1 .@+-()0\n9é\U0001F600", max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_pii_base_property(text):
