@@ -1,8 +1,8 @@
 """Personal data spans: patterns propose, checksums confirm, context words adjust the score.
 
 Every kind has a pattern, a validator and a prior score.  A proposed span that
-its validator refuses is dropped.  Context words of the kind within
-``CONTEXT_CHARS`` before the span raise its score; spans scoring at least
+its validator refuses is dropped.  Context words of the kind that reach into the
+``CONTEXT_CHARS`` before or behind the span raise its score; spans scoring at least
 ``MIN_SCORE`` are reported.  The four base kinds (email, ip, card, phone) have
 priors above that bound, so context only adds to their scores; the kinds added by
 the method (IBAN with its country's length and a mod-97 check, and bare phone, national id and birth date
@@ -158,6 +158,7 @@ RULES = (
 )
 EMAIL_WORDS = frozenset({"email", "mail", "contact", "write"})
 IBAN_WORDS = frozenset({"iban", "account", "konto", "compte", "cuenta", "bank"})
+_BEYOND = 1 + max(len(w) for words in (EMAIL_WORDS, IBAN_WORDS, *(r.words for r in RULES)) for w in words)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -177,8 +178,11 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _scored(text: str, kind: str, start: int, end: int, prior: float, words: frozenset[str]) -> Span:
-    near = text[max(0, start - CONTEXT_CHARS):start]
-    hit = any(w.lower() in words for w in _WORD.findall(near))
+    first, last = start - CONTEXT_CHARS, end + CONTEXT_CHARS
+    # Words are read beyond the borders, so far that one cut there is longer than any context word.
+    before = (m.group() for m in _WORD.finditer(text, max(0, first - _BEYOND), start) if m.end() > first)
+    behind = (m.group() for m in _WORD.finditer(text, end, last + _BEYOND) if m.start() < last)
+    hit = any(w.lower() in words for near in (before, behind) for w in near)
     return Span(kind, start, end, min(1.0, prior + CONTEXT_BONUS * hit))
 
 

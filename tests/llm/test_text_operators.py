@@ -40,6 +40,19 @@ def test_ibans_end_where_their_country_says(text, ibans):
     assert [text[s.start:s.end] for s in op6_pii.find_spans(text) if s.kind == "iban"] == ibans
 
 
+@pytest.mark.parametrize("text, kinds", [
+    ("078-05-1120 is my social security number", ["national_id"]),
+    ("555-123-4567 (phone)", ["phone_local"]),
+    ("1980-02-29 is when I was born", ["birth_date"]),
+    ("telephone" + " " * 38 + "555-123-4567", ["phone_local"]),
+    ("a hotel" + " " * 38 + "555-123-4567" + " " * 37 + "telex and phone", []),
+    ("555-123-4567" + " " * 39 + "phone", ["phone_local"]),
+    ("555-123-4567" + " " * 40 + "phone", []),
+])
+def test_context_on_both_sides(text, kinds):
+    assert [s.kind for s in op6_pii.find_spans(text)] == kinds
+
+
 @given(st.text(alphabet="a1 .@+-()0\n9é\U0001F600", max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_pii_base_property(text):
