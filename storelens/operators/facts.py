@@ -54,10 +54,12 @@ def extract_line_facts(
     """Privacy-narrow system-record facts for every (or the newest ``limit``) line.
 
     ``carry`` names header columns that the plan's confidence or verification refer
-    to.  ``limit`` reproduces the poll form (newest N per store and operation, N
-    clamped to 1..100) through ``row_number`` so Spark plans a per-group
-    limit before the shuffle; ``None`` extracts every line (backfill form).
+    to.  ``limit`` reproduces the poll form (newest N per store and operation, N at
+    least 1) through ``row_number`` so Spark plans a per-group limit before the
+    shuffle; ``None`` extracts every line (backfill form).
     """
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be at least 1, not {limit}")
     h_cols = [F.col(plan.header_id).alias("_hid"), F.col(plan.header_store).alias("store_id"),
               F.col(plan.date_col).alias("_date"), *[F.col(c) for c in carry]]
     if plan.time_col:
@@ -89,7 +91,6 @@ def extract_line_facts(
     time_text = F.col("_time").cast("string") if plan.time_col else F.lit(None).cast("string")
 
     if limit is not None:
-        n = max(1, min(int(limit), 100))
         order = [F.col("_date").desc()]
         if plan.time_col:
             order.append(F.col("_time").desc())
@@ -98,7 +99,7 @@ def extract_line_facts(
             order.append(F.col("destination_id"))
         order += [F.col("_qty")] + [F.col(f"_tb{i}") for i in range(len(plan.tiebreak))]
         w = Window.partitionBy("store_id", "_op").orderBy(*order)
-        j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+        j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
 
     def number(col: str, df: DataFrame, name: str) -> Column:
         # numeric source columns cast directly; text goes through the tolerant parser

@@ -23,6 +23,21 @@ def test_plan_is_jvm_only(spark, key):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
 
 
+def test_line_facts_limit_is_taken_as_given(spark):
+    from storelens.operators import facts
+    from storelens.sources import fixtures as fx
+
+    lines = [*fx.fx_line_tables(spark, SF_SMALL), facts.fixture_plan()]
+    per = lambda limit: {tuple(r[:2]): r[2] for r in facts.extract_line_facts(
+        *lines, limit=limit).groupBy("store_id", "operation_type").count().collect()}
+    every = per(None)
+    assert max(every.values()) > 100
+    assert per(500) == {k: min(n, 500) for k, n in every.items()}
+    for limit in (0, -1):
+        with pytest.raises(ValueError):
+            facts.extract_line_facts(*lines, limit=limit)
+
+
 def test_scan_prunes_columns(spark):
     df = entry.queries()["extract_line_facts"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
