@@ -81,7 +81,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     number from 0, or -1 for the whole text.
     """
     sets = [(name, bigrams(t)) for name, t in (TEMPLATES if templates is None else templates).items()]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # A little wider than the quotients, which may round past a whole number: sizes at the bounds still reach the threshold.
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     least = min(len(b) for _, b in sets) * low
     most = max(len(b) for _, b in sets) * high
 

@@ -128,6 +128,16 @@ def test_license_matches(spark):
     assert got[0]["matches"][0]["license"] == "MIT" and got[6]["matches"][0]["unit"] == -1
 
 
+def test_license_sizes_at_the_bounds(spark):
+    # 9 bigrams against 6, 6 against 4, and the fewest that reach a template of 33: all have a Dice coefficient of 0.8.
+    isc = " ".join(op5_licenses.TEMPLATES["ISC"].split()[:22])
+    assert (len(op5_licenses.bigrams(isc)), len(op5_licenses.bigrams(op5_licenses.TEMPLATES["ISC"]))) == (22, 33)
+    texts = ["This work is licensed under CC BY-NC 4.0.", "Code is released under the MIT License.", isc]
+    got = op5_licenses.scan_licenses(h.documents(spark, texts)).orderBy("doc_id").collect()
+    assert [[(m["unit"], m["license"], m["dice"]) for m in r["matches"]] for r in got] == [
+        [(0, "CC-BY-NC-4.0", 0.8)], [(0, "MIT", 0.8)], [(0, "ISC", 0.8)]]
+
+
 def _sample(spark):
     return (spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"),
             spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality"))
