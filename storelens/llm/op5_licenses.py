@@ -1,12 +1,22 @@
 """License scan: Dice coefficient over word bigrams against licence notices.
 
-A text's units are its lines and the whole text.  A unit is lower-cased and cut
+A text's units are its lines, the whole text and windows of its words.  A unit is lower-cased and cut
 into words of letters and digits; its set is its distinct word bigrams.  For a
 threshold t only templates whose set size lies within t / (2 - t) and
 (2 - t) / t times the unit's can reach it, so the others are pruned by size before any
 intersection.  The best template of a unit at or above t is its match (ties: the
 template listed first).
 
+Windows find notices that are wrapped over lines of a longer text or stand inside a
+line.  Their words are those of the whole text, and every window whose number of
+bigrams lies within the bounds above of a template's counts (a best one starts and ends
+with a bigram of the template).  Of the windows that reach t the best are taken first,
+none overlapping another (ties: the larger template, the template listed first, the
+earlier window, the shorter one).  Windows that only repeat the match of a line that
+they touch, or of the whole text, are left out.  Texts are pruned exactly: a window at
+t has at least t / (2 - t) of the template's bigrams, so it has one of any few more than
+the rest, and those made of the most letters are looked for.
+
 Everything is a Spark expression inside one row, so nothing is shuffled.
 
 Cases: null and empty texts and units of fewer than two words match nothing;
@@ -15,6 +25,7 @@ repeated rows repeat; texts are scanned whole; a text of one line is one unit.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -57,9 +68,13 @@ TEMPLATES = {
 BREAKS = r"[^\p{L}\p{N}]+"
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template."""
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    words = _words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
@@ -68,9 +83,66 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _pairs(words: Column) -> Column:
+def _chain(words: Column) -> Column:
+    """All bigrams in order, repeated ones too."""
     joined = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(joined, lambda x: x.isNotNull()))
+    return F.filter(joined, lambda x: x.isNotNull())
+
+
+def _pairs(words: Column) -> Column:
+    return F.array_distinct(_chain(words))
+
+
+def _strings(values: list[str]) -> Column:
+    """A constant array of bigrams, sent as one text."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _best_window(chain: Column, start: Column, t: Column, threshold: float) -> Column:
+    """The best window from a bigram on for a template, or null below the threshold."""
+    part = F.slice(chain, start + 1, t["most"])
+    first = F.filter(F.transform(part, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: F.array_position(part, p["x"]) == p["i"] + 1)
+    marked = F.transform(first, lambda p: F.struct(p["i"].alias("i"), F.array_contains(t["grams"], p["x"]).cast("int").alias("hit")))
+
+    def longer(a: Column, p: Column) -> Column:
+        hits, size = a["hits"] + p["hit"], a["size"] + 1
+        dice = 2.0 * hits / (size + t["n"])
+        return F.struct(hits.alias("hits"), size.alias("size"), F.greatest(a["dice"], dice).alias("dice"),
+                        F.when(dice > a["dice"], p["i"] + 1).otherwise(a["len"]).alias("len"))
+
+    zero = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("size"), F.lit(0.0).alias("dice"), F.lit(0).alias("len"))
+    return _let(F.aggregate(marked, zero, longer), lambda b: F.when(b["dice"] >= threshold, F.struct(
+        (-b["dice"]).alias("cost"), (-t["n"]).alias("small"), t["order"].alias("order"), start.alias("start"),
+        b["len"].alias("len"), t["license"].alias("license"))))
+
+
+def _windows(chain: Column, sets: list[tuple[str, list[str]]], spans: list[int], threshold: float) -> Column:
+    """``(cost, small, order, start, len, license)`` of the windows taken, ``cost`` the negative coefficient;
+    null for texts that are pruned."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    rows, rare = [], []
+    for i, (name, b) in enumerate(sets):
+        need = math.ceil(low * len(b) - 1e-9)
+        rare += sorted(b, key=len, reverse=True)[:len(b) - need + 1]
+        rows.append(F.struct(F.lit(i).alias("order"), F.lit(name).alias("license"), F.lit(len(b)).alias("n"), F.lit(need).alias("need"),
+                             F.lit(math.floor(high * spans[i] + 1e-9)).alias("most"), _strings(b).alias("grams")))
+    every = _strings(list(dict.fromkeys(x for _, b in sets for x in b)))
+
+    def of_template(t: Column) -> Column:
+        hits = F.filter(F.transform(chain, lambda x, i: F.when(F.array_contains(t["grams"], x), i)), lambda i: i.isNotNull())
+        dense = _let(hits, lambda h: F.filter(h, lambda p, k: F.coalesce(F.get(h, k + t["need"] - 1) - p < t["most"], F.lit(False))))
+        return F.filter(F.transform(dense, lambda p: _best_window(chain, p, t, threshold)), lambda w: w.isNotNull())
+
+    def take(taken: Column, w: Column) -> Column:
+        # A window of n bigrams has n + 1 words.
+        overlaps = F.exists(taken, lambda v: (v["start"] <= w["start"] + w["len"]) & (w["start"] <= v["start"] + v["len"]))
+        return F.when(overlaps, taken).otherwise(F.concat(taken, F.array(w)))
+
+    present = F.array_intersect(chain, every)
+    near = _let(present, lambda p: F.filter(F.array(*rows), lambda t: F.size(F.array_intersect(t["grams"], p)) >= t["need"]))
+    ranked = F.array_sort(F.flatten(F.transform(near, of_template)))
+    taken = _let(ranked, lambda r: F.aggregate(r, F.slice(r, 1, 0), take))
+    return F.when(F.arrays_overlap(chain, _strings(list(dict.fromkeys(rare)))), taken)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD,
@@ -78,9 +150,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     """``(doc_id, matches)``: one row per row of ``docs``.
 
     ``matches`` lists ``(unit, license, dice)`` of the matching units: the line
-    number from 0, or -1 for the whole text.
+    number from 0, or -1 for the whole text; then of the windows in their order,
+    with the number of the line in which they start.
     """
-    sets = [(name, bigrams(t)) for name, t in (TEMPLATES if templates is None else templates).items()]
+    named = TEMPLATES if templates is None else templates
+    sets = [(name, bigrams(t)) for name, t in named.items()]
+    spans = [len(_words(t)) - 1 for t in named.values()]
     # A little wider than the quotients, which may round past a whole number: sizes at the bounds still reach the threshold.
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     least = min(len(b) for _, b in sets) * low
@@ -103,10 +178,28 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     words = lambda line: F.filter(F.split(F.regexp_replace(F.lower(line), BREAKS, " "), " "), lambda w: w != "")
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.transform(F.split(text_or_empty(text), "\n"), words).alias("lines"))
-    units = lines.select("doc_id", "lines", F.flatten("lines").alias("whole"))
     by_line = F.transform("lines", lambda w, i: match(w, i))
-    whole = F.when(F.size("lines") > 1, match(F.col("whole"), F.lit(-1)))
-    return units.select("doc_id", F.filter(F.concat(by_line, F.array(whole)), lambda m: m.isNotNull()).alias("matches"))
+    whole = lambda text: F.when(F.size("lines") > 1, match(text, F.lit(-1)))
+
+    def with_windows(text: Column, units: Column) -> Column:
+        # The line of each word; made only for texts with windows.
+        place = F.flatten(F.transform("lines", lambda w, i: F.array_repeat(i, F.size(w))))
+
+        def added(windows: Column, line_of: Column) -> Column:
+            placed = F.transform(windows, lambda w: F.struct(
+                w["start"].alias("start"), F.get(line_of, w["start"]).alias("unit"), F.get(line_of, w["start"] + w["len"]).alias("last"),
+                w["license"].alias("license"), (-w["cost"]).alias("dice")))
+            own = F.filter(placed, lambda w: ~F.exists(units, lambda m: (m["license"] == w["license"]) & (
+                (m["unit"] == -1) | m["unit"].between(w["unit"], w["last"]))))
+            return F.transform(F.array_sort(own), lambda w: F.struct(
+                w["unit"].cast("int").alias("unit"), w["license"].alias("license"), w["dice"].alias("dice")))
+
+        windows = _let(_chain(text), lambda c: _windows(c, sets, spans, threshold))
+        return _let(windows, lambda ws: F.when(F.size(ws) > 0, F.concat(units, _let(place, lambda p: added(ws, p)))).otherwise(units))
+
+    matches = _let(F.flatten("lines"), lambda t: _let(
+        F.filter(F.concat(by_line, F.array(whole(t))), lambda m: m.isNotNull()), lambda units: with_windows(t, units)))
+    return lines.select("doc_id", matches.alias("matches"))
 
 
 def license_digest(found: DataFrame) -> DataFrame:

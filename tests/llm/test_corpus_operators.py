@@ -138,6 +138,23 @@ def test_license_sizes_at_the_bounds(spark):
         [(0, "CC-BY-NC-4.0", 0.8)], [(0, "MIT", 0.8)], [(0, "ISC", 0.8)]]
 
 
+def test_license_windows(spark):
+    import textwrap
+
+    code = "\n" + "\n".join(f"value_{i} = compute(value_{i - 1}, the_{i})" for i in range(1, 41))
+    names = ["GPL-3.0-notice", "MIT-notice", "ISC", "Apache-2.0-notice"]
+    wrapped = [textwrap.fill(op5_licenses.TEMPLATES[n], 76) + code for n in names]
+    inside = "The toolkit was written by many people over the years. Released under the MIT License. It runs on most systems."
+    texts = [*wrapped, inside, "first line\n" + inside + " Docs are licensed under CC BY 4.0." + code + "\n" + inside,
+             code + "\nReleased under the MIT License." + code, "Released under the rain." + code]
+    got = op5_licenses.scan_licenses(h.documents(spark, texts)).orderBy("doc_id").collect()
+    found = [[(m["unit"], m["license"], m["dice"]) for m in r["matches"]] for r in got]
+    assert found[:4] == [[(0, n, 1.0)] for n in names]
+    assert found[4] == [(0, "MIT", 1.0)]
+    assert found[5] == [(1, "MIT", 1.0), (1, "CC-BY-4.0", 1.0), (42, "MIT", 1.0)]
+    assert found[6:] == [[(41, "MIT", 1.0)], []]
+
+
 def _sample(spark):
     return (spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"),
             spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality"))
