@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -139,8 +140,6 @@ def test_license_sizes_at_the_bounds(spark):
 
 
 def test_license_windows(spark):
-    import textwrap
-
     code = "\n" + "\n".join(f"value_{i} = compute(value_{i - 1}, the_{i})" for i in range(1, 41))
     names = ["GPL-3.0-notice", "MIT-notice", "ISC", "Apache-2.0-notice"]
     wrapped = [textwrap.fill(op5_licenses.TEMPLATES[n], 76) + code for n in names]
@@ -155,6 +154,21 @@ def test_license_windows(spark):
     assert found[6:] == [[(41, "MIT", 1.0)], []]
 
 
+def test_license_templates_name_the_right_license(spark):
+    body = "\n" + "\n".join(f"Clause {i} of {i + 7} more clauses binds party {i * 3}." for i in range(60))
+    sentences = [("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+                 ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+                 ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+                 ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "MPL-1.1")]
+    every = list(op5_licenses.TEMPLATES)
+    texts = [*(t for t, _ in sentences), *op5_licenses.TEMPLATES.values(), *(textwrap.fill(op5_licenses.TEMPLATES[n], 60) + body for n in every)]
+    want = [*(n for _, n in sentences), *every, *every]
+    got = op5_licenses.license_digest(op5_licenses.scan_licenses(h.documents(spark, texts))).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == want
+    assert all(r["dice"] == 1.0 for r in got[:len(sentences) + len(every)])
+    assert {"GPL-2.0", "LGPL-2.1", "AGPL-3.0", "BSD-2-Clause", "EPL-2.0", "Unlicense", "GPL-2.0-text", "BSD-2-Clause-text"} <= set(every)
+
+
 def _sample(spark):
     return (spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"),
             spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality"))
