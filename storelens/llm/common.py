@@ -101,3 +101,15 @@ def packed(docs: DataFrame, carry: Sequence[str], text: str) -> tuple[DataFrame,
         at = list(carry).index(text)
         return docs.select(row), lambda batch: batch.column(0).field(at)
     return docs.select(row, F.col(f"`{text}`").alias("text")), lambda batch: batch.column(1)
+
+
+def finite_vector(column: str, largest: float) -> Column:
+    """The vector is there, and no entry of it is null, not finite or of a size above ``largest``."""
+    # A NaN is larger than every other number in Spark.
+    return F.col(column).isNotNull() & F.forall(column, lambda c: F.coalesce(F.abs(c.cast("double")) <= largest, F.lit(False)))
+
+
+def common_length(rows: DataFrame, column: str) -> int:
+    """The most frequent length of an array column, the longest of equally frequent ones; 0 without rows."""
+    best = rows.groupBy(F.size(column).alias("size")).count().agg(F.max(F.struct("count", "size")).alias("best")).first()["best"]
+    return best["size"] if best else 0

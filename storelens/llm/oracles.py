@@ -177,3 +177,28 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc
        coalesce(component, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest USING (doc_id)
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, x.vec_id, x.label = a.label AS same, list_inner_product(a.q, x.q)::BIGINT AS score
+  FROM r a JOIN r x ON x.rid <> a.rid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.rid, p.k ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.rid = s.rid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+ORACLES["op13_exact_duplicates"] = f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_UPPER})) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""

@@ -18,6 +18,9 @@ from storelens.llm import (
     op8_tokens,
     op9_decontamination,
     op10_minhash,
+    op11_hard_negatives as op11_negatives,
+    op12_whitening,
+    op13_exact_dedup,
 )
 from storelens.llm.common import table
 
@@ -95,3 +98,19 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_minhash.component_digest(op10_minhash.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op11_negatives.quantised(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+    return op11_negatives.mine(op11_negatives.relabelled(rows))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening.whiten(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
+@query
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_exact_dedup.duplicate_digest(op13_exact_dedup.exact_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"])))
