@@ -3,35 +3,46 @@
 Test items are cut into windows of ``WINDOW`` consecutive words; an item of
 fewer words is one window.  For each window length one matcher is built: a shift
 table says, for a block of words at the end of the current position, how far
-the search may skip; where it may not skip, the hash bucket of that suffix block
-names the windows to compare directly.
+the search may skip; where it may not skip, the hash of that suffix block and of the
+window's first block names the bucket of windows to compare directly, word by word.
 
-Items are read in blocks of at most about ``BLOCK_BYTES`` of text, chosen by hash and
-counted in Spark; each block is one pass over the documents, and the passes'
-hits are joined by row.  So the driver and a task hold one block at a time.
+Words are told apart by 64-bit hashes.  A matcher is a few arrays, about 60 bytes
+a window: the driver builds those of one block of items, at most about
+``BLOCK_WINDOWS`` windows, and broadcasts them, so a worker holds one copy, whatever
+number of tasks it runs.  Each block is one pass over the documents, and the passes'
+hits are joined by row.
 
 Cases: texts and items that are null or hold no word hit nothing; an item with a
 null id marks words but is no item; repeated items and rows count once and
-repeat; a repeated item_id is one item.
+repeat; a repeated item_id is one item; columns keep their names inside ``row``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import map_arrow, packed, text_or_empty, written
+from storelens.llm.common import map_arrow, text_or_empty, written
 
 WINDOW = 10
 BLOCK_WORDS = 2
-BLOCK_BYTES = 16_000_000
+#: Windows of one block of items.
+BLOCK_WINDOWS = 1_000_000
+#: Words a worker remembers the hashes of.
+CACHE_WORDS = 200_000
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 _LOWER = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+#: The words' pattern for lower-cased texts.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -39,53 +50,101 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8").translate(_LOWER).split() if text else []
 
 
+@cache
+def _known_words() -> dict[bytes, int]:
+    """Hashes of words that this worker has met."""
+    return {}
+
+
+def hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the text's words."""
+    found, known = words(text), _known_words()
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of several, position by position."""
+    x = np.zeros_like(parts[0])
+    for part, factor in zip(parts, _FACTORS):
+        x = (x ^ part) * factor
+        x ^= x >> np.uint64(29)
+    return x
+
+
 class WuManber:
-    """Windows of one length over word numbers; 0 is any word that no item has."""
-
-    def __init__(self, patterns: dict[tuple[int, ...], frozenset[int]], vocabulary: int):
-        self.length = len(next(iter(patterns)))
-        self.block = min(BLOCK_WORDS, self.length)
-        self.base = vocabulary + 1
-        self.skip = self.length - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.bucket: dict[int, dict[tuple[int, ...], frozenset[int]]] = {}
-        for p, items in patterns.items():
-            for end in range(self.block, self.length + 1):
-                key = self._key(p, end - 1)
-                self.shift[key] = min(self.shift.get(key, self.skip), self.length - end)
-            self.bucket.setdefault(self._key(p, self.length - 1), {})[p] = items
-
-    def _key(self, ids, end: int) -> int:
-        return ids[end] if self.block == 1 else ids[end - 1] * self.base + ids[end]
-
-    def find(self, ids: list[int]) -> Iterator[tuple[int, frozenset[int]]]:
+    """Windows of one length: ``starts`` into the joined item words ``flat``, with the item of each."""
+
+    def __init__(self, length: int, flat: np.ndarray, starts: np.ndarray, items: np.ndarray):
+        self.length = length
+        self.block = min(BLOCK_WORDS, length)
+        self.skip = length - self.block + 1
+        self.flat = flat
+        bits = max(8, int(len(starts) * self.skip * 2).bit_length())
+        self.down = np.uint64(64 - bits)
+        self.shift = np.full(2**bits, self.skip, np.uint8)
+        # A slot that several blocks share keeps the smallest shift, so no window is skipped.
+        for end in range(self.block, length + 1):
+            np.minimum.at(self.shift, self._slots(self._blocks(flat, starts + (end - 1))), np.uint8(length - end))
+        keys = self._bucket(self._blocks(flat, starts + (length - 1)), self._blocks(flat, starts + (self.block - 1)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.items = keys[order], starts[order], items[order]
+
+    def _blocks(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed(*[ids[ends - k] for k in range(self.block)])
+
+    def _slots(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> self.down).astype(np.int64)
+
+    @staticmethod
+    def _bucket(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        return _mixed(suffix, prefix)
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, frozenset[int]]]:
         """Starts of occurring windows and the items they belong to."""
-        shift, skip, base, one = self.shift.get, self.skip, self.base, self.block == 1
         n, last = len(ids), self.length - 1
-        i = last
+        if n < self.length:
+            return
+        blocks = self._blocks(ids, np.arange(self.block - 1, n))
+        steps = self.shift[self._slots(blocks)].tolist()
+        i, ahead = last, self.block - 1
+        ends = []
         while i < n:
-            key = ids[i] if one else ids[i - 1] * base + ids[i]
-            step = shift(key, skip)
-            if step:
-                i += step
-                continue
-            items = self.bucket[key].get(tuple(ids[i - last:i + 1]))
-            if items:
-                yield i - last, items
-            i += 1
-
-
-def build(items: list[tuple[str | None, str]]) -> tuple[dict[bytes, int], list[WuManber], list[str | None]]:
-    """Word numbers, matchers by window length and item ids of one block of items."""
-    vocabulary: dict[bytes, int] = {}
-    windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
-        size = min(WINDOW, len(ids))
-        for s in range(len(ids) - size + 1 if size else 0):
-            windows.setdefault(size, {}).setdefault(tuple(ids[s:s + size]), set()).add(k)
-    matchers = [WuManber({p: frozenset(ks) for p, ks in found.items()}, len(vocabulary)) for _, found in sorted(windows.items())]
-    return vocabulary, matchers, [item_id for item_id, _ in items]
+            step = steps[i - ahead]
+            if not step:
+                ends.append(i)
+                step = 1
+            i += step
+        if not ends:
+            return
+        at = np.array(ends)
+        keys = self._bucket(blocks[at - ahead], blocks[at - last])
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        reach = np.arange(self.length)
+        for k in np.flatnonzero(high > low):
+            start, bucket = int(at[k]) - last, slice(low[k], high[k])
+            same = (self.flat[self.starts[bucket][:, None] + reach] == ids[start:start + self.length]).all(axis=1)
+            if same.any():
+                yield start, frozenset(self.items[bucket][same].tolist())
+
+
+def build(items: Sequence[tuple[str | None, str]]) -> tuple[list[WuManber], list[str | None]]:
+    """Matchers by window length and item ids of one block of items."""
+    texts = [hashes(text) for _, text in items]
+    firsts = np.cumsum([0, *[len(t) for t in texts]])
+    flat = np.concatenate([*texts, np.empty(0, np.uint64)])
+    windows: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for k, (first, ids) in enumerate(zip(firsts.tolist(), texts)):
+        if len(ids):
+            size = min(WINDOW, len(ids))
+            windows.setdefault(size, []).append((first + np.arange(len(ids) - size + 1), k))
+    matchers = [WuManber(size, flat, np.concatenate([s for s, _ in found]), np.concatenate([np.full(len(s), k, np.int32) for s, k in found]))
+                for size, found in sorted(windows.items())]
+    return matchers, [item_id for item_id, _ in items]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -101,16 +160,16 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 
 def _scan(source: DataFrame, text_of, block: list[tuple[str | None, str]]) -> DataFrame:
     """Words, merged hit spans and item ids of every row against one block of items."""
-    shared = source.sparkSession.sparkContext.broadcast(block)
+    shared = source.sparkSession.sparkContext.broadcast(build(block))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, matchers, names = build(shared.value)
-        number = vocabulary.get
+        matchers, names = shared.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             counts, hits, items = [], [], []
             for text in text_of(batch):
-                ids = [number(w, 0) for w in words(text.as_py())]
+                ids = hashes(text.as_py())
                 counts.append(len(ids))
                 spans, found = [], set()
                 for matcher in matchers:
@@ -119,12 +178,12 @@ def _scan(source: DataFrame, text_of, block: list[tuple[str | None, str]]) -> Da
                         found |= ks
                 hits.append(_merged(spans))
                 items.append(sorted({names[k] for k in found if names[k] is not None}))
+            out = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()),
-                 pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))],
-                names=["row", "n_words", "spans", "items"])
+                [*[c for _, c in out], pa.array(counts, pa.int64()), pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))],
+                names=[*[n for n, _ in out], "n_words", "spans", "items"])
 
-    return map_arrow(source, run, f"row {source.schema['row'].dataType.simpleString()}, n_words long, spans {SPANS}, items array<string>")
+    return map_arrow(source, run, f"{kept}, n_words long, spans {SPANS}, items array<string>")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -134,27 +193,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     ``spans`` are the merged word ranges (end exclusive) inside occurring windows; ``items``
     are the sorted ids of items with occurring windows.
     """
-    items = written(benchmark.select(F.col(item_id).cast("string").alias("item_id"), text_or_empty(item_text).alias("text")),
+    items = written(benchmark.select(F.col(item_id).cast("string").alias("item_id"), text_or_empty(item_text).alias("text")).distinct(),
                     "benchmark-items")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
+    # An item has at most as many windows as words.
+    windows = items.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(_WORD)))).first()[0] or 0
+    blocks = windows // BLOCK_WINDOWS + 1
     number = F.pmod(F.xxhash64("text"), F.lit(blocks))
-    key = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(text_or_empty(text)))
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    key = F.concat_ws("|", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.md5(text_or_empty(f"`{text}`"))).alias("key")
+    body = F.col(f"`{text}`").alias("text")
+    at = list(carry).index(text) if text in carry else None
     result = None
     for b in range(blocks):
-        # One block of items, about BLOCK_BYTES of text, at a time.
-        block = [(r["item_id"], r["text"]) for r in items.where(number == b).distinct().collect()]
+        # One block of items, about BLOCK_WINDOWS windows, at a time.
+        block = [(r["item_id"], r["text"]) for r in items.where(number == b).collect()]
         if result is None:
-            result = _scan(*packed(docs, carry, text), block) if blocks == 1 else _scan(
-                *packed(docs.withColumn("_row_key", key), (*carry, "_row_key"), text), block)
-        else:
-            found = _scan(*packed(docs.select(F.col(text), key.alias("_row_key")), ("_row_key",), text), block)
-            more = found.where(F.size("spans") > 0).groupBy(F.col("row._row_key").alias("again")).agg(
-                F.first("spans").alias("more_spans"), F.first("items").alias("more_items"))
-            result = result.join(more, F.col("row._row_key") == F.col("again"), "left").select(
-                "row", "n_words", _union("spans", "more_spans").alias("spans"),
-                F.array_sort(F.array_union("items", F.coalesce("more_items", F.array()))).alias("items"))
-    return result.select(F.struct(*[F.col(f"row.`{c}`") for c in carry]).alias("row"), "n_words", "spans", "items")
+            in_row = at is not None
+            source = docs.select(row, *([] if blocks == 1 else [key]), *([] if in_row else [body]))
+            result = _scan(source, (lambda batch: batch.column(0).field(at)) if in_row else (lambda batch: batch.column("text")), block)
+            continue
+        found = _scan(docs.select(key, body), lambda batch: batch.column("text"), block).where(F.size("spans") > 0)
+        # Equal keys have equal texts, hence equal hits.
+        more = found.groupBy("key").agg(F.first("spans").alias("more_spans"), F.first("items").alias("more_items"))
+        result = result.join(more, "key", "left").select(
+            "row", "key", "n_words", _union("spans", "more_spans").alias("spans"),
+            F.array_sort(F.array_union("items", F.coalesce("more_items", F.array()))).alias("items"))
+    return result.select("row", "n_words", "spans", "items")
 
 
 def _union(a: str, b: str) -> Column:
