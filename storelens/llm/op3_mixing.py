@@ -4,8 +4,9 @@ Each source gets a target share of the output.  Its repetition rate is the
 share times the output size over the source's own size, and every document is
 repeated ``k`` times, where ``k`` comes from inverting a Poisson distribution
 with that rate at a uniform number hashed from (seed, document).  The copies
-are then dealt out by a hash of (seed, document, copy) and sorted by it inside
-each partition, which is a uniform shuffle of the whole output.
+are then dealt out by a hash of (seed, document, copy) and of the row's number, and
+sorted by it inside each partition, which is a uniform shuffle of the whole output:
+repeated rows, whose ``shuffle_key`` is the same, lie anywhere, too.
 
 Cases: null texts have size 0; a null source is a source of its own; rows with a
 null id are hashed by their text; repeated rows are repeated alike; sources
@@ -86,13 +87,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     rates = small_side(repetition_rates(docs, weights, alpha, epochs, source, text), BROADCAST_SOURCES, "mix-rates")
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null:"), F.md5(text_or_empty(text))))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _source_key(source).alias("source_key"),
-                      key.alias("key")).join(rates, "source_key")
+                      key.alias("key"), F.monotonically_increasing_id().alias("number")).join(rates, "source_key")
     draws = F.transform(F.sequence(F.lit(1), F.col("parts")),
                         lambda j: hashed_uniform(F.concat_ws("|", F.lit(seed), F.col("key"), j.cast("string"))))
     copies = F.aggregate(draws, F.lit(0),
                          lambda n, u: n + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
-    drawn = row.select("row", "key", copies.alias("copies")).where("copies > 0")
-    dealt = drawn.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
-    shuffled = dealt.select("row.*", F.col("copy_no").cast("long").alias("copy_no"), F.md5(F.concat_ws(
-        "|", F.lit(seed), F.lit("order"), F.col("key"), F.col("copy_no").cast("string"))).alias("shuffle_key"))
-    return shuffled.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy_no")
+    drawn = row.select("row", "key", "number", copies.alias("copies")).where("copies > 0")
+    dealt = drawn.select("row", "key", "number", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    keyed = dealt.select("row", F.col("copy_no").cast("long").alias("copy_no"), F.md5(F.concat_ws(
+        "|", F.lit(seed), F.lit("order"), F.col("key"), F.col("copy_no").cast("string"))).alias("shuffle_key"), "number")
+    placed = keyed.select("row", "copy_no", "shuffle_key", F.xxhash64("shuffle_key", "number").alias("place"))
+    return placed.repartition("place").sortWithinPartitions("place", "shuffle_key").select("row.*", "copy_no", "shuffle_key")
