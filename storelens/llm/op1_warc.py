@@ -15,8 +15,9 @@ found by archive and offset, merges neighbouring ranges into one read and parses
 the records.
 
 File names carry the task attempt, and only rows of successful attempts are
-kept, so files that a lost executor left are never read.  Paths without a scheme and
-``file:`` paths are local or mounted; others go through ``pyarrow.fs``.
+kept, so files that a lost executor left are never read.  ``round_trip`` names its folder
+with the scheme that Spark gives it; ``file:`` paths and given paths without a scheme
+are local or mounted, others go through ``pyarrow.fs``.
 
 Cases: a null html is an empty payload; a null url has the key ``)/``; a null page_id
 is the largest id and comes back as null; repeated rows are separate records, all
@@ -331,9 +332,15 @@ def fetch(located: DataFrame, folder: str) -> DataFrame:
     return map_arrow(ordered, run, _RECORD)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder with its scheme: Spark takes a path without one as of its default file system, tasks could not know that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, name))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Every page's record, written and read back through the index; one row per row of ``pages``."""
-    folder = scratch(spark, "warc")
+    folder = shared_folder(spark, "warc")
     index = build_index(write_archives(tagged_pages(pages), folder), folder)
     requests = pages.select(reversed_host_key(F.col("url")).alias("key"), id_or_last("page_id").alias("page"))
     return fetch(locate(requests, index), folder)
