@@ -24,9 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -
     return scan(spark, sf_dir, name).select(*columns)
 
 
+#: Scratch folders of this process, oldest first.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder of the session."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def scratch_mark() -> int:
+    """A point in the order of scratch folders, for ``discard``."""
+    return len(_MADE)
+
+
+def discard(spark: SparkSession, since: int, until: int) -> None:
+    """Deletes the scratch folders made between two marks; nothing may read them any more."""
+    for folder in _MADE[since:until]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -81,6 +98,11 @@ def small_side(df: DataFrame, max_rows: int, name: str) -> DataFrame:
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
+def hash_sample(key: Column, share: float) -> Column:
+    """True for about ``share`` of the keys, however small that is; for all of them where it is 1."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(int(share * (2**63 - 1)) if share < 1 else 2**63 - 1)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

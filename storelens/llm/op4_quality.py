@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import map_arrow, packed, written
+from storelens.llm.common import hash_sample, map_arrow, packed, written
 
 #: Labelled documents that the model is fitted on, about.
 TRAIN_ROWS = 20_000
@@ -144,7 +144,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", la
               .where("label = most").select("label_id", "label"))
     known = written(agreed, "labels")
     share = min(1.0, rows / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = known.where(hash_sample(F.col("label_id"), share))
+    if share < 1 and sample.isEmpty():
+        raise ValueError("no labelled row is in the sample")
     # About ``rows`` ids: their number bounds what is broadcast.
     chosen = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(sample), "label_id")
     return written(text_statistics(chosen, "text", ("label",)).select("row.label", *STATISTICS), "training")
