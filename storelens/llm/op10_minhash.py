@@ -54,6 +54,10 @@ BITS = 64 * LONGS
 MIN_EQUAL_BITS = int(BITS * (1 + PERCENT / 100) / 2 - 5.7 * 7.5)
 #: Ids up to this many are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one node that are compared in one go.
+CHUNK_PAIRS = 256
+#: Classes with more than one in this many rows get their component by a broadcast; there are fewer than this many.
+HOT_CLASSES = 4096
 #: Words a task remembers the hashes of.
 CACHE_WORDS = 100_000
 
@@ -158,24 +162,40 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of the pairs ``(a, b, sa, sb)`` of a batch, and which shingles of b are in a; sets are read in place."""
+    """Sizes of pairs and which shingles of b are in a, from rows ``(b, chunk, a, shingles)``: b's own set, with a
+    null a, comes before those that it is compared with.  Sets are read in place; one b's set is kept."""
+    y = np.empty(0, np.uint64)
     for batch in batches:
-        counts, masks = np.empty((batch.num_rows, 3), np.int64), []
-        for i, (sa, sb) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (sa, sb))
+        ids, counts, masks = [], [], []
+        for b, a, shingles in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            x = np.frombuffer(shingles.as_buffer(), np.uint64)
+            if a is None:
+                y = x.copy()
+                continue
             inside = np.isin(y, x, assume_unique=True)
-            counts[i] = len(x), len(y), inside.sum()
+            ids.append((a, b))
+            counts.append((len(x), len(y), int(inside.sum())))
             masks.append(np.packbits(np.pad(inside, (0, -len(y) % 64))).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(counts[:, k]) for k in range(3)], pa.array(masks, pa.list_(pa.int64()))],
+        columns = np.array([(*i, *c) for i, c in zip(ids, counts)], np.int64).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([*[pa.array(columns[:, k]) for k in range(5)], pa.array(masks, pa.list_(pa.int64()))],
                                          names=["a", "b", "n_a", "n_b", "common", "mask"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` with the sizes of their full sets, the number of common shingles and ``mask``, the
-    bits of b's sorted shingles that a has."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return map_arrow(both.select("a", "b", "sa", "sb"), _common, "a long, b long, n_a long, n_b long, common long, mask array<long>")
+    bits of b's sorted shingles that a has.
+
+    The pairs of one b come in chunks of about ``CHUNK_PAIRS``; b's set is sent once
+    to each chunk and sorted before the sets to compare with it.
+    """
+    pairs = written(pairs, "pairs")
+    large = small_side(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK_PAIRS), BROADCAST_IDS, "large")
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK_PAIRS), F.lit(1))
+    dealt = pairs.join(large, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), chunks).alias("chunk"))
+    of = lambda key: sets.select(F.col("node").alias(key), "shingles")
+    firsts = dealt.select("b", "chunk").distinct().join(of("b"), "b").select("b", "chunk", F.lit(None).cast("long").alias("a"), "shingles")
+    both = firsts.unionByName(dealt.join(of("a"), "a")).repartition("b", "chunk").sortWithinPartitions(F.col("b"), F.col("chunk"), F.asc_nulls_first("a"))
+    return map_arrow(both.select("b", "chunk", "a", "shingles"), _common, "a long, b long, n_a long, n_b long, common long, mask array<long>")
 
 
 def _reaches(common: Column, n_a: Column, n_b: Column) -> Column:
@@ -236,10 +256,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     source = docs.select(id_or_last(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     sketches = written(map_arrow(source, _sketches, _SKETCH_TYPE), "sketches")
     # The numbers only tell the classes apart; they stay as written.
-    classes = written(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("doc")).withColumn(
+    classes = written(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc").alias("doc"), F.count("*").alias("rows")).withColumn(
         "node", F.monotonically_increasing_id()), "classes")
 
-    one = sketches.join(classes, ["doc", "set_key"]).dropDuplicates(["node"])
+    one = sketches.join(classes.drop("rows"), ["doc", "set_key"]).dropDuplicates(["node"])
     signed = written(one, "class-sketches")
     rows = signed.select("node", F.explode("bands").alias("bucket"))
     met = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -277,10 +297,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     first = final.join(classes, "node").groupBy("component").agg(F.min(F.struct("doc", "set_key")).alias("first"))
     linked = final.join(first, "component").select("node", "first")
-    of_class = classes.join(linked, "node", "left").select("set_key", F.coalesce("first.doc", "doc").alias("component"),
-                                                           F.coalesce(F.col("first.set_key") == F.col("set_key"), F.lit(True)).alias("leads"))
-    return sketches.select("doc", "text_hash", "set_key", "n_shingles").join(of_class, "set_key", "left").select(
-        "doc", "text_hash", "set_key", "n_shingles", F.coalesce("component", "doc").alias("component"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    of_class = written(classes.join(linked, "node", "left").select(
+        "set_key", "rows", F.coalesce("first.doc", "doc").alias("component"),
+        F.coalesce(F.col("first.set_key") == F.col("set_key"), F.lit(True)).alias("leads")), "class-components")
+    rows = sketches.select("doc", "text_hash", "set_key", "n_shingles")
+    filled, empty = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
+    hot = F.col("rows") * HOT_CLASSES > sketches.count()
+    frequent = F.broadcast(of_class.where(hot).drop("rows"))
+    others = filled.join(frequent, "set_key", "left_anti").join(of_class.where(~hot).drop("rows"), "set_key")
+    alone = empty.withColumns({"component": F.col("doc"), "leads": F.lit(True)})
+    return filled.join(frequent, "set_key").unionByName(others).unionByName(alone).select(
+        "doc", "text_hash", "set_key", "n_shingles", "component", "leads")
 
 
 def _stays() -> Column:
