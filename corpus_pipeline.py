@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.llm import op3_mixing, op4_quality, op7_line_dedup, op9_decontamination, op10_minhash
-from storelens.llm.common import table, written
+from storelens.llm.common import discard, scratch_mark, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents; what a stage leaves is deleted once the next is written."""
     docs = table(spark, sf_dir, "documents", list(COLUMNS))
+    before = scratch_mark()
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        own = scratch_mark()
+        docs = written(made, name.replace(" ", "-"))
+        discard(spark, before, own)
+        before = own
     return docs

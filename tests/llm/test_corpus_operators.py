@@ -75,6 +75,12 @@ def test_warc_index_and_files(spark, monkeypatch, lines, archive):
         op1_warc.parse_record(raw[:-3])
 
 
+def test_warc_folder_has_a_scheme(spark):
+    folder = op1_warc.shared_folder(spark, "warc")
+    assert folder.startswith("file:/") and op1_warc._store(folder)[1].startswith("/")
+    assert op1_warc._store("/plain/path")[1] == "/plain/path"
+
+
 def test_warc_empty(spark):
     assert op1_warc.round_trip(spark, _pages(spark, PAGES[:1]).limit(0)).count() == 0
 
@@ -101,6 +107,31 @@ def test_quality_counts(spark):
     assert len(op2_quality_rules.plan_cascade(docs.limit(0))) == len(op2_quality_rules.rules())
 
 
+def test_cascade_goes_by_rejections_and_cost(spark):
+    docs = h.documents(spark, [CLEAN + f" {i}" + (" !" * 20 if i % 2 else "") + ("?" if i == 5 else "") for i in range(60)])
+    text = F.col("text")
+    slow = text
+    for _ in range(40):
+        slow = F.regexp_replace(slow, "(a|b|c)(d|e|f)?", "$1$2")
+    given = [op2_quality_rules.Rule("dear_and_idle", F.length(slow) < 0), op2_quality_rules.Rule("idle", F.length(text) < 0),
+             op2_quality_rules.Rule("few", text.endswith("?")), op2_quality_rules.Rule("many", F.contains(text, F.lit(" ! !"))),
+             op2_quality_rules.Rule("dear", (F.length(slow) > 0) & F.contains(text, F.lit("! !")))]
+    order = [r.name for r in op2_quality_rules.plan_cascade(docs, listed=given)]
+    assert order.index("many") < min(order.index(x) for x in ("dear", "idle", "dear_and_idle", "few")) and set(order) == {r.name for r in given}
+    counts = op2_quality_rules.base_counts(docs)
+    by_order = {tuple(r) for r in op2_quality_rules.apply_cascade(counts, op2_quality_rules.plan_cascade(docs, listed=given)).select("doc_id", "kept").collect()}
+    assert by_order == {tuple(r) for r in op2_quality_rules.apply_cascade(counts, given).select("doc_id", "kept").collect()}
+
+
+def test_samples_hold_at_any_size(spark):
+    ids = spark.range(200_000).select(F.col("id"), F.concat(F.lit("x"), F.col("id")).alias("s"))
+    for share in (1.0, 0.01, 1e-4):
+        n = ids.where(common.hash_sample(F.col("s"), share)).count()
+        assert abs(n - 200_000 * share) <= 6 * (200_000 * share) ** 0.5 * (share < 1)
+    # 2,000 of 10**13 documents: a bound in whole millionths would be 0.
+    assert "<= 0" not in str(common.hash_sample(F.col("s"), 2e-10)._jc)
+
+
 LICENSES = ["Some text\nReleased under the MIT License.\nmore", "LICENSED!! UNDER!! CC!! BY-NC!! 4.0!!", "Licensed under CC BY 4.0", None, "", "one",
             op5_licenses.TEMPLATES["MIT-notice"].replace(", ", ",\n"), "a licence of no kind at all, released under the rain",
             "Released under the MIT License.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.", "x " * 100_000]

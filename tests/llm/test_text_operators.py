@@ -148,9 +148,9 @@ def _contamination(spark, docs, items):
     return {r["doc_id"]: r for r in out}
 
 
-@pytest.mark.parametrize("block_bytes", [10**7, 60])
-def test_contamination_matches_plain_search(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(op9_decontamination, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("windows", [10**6, 12])
+def test_contamination_matches_plain_search(spark, monkeypatch, windows):
+    monkeypatch.setattr(op9_decontamination, "BLOCK_WINDOWS", windows)
     got = _contamination(spark, h.documents(spark, ITEM_DOCS), ITEMS)
     assert len(got) == len(ITEM_DOCS)
     for i, text in enumerate(ITEM_DOCS):
@@ -160,6 +160,30 @@ def test_contamination_matches_plain_search(spark, monkeypatch, block_bytes):
             n, hit, len(ids), h.sha(",".join(ids)), hit > 0), i
 
 
+def test_contamination_keeps_columns_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op9_decontamination, "BLOCK_WINDOWS", 5)
+    docs = h.documents(spark, ITEM_DOCS).withColumnsRenamed({"row": "key", "keep": "items", "spans": "_row_key"})
+    bench = spark.createDataFrame(ITEMS, "item_id string, text string")
+    found = op9_decontamination.find_contamination(docs, bench, carry=tuple(docs.columns))
+    assert found.select("row.*").columns == docs.columns
+    assert sorted(map(str, found.select("row.*").collect())) == sorted(map(str, docs.collect()))
+
+
+def test_a_large_benchmark_is_compact():
+    import pickle
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(str(k), " ".join(rng.choices(vocabulary, k=400))) for k in range(500)]
+    matchers, names = op9_decontamination.build(items)
+    # 196,000 windows
+    assert len(pickle.dumps((matchers, names))) < 60 * 500 * 391
+    text = "x " + items[7][1] + " y z " + " ".join(items[8][1].split()[5:15])
+    found = {(start, names[k]) for m in matchers for start, ks in m.find(op9_decontamination.hashes(text)) for k in ks}
+    assert found == {(1 + i, "7") for i in range(391)} | {(403, "8")}
+
+
 def test_contamination_without_items(spark):
     got = _contamination(spark, h.documents(spark, ITEM_DOCS), [])
     assert not any(r["contaminated"] for r in got.values()) and got[0]["n_words"] == 14
@@ -170,8 +194,8 @@ def test_contamination_without_items(spark):
 def test_wu_manber_property(doc, items):
     text = " ".join(f"w{i}" for i in doc)
     bench = [(str(k), " ".join(f"w{i}" for i in x)) for k, x in enumerate(items)]
-    vocabulary, matchers, names = op9_decontamination.build(bench)
-    ids = [vocabulary.get(w, 0) for w in op9_decontamination.words(text)]
+    matchers, names = op9_decontamination.build(bench)
+    ids = op9_decontamination.hashes(text)
     spans, found = set(), set()
     for m in matchers:
         for start, ks in m.find(ids):
@@ -196,6 +220,15 @@ def test_mixing_rates_and_draws(spark):
     assert 4.3 < mean < 5.7 and 0.7 < var / mean < 1.3
 
 
+def test_mixing_deals_repeated_rows_apart(spark):
+    docs = h.documents(spark, [(None, "")] * 4000 + [(None, "same text")] * 4000 + [(1, "row")] * 4000)
+    mixed = op3_mixing.mix_sources(docs.repartition(4))
+    sizes = [r["n"] for r in mixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) > 4000 and len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    first = [r["text"] for r in mixed.where("copy_no = 1").limit(200).collect()]
+    assert 1 < len({(a, b) for a, b in zip(first, first[1:])})
+
+
 def test_mixing_high_rates_and_edges(spark):
     docs = h.documents(spark, ["word", None, "", "word", (None, "no id"), (None, None)])
     out = op3_mixing.mix_sources(docs, epochs=200.0)
