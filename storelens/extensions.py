@@ -71,9 +71,20 @@ def with_rules(extra: dict[str, list[WorkflowRule]]) -> dict[str, list[WorkflowR
     return rules
 
 
-def deliver_tasks(tasks: DataFrame, path: str, fmt: str = "parquet", num_partitions: int | None = None) -> None:
+def delivery_of(tasks: DataFrame) -> str:
+    """A name for a set of tasks, from their ids: the same tasks have the same name in any order."""
+    r = tasks.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).first()
+    return f"{r['n']}-{(r['x'] or 0) & (2**64 - 1):016x}{(r['y'] or 0) & (2**64 - 1):016x}"
+
+
+def deliver_tasks(tasks: DataFrame, path: str, fmt: str = "parquet", num_partitions: int | None = None, delivery: str | None = None) -> None:
     """Task sink: one folder per role so each role's consumer reads only its work
-    (range-partitioned by role and id: few files per role, hot roles split)."""
+    (range-partitioned by role and id: few files per role, hot roles split).
+
+    Below a role lies a folder per ``delivery``, by default ``delivery_of`` the tasks; a
+    delivery that is tried again replaces its own folders, so no task arrives twice.
+    """
     n = num_partitions or int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (tasks.repartitionByRange(n, "role", "id").write.mode("append").option("maxRecordsPerFile", 1_000_000)
-     .partitionBy("role").format(fmt).save(path))
+    named = tasks.withColumn("delivery", F.lit(delivery or delivery_of(tasks)))
+    (named.repartitionByRange(n, "role", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", 1_000_000).partitionBy("role", "delivery").format(fmt).save(path))

@@ -10,8 +10,8 @@ with data volume:
 2. Instants are bucketed twice: a fine bucket of width ``g = ceil(w / 1024)``
    and a coarse bucket of 1024 fine buckets (width >= w).
 3. For every left instant the nearest right instant before and after it is the
-   best of:  (a) its own fine bucket (window over one fine bucket: at most ``g``
-   distinct microseconds), (b) the other fine buckets of its coarse bucket (a
+   best of:  (a) its own fine bucket (two windows over one fine bucket, one in each
+   direction, so that both take the last value of a growing frame), (b) the other fine buckets of its coarse bucket (a
    window over at most 1024 fine-bucket summaries), (c) the last / first
    instant of the neighbouring coarse buckets.  Each level's summaries come out
    of the level below it, so the rows are read and keyed once.
@@ -75,22 +75,21 @@ def nearest_within(
 
     # (a) within the own fine bucket, and that bucket's first and last right instant.
     wk = Window.partitionBy("k", "f")
-    wf = wk.orderBy("t")
+    wf, back = wk.orderBy("t"), wk.orderBy(F.desc("t"))
+    so_far = lambda c, w, end: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
     u = instants.select(
         "k", "t", "f", "is_left",
-        F.last("c", ignorenulls=True).over(wf.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("prior_in"),
-        F.first("c", ignorenulls=True).over(wf.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("next_in"),
+        so_far("c", wf, Window.currentRow).alias("prior_in"), so_far("c", back, Window.currentRow).alias("next_in"),
         F.max("c").over(wk).alias("last_f"), F.min("c").over(wk).alias("first_f"), F.row_number().over(wf).alias("n"))
 
     # (b) other fine buckets of the same coarse bucket, from one row per fine bucket, and
     #     that coarse bucket's first and last right instant.
     fine = u.where("n = 1").select("k", "f", F.floor(F.col("f") / FINE_PER_COARSE).alias("cb"), "last_f", "first_f")
     wb = Window.partitionBy("k", "cb")
-    wc = wb.orderBy("f")
+    wc, wd = wb.orderBy("f"), wb.orderBy(F.desc("f"))
     fine = fine.select(
         "k", "f", "cb",
-        F.last("last_f", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_fine"),
-        F.first("first_f", ignorenulls=True).over(wc.rowsBetween(1, Window.unboundedFollowing)).alias("next_fine"),
+        so_far("last_f", wc, -1).alias("prev_fine"), so_far("first_f", wd, -1).alias("next_fine"),
         F.max("last_f").over(wb).alias("last_c"), F.min("first_f").over(wb).alias("first_c"), F.row_number().over(wc).alias("n"))
     # (c) neighbouring coarse buckets: one row per coarse bucket tells both neighbours.
     side = lambda cb, prev, next_: F.struct(cb.alias("cb"), prev.alias("prev_coarse"), next_.alias("next_coarse"))

@@ -1,16 +1,23 @@
 """Evidence, event and task aggregations.
 
 All per-store outputs are ``groupBy`` aggregations with partial (map-side)
-aggregation; list-valued outputs only ever collect a bounded vocabulary (kinds,
-event types, roles, states) per store, never rows.
+aggregation.  Kinds, event types, roles, states and sources are free text, so
+list-valued outputs name at most ``VALUES_SHOWN`` of a store's values and add up the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.scalar import parse_timestamp, to_micros
+from storelens.schemas import EVIDENCE_KINDS
+
+
+#: Values of a free-text column that a store's list names.
+VALUES_SHOWN = 50
 
 
 def _unknown(col: str) -> Column:
@@ -43,12 +50,14 @@ def source_freshness(evidence: DataFrame) -> DataFrame:
 
     ``latest_at`` keeps the original text of the greatest parseable instant; on
     equal instants the smallest (text, id) wins.  Unparseable times are ignored.
+    Kinds outside the data model are told as ``other``.
     """
+    kind = F.when(_unknown("kind").isin(*EVIDENCE_KINDS, "unknown"), _unknown("kind")).otherwise(F.lit("other"))
     us = to_micros(parse_timestamp(F.col("occurred_at")))
     key = F.when(us.isNotNull(), F.struct((-us).alias("neg_us"), F.col("occurred_at").alias("text"), F.col("id").alias("id")))
     return evidence.groupBy("store_id", _unknown("source").alias("source")).agg(
         F.count(F.lit(1)).alias("count"),
-        F.array_join(F.sort_array(F.collect_set(_unknown("kind"))), ",").alias("kinds"),
+        F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("kinds"),
         F.min(key)["text"].alias("latest_at"),
     )
 
@@ -100,9 +109,22 @@ def corroboration_coverage(evidence: DataFrame, matches: DataFrame) -> DataFrame
     )
 
 
+def most_counted(counts: DataFrame, key: str) -> DataFrame:
+    """``counts (store_id, key, count)`` with ``shown``: a store's ``VALUES_SHOWN`` values with the largest counts."""
+    order = Window.partitionBy("store_id").orderBy(F.desc("count"), F.asc_nulls_last(key))
+    return counts.withColumn("shown", F.row_number().over(order) <= VALUES_SHOWN)
+
+
+def listed(entries: Column, text: Callable[[Column], Column]) -> Column:
+    """The shown entries' texts in order, and how many other values have how many rows."""
+    shown = F.array_sort(F.collect_list(F.when(F.col("shown"), entries)))
+    others, rows = F.count_if(~F.col("shown")), F.sum(F.when(~F.col("shown"), F.col("count")))
+    more = F.when(others > 0, F.concat(F.lit("("), others.cast("string"), F.lit(" others)="), rows.cast("string")))
+    return F.concat_ws(", ", F.array_join(F.transform(shown, text), ", "), more)
+
+
 def counts_text(counts: DataFrame, key: str, name: str) -> DataFrame:
     """(store, key, count) -> one 'k=v, k2=v2' text per store, keys sorted."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("count").alias("v"))))
-    return counts.groupBy("store_id").agg(
-        F.array_join(F.transform(entries, lambda e: F.concat(e["k"], F.lit("="), e["v"].cast("string"))), ", ").alias(name)
-    )
+    entry = F.struct(F.col(key).alias("k"), F.col("count").alias("v"))
+    return most_counted(counts, key).groupBy("store_id").agg(
+        listed(entry, lambda e: F.concat(e["k"], F.lit("="), e["v"].cast("string"))).alias(name))

@@ -1,4 +1,9 @@
-"""Operational fact extraction: header ⋈ line ⋈ product."""
+"""Operational fact extraction: header ⋈ line ⋈ product.
+
+Every store has a database of its own, and all of them number from 1, so the tables
+of a fleet carry the store and every join has it in its key.  A line or product
+table that all stores share must be stated as such.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +21,15 @@ class FactPlan:
     """Resolved column roles for one store database (or a whole fleet).
 
     Column names come from ``resolve_fact_plan`` (catalog metadata); only the
-    names travel through the driver, never rows.
+    names travel through the driver, never rows.  ``line_store`` and
+    ``product_store`` name the store columns of those tables; None states that one
+    table serves all stores.
     """
 
     header_id: str
     header_store: str
+    line_store: str | None
+    product_store: str | None
     date_col: str
     line_header: str
     line_id: str
@@ -73,19 +82,28 @@ def extract_line_facts(
         F.col(plan.quantity_col).alias("_qty"),
         plan.operation.alias("_op"),
     ]
+    if plan.line_store:
+        d_cols.append(F.col(plan.line_store).alias("_lstore"))
     if plan.destination_col:
         d_cols.append(F.col(plan.destination_col).cast("string").alias("destination_id"))
     d_cols += [F.col(c).alias(f"_tb{i}") for i, c in enumerate(plan.tiebreak)]
     d = line.select(*d_cols).where(F.col("_op").isin("purchase", "sale"))
 
     p_cols = [F.col(plan.product_key).alias("_pk"), F.col(plan.product_identity).alias("_pident")]
+    if plan.product_store:
+        p_cols.append(F.col(plan.product_store).alias("_pstore"))
     if plan.pack_size_col:
         p_cols.append(F.col(plan.pack_size_col).alias("_pack"))
     p = product.select(*p_cols)
 
     # Join order follows the plan: the line table is the big side; both joins are
     # equi-joins so AQE can pick broadcast (measured size) or sort-merge at runtime.
-    j = d.join(h, F.col("_lhid") == F.col("_hid")).join(p, F.col("_pk") == F.col("_lpid"))
+    of_header, of_product = F.col("_lhid") == F.col("_hid"), F.col("_pk") == F.col("_lpid")
+    if plan.line_store:
+        of_header = of_header & (F.col("_lstore") == F.col("store_id"))
+    if plan.product_store:
+        of_product = of_product & (F.col("_pstore") == F.col("store_id"))
+    j = d.join(h, of_header).join(p, of_product)
 
     date_text = F.date_format(F.col("_date"), "yyyy-MM-dd'T'HH:mm:ss")
     time_text = F.col("_time").cast("string") if plan.time_col else F.lit(None).cast("string")
@@ -136,10 +154,20 @@ PLAN_SHAPE = (
 )
 
 
-def extract_learned_facts(plans: DataFrame, tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+def _store_column(tables: dict[str, DataFrame], path: str, shared: frozenset[str]) -> str | None:
+    if "store_id" in tables[path].columns:
+        return "store_id"
+    if path not in shared:
+        raise ValueError(f"{path} has no store_id and is not stated to be shared by all stores")
+    return None
+
+
+def extract_learned_facts(plans: DataFrame, tables: dict[str, DataFrame], limit: int | None = None,
+                          shared: frozenset[str] = frozenset()) -> DataFrame:
     """Facts by the plans of ``resolve_fact_plan``, each store by its own.
 
-    ``tables`` are the stores' tables by table path; headers carry ``store_id``.
+    ``tables`` are the stores' tables by table path, with ``store_id``; line and
+    product tables named in ``shared`` serve all stores and need none.
     Stores whose plans name the same tables and columns are one job: only the
     distinct plan shapes, that is, the distinct schemas, come to the driver.
     Confidence and ``mapping_verified`` are those of the store's plan.
@@ -156,7 +184,9 @@ def extract_learned_facts(plans: DataFrame, tables: dict[str, DataFrame], limit:
         header = tables[shape["header_table"]]
         header = header.join(stores, header["store_id"] == stores["_store"]).drop("_store")
         plan = FactPlan(
-            header_id=shape["header_id_col"], header_store="store_id", date_col=shape["date_col"], time_col=shape["time_col"],
+            header_id=shape["header_id_col"], header_store="store_id",
+            line_store=_store_column(tables, shape["line_table"], shared), product_store=_store_column(tables, shape["product_table"], shared),
+            date_col=shape["date_col"], time_col=shape["time_col"],
             line_header=shape["line_header_col"], line_id=shape["line_id_col"], line_product=shape["line_product_col"],
             quantity_col=shape["quantity_col"], product_key=shape["product_key_col"], product_identity=shape["product_identity_col"],
             operation=F.lit(shape["operation"]), destination_col=shape["destination_col"], pack_size_col=shape["pack_size_col"],
@@ -171,15 +201,17 @@ def extract_learned_facts(plans: DataFrame, tables: dict[str, DataFrame], limit:
 def fixture_plan() -> FactPlan:
     """Plan for orders ⋈ lineitem ⋈ part (the driver-table form of a store database)."""
     return FactPlan(
-        header_id="o_orderkey",
+        header_id="header_no",
         header_store="store_id",
+        line_store="store_id",
+        product_store="store_id",
         date_col="o_orderdate",
-        line_header="l_orderkey",
+        line_header="header_no",
         line_id="l_linenumber",
         line_product="l_partkey",
         quantity_col="l_quantity",
         product_key="p_partkey",
-        product_identity="p_partkey",
+        product_identity="product_no",
         operation=F.when(F.col("l_linestatus") == "O", F.lit("purchase")).otherwise(F.lit("sale")),
         destination_col="l_suppkey",
         pack_size_col="pack_size",

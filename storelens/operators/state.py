@@ -26,18 +26,21 @@ def answer_tasks(tasks: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataF
     keys (confirmed, verified, ...); keys without a field of their own are kept
     together as JSON in ``other``.  Returns (tasks after, confirmation evidence,
     rejected answers).  The first answer per open task wins; answers for unknown,
-    foreign-store or non-open tasks, and later duplicates, are rejected.
+    foreign-store or non-open tasks, and later duplicates, are rejected.  Only answers to
+    open tasks are ordered, each task's by itself; those without a task id go
+    straight to the rejected ones.
     """
-    a = answers.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("store_id", "task_id").orderBy("answered_at", "answer_id")))
-    open_tasks = tasks.where(F.col("status") == "open").select(
-        F.col("id").alias("task_id"), F.col("store_id").alias("_tstore"))
-    cand = a.join(open_tasks, (a["task_id"] == open_tasks["task_id"]) & (a["store_id"] == open_tasks["_tstore"]),
-                  "left").select(a["*"], F.col("_tstore").isNotNull().alias("_open"))
-    accepted = cand.where(F.col("_open") & (F.col("_rn") == 1))
-    rejected = cand.where(~F.col("_open") | (F.col("_rn") > 1)).select(
-        "answer_id", "store_id", "task_id",
-        F.when(~F.col("_open"), F.lit("unknown_or_not_open_task")).otherwise(F.lit("task_already_answered")).alias("reason"))
+    rejection = lambda df, reason: df.select("answer_id", "store_id", "task_id", F.lit(reason).alias("reason"))
+    open_tasks = tasks.where(F.col("status") == "open").select("store_id", F.col("id").alias("task_id")).distinct()
+    named = answers.where(F.col("task_id").isNotNull() & F.col("store_id").isNotNull())
+    nameless = answers.where(F.col("task_id").isNull() | F.col("store_id").isNull())
+    # One window is the answers to one open task.
+    order = Window.partitionBy("store_id", "task_id").orderBy("answered_at", "answer_id")
+    cand = named.join(open_tasks, ["store_id", "task_id"]).withColumn("_rn", F.row_number().over(order))
+    accepted = cand.where(F.col("_rn") == 1)
+    rejected = rejection(nameless, "unknown_or_not_open_task").unionByName(
+        rejection(named.join(open_tasks, ["store_id", "task_id"], "left_anti"), "unknown_or_not_open_task")).unionByName(
+        rejection(cand.where(F.col("_rn") > 1), "task_already_answered"))
 
     evid = F.concat(F.lit("evd_"), F.sha2(F.concat_ws("|", "store_id", "answer_id"), 256))
     own = ("answer_id", "store_id", "task_id", "actor", "answered_at")

@@ -88,11 +88,12 @@ fx_confirmation AS (
 
 FX["fx_line"] = """
 fx_line AS (
-  SELECT 'store_' || CAST(o.o_custkey % 10 AS VARCHAR) AS store_id,
+  SELECT 'store_' || CAST(o.o_orderkey % 10 AS VARCHAR) AS store_id,
          CASE WHEN l.l_linestatus = 'O' THEN 'purchase' ELSE 'sale' END AS op,
-         o.o_orderkey, o.o_orderdate, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity,
+         o.o_orderkey // 10 AS o_orderkey, o.o_orderdate, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity,
          l.l_extendedprice,
-         CASE WHEN p.p_size % 10 = 0 THEN NULL ELSE p.p_size END AS pack_size, p.p_partkey
+         CASE WHEN (p.p_size + o.o_orderkey % 10) % 10 = 0 THEN NULL ELSE p.p_size END AS pack_size,
+         10 * p.p_partkey + o.o_orderkey % 10 AS p_partkey
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
                   JOIN part p ON p.p_partkey = l.l_partkey)"""
 

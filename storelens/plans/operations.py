@@ -13,7 +13,10 @@ from storelens.operators import profile as pr
 from storelens.operators.health import cycle_health
 from storelens.operators.ingest import LEDGER_KEY, facts_to_events, new_evidence, normalize_evidence, prime_ledger
 from storelens.operators.state import classify_action, open_action_dedupe
+from storelens.operators.proofs import operation_proofs
 from storelens.operators.workflows import evaluate_workflows
+from storelens.plans.snapshot import operational_snapshot
+from storelens.session import cut_lineage
 
 # The action an unhealthy collector raises, and audit action names.
 COLLECTOR_ACTION, COLLECTOR_TARGET, COLLECTOR_AUTHORITY = "authorize_start_camera_collector", "local_camera_collector", "system_change"
@@ -106,14 +109,19 @@ def validation_round(mappings: DataFrame, questions: DataFrame, stores: DataFram
 # --- the operational round -------------------------------------------------------
 
 def operational_round(stores: DataFrame, sources: dict[str, Callable[[], DataFrame]], ledger: DataFrame | None,
-                      primed: DataFrame | None, now: str, cycle_id: str, backfill: bool = False) -> dict[str, DataFrame]:
-    """One round over every source: prime or ingest, evaluate, log.
-
-    ``sources`` give poll items by connector name; one that raises is logged as an
-    error of every store and the others go on.  ``primed`` holds the (store_id,
-    connector) pairs that had a first round.  A pair without one only has its ids
-    remembered, unless ``backfill`` asks for its history.
-    Returns evidence, events, tasks, rejected items, the new ledger and primed pairs, the log and its health.
+                      primed: DataFrame | None, now: str, cycle_id: str, backfill: bool = False,
+                      steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """One round over every source: prime or ingest, evaluate, log, then the ``steps``.
+
+    ``sources`` give poll items by connector name.  Each is read in an action of its
+    own, into the shared checkpoint folder; one that fails, while it is built or while it
+    runs, is logged as an error of every store and the others go on.  ``primed`` holds the
+    (store_id, connector) pairs that had a first round.  A pair without one only has
+    its ids remembered, unless ``backfill`` asks for its history.  ``steps`` (for
+    example snapshots and proofs) take what the round has made and give a table each;
+    one that fails is logged in the same way and leaves its table out.
+    Returns evidence, events, tasks, rejected items, the new ledger and primed pairs, the
+    steps' tables, the log and its health.
     """
     spark = stores.sparkSession
     polls, errors = None, []
@@ -121,13 +129,16 @@ def operational_round(stores: DataFrame, sources: dict[str, Callable[[], DataFra
         try:
             df = poll()
             df = df.select("*", F.lit(name).alias("connector")) if "connector" not in df.columns else df
+            df = cut_lineage(df)
         except Exception as exc:  # noqa: BLE001 - one source must not stop the round; the log keeps its type
             errors.append((name, type(exc).__name__))
             continue
         polls = df if polls is None else polls.unionByName(df, allowMissingColumns=True)
-    log = with_rules(stores.select("store_id"), errors, "component string, error string").select(
-        "store_id", F.lit("error").alias("kind"), "component") if errors else spark.createDataFrame([], "store_id string, kind string, component string")
+    failed = lambda: with_rules(stores.select("store_id"), errors, "component string, error string").select(
+        "store_id", F.lit("error").alias("kind"), "component")
+    log = spark.createDataFrame([], "store_id string, kind string, component string")
     if polls is None:
+        log = failed() if errors else log
         return {"log": log, "health": cycle_health(log.withColumn("cycle_id", F.lit(cycle_id)))}
     pair = ["store_id", "connector"]
     if backfill:
@@ -145,9 +156,26 @@ def operational_round(stores: DataFrame, sources: dict[str, Callable[[], DataFra
     pairs = polls.select(*pair).distinct()
     part = lambda df, kind: df.select("store_id", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("component"))
     log = log.unionByName(part(evidence, "import")).unionByName(part(baseline, "primed")).unionByName(part(events, "event"))
-    return {"evidence": evidence, "events": events, "tasks": tasks, "rejected": rejected, "ledger": after,
-            "primed": pairs if primed is None else primed.select(*pair).union(pairs).distinct(), "log": log,
-            "health": cycle_health(log.withColumn("cycle_id", F.lit(cycle_id)))}
+    made = {"evidence": evidence, "events": events, "tasks": tasks, "rejected": rejected, "ledger": after,
+            "primed": pairs if primed is None else primed.select(*pair).union(pairs).distinct()}
+    for name, step in (steps or {}).items():
+        try:
+            made[name] = cut_lineage(step(made))
+        except Exception as exc:  # noqa: BLE001 - a report must not undo the round; the log keeps its type
+            errors.append((name, type(exc).__name__))
+    log = log.unionByName(failed()) if errors else log
+    return made | {"log": log, "health": cycle_health(log.withColumn("cycle_id", F.lit(cycle_id)))}
+
+
+def report_steps(window_minutes: int = 15) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
+    """Snapshot and proofs of what a round has made, as ``steps`` of ``operational_round``."""
+    def evidence(made: dict[str, DataFrame]) -> DataFrame:
+        return made["evidence"].withColumn("payload", F.lit(None).cast("string")) if "payload" not in made["evidence"].columns else made["evidence"]
+
+    def proofs(made: dict[str, DataFrame]) -> DataFrame:
+        return operation_proofs(made["events"], evidence(made), made["tasks"], window_minutes)
+
+    return {"snapshot": lambda made: operational_snapshot(evidence(made), made["events"], made["tasks"], None, window_minutes), "proofs": proofs}
 
 
 # --- audit -------------------------------------------------------------------------

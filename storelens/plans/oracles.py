@@ -461,7 +461,7 @@ FROM (SELECT count(*) AS r, count({col}) AS nn, count(DISTINCT {col}) AS d FROM
 ORACLES["identity_shape"] = _identity_sql("product.identity", "tpch.part.p_partkey", "p_partkey", "part")
 ORACLES["identity_shape_by_store"] = _identity_sql(
     "product.identity", "tpch.lineitem.l_orderkey", "l_orderkey",
-    "(SELECT l.l_orderkey, 'store_' || CAST(o.o_custkey % 10 AS VARCHAR) AS store_id FROM lineitem l "
+    "(SELECT l.l_orderkey, 'store_' || CAST(o.o_orderkey % 10 AS VARCHAR) AS store_id FROM lineitem l "
     "JOIN orders o ON l.l_orderkey = o.o_orderkey)", group="store_id")
 ORACLES["numeric_shape"] = "\nUNION ALL\n".join([
     _numeric_sql("purchase.quantity", "tpch.lineitem.l_quantity", "l_quantity", "lineitem"),
@@ -479,21 +479,6 @@ PROFILE_SQL = "\nUNION ALL\n".join([
   NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, NULL::DOUBLE, NULL::BOOLEAN""",
 ])
 ORACLES["profile_mappings"] = PROFILE_SQL
-ORACLES["promote_mappings"] = f"""
-WITH reports AS ({PROFILE_SQL}),
-m(canonical_field, source_path, confidence, reasoning, verified) AS (VALUES
-  ('product.identity', 'tpch.part.p_partkey', 0.98::DOUBLE, 'lexical', false),
-  ('purchase.quantity', 'tpch.lineitem.l_quantity', 0.98::DOUBLE, 'lexical', false),
-  ('product.pack_size', 'tpch.part.p_size', 0.66::DOUBLE, 'lexical', false),
-  ('movement.destination', 'tpch.lineitem.l_suppkey', 0.98::DOUBLE, 'lexical', false),
-  ('staff.role', 'tpch.customer.c_mktsegment', 0.86::DOUBLE, 'lexical', false))
-SELECT m.canonical_field, m.source_path,
-       CASE WHEN r.passed THEN greatest(m.confidence, r.confidence) ELSE m.confidence END AS confidence,
-       CASE WHEN r.passed THEN 'Column shape checks passed; only aggregates of the column were computed.' ELSE m.reasoning END AS reasoning,
-       coalesce(r.passed, false) OR m.verified AS verified,
-       CASE WHEN r.passed THEN r.basis END AS verification_basis
-FROM m LEFT JOIN (SELECT * FROM reports WHERE passed) r
-  ON r.canonical_field = m.canonical_field AND r.source_path = m.source_path"""
 ORACLES["staff_role_counts"] = """
 SELECT 'store_' || CAST(c_nationkey AS VARCHAR) AS store_id,
        coalesce(nullif(CASE translate(lower(trim(coalesce(c_mktsegment, ''))), '- ', '__')

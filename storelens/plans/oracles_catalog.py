@@ -403,7 +403,7 @@ plans AS (
   FROM reasoned WHERE reason IS NULL),
 rows AS (
   SELECT p.*, o.o_orderdate, l.l_quantity, l.l_suppkey, pt.p_partkey, pt.p_size,
-         substr(sha256(p.op || '|' || CAST(l.l_orderkey AS VARCHAR) || '|' || CAST(l.l_linenumber AS VARCHAR)), 1, 20) AS hash20
+         substr(sha256(p.op || '|' || CAST(l.l_orderkey - o.o_custkey AS VARCHAR) || '|' || CAST(l.l_linenumber AS VARCHAR)), 1, 20) AS hash20
   FROM plans p JOIN orders o ON p.store_id = 'cat_' || CAST(o.o_custkey AS VARCHAR)
   JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = CASE p.op WHEN 'purchase' THEN 'O' ELSE 'F' END
   JOIN part pt ON pt.p_partkey = l.l_partkey)

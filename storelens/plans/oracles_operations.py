@@ -9,21 +9,23 @@ from storelens.plans.oracles_state import ACTIONS_CTE, ANSWERS_CTE
 _NN, _UNIQ, _POS, _NEG = ratio4_sql("nn", "r"), ratio4_sql("d", "nn"), ratio4_sql("p", "nn"), ratio4_sql("ng", "nn")
 
 
-def _stats(path: str, column: str, value: str, source: str) -> str:
-    return (f"SELECT '{path}' AS table_path, '{column}' AS col, count(*) AS r, count(v) AS nn, count(DISTINCT v) AS d, "
+def _stats(path: str, column: str, value: str, source: str, store: str = "NULL::VARCHAR") -> str:
+    return (f"SELECT store_id, '{path}' AS table_path, '{column}' AS col, count(*) AS r, count(v) AS nn, count(DISTINCT v) AS d, "
             f"CAST(coalesce(sum(CASE WHEN try_cast(v AS DOUBLE) > 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS p, "
             f"CAST(coalesce(sum(CASE WHEN try_cast(v AS DOUBLE) < 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS ng "
-            f"FROM (SELECT CAST({value} AS VARCHAR) AS v FROM {source})")
+            f"FROM (SELECT {store} AS store_id, CAST({value} AS VARCHAR) AS v FROM {source}) GROUP BY store_id")
 
 
-# The shape checks of every column that a mapping of the SQL template can name; headers are per store and hold none.
+_OWN = "'cat_' || CAST(o_custkey AS VARCHAR)"
+_LINES = "lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = "
+# The shape checks of every column that a mapping of the SQL template can name; lines are each store's own, products shared.
 _STATS = "\n  UNION ALL ".join([
     _stats("store_sql.dbo.Products", "ProductId", "p_partkey", "part"),
     _stats("store_sql.dbo.Products", "SKU", "'P' || p_partkey", "part"),
     _stats("store_sql.dbo.Products", "UnitsPerCase", "CASE WHEN p_size % 10 <> 0 THEN p_size END", "part"),
-    _stats("store_sql.dbo.ReceiptLines", "Quantity", "l_quantity", "lineitem WHERE l_linestatus = 'O'"),
-    _stats("store_sql.dbo.ReceiptLines", "DestinationId", "l_suppkey", "lineitem WHERE l_linestatus = 'O'"),
-    _stats("store_sql.dbo.SaleLines", "SoldQty", "l_quantity", "lineitem WHERE l_linestatus = 'F'"),
+    _stats("store_sql.dbo.ReceiptLines", "Quantity", "l_quantity", _LINES + "'O'", _OWN),
+    _stats("store_sql.dbo.ReceiptLines", "DestinationId", "l_suppkey", _LINES + "'O'", _OWN),
+    _stats("store_sql.dbo.SaleLines", "SoldQty", "l_quantity", _LINES + "'F'", _OWN),
 ])
 
 VALIDATION_CTES = "WITH " + CAT_CTES.strip() + f""",
@@ -37,10 +39,13 @@ vtargets AS (
   FROM mappings m JOIN sqlcat c ON c.store_id = m.store_id AND c.path = m.source_path
   JOIN checked k ON k.canonical_field = m.canonical_field WHERE NOT m.verified),
 judged AS (
-  SELECT t.*, s.r, s.nn, s.d, s.p, s.ng, s.table_path IS NOT NULL AS known,
+  SELECT t.*,
          lower(t.type) IN ('bigint','decimal','float','int','money','numeric','real','smallint','smallmoney','tinyint') AS numeric_type,
          {_NN} AS nnr, {_UNIQ} AS ur, {_POS} AS pr, {_NEG} AS ngr
-  FROM vtargets t LEFT JOIN colstats s ON s.table_path = t.table_path AND s.col = t.col),
+  FROM (SELECT t.*, k.table_path IS NOT NULL AS known, CASE WHEN k.table_path IS NOT NULL THEN coalesce(s.r, 0) END AS r,
+               coalesce(s.nn, 0) AS nn, coalesce(s.d, 0) AS d, coalesce(s.p, 0) AS p, coalesce(s.ng, 0) AS ng
+        FROM vtargets t LEFT JOIN (SELECT DISTINCT table_path, col FROM colstats) k ON k.table_path = t.table_path AND k.col = t.col
+        LEFT JOIN colstats s ON s.table_path = t.table_path AND s.col = t.col AND (s.store_id IS NULL OR s.store_id = t.store_id)) t),
 reports AS (
   SELECT *, CASE WHEN NOT known THEN false
     WHEN canonical_field = 'product.identity' THEN r >= 10 AND nnr >= 0.98 AND ur >= 0.98 AND rc >= 0.90 AND mc >= 0.95
@@ -65,6 +70,16 @@ SELECT store_id, canonical_field, source_path, passed, CASE WHEN passed THEN 0.9
        CASE WHEN known AND {_NUMERIC} THEN numeric_type END AS numeric_type
 FROM reports"""
 
+ORACLES["promote_mappings"] = VALIDATION_CTES + """
+SELECT m.store_id, m.canonical_field, m.source_path,
+       CASE WHEN p.passed THEN greatest(CAST(m.confidence AS DOUBLE), 0.99) ELSE CAST(m.confidence AS DOUBLE) END AS confidence,
+       CASE WHEN p.passed THEN 'Column shape checks passed; only aggregates of the column were computed.' ELSE m.reasoning END AS reasoning,
+       coalesce(p.passed, false) OR m.verified AS verified,
+       CASE WHEN NOT p.passed OR p.passed IS NULL THEN NULL WHEN m.canonical_field = 'product.identity' THEN 'aggregate_identity_shape'
+            WHEN m.canonical_field = 'movement.destination' THEN 'aggregate_destination_shape' ELSE 'aggregate_numeric_shape' END AS verification_basis
+FROM mappings m LEFT JOIN (SELECT * FROM reports WHERE passed) p ON p.store_id = m.store_id AND p.canonical_field = m.canonical_field
+ AND p.source_path = m.source_path"""
+
 ORACLES["validation_questions"] = VALIDATION_CTES + """
 SELECT q.store_id, q.key, q.resolved OR p.source_path IS NOT NULL AS resolved, p.source_path AS answer,
        CASE WHEN p.source_path IS NOT NULL THEN 'autonomous_aggregate_validator' END AS resolved_by

@@ -482,8 +482,7 @@ def q_identity_shape(spark, sf_dir):
 def q_identity_shape_by_store(spark, sf_dir):
     from storelens.operators.profile import ShapeTarget, profile_table
 
-    header, line, _ = fx.fx_line_tables(spark, sf_dir)
-    lines = line.join(header, line["l_orderkey"] == header["o_orderkey"])
+    _, lines, _ = fx.fx_line_tables(spark, sf_dir)
     t = ShapeTarget("product.identity", "tpch.lineitem.l_orderkey", "l_orderkey", "identity", 0.96, 0.98)
     return profile_table(lines, [t], by=["store_id"])
 
@@ -514,24 +513,6 @@ def q_profile_mappings(spark, sf_dir):
     return profile_mappings(_tables(spark, sf_dir), [tg["identity"], tg["quantity"], tg["pack"], tg["destination"], ghost])
 
 
-PROMOTE_MAPPINGS = [
-    ("product.identity", "tpch.part.p_partkey", 0.98, "lexical", False),
-    ("purchase.quantity", "tpch.lineitem.l_quantity", 0.98, "lexical", False),
-    ("product.pack_size", "tpch.part.p_size", 0.66, "lexical", False),
-    ("movement.destination", "tpch.lineitem.l_suppkey", 0.98, "lexical", False),
-    ("staff.role", "tpch.customer.c_mktsegment", 0.86, "lexical", False),
-]
-
-
-@register("promote_mappings")
-def q_promote_mappings(spark, sf_dir):
-    from storelens.operators.profile import promote_mappings
-
-    m = spark.createDataFrame(PROMOTE_MAPPINGS, "canonical_field string, source_path string, confidence double, "
-                                                "reasoning string, verified boolean")
-    return promote_mappings(m, q_profile_mappings(spark, sf_dir))
-
-
 @register("staff_role_counts")
 def q_staff_role_counts(spark, sf_dir):
     from pyspark.sql import functions as F
@@ -559,13 +540,12 @@ def q_resolve_fact_plan(spark, sf_dir):
 @register("learned_line_facts")
 def q_learned_line_facts(spark, sf_dir):
     """Catalog to plan to facts: every store's lines by the plan learned from its own catalog."""
-    from storelens.sources.catalog_fixture import fx_sql_tables
-
     from storelens.session import cut_lineage
+    from storelens.sources.catalog_fixture import SHARED_TABLES, fx_sql_tables
 
     # The learned plans are stored state: resolved once, then read per schema.
     plans = cut_lineage(q_resolve_fact_plan(spark, sf_dir))
-    return facts_ops.extract_learned_facts(plans, fx_sql_tables(spark, sf_dir))
+    return facts_ops.extract_learned_facts(plans, fx_sql_tables(spark, sf_dir), shared=SHARED_TABLES)
 
 
 @register("carry_forward_mappings")

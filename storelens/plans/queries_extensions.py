@@ -61,5 +61,6 @@ def q_task_sink(spark, sf_dir):
     _, tasks = evaluate_workflows(fx.fx_facts(spark, sf_dir))
     path = os.path.join(ensure_checkpoint_dir(spark), "task_sink", uuid.uuid4().hex)
     tasks = tasks.drop("answer")
-    ext.deliver_tasks(tasks, path)
-    return spark.read.schema(tasks.schema).parquet(path)
+    for _ in range(2):  # the second is a retry of the first
+        ext.deliver_tasks(tasks, path)
+    return spark.read.schema(tasks.schema).parquet(path).select(*tasks.columns)

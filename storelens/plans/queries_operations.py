@@ -31,6 +31,13 @@ def q_validate_mappings(spark, sf_dir):
     return _validation(spark, sf_dir)["reports"]
 
 
+@register("promote_mappings")
+def q_promote_mappings(spark, sf_dir):
+    """The proposed mappings of every store after the round that checks them."""
+    return _validation(spark, sf_dir)["mappings"].select(
+        "store_id", "canonical_field", "source_path", "confidence", "reasoning", "verified", "verification_basis")
+
+
 @register("validation_questions")
 def q_validation_questions(spark, sf_dir):
     return _validation(spark, sf_dir)["questions"].select("store_id", "key", "resolved", "answer", "resolved_by")
@@ -43,7 +50,10 @@ def q_validation_readiness(spark, sf_dir):
 
 def _round(spark, sf_dir):
     def broken():
-        raise ConnectionError("the source is down")
+        # Fails in its tasks, when the rows are read.
+        return spark.range(10).select(
+            F.concat(F.lit("store_"), F.col("id")).alias("store_id"), F.lit(BROKEN_CONNECTOR).alias("connector"),
+            F.when(F.col("id") >= 0, F.raise_error("the source is down")).cast("string").alias("external_id"))
 
     stores = spark.range(10).select(F.concat(F.lit("store_"), F.col("id").cast("string")).alias("store_id"))
     pair = lambda n, c: stores.where(F.substring("store_id", 7, 1).cast("int") < n).select("store_id", F.lit(c).alias("connector"))

@@ -82,7 +82,7 @@ def proof_state_lines(state_counts: DataFrame) -> DataFrame:
 
 def write_artifacts(df: DataFrame, path: str, fmt: str = "json", max_records_per_file: int = 1_000_000,
                     num_partitions: int | None = None) -> None:
-    """Persist per-store artifacts, one folder per store.
+    """Persist per-store artifacts, one folder per store; stores that are not in ``df`` keep theirs.
 
     Range-partitioning on store_id (then the next two columns) keeps each store in few tasks
     (few files) while a hot store is still split over several tasks; files are
@@ -90,7 +90,7 @@ def write_artifacts(df: DataFrame, path: str, fmt: str = "json", max_records_per
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (df.repartitionByRange(n, "store_id", *[c for c in df.columns if c != "store_id"][:2])
-     .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("store_id").format(fmt).save(path))
 
 

@@ -85,11 +85,10 @@ def operational_snapshot(
     ot_txt = ev_ops.counts_text(ev_ops.open_tasks_by_role(tasks), "role", "open_tasks_by_role")
 
     seen = ev_ops.source_freshness(evidence)
-    # One list is one store's sources.
-    last = seen.groupBy("store_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("source", "count", "kinds", "latest_at"))),
+    last = ev_ops.most_counted(seen, "source").groupBy("store_id").agg(ev_ops.listed(
+        F.struct("source", "count", "kinds", "latest_at"),
         lambda x: F.concat(x["source"], F.lit("="), x["count"].cast("string"), F.lit(" ["), x["kinds"], F.lit("] "),
-                           F.coalesce(x["latest_at"], F.lit("never")))), ", ").alias("last_seen_by_source"))
+                           F.coalesce(x["latest_at"], F.lit("never")))).alias("last_seen_by_source"))
 
     snap = stores
     for part in (cov, ev_txt, et_txt, es_txt, ot_txt, last):

@@ -191,27 +191,32 @@ def fx_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.join(F.broadcast(cs), "template").drop("template")
 
 
+#: Tables of ``fx_sql_tables`` that serve all stores.
+SHARED_TABLES = frozenset({"store_sql.dbo.Products"})
+
+
 def fx_sql_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The tables behind the SQL Server template, projected from the driver tables by table path.
 
-    Headers carry their store; lines belong to a store through their header, and the
-    product table is shared by the fleet.
+    Headers and lines carry their store, which numbers its headers by itself: many stores
+    have a header of the same number.  The product table is shared by the fleet (``SHARED_TABLES``).
     """
     o = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part")
+    li = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     store = F.concat(F.lit("cat_"), F.col("o_custkey").cast("string")).alias("store_id")
+    number = lambda key: F.col(key) - F.col("o_custkey")
     line = lambda status: li.where(F.col("l_linestatus") == status)
     return {
         "store_sql.dbo.Products": p.select(
             F.col("p_partkey").alias("ProductId"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("SKU"),
             F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("UnitsPerCase")),
-        "store_sql.dbo.Receipts": o.select(store, F.col("o_orderkey").alias("ReceiptId"), F.col("o_orderdate").alias("ReceiptDate")),
+        "store_sql.dbo.Receipts": o.select(store, number("o_orderkey").alias("ReceiptId"), F.col("o_orderdate").alias("ReceiptDate")),
         "store_sql.dbo.ReceiptLines": line("O").select(
-            F.col("l_linenumber").alias("LineId"), F.col("l_orderkey").alias("ReceiptId"), F.col("l_partkey").alias("ProductId"),
+            store, F.col("l_linenumber").alias("LineId"), number("l_orderkey").alias("ReceiptId"), F.col("l_partkey").alias("ProductId"),
             F.col("l_quantity").alias("Quantity"), F.col("l_suppkey").alias("DestinationId")),
-        "store_sql.dbo.SaleHeader": o.select(store, F.col("o_orderkey").alias("SaleId"), F.col("o_orderdate").alias("SaleDate")),
+        "store_sql.dbo.SaleHeader": o.select(store, number("o_orderkey").alias("SaleId"), F.col("o_orderdate").alias("SaleDate")),
         "store_sql.dbo.SaleLines": line("F").select(
-            F.col("l_linenumber").alias("SaleDtlId"), F.col("l_orderkey").alias("SaleId"), F.col("l_partkey").alias("ProductId"),
+            store, F.col("l_linenumber").alias("SaleDtlId"), number("l_orderkey").alias("SaleId"), F.col("l_partkey").alias("ProductId"),
             F.col("l_quantity").alias("SoldQty")),
     }

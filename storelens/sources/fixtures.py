@@ -23,6 +23,7 @@ EVENT_TYPES = (
     "sale", "purchase", "return", "stock_count",
 )
 TASK_ROLES = ("manager", "data_entry_operator", "godown_staff", "shelfer", "receiver", "deo")
+LINE_STORES = 10
 ANSWER_VALUES = ("yes", "no", "maybe", " True ", "Mismatch")
 
 
@@ -177,14 +178,19 @@ def fx_all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_cached
 def fx_line_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, line, product) inputs of the line-fact extraction."""
-    header = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderdate",
-        F.concat(F.lit("store_"), (F.col("o_custkey") % 10).cast("string")).alias("store_id"),
-    )
-    line = table(spark, sf_dir, "lineitem")
-    product = table(spark, sf_dir, "part").select(
-        "p_partkey",
-        F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("int")).otherwise(F.col("p_size")).alias("pack_size"),
-    )
+    """(header, line, product) inputs of the line-fact extraction.
+
+    ``LINE_STORES`` stores, each with a numbering of its own: header 7 and product 10
+    are in every store, and are another transaction and another product in each.
+    """
+    n = F.lit(LINE_STORES)
+    store = lambda k: F.concat(F.lit("store_"), k.cast("string")).alias("store_id")
+    own = lambda key: [store(F.col(key) % n), F.floor(F.col(key) / n).cast("bigint").alias("header_no")]
+    header = table(spark, sf_dir, "orders").select(*own("o_orderkey"), "o_orderdate")
+    line = table(spark, sf_dir, "lineitem").select(*own("l_orderkey"), "*")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    size = F.col("p_size")
+    product = parts.select(
+        store(F.col("k")), "p_partkey", (F.col("p_partkey") * n + F.col("k")).alias("product_no"),
+        F.when((size + F.col("k")) % 10 == 0, F.lit(None).cast("int")).otherwise(size).alias("pack_size"))
     return header, line, product

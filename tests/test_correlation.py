@@ -93,3 +93,20 @@ def test_hot_instant_is_reduced_before_windows(spark):
     got = m.groupBy("observation_id").count().collect()
     assert len(got) == 1 and got[0]["observation_id"] == "o0" and got[0]["count"] == 300
     assert m.where(F.col("time_difference_us") != 1_000_000).count() == 0
+
+
+def test_dense_bucket_takes_linear_time(spark):
+    """All instants lie in one fine bucket; with a frame evaluated anew per row, 40,000 would cost 16 times 10,000."""
+    import time
+
+    def run(n):
+        at = spark.range(n).select(F.lit("s").alias("k"), (F.col("id") * 2).alias("t"), F.col("id").cast("string").alias("id"))
+        right = at.select("k", (F.col("t") + 1).alias("t"), F.col("id").alias("rid"))
+        began = time.perf_counter()
+        m = nearest_within(at, right, key="k", left_us="t", right_id="rid", right_us="t", window_us=1024 * 200_000)
+        assert m.where("match_diff_us = 1").count() == n
+        return time.perf_counter() - began
+
+    run(1000)
+    small, large = min(run(10_000) for _ in range(2)), run(40_000)
+    assert large < 8 * small

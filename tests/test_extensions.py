@@ -29,6 +29,52 @@ def test_task_sink_partitions_by_role(spark):
         assert {"role=manager", "role=shelfer"} <= names
 
 
+def test_a_retried_delivery_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "tasks")
+    tasks = lambda *ids: spark.createDataFrame([(i, "manager" if i < "t3" else "shelfer") for i in ids], "id string, role string")
+    ext.deliver_tasks(tasks("t1", "t2", "t3"), path)
+    ext.deliver_tasks(tasks("t3", "t1", "t2"), path)
+    ext.deliver_tasks(tasks("t4"), path)
+    ext.deliver_tasks(tasks(), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["t1", "t2", "t3", "t4"]
+    ext.deliver_tasks(tasks("t5"), path, delivery="batch-7")
+    ext.deliver_tasks(tasks("t5"), path, delivery="batch-7")
+    assert spark.read.parquet(path).where("role = 'shelfer'").count() == 3
+
+
+def test_artifacts_of_other_stores_stay(spark, tmp_path):
+    from storelens.plans.reports import write_artifacts
+
+    path = str(tmp_path / "artifacts")
+    rows = lambda *r: spark.createDataFrame(r, "store_id string, event_id string, text string")
+    write_artifacts(rows(("s1", "a", "old"), ("s1", "b", "old"), ("s2", "a", "old")), path)
+    write_artifacts(rows(("s1", "a", "new")), path)
+    assert sorted((r["store_id"], r["text"]) for r in spark.read.json(path).collect()) == [("s1", "new"), ("s2", "old")]
+
+
+def test_a_round_goes_on_without_a_source_that_fails_while_it_runs(spark):
+    from storelens.plans import operations as ops
+    from storelens.plans.queries import _items
+
+    items = _items(spark, "/root/testdata/sf0.001").limit(50)
+    stores = items.select("store_id").distinct()
+    broken = lambda: items.withColumn("external_id", F.raise_error(F.lit("disk gone")).cast("string"))
+
+    def absent():
+        raise FileNotFoundError("no folder")
+
+    def bad_step(made):
+        return made["tasks"].select(F.raise_error(F.lit("no report")).alias("x"))
+
+    got = ops.operational_round(stores, {"broken": broken, "sqlserver_operational_facts": lambda: items, "absent": absent}, None, None,
+                                "2026-01-01T00:00:00", "r1", backfill=True, steps=ops.report_steps() | {"bad": bad_step})
+    assert got["evidence"].count() == 50 and "bad" not in got
+    assert {r["errors"] for r in got["health"].collect()} == {"absent=1, bad=1, broken=1"}
+    assert got["snapshot"].count() == stores.count() and got["proofs"].count() == got["events"].count()
+    none = ops.operational_round(stores, {"absent": absent}, None, None, "2026-01-01T00:00:00", "r2")
+    assert {(r["error_count"], r["healthy"]) for r in none["health"].collect()} == {(1, False)}
+
+
 def test_new_event_type_has_its_own_summary(spark):
     from pyspark.sql import functions as F
 
@@ -81,3 +127,28 @@ def test_scans_and_pairs_have_no_ceiling(spark):
     cands = catalog.select("store_id", F.concat(F.lit("role"), F.col("table_pos").cast("string")).alias("role"),
                            F.concat_ws(".", "source", "table").alias("source_path"), F.lit(1).alias("rank"))
     assert infer_relationships(cands, catalog).count() == n * (n - 1) // 2
+
+
+def test_answers_without_a_task_are_rejected_before_any_order(spark):
+    from storelens.operators.state import answer_tasks
+
+    tasks = spark.createDataFrame([("t1", "s", "open"), ("t2", "s", "answered")], "id string, store_id string, status string")
+    answers = spark.createDataFrame(
+        [("a1", "s", "t1", "m", "2026-01-02", "yes"), ("a0", "s", "t1", "m", "2026-01-03", "no"), ("a2", "s", None, "m", "2026-01-01", "yes"),
+         ("a3", "s", "t2", "m", "2026-01-01", "yes"), ("a4", None, "t1", "m", "2026-01-01", "yes"), ("a5", "s", "t9", "m", "2026-01-01", "yes")],
+        "answer_id string, store_id string, task_id string, actor string, answered_at string, confirmed string")
+    after, evidence, rejected = answer_tasks(tasks, answers)
+    assert {r["id"]: r["status"] for r in after.collect()} == {"t1": "answered", "t2": "answered"} and evidence.count() == 1
+    assert sorted((r["answer_id"], r["reason"]) for r in rejected.collect()) == [
+        ("a0", "task_already_answered"), *[(a, "unknown_or_not_open_task") for a in ("a2", "a3", "a4", "a5")]]
+
+
+def test_lists_of_free_text_name_a_bounded_number_of_values(spark):
+    from storelens.operators import evidence as ev
+
+    counts = spark.range(200).select(F.lit("s").alias("store_id"), F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("kind"),
+                                     (F.col("id") + 1).alias("count"))
+    text = ev.counts_text(counts, "kind", "t").first()["t"].split(", ")
+    assert len(text) == ev.VALUES_SHOWN + 1 and text[0] == "v150=151" and text[-1] == f"(150 others)={sum(range(1, 151))}"
+    few = ev.counts_text(counts.where("count <= 3"), "kind", "t").first()["t"]
+    assert few == "v000=1, v001=2, v002=3"

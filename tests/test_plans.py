@@ -38,6 +38,40 @@ def test_line_facts_limit_is_taken_as_given(spark):
             facts.extract_line_facts(*lines, limit=limit)
 
 
+def test_stores_with_equal_ids_keep_their_own_facts(spark):
+    from pyspark.sql import functions as F
+
+    from storelens.operators import facts
+
+    header = spark.createDataFrame([("A", 1, "2026-01-01 08:00:00"), ("B", 1, "2026-01-02 08:00:00")], "store string, id int, at string").withColumn(
+        "at", F.to_timestamp("at"))
+    line = spark.createDataFrame([("A", 1, 1, 10, 5.0), ("B", 1, 1, 10, 7.0)], "shop string, header int, no int, product int, qty double")
+    product = spark.createDataFrame([("A", 10, "tea"), ("B", 10, "rice")], "owner string, id int, name string")
+    plan = dict(header_id="id", header_store="store", date_col="at", line_header="header", line_id="no", line_product="product", quantity_col="qty",
+                product_key="id", product_identity="name", operation=F.lit("sale"))
+    got = facts.extract_line_facts(header, line, product, facts.FactPlan(**plan, line_store="shop", product_store="owner")).collect()
+    assert sorted((r["store_id"], r["product_id"], r["quantity"], r["occurred_at"][:10]) for r in got) == [
+        ("A", "tea", 5.0, "2026-01-01"), ("B", "rice", 7.0, "2026-01-02")]
+    one = product.where("owner = 'A'")
+    shared = facts.extract_line_facts(header, line, one, facts.FactPlan(**plan, line_store="shop", product_store=None)).collect()
+    assert sorted((r["store_id"], r["product_id"], r["quantity"]) for r in shared) == [("A", "tea", 5.0), ("B", "tea", 7.0)]
+    with pytest.raises(TypeError):
+        facts.FactPlan(**plan)
+
+
+def test_learned_tables_need_a_store(spark):
+    from storelens.operators import facts
+    from storelens.plans.queries import q_resolve_fact_plan
+    from storelens.sources.catalog_fixture import SHARED_TABLES, fx_sql_tables
+
+    plans, tables = q_resolve_fact_plan(spark, SF_SMALL), fx_sql_tables(spark, SF_SMALL)
+    with pytest.raises(ValueError, match="Products"):
+        facts.extract_learned_facts(plans, tables)
+    headers = tables["store_sql.dbo.Receipts"]
+    assert headers.select("ReceiptId").distinct().count() < headers.count() == headers.select("store_id", "ReceiptId").distinct().count()
+    assert facts.extract_learned_facts(plans, tables, shared=SHARED_TABLES).count() > 0
+
+
 def test_scan_prunes_columns(spark):
     df = entry.queries()["extract_line_facts"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
