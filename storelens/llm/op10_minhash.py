@@ -55,7 +55,7 @@ MIN_EQUAL_BITS = int(BITS * (1 + PERCENT / 100) / 2 - 5.7 * 7.5)
 #: Ids up to this many are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Pairs of one node that are compared in one go.
-CHUNK_PAIRS = 256
+CHUNK_PAIRS = 32
 #: Classes with more than one in this many rows get their component by a broadcast; there are fewer than this many.
 HOT_CLASSES = 4096
 #: Words a task remembers the hashes of.
