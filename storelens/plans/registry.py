@@ -9,6 +9,7 @@ from storelens.plans import (  # noqa: F401
     oracles_reports,
     oracles_sources,
     oracles_state,
+    oracles_streaming,
     queries_docs,
     queries_extensions,
     queries_functions,

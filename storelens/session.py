@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application.
+
+    Spark serves the zip from the driver, so tasks that run Python of this package can
+    import it wherever they run and whatever their working folder is.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="storelens-py-")) / "storelens.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
+#: State stores on disk, changes logged per batch: a lookup's cost does not follow the state's size.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB; a stream's first start decides for its checkpoint."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)

@@ -59,19 +59,6 @@ def test_operational_stream_is_idempotent(spark):
         assert tasks.where("event_type = 'sale'").count() == 2  # mapping unverified + incomplete line
 
 
-def test_stream_opens_only_the_ledger_folders_its_keys_hash_to(spark, tmp_path):
-    from storelens.streaming import ingest as st
-
-    keys = spark.range(3000).select(F.lit("s").alias("store_id"), F.lit("c").alias("connector"), F.col("id").cast("string").alias("external_id"))
-    path = str(tmp_path / "ledger")
-    st._write_batch(keys.withColumn("bucket", st.ledger_bucket()), path, 0, "bucket")
-    batch = spark.createDataFrame([("s", "c", "17"), ("s", "c", "new")], "store_id string, connector string, external_id string")
-    touched = st.touched_ledger(spark, path, batch, 1)
-    folders = {f.split("bucket=")[1].split("/")[0] for f in touched.inputFiles()}
-    assert 1 <= len(folders) <= 2 and touched.where("external_id = '17'").count() == 1
-    assert st.touched_ledger(spark, path, batch, 0).count() == 0  # a retry of batch 0 does not see its own rows
-
-
 def test_stream_fills_blank_times_per_batch_and_keeps_them(spark, tmp_path):
     from storelens.streaming.ingest import operational_stream
 
@@ -92,7 +79,7 @@ def test_stream_correlation_equals_batch_for_any_order(spark, tmp_path):
     import random
 
     from storelens.operators.correlate import nearest_observation
-    from storelens.streaming import ingest as st
+    from storelens.streaming import correlation as st
 
     rng = random.Random(11)
     stamp = lambda m: f"2026-01-{1 + m // 1440:02d}T{m % 1440 // 60:02d}:{m % 60:02d}:00"
@@ -113,10 +100,10 @@ def test_stream_correlation_equals_batch_for_any_order(spark, tmp_path):
 
 
 def test_stream_batch_opens_only_the_days_around_its_rows(spark, tmp_path):
-    from storelens.streaming import ingest as st
+    from storelens.streaming import tables as st
 
     history = str(tmp_path / "history")
     days = spark.range(40).select(F.col("id").alias("day"), F.col("id").cast("string").alias("id"))
-    st._write_batch(days, history, 0, "day")
-    near = st._folders(spark, history, "day", [9, 10, 11, 99])
+    st.write_batch(days, history, 0, "day")
+    near = st.folders(spark, history, "day", [9, 10, 11, 99])
     assert sorted(r["day"] for r in near.collect()) == [9, 10, 11] and len(near.inputFiles()) == 3
