@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalar import clamp_confidence
+from storelens.operators.payload import as_variant, with_flat_facts
 from storelens.schemas import EVIDENCE_KINDS
 
 LEDGER_KEY = ("store_id", "connector", "external_id")
@@ -57,7 +58,12 @@ def normalize_evidence(items: DataFrame, now: str | Column) -> tuple[DataFrame,
     kind defaults to observation and must be a known kind; confidence defaults
     to 0.5 and is clamped to 0..1; a blank time becomes ``now``; the evidence
     id is derived from (store, connector, external_id) so re-runs are idempotent.
+    A ``payload`` of any shape is kept as the VARIANT ``extra``, and fills the
+    typed fact columns that the item doesn't carry itself.
     """
+    has_payload = "payload" in items.columns
+    if has_payload:
+        items = with_flat_facts(items)
     now_col = now if isinstance(now, Column) else F.lit(now)
     kind = F.coalesce(F.nullif(F.trim(F.col("kind")), F.lit("")), F.lit("observation"))
     occurred = F.coalesce(F.nullif(F.trim(F.col("occurred_at").cast("string")), F.lit("")), now_col)
@@ -75,7 +81,7 @@ def normalize_evidence(items: DataFrame, now: str | Column) -> tuple[DataFrame,
         clamp_confidence(F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))).alias("confidence"),
         occurred.alias("occurred_at"),
         "external_id",
-        *payload_cols,
+        *[as_variant(F.col("payload")).alias("extra") if c == "payload" else F.col(c) for c in payload_cols],
     )
     return evidence, rejected
 
@@ -101,6 +107,7 @@ def facts_to_events(evidence: DataFrame) -> DataFrame:
         "occurred_at",
         F.array(F.col("id")).alias("evidence_ids"),
         facts.alias("facts"),
+        *(["extra"] if "extra" in evidence.columns else []),
     )
 
 

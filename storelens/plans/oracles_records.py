@@ -31,3 +31,8 @@ WHERE rank <= 3"""
 ORACLES["dedupe_ordered"] = """
 SELECT min(p_partkey) AS position, arg_min(p_type, p_partkey) AS value
 FROM part WHERE p_type IS NOT NULL AND p_type <> '' GROUP BY lower(p_type)"""
+
+# However the tables were kept, they hold what one pass over all versions or actions gives.
+ORACLES["audit_log_append"] = ORACLES["audit_log"]
+ORACLES["current_records"] = ORACLES["latest_records"]
+ORACLES["current_settings"] = ORACLES["latest_settings"]

@@ -71,3 +71,20 @@ HAVING bool_or(contains(normalized, 'camera') OR contains(normalized, 'channel')
 _KEEP = "store_id, external_id, occurred_at, kind, confidence"
 ORACLES["merge_ordered"] = (f"SELECT {_KEEP} FROM ({CAMERA_SQL}) UNION ALL SELECT {_KEEP} FROM ({LABELS_SQL}) "
                             f"UNION ALL SELECT {_KEEP} FROM ({FACTS_SQL})")
+
+
+def _drops(where: str) -> str:
+    return f"""SELECT 'store ' || CAST(user_id % 4 AS VARCHAR) AS store_id, 'feed_' || event_type AS connector, dayofyear(ts) // 7 AS seq,
+  CAST(event_id AS VARCHAR) AS external_id, strftime(ts, {_ISO}) AS occurred_at,
+  CASE WHEN event_type IN ('view', 'click') THEN 'observation' ELSE 'system_record' END AS kind, value / 100 AS confidence,
+  CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, event_id AS lot_no
+FROM events {where}"""
+
+
+ORACLES["collector_source"] = _drops("WHERE user_id % 4 IN (1, 3) AND event_type IN ('view', 'click')")
+ORACLES["collector_source_stream"] = _drops("")
+ORACLES["payload_facts"] = f"""
+SELECT 'evt_' || sha256('evd_' || sha256('store ' || CAST(user_id % 4 AS VARCHAR) || '|feed_' || event_type || '|' || CAST(event_id AS VARCHAR))) AS id,
+       'store ' || CAST(user_id % 4 AS VARCHAR) AS store_id, 'sale' AS event_type, strftime(ts, {_ISO}) AS occurred_at,
+       'SKU-' || CAST(user_id AS VARCHAR) AS product_id, value AS quantity, event_id AS lot_no, 'k,lot' AS unknown_keys
+FROM events"""
