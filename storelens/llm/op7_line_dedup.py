@@ -142,7 +142,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     pack = F.pandas_udf(_bitmap, "struct<n_dropped:long,keep:binary>")
     body = text_or_empty(text)
-    lines = map_arrow(docs.select(body.alias("text"), id_or_last(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash")), _emit_lines, _LINES)
+    # Written first: the range bounds are drawn from the table, not from a second pass over the texts.
+    lines = written(map_arrow(docs.select(body.alias("text"), id_or_last(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash")), _emit_lines,
+                              _LINES), "lines")
     ordered = lines.repartitionByRange(partitions(spark), *_KEYS).sortWithinPartitions(*_KEYS)
     tagged = written(map_arrow(ordered, _stream_runs, _TAGGED), "line-runs")
     ends = tagged.where(F.col("kind") == SUMMARY).select(
