@@ -233,20 +233,30 @@ def _strings(values: list[str]) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
-def _best_window(chain: Column, start: Column, t: Column, threshold: float) -> Column:
-    """The best window from a bigram on for a template, or null below the threshold."""
-    part = F.slice(chain, start + 1, t["most"])
-    first = F.filter(F.transform(part, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: F.array_position(part, p["x"]) == p["i"] + 1)
-    marked = F.transform(first, lambda p: F.struct(p["i"].alias("i"), F.array_contains(t["grams"], p["x"]).cast("int").alias("hit")))
+def _before(chain: Column) -> Column:
+    """For every bigram of a text, where the same one stands next before it, -1 if nowhere; found by sorting."""
+    sorted_ = F.array_sort(F.transform(chain, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    shifted = lambda s: F.concat(F.array(F.struct(F.lit(None).cast("string").alias("x"), F.lit(-1).alias("i"))), F.slice(s, 1, F.size(s) - 1))
+    paired = _let(sorted_, lambda s: F.zip_with(s, shifted(s), lambda a, b: F.struct(
+        a["i"].alias("i"), F.when(a["x"] == b["x"], b["i"]).otherwise(F.lit(-1)).alias("before"))))
+    return F.transform(F.array_sort(paired), lambda p: p["before"])
 
+
+def _best_window(marked: Column, start: Column, t: Column, threshold: float) -> Column:
+    """The best window from a bigram on for a template, or null below the threshold.
+
+    ``marked`` has, for every bigram of the text, where it stands before and whether the
+    template has it: a bigram is counted where it is the window's first.
+    """
     def longer(a: Column, p: Column) -> Column:
-        hits, size = a["hits"] + p["hit"], a["size"] + 1
+        new = (p["before"] < start).cast("int")
+        hits, size, end = a["hits"] + new * p["hit"], a["size"] + new, a["end"] + 1
         dice = 2.0 * hits / (size + t["n"])
-        return F.struct(hits.alias("hits"), size.alias("size"), F.greatest(a["dice"], dice).alias("dice"),
-                        F.when(dice > a["dice"], p["i"] + 1).otherwise(a["len"]).alias("len"))
+        return F.struct(hits.alias("hits"), size.alias("size"), end.alias("end"), F.greatest(a["dice"], dice).alias("dice"),
+                        F.when(dice > a["dice"], end).otherwise(a["len"]).alias("len"))
 
-    zero = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("size"), F.lit(0.0).alias("dice"), F.lit(0).alias("len"))
-    return _let(F.aggregate(marked, zero, longer), lambda b: F.when(b["dice"] >= threshold, F.struct(
+    zero = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("size"), F.lit(0).alias("end"), F.lit(0.0).alias("dice"), F.lit(0).alias("len"))
+    return _let(F.aggregate(F.slice(marked, start + 1, t["most"]), zero, longer), lambda b: F.when(b["dice"] >= threshold, F.struct(
         (-b["dice"]).alias("cost"), (-t["n"]).alias("small"), t["order"].alias("order"), start.alias("start"),
         b["len"].alias("len"), t["license"].alias("license"))))
 
@@ -263,10 +273,15 @@ def _windows(chain: Column, sets: list[tuple[str, list[str]]], spans: list[int],
                              F.lit(math.floor(high * spans[i] + 1e-9)).alias("most"), _strings(b).alias("grams")))
     every = _strings(list(dict.fromkeys(x for _, b in sets for x in b)))
 
-    def of_template(t: Column) -> Column:
-        hits = F.filter(F.transform(chain, lambda x, i: F.when(F.array_contains(t["grams"], x), i)), lambda i: i.isNotNull())
-        dense = _let(hits, lambda h: F.filter(h, lambda p, k: F.coalesce(F.get(h, k + t["need"] - 1) - p < t["most"], F.lit(False))))
-        return F.filter(F.transform(dense, lambda p: _best_window(chain, p, t, threshold)), lambda w: w.isNotNull())
+    def of_template(t: Column, before: Column) -> Column:
+        mark = F.zip_with(chain, before, lambda x, b: F.struct(b.alias("before"), F.array_contains(t["grams"], x).cast("int").alias("hit")))
+
+        def found(marked: Column) -> Column:
+            hits = F.filter(F.transform(marked, lambda p, i: F.when(p["hit"] == 1, i)), lambda i: i.isNotNull())
+            dense = _let(hits, lambda h: F.filter(h, lambda p, k: F.coalesce(F.get(h, k + t["need"] - 1) - p < t["most"], F.lit(False))))
+            return F.filter(F.transform(dense, lambda p: _best_window(marked, p, t, threshold)), lambda w: w.isNotNull())
+
+        return _let(mark, found)
 
     def take(taken: Column, w: Column) -> Column:
         # A window of n bigrams has n + 1 words.
@@ -275,7 +290,7 @@ def _windows(chain: Column, sets: list[tuple[str, list[str]]], spans: list[int],
 
     present = F.array_intersect(chain, every)
     near = _let(present, lambda p: F.filter(F.array(*rows), lambda t: F.size(F.array_intersect(t["grams"], p)) >= t["need"]))
-    ranked = F.array_sort(F.flatten(F.transform(near, of_template)))
+    ranked = _let(_before(chain), lambda b: F.array_sort(F.flatten(F.transform(near, lambda t: of_template(t, b)))))
     taken = _let(ranked, lambda r: F.aggregate(r, F.slice(r, 1, 0), take))
     return F.when(F.arrays_overlap(chain, _strings(list(dict.fromkeys(rare)))), taken)
 
