@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import math
 import random
+import re
 import textwrap
 
 import duckdb
@@ -137,17 +139,15 @@ LICENSES = ["Some text\nReleased under the MIT License.\nmore", "LICENSED!! UNDE
             "Released under the MIT License.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.", "x " * 100_000]
 
 
-def _dice(text):
-    import re
-
+def _dice(text, templates=op5_licenses.TEMPLATES, threshold=op5_licenses.THRESHOLD):
     grams = lambda t: set(zip(*[[w for w in re.split(r"[\W_]+", t.lower()) if w][k:] for k in (0, 1)]))
     lines = (text or "").split("\n")
     out = []
     for unit, line in [*enumerate(lines), *([(-1, text)] if len(lines) > 1 else [])]:
         a = grams(line)
-        scores = [(2 * len(a & grams(t)) / (len(a) + len(grams(t))), name) for name, t in op5_licenses.TEMPLATES.items()]
+        scores = [(2 * len(a & grams(t)) / (len(a) + len(grams(t))), name) for name, t in templates.items()]
         best = max(s for s, _ in scores)
-        if best >= op5_licenses.THRESHOLD:
+        if best >= threshold:
             out.append((unit, next(n for s, n in scores if s == best), best))
     return out
 
@@ -185,6 +185,65 @@ def test_license_windows(spark):
     assert found[6:] == [[(41, "MIT", 1.0)], []]
 
 
+def _windows(text, templates, threshold):
+    """The windows of the docstring's wording, by trying every start and length; (unit, license, dice) by start."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    lines = [cut(line) for line in (text or "").split("\n")]
+    words = [w for line in lines for w in line]
+    line_of = [i for i, line in enumerate(lines) for _ in line]
+    chain = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    found = []
+    for order, (name, body) in enumerate(templates.items()):
+        spoken = cut(body)
+        grams = {f"{a} {b}" for a, b in zip(spoken, spoken[1:])}
+        most = math.floor((2 - threshold) / threshold * (len(spoken) - 1) + 1e-9)
+        for start in range(len(chain)):
+            if chain[start] not in grams:
+                continue
+            best = (0.0, 0)
+            for n in range(1, min(most, len(chain) - start) + 1):
+                own = set(chain[start:start + n])
+                dice = 2 * len(own & grams) / (len(own) + len(grams))
+                best = max(best, (dice, n), key=lambda b: b[0])
+            if best[0] >= threshold:
+                found.append((-best[0], -len(grams), order, start, best[1], name))
+    taken = []
+    for w in sorted(found):
+        if all(w[3] + w[4] < v[3] or v[3] + v[4] < w[3] for v in taken):
+            taken.append(w)
+    units = [(u, n, d) for u, n, d in _dice(text, templates, threshold)]
+    own = [(w[3], line_of[w[3]], w[5], -w[0]) for w in taken if not any(
+        n == w[5] and (u == -1 or line_of[w[3]] <= u <= line_of[w[3] + w[4]]) for u, n, _ in units)]
+    return units + [w[1:] for w in sorted(own)]
+
+
+def test_license_windows_over_random_texts(spark):
+    rng = random.Random(5)
+    templates = {"A": "one two three four five six", "B": "two three four nine ten", "C": "five six seven eight one two three four", "D": "ten one two"}
+    pool = "one two three four five six seven eight nine ten other".split()
+    texts = []
+    for _ in range(60):
+        words = []
+        while len(words) < rng.randrange(5, 70):
+            words += rng.choice(list(templates.values())).split()[rng.randrange(3):] if rng.random() < 0.5 else rng.choices(pool, k=rng.randrange(1, 6))
+        texts.append("".join(w + rng.choice([" ", " ", " ", ", ", "\n", "\n\n"]) for w in words))
+    got = op5_licenses.scan_licenses(h.documents(spark, texts), templates).orderBy("doc_id").collect()
+    for row, text in zip(got, texts):
+        assert [(m["unit"], m["license"], round(m["dice"], 9)) for m in row["matches"]] == [
+            (u, n, round(d, 9)) for u, n, d in _windows(text, templates, op5_licenses.THRESHOLD)], text
+
+
+def test_a_text_full_of_licence_words_stays_cheap(spark):
+    import time
+
+    body = "\n".join(textwrap.fill(op5_licenses.TEMPLATES["MIT-text"], 70) + f"\nfile {i} of many" for i in range(40))
+    assert len(body) > 30_000
+    began = time.perf_counter()
+    found = op5_licenses.scan_licenses(h.documents(spark, [body])).collect()
+    assert len([m for m in found[0]["matches"] if m["license"] == "MIT-text"]) == 40
+    assert time.perf_counter() - began < 60
+
+
 def test_license_templates_name_the_right_license(spark):
     body = "\n" + "\n".join(f"Clause {i} of {i + 7} more clauses binds party {i * 3}." for i in range(60))
     sentences = [("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
@@ -219,6 +278,45 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert right > 0.93 and (out[out.quality == 1].predicted == 1).mean() > 0.98, right
 
 
+def _plain_statistics(text):
+    """STATISTICS of one text, character class by character class."""
+    raw = (text or "").encode()
+    if not raw:
+        return dict.fromkeys(op4_quality.STATISTICS, 0.0)
+    n, words, lines = len(raw), raw.split(), raw.split(b"\n")
+    some = max(len(words), 1)
+    share = lambda inside: sum(inside(b) for b in raw) / n
+    often = {w: words.count(w) for w in set(words)}
+    freq = [raw.count(bytes([b])) / n for b in set(raw)]
+    blank = share(lambda b: b == 32 or 9 <= b <= 13)
+    return {
+        "log_chars": math.log(1 + len(text)), "log_words": math.log(1 + len(words)), "word_length": n * (1 - blank) / some,
+        "upper": share(lambda b: 65 <= b <= 90), "digit": share(lambda b: 48 <= b <= 57), "symbol": share(lambda b: chr(b) in "#*$%&<>@^~_=+\\/{}[]"),
+        "exclamation": share(lambda b: b == 33), "pipe": share(lambda b: b == 124), "punctuation": share(lambda b: chr(b) in ".,;:?'\"()-"),
+        "beyond_ascii": share(lambda b: b > 127), "space": blank, "distinct_words": len(often) / some, "top_word": max(often.values(), default=0) / some,
+        "distinct_pairs": len(set(zip(words, words[1:]))) / some, "line_length": math.log(1 + n / len(lines)),
+        "repeated_lines": 1 - len(set(lines)) / len(lines), "long_words": len([w for w in words if len(w) > 14]) / some,
+        "sentence_ends": len([w for w in words if w.endswith((b".", b"?", b"!"))]) / some, "entropy": -sum(p * math.log2(p) for p in freq)}
+
+
+def test_quality_scores_equal_a_walk_over_the_rules(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "é! # | x" * 50), (-4, "a\n" * 400), (None, "A.B? c! " + "w" * 20)], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet").select("doc_id", "quality")
+    model = op4_quality.train(docs, labels)
+    assert model.rules
+    got = sorted(((r["doc_id"], r["score"], r["predicted"]) for r in op4_quality.score_documents(docs, model).collect()), key=str)
+    want = []
+    for r in docs.collect():
+        stats = _plain_statistics(r["text"])
+        logit = model.intercept + sum(w for rule, w in model.rules if all(
+            stats[name] <= value if side == "<=" else stats[name] > value for name, side, value in rule))
+        score = 1 / (1 + math.exp(-logit))
+        want.append((r["doc_id"], score, int(score >= 0.3)))
+    for g, w in zip(got, sorted(want, key=str)):
+        assert g[0] == w[0] and abs(g[1] - w[1]) < 1e-9 and g[2] == w[2]
+
+
 def test_quality_classifier_edges(spark):
     texts = [None, "", "a word", "x" * 100_000, "é\U0001F600"]
     docs = h.documents(spark, texts)
