@@ -6,11 +6,11 @@ table says, for a block of words at the end of the current position, how far
 the search may skip; where it may not skip, the hash of that suffix block and of the
 window's first block names the bucket of windows to compare directly, word by word.
 
-Words are told apart by 64-bit hashes.  A matcher is a few arrays, about 60 bytes
-a window: the driver builds those of one block of items, at most about
-``BLOCK_WINDOWS`` windows, and broadcasts them, so a worker holds one copy, whatever
-number of tasks it runs.  Each block is one pass over the documents, and the passes'
-hits are joined by row.
+The items' words are numbered; every other word of a document is 0.  A matcher is a few
+arrays, about 60 bytes a window: the driver builds those of one block of items, at
+most about ``BLOCK_WINDOWS`` windows and as many different words, and broadcasts them, so a
+worker holds one copy, whatever number of tasks it runs.  Each block is one pass
+over the documents, and the passes' hits are joined by row.
 
 Cases: texts and items that are null or hold no word hit nothing; an item with a
 null id marks words but is no item; repeated items and rows count once and
@@ -20,11 +20,10 @@ repeat; a repeated item_id is one item; columns keep their names inside ``row``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +32,7 @@ from storelens.llm.common import map_arrow, text_or_empty, written
 WINDOW = 10
 BLOCK_WORDS = 2
 #: Windows of one block of items.
-BLOCK_WINDOWS = 1_000_000
-#: Words a worker remembers the hashes of.
-CACHE_WORDS = 200_000
+BLOCK_WINDOWS = 500_000
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 _LOWER = bytes(
@@ -50,21 +47,10 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8").translate(_LOWER).split() if text else []
 
 
-@cache
-def _known_words() -> dict[bytes, int]:
-    """Hashes of words that this worker has met."""
-    return {}
-
-
-def hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the text's words."""
-    found, known = words(text), _known_words()
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    for w in found:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+def numbers(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Numbers of the text's words; 0 is any word that no item has."""
+    found = words(text)
+    return np.fromiter(map(vocabulary.get, found, repeat(0)), np.uint64, len(found))
 
 
 def _mixed(*parts: np.ndarray) -> np.ndarray:
@@ -76,6 +62,11 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
     return x
 
 
+def _blocks(ids: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the blocks of ``size`` words that end at ``ends``."""
+    return _mixed(*[ids[ends - k] for k in range(size)])
+
+
 class WuManber:
     """Windows of one length: ``starts`` into the joined item words ``flat``, with the item of each."""
 
@@ -89,14 +80,11 @@ class WuManber:
         self.shift = np.full(2**bits, self.skip, np.uint8)
         # A slot that several blocks share keeps the smallest shift, so no window is skipped.
         for end in range(self.block, length + 1):
-            np.minimum.at(self.shift, self._slots(self._blocks(flat, starts + (end - 1))), np.uint8(length - end))
-        keys = self._bucket(self._blocks(flat, starts + (length - 1)), self._blocks(flat, starts + (self.block - 1)))
+            np.minimum.at(self.shift, self._slots(_blocks(flat, starts + (end - 1), self.block)), np.uint8(length - end))
+        keys = self._bucket(_blocks(flat, starts + (length - 1), self.block), _blocks(flat, starts + (self.block - 1), self.block))
         order = np.argsort(keys, kind="stable")
         self.keys, self.starts, self.items = keys[order], starts[order], items[order]
 
-    def _blocks(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mixed(*[ids[ends - k] for k in range(self.block)])
-
     def _slots(self, blocks: np.ndarray) -> np.ndarray:
         return (blocks >> self.down).astype(np.int64)
 
@@ -104,13 +92,20 @@ class WuManber:
     def _bucket(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         return _mixed(suffix, prefix)
 
-    def find(self, ids: np.ndarray) -> Iterator[tuple[int, frozenset[int]]]:
-        """Starts of occurring windows and the items they belong to."""
+    def find(self, ids: np.ndarray, blocks: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, frozenset[int]]]:
+        """Starts of occurring windows and the items they belong to; ``blocks`` are those of the text by size, kept
+        for the other matchers."""
         n, last = len(ids), self.length - 1
         if n < self.length:
             return
-        blocks = self._blocks(ids, np.arange(self.block - 1, n))
-        steps = self.shift[self._slots(blocks)].tolist()
+        kept = {} if blocks is None else blocks
+        if self.block not in kept:
+            kept[self.block] = _blocks(ids, np.arange(self.block - 1, n), self.block)
+        blocks = kept[self.block]
+        shifts = self.shift[self._slots(blocks)]
+        if shifts.all():
+            return  # no position where a window may end
+        steps = shifts.tolist()
         i, ahead = last, self.block - 1
         ends = []
         while i < n:
@@ -132,9 +127,10 @@ class WuManber:
                 yield start, frozenset(self.items[bucket][same].tolist())
 
 
-def build(items: Sequence[tuple[str | None, str]]) -> tuple[list[WuManber], list[str | None]]:
-    """Matchers by window length and item ids of one block of items."""
-    texts = [hashes(text) for _, text in items]
+def build(items: Sequence[tuple[str | None, str]]) -> tuple[dict[bytes, int], list[WuManber], list[str | None]]:
+    """Word numbers, matchers by window length and item ids of one block of items."""
+    vocabulary: dict[bytes, int] = {}
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.uint64) for _, text in items]
     firsts = np.cumsum([0, *[len(t) for t in texts]])
     flat = np.concatenate([*texts, np.empty(0, np.uint64)])
     windows: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -144,7 +140,7 @@ def build(items: Sequence[tuple[str | None, str]]) -> tuple[list[WuManber], list
             windows.setdefault(size, []).append((first + np.arange(len(ids) - size + 1), k))
     matchers = [WuManber(size, flat, np.concatenate([s for s, _ in found]), np.concatenate([np.full(len(s), k, np.int32) for s, k in found]))
                 for size, found in sorted(windows.items())]
-    return matchers, [item_id for item_id, _ in items]
+    return vocabulary, matchers, [item_id for item_id, _ in items]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -164,16 +160,16 @@ def _scan(source: DataFrame, text_of, block: list[tuple[str | None, str]]) -> Da
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers, names = shared.value
+        vocabulary, matchers, names = shared.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             counts, hits, items = [], [], []
             for text in text_of(batch):
-                ids = hashes(text.as_py())
+                ids = numbers(text.as_py(), vocabulary)
                 counts.append(len(ids))
-                spans, found = [], set()
+                spans, found, blocks = [], set(), {}
                 for matcher in matchers:
-                    for start, ks in matcher.find(ids):
+                    for start, ks in matcher.find(ids, blocks):
                         spans.append((start, start + matcher.length))
                         found |= ks
                 hits.append(_merged(spans))

@@ -176,11 +176,11 @@ def test_a_large_benchmark_is_compact():
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(20_000)]
     items = [(str(k), " ".join(rng.choices(vocabulary, k=400))) for k in range(500)]
-    matchers, names = op9_decontamination.build(items)
+    vocabulary, matchers, names = op9_decontamination.build(items)
     # 196,000 windows
     assert len(pickle.dumps((matchers, names))) < 60 * 500 * 391
     text = "x " + items[7][1] + " y z " + " ".join(items[8][1].split()[5:15])
-    found = {(start, names[k]) for m in matchers for start, ks in m.find(op9_decontamination.hashes(text)) for k in ks}
+    found = {(start, names[k]) for m in matchers for start, ks in m.find(op9_decontamination.numbers(text, vocabulary)) for k in ks}
     assert found == {(1 + i, "7") for i in range(391)} | {(403, "8")}
 
 
@@ -194,8 +194,8 @@ def test_contamination_without_items(spark):
 def test_wu_manber_property(doc, items):
     text = " ".join(f"w{i}" for i in doc)
     bench = [(str(k), " ".join(f"w{i}" for i in x)) for k, x in enumerate(items)]
-    matchers, names = op9_decontamination.build(bench)
-    ids = op9_decontamination.hashes(text)
+    vocabulary, matchers, names = op9_decontamination.build(bench)
+    ids = op9_decontamination.numbers(text, vocabulary)
     spans, found = set(), set()
     for m in matchers:
         for start, ks in m.find(ids):
