@@ -44,6 +44,8 @@ class FactPlan:
     structural_confidence: float | Column = 0.78
     mapping_verified: bool | Column = False
     tiebreak: tuple[str, ...] = field(default_factory=tuple)
+    #: Column of all three tables that tells stacked schemas apart.
+    schema: str | None = None
 
 
 def structural_confidence(*confidences: Column | float) -> Column:
@@ -52,6 +54,11 @@ def structural_confidence(*confidences: Column | float) -> Column:
     return F.least(*cols) if len(cols) > 1 else cols[0]
 
 
+def _number(col: str, df: DataFrame, name: str | None = None) -> Column:
+    """``col`` as a double: numeric source columns (``name`` of ``df``) cast directly, text goes through the tolerant parser."""
+    return F.col(col).cast("double") if isinstance(df.schema[name or col].dataType, T.NumericType) else to_number(F.col(col))
+
+
 def extract_line_facts(
     header: DataFrame,
     line: DataFrame,
@@ -73,7 +80,8 @@ def extract_line_facts(
               F.col(plan.date_col).alias("_date"), *[F.col(c) for c in carry]]
     if plan.time_col:
         h_cols.append(F.col(plan.time_col).alias("_time"))
-    h = header.select(*h_cols)
+    schema = [F.col(plan.schema).alias("_schema")] if plan.schema else []
+    h = header.select(*h_cols, *schema)
 
     d_cols = [
         F.col(plan.line_header).alias("_lhid"),
@@ -87,14 +95,14 @@ def extract_line_facts(
     if plan.destination_col:
         d_cols.append(F.col(plan.destination_col).cast("string").alias("destination_id"))
     d_cols += [F.col(c).alias(f"_tb{i}") for i, c in enumerate(plan.tiebreak)]
-    d = line.select(*d_cols).where(F.col("_op").isin("purchase", "sale"))
+    d = line.select(*d_cols, *schema).where(F.col("_op").isin("purchase", "sale"))
 
     p_cols = [F.col(plan.product_key).alias("_pk"), F.col(plan.product_identity).alias("_pident")]
     if plan.product_store:
         p_cols.append(F.col(plan.product_store).alias("_pstore"))
     if plan.pack_size_col:
         p_cols.append(F.col(plan.pack_size_col).alias("_pack"))
-    p = product.select(*p_cols)
+    p = product.select(*p_cols, *schema)
 
     # Join order follows the plan: the line table is the big side; both joins are
     # equi-joins so AQE can pick broadcast (measured size) or sort-merge at runtime.
@@ -103,6 +111,9 @@ def extract_line_facts(
         of_header = of_header & (F.col("_lstore") == F.col("store_id"))
     if plan.product_store:
         of_product = of_product & (F.col("_pstore") == F.col("store_id"))
+    if plan.schema:
+        h, d, p = h.withColumnRenamed("_schema", "_hs"), d.withColumnRenamed("_schema", "_ds"), p.withColumnRenamed("_schema", "_ps")
+        of_header, of_product = of_header & (F.col("_ds") == F.col("_hs")), of_product & (F.col("_ps") == F.col("_ds"))
     j = d.join(h, of_header).join(p, of_product)
 
     date_text = F.date_format(F.col("_date"), "yyyy-MM-dd'T'HH:mm:ss")
@@ -119,13 +130,7 @@ def extract_line_facts(
         w = Window.partitionBy("store_id", "_op").orderBy(*order)
         j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
 
-    def number(col: str, df: DataFrame, name: str) -> Column:
-        # numeric source columns cast directly; text goes through the tolerant parser
-        if isinstance(df.schema[name].dataType, T.NumericType):
-            return F.col(col).cast("double")
-        return to_number(F.col(col))
-
-    pack = number("_pack", product, plan.pack_size_col) if plan.pack_size_col else F.lit(None).cast("double")
+    pack = _number("_pack", product, plan.pack_size_col) if plan.pack_size_col else F.lit(None).cast("double")
     rhash = record_hash20(F.col("_op"), F.col("_hid"), F.col("_lid"))
     conf = plan.structural_confidence
     conf = conf if isinstance(conf, Column) else F.lit(float(conf))
@@ -138,7 +143,7 @@ def extract_line_facts(
         F.lit("system_record").alias("kind"),
         conf.alias("confidence"),
         F.trim(F.coalesce(F.col("_pident").cast("string"), F.lit(""))).alias("product_id"),
-        number("_qty", line, plan.quantity_col).alias("quantity"),
+        _number("_qty", line, plan.quantity_col).alias("quantity"),
         F.when(pack > 0, pack).alias("pack_size"),
         (F.col("destination_id") if plan.destination_col else F.lit(None).cast("string")).alias("destination_id"),
         rhash.alias("source_record_hash"),
@@ -162,40 +167,67 @@ def _store_column(tables: dict[str, DataFrame], path: str, shared: frozenset[str
     return None
 
 
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def extract_learned_facts(plans: DataFrame, tables: dict[str, DataFrame], limit: int | None = None,
                           shared: frozenset[str] = frozenset()) -> DataFrame:
     """Facts by the plans of ``resolve_fact_plan``, each store by its own.
 
     ``tables`` are the stores' tables by table path, with ``store_id``; line and
     product tables named in ``shared`` serve all stores and need none.
-    Stores whose plans name the same tables and columns are one job: only the
-    distinct plan shapes, that is, the distinct schemas, come to the driver.
+    Only the distinct plan shapes, that is, the distinct schemas, come to the driver.  Each
+    schema's tables are brought to common columns by a projection; the schemas are then
+    stacked, so a fleet of many schemas is one join of headers with lines and products
+    (one for each combination of shared tables) and not one for each schema.
     Confidence and ``mapping_verified`` are those of the store's plan.
     """
-    good = plans.where("plan_ok")
-    shapes = good.select(*PLAN_SHAPE).distinct().collect()
-    out = None
-    for shape in sorted(shapes, key=lambda r: tuple(x or "" for x in r)):
-        same = F.lit(True)
-        for c in PLAN_SHAPE:
-            same = same & F.col(c).eqNullSafe(F.lit(shape[c]))
-        stores = good.where(same).select(F.col("store_id").alias("_store"), F.col("structural_confidence").alias("_conf"),
-                                         F.col("mapping_verified").alias("_verified"))
-        header = tables[shape["header_table"]]
-        header = header.join(stores, header["store_id"] == stores["_store"]).drop("_store")
-        plan = FactPlan(
-            header_id=shape["header_id_col"], header_store="store_id",
-            line_store=_store_column(tables, shape["line_table"], shared), product_store=_store_column(tables, shape["product_table"], shared),
-            date_col=shape["date_col"], time_col=shape["time_col"],
-            line_header=shape["line_header_col"], line_id=shape["line_id_col"], line_product=shape["line_product_col"],
-            quantity_col=shape["quantity_col"], product_key=shape["product_key_col"], product_identity=shape["product_identity_col"],
-            operation=F.lit(shape["operation"]), destination_col=shape["destination_col"], pack_size_col=shape["pack_size_col"],
-            structural_confidence=F.round("_conf", 2), mapping_verified=F.col("_verified"))
-        part = extract_line_facts(header, tables[shape["line_table"]], tables[shape["product_table"]], plan, limit, ("_conf", "_verified"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    good = plans.where("plan_ok").withColumn("_plan", F.md5(F.to_json(F.struct(*PLAN_SHAPE))))
+    shapes = sorted((r.asDict() for r in good.select("_plan", *PLAN_SHAPE).distinct().collect()), key=lambda r: r["_plan"])
+    if not shapes:
         raise ValueError("no store has a plan")
-    return out
+    stores = good.select("store_id", "_plan", F.col("structural_confidence").alias("_conf"), F.col("mapping_verified").alias("_verified"))
+    kinds: dict[tuple[bool, bool], list[dict]] = {}
+    for shape in shapes:
+        own = tuple(_store_column(tables, shape[t], shared) is not None for t in ("line_table", "product_table"))
+        kinds.setdefault(own, []).append(shape)
+    return _stacked([_facts_of_schemas(members, tables, stores, own, limit) for own, members in sorted(kinds.items())])
+
+
+def _facts_of_schemas(members: list[dict], tables: dict[str, DataFrame], stores: DataFrame, own: tuple[bool, bool],
+                      limit: int | None) -> DataFrame:
+    """Facts of schemas whose line and product tables carry the store alike (``own``)."""
+    def id_type(*of: tuple[str, str]) -> str:
+        """Ids of several schemas meet as longs where all of them are whole numbers, else as text."""
+        whole = all(isinstance(tables[s[t]].schema[s[c]].dataType, T.IntegralType) for s in members for t, c in of)
+        return "bigint" if whole else "string"
+
+    header_type = id_type(("header_table", "header_id_col"), ("line_table", "line_header_col"))
+    product_type = id_type(("line_table", "line_product_col"), ("product_table", "product_key_col"))
+    headers, lines, products = [], [], []
+    for s in members:
+        plan, text = F.lit(s["_plan"]).alias("_plan"), lambda c: (F.col(c).cast("string") if c else F.lit(None).cast("string"))
+        header, line, product = (tables[s[t]] for t in ("header_table", "line_table", "product_table"))
+        headers.append(header.select("store_id", plan, F.col(s["header_id_col"]).cast(header_type).alias("header"),
+                                     F.col(s["date_col"]).cast("timestamp").alias("date"), text(s["time_col"]).alias("time")))
+        lines.append(line.select(*(["store_id"] if own[0] else []), plan, F.col(s["line_header_col"]).cast(header_type).alias("header"),
+                                 text(s["line_id_col"]).alias("line"), F.col(s["line_product_col"]).cast(product_type).alias("product"),
+                                 _number(s["quantity_col"], line).alias("quantity"), text(s["destination_col"]).alias("destination"),
+                                 F.lit(s["operation"]).alias("operation")))
+        products.append(product.select(*(["store_id"] if own[1] else []), plan, F.col(s["product_key_col"]).cast(product_type).alias("product"),
+                                       text(s["product_identity_col"]).alias("identity"),
+                                       (_number(s["pack_size_col"], product) if s["pack_size_col"] else F.lit(None).cast("double")).alias("pack")))
+    header = _stacked(headers).join(stores, ["store_id", "_plan"])
+    plan = FactPlan(
+        header_id="header", header_store="store_id", line_store="store_id" if own[0] else None, product_store="store_id" if own[1] else None,
+        date_col="date", time_col="time", line_header="header", line_id="line", line_product="product", quantity_col="quantity",
+        product_key="product", product_identity="identity", operation=F.col("operation"), destination_col="destination", pack_size_col="pack",
+        structural_confidence=F.round("_conf", 2), mapping_verified=F.col("_verified"), schema="_plan")
+    return extract_line_facts(header, _stacked(lines), _stacked(products), plan, limit, ("_conf", "_verified"))
 
 
 def fixture_plan() -> FactPlan:

@@ -98,3 +98,15 @@ def test_contracts_verify(spark):
     assert "verify:product.identity" in q  # confirmation required, no contract
     caps = co.capabilities(co.role_candidates(co.score_table_roles(cat)), contracts, stores).first()
     assert "staff_directory" not in caps["unknowns"].split(",")
+
+
+def test_rule_tables_are_the_fixed_ones():
+    """The oracles build their SQL from these tables, so what is in them is pinned here."""
+    import hashlib
+    import json
+
+    from storelens.operators import catalog as co
+
+    pinned = {"CANONICAL_FIELDS": "00ebf4f7e4460c87", "ROLE_RULES": "dc5c255b5c3449bb", "READINESS_GROUPS": "f7263fba8300b046"}
+    for name, digest in pinned.items():
+        assert hashlib.sha256(json.dumps(getattr(co, name)).encode()).hexdigest()[:16] == digest, name

@@ -72,6 +72,33 @@ def test_learned_tables_need_a_store(spark):
     assert facts.extract_learned_facts(plans, tables, shared=SHARED_TABLES).count() > 0
 
 
+def test_schemas_are_stacked_before_the_join(spark):
+    """Two schemas, one with text ids, are one join of headers, lines and products."""
+    from storelens.operators import facts
+
+    shape = dict.fromkeys(facts.PLAN_SHAPE)
+    plan = lambda store, prefix, **extra: {"store_id": store, "plan_ok": True, "structural_confidence": 0.8, "mapping_verified": True, **shape,
+                                           "operation": "sale", "header_table": f"{prefix}.h", "line_table": f"{prefix}.l", "product_table": f"{prefix}.p",
+                                           "header_id_col": "id", "line_header_col": "h", "line_product_col": "p", "product_key_col": "id",
+                                           "date_col": "at", "quantity_col": "q", "product_identity_col": "sku", "line_id_col": "no"} | extra
+    schema = "store_id string, plan_ok boolean, structural_confidence double, mapping_verified boolean, " + ", ".join(f"{c} string" for c in facts.PLAN_SHAPE)
+    rows = [plan("A", "x"), plan("B", "x"), plan("C", "y", pack_size_col="pack"), plan("D", "x", operation=None) | {"plan_ok": False}]
+    plans = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    make = lambda data, ddl: spark.createDataFrame(data, ddl)
+    tables = {
+        "x.h": make([("A", 1, "2026-01-01"), ("B", 1, "2026-01-02")], "store_id string, id int, at string"),
+        "x.l": make([("A", 1, 1, 5, 2.0), ("B", 1, 1, 5, 3.0)], "store_id string, h int, no int, p int, q double"),
+        "x.p": make([("A", 5, "tea"), ("B", 5, "rice")], "store_id string, id int, sku string"),
+        "y.h": make([("C", "1", "2026-01-03")], "store_id string, id string, at string"),
+        "y.l": make([("C", "1", "a", 5, "4"), ("C", "9", "a", 5, "4")], "store_id string, h string, no string, p int, q string"),
+        "y.p": make([("C", 5, "oil", "12 pcs")], "store_id string, id int, sku string, pack string"),
+    }
+    found = facts.extract_learned_facts(plans, tables)
+    assert sorted((r["store_id"], r["product_id"], r["quantity"], r["occurred_at"][:10]) for r in found.collect()) == [
+        ("A", "tea", 2.0, "2026-01-01"), ("B", "rice", 3.0, "2026-01-02"), ("C", "oil", 4.0, "2026-01-03")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+
+
 def test_scan_prunes_columns(spark):
     df = entry.queries()["extract_line_facts"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
