@@ -19,17 +19,22 @@ from __future__ import annotations
 
 import io
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from storelens.schemas import POLL_ITEM
-from storelens.session import ship_package
+
+# The driver's workers for data sources get no files that were added to the context, so what is
+# defined here travels with the source itself.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FORMAT = "storelens_collector"
 RANGE_BYTES = 64_000_000
@@ -199,6 +204,5 @@ class CollectorSource(DataSource):
 
 def register_collector_source(spark: SparkSession) -> None:
     """Makes ``format("storelens_collector")`` known to the session, conditions on folders included."""
-    ship_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CollectorSource)

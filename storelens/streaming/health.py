@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 import threading
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from storelens.functions.scalar import parse_timestamp
 from storelens.operators.health import STOPPED_STATUSES, stale_seconds
-from storelens.session import ship_package, use_state_store
+from storelens.session import use_state_store
+
+# The driver's worker for stateful processors gets no files that were added to the context, so what is
+# defined here travels with the processor itself.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRANSITION = "store_id string, at timestamp, state string, collector_status string, camera_status string, sql_status string"
 _LAST = "at_ms long, status string, camera string, sql string, stale boolean"
@@ -87,7 +93,6 @@ def watch_heartbeats(heartbeats: DataFrame, poll_interval_seconds: float = 30, d
     """
     spark = heartbeats.sparkSession
     use_state_store(spark)
-    ship_package(spark)
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("unknown")))
     beats = heartbeats.select("store_id", parse_timestamp(F.col("updated_at")).alias("at"), text("status").alias("status"),
                               text("camera_status").alias("camera"), text("sql_status").alias("sql")).where("at is not null")
