@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.session import ensure_checkpoint_dir
+from storelens.session import ensure_checkpoint_dir, ship_package
 from storelens.sources.tables import table as scan
 
 #: Documents without an id sort after every other document.
@@ -57,27 +54,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Gives the executors this package, once per application.
-
-    Spark serves the zip from the driver, so tasks can import the package
-    wherever they run and whatever their working folder is.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="storelens-py-")) / "storelens.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for source in sorted(package.rglob("*.py")):
-            z.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(path))
-    _SHIPPED.add(context.applicationId)
-
-
 def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function that may use this package."""
     ship_package(df.sparkSession)
