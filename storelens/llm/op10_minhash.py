@@ -17,8 +17,10 @@ From buckets to components, without emitting all pairs of a bucket:
 3. A bucket whose classes lie in one component is done.  In the others, classes
    outside the bucket's largest component meet all classes of other components.
    Pairs whose sizes or sketch bits rule out the threshold are skipped (the bits of
-   a pair at the threshold are that far apart with probability below 1e-8), the
-   others are verified.
+   a pair at the threshold are that far apart with probability below 1e-8), as are
+   those of one leader that cannot have enough in common: which of the leader's
+   shingles a class has is known exactly, and a bitmap of its other shingles bounds
+   what two classes share of those.  The others are verified.
 
 Every link is confirmed on the full sets of 64-bit shingle hashes.
 
@@ -162,28 +164,34 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of pairs and which shingles of b are in a, from rows ``(b, chunk, a, shingles)``: b's own set, with a
-    null a, comes before those that it is compared with.  Sets are read in place; one b's set is kept."""
+    """Sizes of pairs, which shingles of b are in a and a bitmap of a's others, from rows ``(b, chunk, a, shingles)``:
+    b's own set, with a null a, comes before those that it is compared with.  Sets are read in place; one b's set is kept."""
     y = np.empty(0, np.uint64)
     for batch in batches:
-        ids, counts, masks = [], [], []
+        ids, counts, masks, others = [], [], [], []
         for b, a, shingles in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
             x = np.frombuffer(shingles.as_buffer(), np.uint64)
             if a is None:
                 y = x.copy()
                 continue
             inside = np.isin(y, x, assume_unique=True)
+            rest = x[~np.isin(x, y, assume_unique=True)]
+            other = np.zeros(len(y) + -len(y) % 64, bool)
+            other[(rest % np.uint64(len(other))).astype(np.int64)] = True
             ids.append((a, b))
-            counts.append((len(x), len(y), int(inside.sum())))
+            counts.append((len(x), len(y), int(inside.sum()), len(rest) - int(other.sum())))
             masks.append(np.packbits(np.pad(inside, (0, -len(y) % 64))).view(np.int64))
-        columns = np.array([(*i, *c) for i, c in zip(ids, counts)], np.int64).reshape(-1, 5)
-        yield pa.RecordBatch.from_arrays([*[pa.array(columns[:, k]) for k in range(5)], pa.array(masks, pa.list_(pa.int64()))],
-                                         names=["a", "b", "n_a", "n_b", "common", "mask"])
+            others.append(np.packbits(other).view(np.int64))
+        columns = np.array([(*i, *c) for i, c in zip(ids, counts)], np.int64).reshape(-1, 6)
+        yield pa.RecordBatch.from_arrays([*[pa.array(columns[:, k]) for k in range(6)],
+                                          *[pa.array(bits, pa.list_(pa.int64())) for bits in (masks, others)]],
+                                         names=["a", "b", "n_a", "n_b", "common", "spare", "mask", "other"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` with the sizes of their full sets, the number of common shingles and ``mask``, the
-    bits of b's sorted shingles that a has.
+    """The pairs ``(a, b)`` with the sizes of their full sets, the number of common shingles, ``mask``, the
+    bits of b's sorted shingles that a has, ``other``, the places of a's other shingles in a bitmap of that length,
+    and ``spare``, how many of those found their place taken.
 
     The pairs of one b come in chunks of about ``CHUNK_PAIRS``; b's set is sent once
     to each chunk and sorted before the sets to compare with it.
@@ -195,7 +203,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of = lambda key: sets.select(F.col("node").alias(key), "shingles")
     firsts = dealt.select("b", "chunk").distinct().join(of("b"), "b").select("b", "chunk", F.lit(None).cast("long").alias("a"), "shingles")
     both = firsts.unionByName(dealt.join(of("a"), "a")).repartition("b", "chunk").sortWithinPartitions(F.col("b"), F.col("chunk"), F.asc_nulls_first("a"))
-    return map_arrow(both.select("b", "chunk", "a", "shingles"), _common, "a long, b long, n_a long, n_b long, common long, mask array<long>")
+    return map_arrow(both.select("b", "chunk", "a", "shingles"), _common, "a long, b long, n_a long, n_b long, common long, spare long, mask array<long>, other array<long>")
 
 
 def _reaches(common: Column, n_a: Column, n_b: Column) -> Column:
@@ -225,22 +233,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def most_common(x: str, y: str) -> Column:
+    """No fewer shingles than two classes of one leader have in common.
+
+    Of the leader's shingles, exactly those that both have.  Of the others, common ones
+    have the same place in both bitmaps: no more than places that are set in both, and
+    as many as found their place taken, in the class with fewer of those.
+    """
+    shared = lambda bits: F.aggregate(
+        F.zip_with(F.col(f"{x}.{bits}"), F.col(f"{y}.{bits}"), lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, k: n + k)
+    return shared("mask") + shared("other") + F.least(f"{x}.spare", f"{y}.spare")
+
+
 def _possible(x: str, y: str) -> Column:
     """Two bucket rows may be linked, and this is the first bucket that they share.
 
     Ruled out are pairs whose sizes differ too much, whose sketch bits are too far
     apart, that were compared already, or that share a leader and cannot have enough
-    in common: exactly the leader's shingles that both have, and at most the smaller
-    number of shingles that one has beside the leader's.
+    in common.
     """
     of = lambda row, c: F.col(f"{row}.{c}")
     n_x, n_y = of(x, "n_shingles"), of(y, "n_shingles")
     sizes = 100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)
     apart = sum((F.bit_count(of(x, b).bitwiseXOR(of(y, b))) for b in _BIT_NAMES), F.lit(0))
     new = (of(x, "node") != of(y, "leader")) & (of(y, "node") != of(x, "leader"))
-    both = F.aggregate(F.zip_with(of(x, "mask"), of(y, "mask"), lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, k: n + k)
-    most = both + F.least(n_x - of(x, "inside"), n_y - of(y, "inside"))
-    enough = (of(x, "leader") != of(y, "leader")) | _reaches(most, n_x, n_y)
+    enough = (of(x, "leader") != of(y, "leader")) | _reaches(most_common(x, y), n_x, n_y)
     equal = F.filter(F.zip_with(of(x, "bands"), of(y, "bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
     return sizes & new & enough & (apart <= BITS - MIN_EQUAL_BITS) & (F.get(equal, 0) == of(x, "bucket"))
 
@@ -278,10 +295,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     counted = written(compared(star, sets), "star")
     links = _links(counted)
     labels = components(links)
-    # A node's leader and how many of its shingles the leader has; a node without one leads itself.
-    led = counted.select(F.col("a").alias("node"), F.col("b").alias("_leader"), F.col("common").alias("_inside"), "mask")
+    # A node's leader and what it has of the leader's shingles and beside them; a node without one leads itself.
+    led = counted.select(F.col("a").alias("node"), F.col("b").alias("_leader"), "spare", "mask", "other")
     traits = signed.join(led, "node", "left").select("node", "n_shingles", "bands", *_BIT_NAMES, F.coalesce("_leader", "node").alias("leader"),
-                                                     F.coalesce("_inside", "n_shingles").alias("inside"), "mask")
+                                                     "spare", "mask", "other")
     placed = meeting.select("bucket", "node").join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component"))
     per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))

@@ -397,6 +397,22 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     assert sorted(stay, key=str) == sorted([(5, "x0"), (9, "y0"), (None, "z0"), (20, "u0"), (20, "v0"), (None, "w0")], key=str)
 
 
+def test_bound_on_common_shingles_holds(spark):
+    rng = np.random.default_rng(11)
+    leader = rng.integers(0, 2**63, 300).astype(np.uint64)
+    extra = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = {i: np.unique(np.concatenate([rng.choice(leader, rng.integers(150, 300), replace=False),
+                                         rng.choice(extra, rng.integers(0, 350), replace=False)])) for i in range(1, 40)} | {0: np.unique(leader)}
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, shingles binary")
+    pairs = spark.createDataFrame([(i, 0) for i in sets if i], "a long, b long")
+    traits = op10_minhash.compared(pairs, rows).select(F.col("a").alias("node"), "spare", "mask", "other")
+    x, y = traits.alias("x"), traits.alias("y")
+    most = x.join(y, F.col("x.node") < F.col("y.node")).select("x.node", "y.node", op10_minhash.most_common("x", "y")).collect()
+    slack = [bound - len(np.intersect1d(sets[a], sets[b])) for a, b, bound in most]
+    assert len(slack) == 39 * 38 // 2 and min(slack) >= 0
+    assert all(bound <= min(len(sets[a]), len(sets[b])) for a, b, bound in most)
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=3000))
 @settings(max_examples=40, deadline=None)
 def test_sketch_is_filled_and_ignores_grouping(values):
