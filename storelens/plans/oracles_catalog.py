@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storelens.operators.catalog import CANONICAL_FIELDS, READINESS_GROUPS, ROLE_RULES
+from storelens.plans.oracle_rules import CANONICAL_FIELDS, READINESS_GROUPS, ROLE_RULES
 from storelens.sources.catalog_fixture import TEMPLATE_CONTRACTS, TEMPLATE_FKS, template_rows
 
 
