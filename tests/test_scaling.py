@@ -2,7 +2,9 @@
 
 from conftest import SF_SMALL
 from storelens.operators import facts
+from storelens.plans.queries import QUERIES
 from storelens.sources import fixtures as fx
+from storelens.streaming import correlation as corr
 
 
 def _plan(df) -> str:
@@ -13,3 +15,32 @@ def test_fact_joins_send_no_table_through_the_driver(spark):
     header, line, product = fx.fx_line_tables(spark, SF_SMALL)
     for limit in (None, 5):
         assert "Broadcast" not in _plan(facts.extract_line_facts(header, line, product, facts.fixture_plan(), limit=limit))
+
+
+def test_identity_shape_by_store_reads_the_orders(spark, tmp_path):
+    """A line without an order has no store; the others belong to the store of the order's customer."""
+    orders = spark.createDataFrame([(k, 7 if k < 6 else 3) for k in range(12)], "o_orderkey long, o_custkey long")
+    lines = spark.createDataFrame([(k,) for k in range(15) for _ in range(2)], "l_orderkey long")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = QUERIES["identity_shape_by_store"](spark, str(tmp_path)).collect()
+    assert {(r["store_id"], r["row_count"], r["uniqueness_ratio"]) for r in rows} == {("store_7", 12, 0.5), ("store_3", 12, 0.5)}
+
+
+def test_interval_join_meets_neighbours_in_time_only(spark):
+    minute = 60_000_000
+    placed = lambda rows: spark.createDataFrame(rows, "id string, store_id string, occurred_us long")
+    records = placed([(f"r{i}", s, i * 7 * minute - 30) for i in range(40) for s in ("a", "b")]
+                     + [("alone", "a", 9000 * minute), ("twice", "a", 0), ("twice", "a", 0), ("none", None, 0)])
+    observations = placed([(f"o{i}", "a", i * 15 * minute) for i in range(-2, 20)] + [("z", None, 0), ("o0b", "a", 0)])
+    joined = corr.interval_join(records, observations, 15, 60)
+    assert "_stretch" in _plan(joined)
+    left, right, w = records.collect(), observations.collect(), 15 * minute
+    want = set()
+    for r in left:
+        near = [(abs(o.occurred_us - r.occurred_us), o.occurred_us, o.id) for o in right
+                if o.store_id is not None and o.store_id == r.store_id and abs(o.occurred_us - r.occurred_us) <= w]
+        best = min(near) if near else (None, None, None)
+        want.add((r.store_id, r.id, r.occurred_us, best[2], best[1], best[0]))
+    got = [tuple(r) for r in joined.collect()]
+    assert len(got) == len(want) and set(got) == want
