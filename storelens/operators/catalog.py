@@ -125,6 +125,8 @@ AUTHORIZED = "authorized_connector_contract"
 # ---------------------------------------------------------------------------
 
 DEC = T.DecimalType(6, 4)
+#: Shares into which the columns of one name are dealt when scores are joined back.
+NAME_SHARES = 16
 
 
 def _d(x: str) -> Column:
@@ -209,7 +211,10 @@ def score_mappings(catalog: DataFrame) -> DataFrame:
         F.least(F.greatest(score, _d("0")), _d("0.98"))).cast(DEC)
     scored = j.select("normalized", "normalized_table", "canonical_field", "field_pos", "required", "label",
                       final.alias("score"))
-    return cols.join(scored, ["normalized", "normalized_table"]).select(
+    # A fleet has few names, each in most stores: a name's columns are dealt by store to NAME_SHARES tasks.
+    scored = scored.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(NAME_SHARES - 1))))
+    cols = cols.withColumn("_share", F.pmod(F.hash("store_id"), F.lit(NAME_SHARES)))
+    return cols.join(scored, ["normalized", "normalized_table", "_share"]).select(
         "store_id", "canonical_field", "field_pos", "path", "source", "table", "column", "table_path",
         "source_pos", "table_pos", "column_pos", "required", "label", "score",
     )
@@ -252,7 +257,7 @@ def propose_mappings(scores: DataFrame, stores: DataFrame, provider=None) -> Dat
     path = F.when(low & chosen["path"].isNotNull(), chosen["path"]).otherwise(F.col("best.path"))
     conf = F.when(low & chosen["path"].isNotNull(), F.greatest(best_score, chosen["score"].cast(DEC))).otherwise(best_score)
     reason = F.when(low & chosen["path"].isNotNull(), chosen["reason"]).otherwise(F.lit(REASON_LEXICAL))
-    j = top.join(stores.select("store_id", "requires_confirmation"), "store_id", "left")
+    j = top.join(stores.select("store_id", "requires_confirmation").hint("merge"), "store_id", "left")
     return j.select(
         "store_id", "canonical_field",
         F.col("best.field_pos").alias("field_pos"),

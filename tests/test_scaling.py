@@ -1,8 +1,12 @@
 """Plans whose cost per task and on the driver must not follow the tables."""
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
+from storelens.operators import catalog as co
 from storelens.operators import facts
 from storelens.plans.queries import QUERIES
+from storelens.session import TASK_BOUNDS, bound_tasks
 from storelens.sources import fixtures as fx
 from storelens.streaming import correlation as corr
 
@@ -44,3 +48,29 @@ def test_interval_join_meets_neighbours_in_time_only(spark):
         want.add((r.store_id, r.id, r.occurred_us, best[2], best[1], best[0]))
     got = [tuple(r) for r in joined.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_a_name_in_every_store_is_scored_in_many_tasks(spark):
+    rows = spark.range(400).select(
+        F.concat(F.lit("s"), "id").alias("store_id"), F.lit("api").alias("source"), F.lit(0).alias("source_pos"),
+        F.lit("products").alias("table"), F.lit(0).alias("table_pos"), F.lit("sku").alias("column"), F.lit(0).alias("column_pos"))
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        scores = co.score_mappings(rows)
+        tasks = [r["count"] for r in scores.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(tasks) == 400 * len(co.CANONICAL_FIELDS) and max(tasks) < sum(tasks) / 3
+
+
+def test_bounds_leave_what_the_session_states(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "77m")
+    bound_tasks(own)
+    assert own.conf.get("spark.sql.autoBroadcastJoinThreshold") == "77m"
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert own.conf.get(key) == TASK_BOUNDS[key]
