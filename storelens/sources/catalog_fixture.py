@@ -93,6 +93,8 @@ TEMPLATE_CONTRACTS = [
 # ---------------------------------------------------------------------------
 
 N_TEMPLATES = 3
+#: Stores that one task makes into catalogs.
+STORES_PER_TASK = 20_000
 
 _TEMPLATE_SCHEMA = T.StructType([
     T.StructField("template", T.IntegerType()),
@@ -135,6 +137,16 @@ def fx_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _dealt(stores: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stores`` dealt by key before each becomes a catalog: a compressed file of many customers is one task.
+
+    The count of parts is stated: parts merged by their size, which is that of the bare stores, are
+    one task again, and the dealing of a join goes with the join where nobody reads what it adds.
+    """
+    parts = -(-table(spark, sf_dir, "customer").count() // STORES_PER_TASK)
+    return stores.repartition(max(parts, 1), "c_custkey")
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(template_rows(), _TEMPLATE_SCHEMA)
 
@@ -152,8 +164,7 @@ def fx_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda pos, tpl: F.struct(F.lit(pos).alias("source_pos"), tpl.cast("int").alias("template"))
     sources = F.when(both, F.array(one(0, F.lit(1)), one(1, F.lit(2)))).otherwise(F.array(one(0, F.col("template"))))
     stores = stores.select("store_id", "c_custkey", F.explode(sources).alias("s")).select("store_id", "c_custkey", "s.*")
-    # The stores are dealt by key before each becomes a catalog: a compressed file of many customers is one task.
-    stores = stores.join(orders.hint("merge"), "c_custkey", "left")
+    stores = _dealt(stores.join(orders.hint("merge"), "c_custkey", "left"), spark, sf_dir)
     # The template table is a fixed constant of under 100 rows: a broadcast with a proven bound.
     cat = stores.join(F.broadcast(_templates(spark)), "template")
     return cat.select(
@@ -173,7 +184,7 @@ def fx_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_cached
 def fx_declared_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stores = fx_stores(spark, sf_dir).select("store_id", "template")
+    stores = _dealt(fx_stores(spark, sf_dir), spark, sf_dir).select("store_id", "template")
     fks = spark.createDataFrame(
         TEMPLATE_FKS, "template int, source string, from_table string, from_column string, to_table string, to_column string"
     )
@@ -185,7 +196,7 @@ def fx_declared_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_cached
 def fx_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stores = fx_stores(spark, sf_dir).where(F.col("c_custkey") % 2 == 0).select("store_id", "template")
+    stores = _dealt(fx_stores(spark, sf_dir).where(F.col("c_custkey") % 2 == 0), spark, sf_dir).select("store_id", "template")
     cs = spark.createDataFrame(
         [(*c, i) for i, c in enumerate(TEMPLATE_CONTRACTS)],
         "template int, source string, canonical_field string, table string, column string, authority string, contract_pos int",

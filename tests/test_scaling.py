@@ -7,6 +7,7 @@ from storelens.operators import catalog as co
 from storelens.operators import facts
 from storelens.plans.queries import QUERIES
 from storelens.session import TASK_BOUNDS, bound_tasks
+from storelens.sources import catalog_fixture as cf
 from storelens.sources import fixtures as fx
 from storelens.streaming import correlation as corr
 
@@ -67,6 +68,23 @@ def test_a_name_in_every_store_is_scored_in_many_tasks(spark):
     assert sum(tasks) == 400 * len(co.CANONICAL_FIELDS) and max(tasks) < sum(tasks) / 3
 
 
+def test_a_file_of_customers_becomes_catalogs_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Also where nothing reads what the orders add, so that their join is left out."""
+    monkeypatch.setattr(cf, "STORES_PER_TASK", 100, raising=False)
+    own = spark.newSession()
+    customers = own.range(900).select(F.col("id").alias("c_custkey"), F.lit("c").alias("c_name"), F.lit("X").alias("c_mktsegment"))
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    own.createDataFrame([(1, 5)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    cat = cf.fx_catalog(own, str(tmp_path))
+    declared, contracts = cf.fx_declared_relationships(own, str(tmp_path)), cf.fx_contracts(own, str(tmp_path))
+    for made in (cat.select("store_id", "column").distinct(), declared, contracts):
+        assert "Exchange hashpartitioning(c_custkey" in _plan(made)
+    for made in (cat, declared, contracts):
+        tasks = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(tasks) > 3 and max(tasks) < sum(tasks) / 3
+    assert cat.select("store_id").distinct().count() == 900
+
+
 def test_bounds_leave_what_the_session_states(spark):
     own = spark.newSession()
     own.conf.set("spark.sql.autoBroadcastJoinThreshold", "77m")
