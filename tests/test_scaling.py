@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from storelens.operators import catalog as co
 from storelens.operators import facts
 from storelens.plans.queries import QUERIES
-from storelens.session import TASK_BOUNDS, bound_tasks
+from storelens.session import TASK_BOUNDS, bound_tasks, use_state_store
 from storelens.sources import catalog_fixture as cf
 from storelens.sources import fixtures as fx
 from storelens.streaming import correlation as corr
@@ -92,3 +92,10 @@ def test_bounds_leave_what_the_session_states(spark):
     assert own.conf.get("spark.sql.autoBroadcastJoinThreshold") == "77m"
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     assert own.conf.get(key) == TASK_BOUNDS[key]
+
+
+def test_state_stores_of_an_executor_share_bounded_memory(spark):
+    own = spark.newSession()
+    use_state_store(own)
+    of = "spark.sql.streaming.stateStore.rocksdb."
+    assert own.conf.get(of + "boundedMemoryUsage") == "true" and int(own.conf.get(of + "maxMemoryUsageMB", "500")) <= 500
