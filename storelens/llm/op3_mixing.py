@@ -97,4 +97,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     keyed = dealt.select("row", F.col("copy_no").cast("long").alias("copy_no"), F.md5(F.concat_ws(
         "|", F.lit(seed), F.lit("order"), F.col("key"), F.col("copy_no").cast("string"))).alias("shuffle_key"), "number")
     placed = keyed.select("row", "copy_no", "shuffle_key", F.xxhash64("shuffle_key", "number").alias("place"))
-    return placed.repartition("place").sortWithinPartitions("place", "shuffle_key").select("row.*", "copy_no", "shuffle_key")
+    # The count is stated: parts merged by their size put rows that were dealt apart into one task again.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "place").sortWithinPartitions("place", "shuffle_key").select("row.*", "copy_no", "shuffle_key")
