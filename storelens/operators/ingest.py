@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.scalar import clamp_confidence
-from storelens.operators.payload import as_variant, with_flat_facts
+from storelens.operators.payload import FLAT_FACTS, as_variant, with_flat_facts
 from storelens.schemas import EVIDENCE_KINDS
 
 LEDGER_KEY = ("store_id", "connector", "external_id")
@@ -87,7 +87,12 @@ def normalize_evidence(items: DataFrame, now: str | Column) -> tuple[DataFrame,
 
 
 def facts_to_events(evidence: DataFrame) -> DataFrame:
-    """purchase_line facts -> receiving events, sale_line -> sale events; others ignored."""
+    """purchase_line facts -> receiving events, sale_line -> sale events; others ignored.
+
+    A fact column that the evidence doesn't carry counts as null: evidence of cameras alone gives no events.
+    """
+    absent = {name: F.lit(None).cast(kind) for name, kind in FLAT_FACTS.items() if name not in evidence.columns}
+    evidence = evidence.withColumns(absent) if absent else evidence
     op = F.col("operation_type")
     ev = evidence.where(op.isin("purchase_line", "sale_line"))
     is_purchase = op == "purchase_line"

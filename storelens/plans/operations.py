@@ -16,6 +16,7 @@ from storelens.operators.state import classify_action, open_action_dedupe
 from storelens.operators.proofs import operation_proofs
 from storelens.operators.workflows import evaluate_workflows
 from storelens.plans.snapshot import operational_snapshot
+from storelens.schemas import POLL_ITEM
 from storelens.session import cut_lineage
 
 # The action an unhealthy collector raises, and audit action names.
@@ -119,7 +120,8 @@ def operational_round(stores: DataFrame, sources: dict[str, Callable[[], DataFra
     (store_id, connector) pairs that had a first round.  A pair without one only has
     its ids remembered, unless ``backfill`` asks for its history.  ``steps`` (for
     example snapshots and proofs) take what the round has made and give a table each;
-    one that fails is logged in the same way and leaves its table out.
+    one that fails is logged in the same way and leaves its table out.  Where every source
+    fails, nothing is polled and the ledger and the primed pairs stay what they were.
     Returns evidence, events, tasks, rejected items, the new ledger and primed pairs, the
     steps' tables, the log and its health.
     """
@@ -137,9 +139,7 @@ def operational_round(stores: DataFrame, sources: dict[str, Callable[[], DataFra
     failed = lambda: with_rules(stores.select("store_id"), errors, "component string, error string").select(
         "store_id", F.lit("error").alias("kind"), "component")
     log = spark.createDataFrame([], "store_id string, kind string, component string")
-    if polls is None:
-        log = failed() if errors else log
-        return {"log": log, "health": cycle_health(log.withColumn("cycle_id", F.lit(cycle_id)))}
+    polls = spark.createDataFrame([], POLL_ITEM) if polls is None else polls
     pair = ["store_id", "connector"]
     if backfill:
         known, first = polls, polls.limit(0)

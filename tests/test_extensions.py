@@ -75,6 +75,32 @@ def test_a_round_goes_on_without_a_source_that_fails_while_it_runs(spark):
     assert {(r["error_count"], r["healthy"]) for r in none["health"].collect()} == {(1, False)}
 
 
+def test_a_round_goes_on_without_the_source_of_facts(spark):
+    from storelens.plans import operations as ops
+    from storelens.sources.collectors import scan_camera_events
+
+    stores = spark.createDataFrame([("s1",), ("s2",)], "store_id string")
+    seen = spark.createDataFrame([("s1", 1, "c1", "2026-01-01T00:00:00")], "store_id string, event_id long, channel string, started_at string")
+    before = spark.createDataFrame([("s2", "facts", "old")], "store_id string, connector string, external_id string")
+    primed = spark.createDataFrame([("s1", "camera"), ("s2", "facts")], "store_id string, connector string")
+
+    def facts():
+        return stores.select("store_id", F.raise_error(F.lit("no memory")).cast("string").alias("external_id"))
+
+    def run(sources):
+        return ops.operational_round(stores, sources, before, primed, "2026-01-01T00:00:00", "r1", steps=ops.report_steps())
+
+    keys = lambda df: {tuple(r) for r in df.collect()}
+    got = run({"facts": facts, "camera": lambda: scan_camera_events({"observations": seen})})
+    assert keys(got["ledger"]) == {("s2", "facts", "old"), ("s1", "camera", "collector.sqlite3:observations:1")}
+    assert got["evidence"].count() == 1 and got["events"].count() == got["tasks"].count() == 0
+    assert keys(got["health"].select("store_id", "imported", "events_created", "errors")) == {("s1", 1, 0, "facts=1"), ("s2", 0, 0, "facts=1")}
+    assert got["snapshot"].count() == 1 and got["proofs"].count() == 0
+    none = run({"facts": facts})
+    assert keys(none["ledger"]) == keys(before) and keys(none["primed"]) == keys(primed) and none["evidence"].count() == 0
+    assert {r["errors"] for r in none["health"].collect()} == {"facts=1"}
+
+
 def test_new_event_type_has_its_own_summary(spark):
     from pyspark.sql import functions as F
 
