@@ -83,10 +83,11 @@ def operation_proofs(events: DataFrame, evidence: DataFrame, tasks: DataFrame, w
         F.col("id").alias("_cid"), "camera_observation_id", "camera_diff_us"
     )
 
+    # The joins by id alone stand together, so events are dealt by id once and by (id, store) once.
     p = (
         ev.join(sys_ids, ev["id"] == sys_ids["event_id"], "left")
-        .join(votes, (ev["id"] == votes["related_event_id"]) & (ev["store_id"] == votes["_vstore"]), "left")
         .join(cam, ev["id"] == cam["_cid"], "left")
+        .join(votes, (ev["id"] == votes["related_event_id"]) & (ev["store_id"] == votes["_vstore"]), "left")
     )
     empty = F.array().cast("array<string>")
     sysa = F.coalesce(F.col("system_ids"), empty)

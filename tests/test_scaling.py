@@ -1,15 +1,22 @@
 """Plans whose cost per task and on the driver must not follow the tables."""
 
+import glob
+import os
+import re
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from storelens.operators import catalog as co
 from storelens.operators import facts
 from storelens.plans.queries import QUERIES
-from storelens.session import TASK_BOUNDS, bound_tasks, use_state_store
+from storelens.operators.proofs import operation_proofs
+from storelens.session import ROW_GROUP_BYTES, TASK_BOUNDS, bound_tasks, staged, table_options, use_state_store
 from storelens.sources import catalog_fixture as cf
 from storelens.sources import fixtures as fx
 from storelens.streaming import correlation as corr
+from storelens.streaming import ingest
 
 
 def _plan(df) -> str:
@@ -99,3 +106,57 @@ def test_state_stores_of_an_executor_share_bounded_memory(spark):
     use_state_store(own)
     of = "spark.sql.streaming.stateStore.rocksdb."
     assert own.conf.get(of + "boundedMemoryUsage") == "true" and int(own.conf.get(of + "maxMemoryUsageMB", "500")) <= 500
+
+
+def _shuffle_files(spark) -> set[str]:
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for d in manager.localDirsString() for f in glob.glob(os.path.join(d, "*", "shuffle_*"))}
+
+
+def test_a_stream_keeps_no_shuffle_files_and_writes_compressed_tables(spark, tmp_path):
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    items = spark.range(2000).select(
+        F.concat(F.lit("s"), F.col("id") % 3).alias("store_id"), F.lit("c").alias("connector"), F.col("id").cast("string").alias("external_id"),
+        F.lit("2026-01-01T10:00:00").alias("occurred_at"), F.lit("system_record").alias("kind"), F.lit(0.5).alias("confidence"),
+        F.lit("sale_line").alias("operation_type"))
+    items.write.parquet(src)
+    before = _shuffle_files(spark)
+    stream = ingest.operational_stream(spark, spark.readStream.schema(items.schema).parquet(src), state, "2026-01-03T00:00:00")
+    stream.awaitTermination()
+    assert spark.read.parquet(os.path.join(state, "tasks")).where("batch_id = 0").inputFiles()
+    assert not _shuffle_files(spark) - before
+    for table in ("items", "evidence", "events", "tasks"):
+        files = glob.glob(os.path.join(state, table, "batch_id=0", "*.parquet"))
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_the_codec_that_a_session_states_is_kept(spark):
+    own = spark.newSession()
+    assert table_options(own) == {"compression": "zstd", "parquet.block.size": str(ROW_GROUP_BYTES)}
+    own.conf.set("spark.sql.parquet.compression.codec", "gzip")
+    assert table_options(own)["compression"] == "gzip"
+
+
+def test_staged_rows_are_the_same_and_free_their_shuffles(spark):
+    rows = spark.range(500).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("t"))
+    made = rows.groupBy("k", "t").agg(F.count("*").alias("n"))
+    before = _shuffle_files(spark)
+    back = staged(made)
+    assert back.columns == made.columns and not _shuffle_files(spark) - before
+    assert sorted(map(str, back.collect())) == sorted(map(str, made.collect()))
+
+
+def test_proofs_deal_the_events_by_id_once(spark):
+    """The two joins by id alone share a partitioning; the one by (id, store) comes after them."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        events = fx.fx_op_event(spark, SF_SMALL)
+        plan = _plan(operation_proofs(events, fx.fx_all_evidence(spark, SF_SMALL), fx.fx_task(spark, SF_SMALL)))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(re.findall(r"Exchange hashpartitioning\(id#\d+, \d+\)", plan)) == 1, plan
