@@ -147,6 +147,13 @@ def test_staged_rows_are_the_same_and_free_their_shuffles(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, made.collect()))
 
 
+def test_polled_items_are_extracted_once_and_dealt_by_key_once(spark):
+    """Neither the earlier poll's ledger nor the new evidence joins the lines again."""
+    for query in ("new_evidence", "normalize_evidence", "facts_to_events", "operational_cycle"):
+        plan = _plan(QUERIES[query](spark, SF_SMALL))
+        assert "lineitem" not in plan and plan.count("Exchange hashpartitioning") == 2, plan
+
+
 def test_proofs_deal_the_events_by_id_once(spark):
     """The two joins by id alone share a partitioning; the one by (id, store) comes after them."""
     own = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
