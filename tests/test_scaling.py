@@ -167,3 +167,24 @@ def test_proofs_deal_the_events_by_id_once(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(re.findall(r"Exchange hashpartitioning\(id#\d+, \d+\)", plan)) == 1, plan
+
+
+def test_a_record_meets_few_observations_however_dense_they_are(spark):
+    """What the interval join compares a record with are ends of buckets and its finest bucket; the nearest is among them."""
+    minute, n = 60_000_000, 6000
+    placed = lambda rows: spark.createDataFrame(rows, "id string, store_id string, occurred_us long")
+    stamps = [(i * 7919 * 7919) % (90 * minute) - 30 * minute for i in range(n)]
+    observations = placed([(f"o{i % 997}_{i}", "a", t) for i, t in enumerate(stamps)] + [("tie1", "a", 5 * minute), ("tie0", "a", 5 * minute)])
+    records = placed([(f"r{i}", "a", i * minute + i * i * 31) for i in range(-20, 50)] + [("same", "a", 5 * minute), ("early", "a", -200 * minute)])
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    rungs = corr.ladder(observations.where(half == 0)).unionByName(corr.ladder(observations.where(half == 1)))  # two batches
+    got = {(r["system_record_id"], r["observation_id"], r["time_difference_us"]) for r in corr.interval_join(records, rungs, 15, 60).collect()}
+    want, near = set(), observations.collect()
+    for r in records.collect():
+        best = min(((abs(o.occurred_us - r.occurred_us), o.occurred_us, o.id) for o in near if abs(o.occurred_us - r.occurred_us) <= 15 * minute),
+                   default=(None, None, None))
+        want.add((r.id, best[2], best[0]))
+    assert got == want
+    joined = corr.interval_join(records, rungs, 15, 60)
+    assert joined.count() == 72
+    assert corr.ladder(observations).where(F.col("_level") == 1).count() <= 2 * 8 * 8
